@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MEMO = 400_000
+MEMO = 800_000
 _RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -61,7 +62,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        packed = np.array(self.merges.ids(piece.encode()), dtype="<u4").tobytes()
+        packed = array("I", self.merges.ids(piece.encode())).tobytes()
         if len(piece) <= 64:
             self[piece] = packed
         return packed

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuemill.llm import pii, quality, secrets
+from cuemill.llm import bpe, pii, quality, secrets, token_files
 from cuemill.llm.common import table
 
 
@@ -18,13 +18,21 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found_in(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_pii, op4_byte_bpe, op7_token_files, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,9 @@ import os
 import tempfile
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -34,32 +36,57 @@ from cuemill.llm.common import shared_dir, staged
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-MEMO, MISSES = 400_000, 4096
+MEMO, MISSES = 1_000_000, 1024
 NO_ID = np.iinfo(np.int64).min
 
 
-class Encoder:
-    """The tokenizers library, asked once for each stretch between spaces: its pre-tokens never hold white space."""
+class Encoder(dict):
+    """The tokenizers library, asked once for each stretch between spaces: its pre-tokens never hold white space.
+
+    A dict of stretches to packed ids. A new stretch is None until its group of texts is through; then all new ones are
+    encoded together and the gaps filled.
+    """
 
     def __init__(self, vocabulary: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {}
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = f"<u{array(self.code).itemsize}"
+        self.new: list[str] = []
+
+    def __missing__(self, stretch: str) -> None:
+        self.new.append(stretch)
+        self[stretch] = None
+
+    def encoded(self, stretches: list[str]) -> Iterator[bytes]:
+        """Packed ids of stretches, from one call for all of them: offsets tell whose each id is."""
+        made = self.tokenizer.encode(" ".join(stretches), add_special_tokens=False)
+        ids = array(self.code, made.ids)
+        starts = np.array([a for a, _ in made.offsets], dtype="int64")
+        cuts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in stretches])).tolist()
+        return (ids[a:b].tobytes() for a, b in pairwise([0, *cuts]))
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as the library gives them for the whole text."""
+        if len(self) >= MEMO:
+            self.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        missing = list({w for words in cut for w in words if w not in self.memo})
-        for i in range(0, len(missing), MISSES):
-            part = missing[i : i + MISSES]
-            self.memo.update(zip(part, (np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        end = np.array([END_ID], dtype=self.kind).tobytes()
-        return [b"".join(map(self.memo.__getitem__, words)) + end for words in cut]
+        parts = [list(map(self.__getitem__, words)) for words in cut]
+        for i in range(0, len(self.new), MISSES):
+            some = self.new[i : i + MISSES]
+            self.update(zip(some, self.encoded(some), strict=True))
+        if self.new:
+            self.new = []
+            for words, part in zip(cut, parts, strict=True):
+                at = -1
+                for _ in range(part.count(None)):
+                    at = part.index(None, at + 1)
+                    part[at] = self[words[at]]
+        end = array(self.code, [END_ID]).tobytes()
+        return [b"".join(part) + end for part in parts]
 
 
 _encoders: dict[bytes, Encoder] = {}
