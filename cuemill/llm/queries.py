@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuemill.llm import bpe, pii, quality, secrets, token_files
+from cuemill.llm import bpe, decontaminate, jaccard, pii, quality, secrets, token_files
 from cuemill.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -22,6 +26,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -32,7 +40,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_pii, op4_byte_bpe, op7_token_files, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_pii, op4_byte_bpe, op5_ngram_jaccard_join, op7_token_files, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
