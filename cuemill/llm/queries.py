@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuemill.llm import bpe, decontaminate, jaccard, pii, quality, secrets, token_files
+from cuemill.llm import bpe, decontaminate, jaccard, language, license_scan, pii, quality, secrets, token_files
 from cuemill.llm.common import table
 
 
@@ -30,17 +30,25 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_pii, op4_byte_bpe, op5_ngram_jaccard_join, op7_token_files, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_pii, op4_byte_bpe, op5_ngram_jaccard_join, op6_language_id, op7_token_files, op8_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
