@@ -28,6 +28,8 @@ WEAK_ID = r"""\b(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)
 ENDPOINT = r"""(?:\b[a-z][a-z0-9+]{1,15}://[^\x20\x09-\x0D"'<>]++)|(?:\b(?i:host|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9.:-]{3,}+)"""
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
 SCOPE = 200
+#: Texts with linked weak parts that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def base(text: Column) -> dict[str, Column]:
@@ -63,19 +65,63 @@ def linked(parts: DataFrame) -> DataFrame:
     return secrets.unionByName(ids).unionByName(ends)
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: a row for each row of docs (doc_id, text)."""
-    strong, loose = base(F.col("text")), weak(F.col("text"))
-    found = staged(docs.select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("key"), *[c.alias(k) for k, c in (strong | loose).items()]), "secrets")
-    bare = found.select("doc_id", "key", *[ranked(F.col(k), k, KINDS.index(k)).alias(k) for k in KINDS])
+_SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+
+
+def _bare(found: DataFrame) -> DataFrame:
+    """key and the spans of each kind, of rows (key, arrays of matches by kind)."""
+    return found.select(*[c for c in found.columns if c not in KINDS], *[ranked(F.col(k), k, i).alias(k) for i, k in enumerate(KINDS)])
+
+
+def _linked_spans(bare: DataFrame) -> DataFrame:
+    """key, extra: the weak spans of each text whose complements co-occur. bare: key and spans by kind."""
     has = lambda *kinds: sum((F.size(k) for k in kinds), F.lit(0)) > 0
-    together = bare.where(has("weak_secret", "weak_id", "endpoint") & (has("assign", "access", "hex", "weak_secret")) & has("access", "weak_id"))
+    together = bare.where(has("weak_secret", "weak_id", "endpoint") & has("assign", "access", "hex", "weak_secret") & has("access", "weak_id"))
     # Weak parts never overlap a base finding; that is settled in the row, where the base findings are.
-    strong_spans = F.concat("assign", "access", "hex")
-    clear = lambda k: F.filter(k, lambda s: ~F.exists(strong_spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    parts = staged(together.select("key", F.explode(F.concat(strong_spans, clear("weak_secret"), clear("weak_id"), clear("endpoint"))).alias("s")).select("key", "s.kind", "s.start", "s.end").distinct(), "secret-parts")
-    extra = linked(parts).groupBy("key").agg(F.collect_list(F.struct("start", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int").alias("rank"), "kind", "end")).alias("extra"))
-    shifted = F.transform(strong_spans, lambda s: F.struct(s["start"].alias("start"), (s["rank"] + 1).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
-    joined = bare.join(extra, "key", "left")
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    return joined.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(written(strong_spans), 256).alias("base_sha256"), written(F.concat(shifted, F.coalesce("extra", none))).alias("spans"))
+    strong = F.concat("assign", "access", "hex")
+    clear = lambda k: F.filter(k, lambda s: ~F.exists(strong, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    parts = staged(together.select("key", F.explode(F.concat(strong, clear("weak_secret"), clear("weak_id"), clear("endpoint"))).alias("s")).select("key", "s.kind", "s.start", "s.end").distinct(), "secret-parts")
+    rank = (F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")) - 1).cast("int")
+    return linked(parts).groupBy("key").agg(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end")).alias("extra"))
+
+
+def _found(docs: DataFrame, *keep: str) -> DataFrame:
+    strong, loose = base(F.col("text")), weak(F.col("text"))
+    return docs.select(*keep, text_key(F.col("doc_id"), F.col("text")).alias("key"), *[c.alias(k) for k, c in (strong | loose).items()])
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: a row for each row of docs (doc_id, text)."""
+    bare = _bare(staged(_found(docs, "doc_id"), "secrets"))
+    strong = F.concat("assign", "access", "hex")
+    joined = bare.join(_linked_spans(bare), "key", "left")
+    return joined.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(written(strong), 256).alias("base_sha256"), written(F.concat(strong, F.coalesce("extra", F.array().cast(_SPANS)))).alias("spans"))
+
+
+def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
+    """docs with all their columns, and every span in text replaced by mask; n_chars, if there, counts the new text.
+
+    Overlapping spans become one mask. The few texts with linked weak parts are found first; base findings are found again
+    in the row, so that texts aren't shuffled.
+    """
+    spotted = staged(_found(docs.select("doc_id", "text")).where(sum((F.size(k) for k in KINDS), F.lit(0)) > 0), "secrets")
+    extra = staged(_linked_spans(_bare(spotted)), "secret-links")
+    if extra.count() <= BROADCAST_ROWS:
+        extra = F.broadcast(extra)
+    key, spans = "__secret_key", "__secret_spans"
+    strong = F.concat(*[ranked(c, k, KINDS.index(k)) for k, c in base(F.col("text")).items()])
+    marked = docs.withColumn(key, text_key(docs["doc_id"], docs["text"])).join(extra.select(F.col("key").alias(key), F.col("extra").alias(spans)), key, "left")
+    marked = marked.withColumn(spans, F.array_sort(F.concat(strong, F.coalesce(spans, F.array().cast(_SPANS)))))
+    text = F.col("text")
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def cover(a: Column, s: Column) -> Column:
+        gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
+        more = F.when(s["start"] >= a["at"], F.array(gap, F.lit(mask))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(s["end"], a["at"]).alias("at"), F.concat(a["parts"], more).alias("parts"))
+
+    new = F.aggregate(spans, begin, cover, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    out = marked.withColumn("text", F.when(F.size(spans) > 0, new).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
