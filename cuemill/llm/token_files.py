@@ -36,10 +36,21 @@ from cuemill.llm.common import shared_dir, staged
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-MEMO, MISSES = 1_000_000, 1024
+MEMO, MISSES = 650_000, 1024
+MARKS = (".", ",")
 NO_ID = np.iinfo(np.int64).min
 
 
+def lowered(text: str) -> str:
+    """Lower case, which the tokenizer's normaliser makes anyway, where that is sure to be the same: Latin-1 text without
+    anything like the spelling of a special token. Fewer stretches differ then."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 class Encoder(dict):
     """The tokenizers library, asked once for each stretch between spaces: its pre-tokens never hold white space.
 
@@ -56,9 +67,18 @@ class Encoder(dict):
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = f"<u{array(self.code).itemsize}"
         self.new: list[str] = []
-
-    def __missing__(self, stretch: str) -> None:
-        self.new.append(stretch)
+        self.marked: list[str] = []
+        self.marks = dict(zip(MARKS, self.encoded(list(MARKS)), strict=True))
+
+    def __missing__(self, stretch: str) -> bytes | None:
+        # A mark after a letter is a pre-token by itself, so the library is asked for what is before it only.
+        if stretch[-1:] in MARKS and "a" <= stretch[-2:-1] <= "z":
+            if (stem := self[stretch[:-1]]) is not None:
+                self[stretch] = packed = stem + self.marks[stretch[-1]]
+                return packed
+            self.marked.append(stretch)
+        else:
+            self.new.append(stretch)
         self[stretch] = None
 
     def encoded(self, stretches: list[str]) -> Iterator[bytes]:
@@ -73,13 +93,15 @@ class Encoder(dict):
         """The ids of each text with the end id, as the library gives them for the whole text."""
         if len(self) >= MEMO:
             self.clear()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        cut = [lowered(t).replace("\n", " ").split(" ") for t in texts]
         parts = [list(map(self.__getitem__, words)) for words in cut]
         for i in range(0, len(self.new), MISSES):
             some = self.new[i : i + MISSES]
             self.update(zip(some, self.encoded(some), strict=True))
+        for stretch in self.marked:
+            self[stretch] = self[stretch[:-1]] + self.marks[stretch[-1]]
         if self.new:
-            self.new = []
+            self.new, self.marked = [], []
             for words, part in zip(cut, parts, strict=True):
                 at = -1
                 for _ in range(part.count(None)):
