@@ -134,7 +134,14 @@ def plural(count: Column, singular: str, several: str | None = None) -> Column:
 
 
 #: Names of artifact kinds.
-ARTIFACT_LABELS = {"json": "JSON", "txt": "Text", "srt": "SRT", "vtt": "VTT"}
+ARTIFACT_LABELS = {"txt": "Plain text", "srt": "SRT subtitles", "vtt": "WebVTT subtitles", "json": "JSON transcript"}
+
+
+def artifact_label(name: Column) -> Column:
+    """What an artifact's kind is called; others keep their names."""
+    base = F.regexp_replace(name, r"^edited\.", "")
+    known = F.coalesce(F.create_map(*[F.lit(x) for pair in ARTIFACT_LABELS.items() for x in pair])[base], name)
+    return F.concat(known, F.when(name.startswith("edited."), " (edited)").otherwise(""))
 
 
 def tail(text: Column, size: int) -> Column:
