@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from cuemill.plans import file_queries, job_queries, transcript_queries
+from cuemill.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "w2_cue_times"
+_ALL = (transcript_queries.query, job_queries.query, file_queries.query)
 
-FLAGSHIP = "w1_cues"
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for part in _ALL for name, f in part.found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _ALL for name, sql in part.sql.items()}

@@ -39,20 +39,20 @@ def events(chunks: DataFrame) -> DataFrame:
 
 
 class Reader:
-    """What is left of a stream between chunks: text without a blank line at its end, the last id, the count."""
+    """What is left of a stream between chunks: the text of an unfinished event, the last id, the count, and whether a CR
+    came last, whose LF may open the next chunk."""
 
     def __init__(self, kept: str | None = None):
-        self.rest, self.id, self.n = json.loads(kept) if kept else ("", "", 0)
+        self.rest, self.id, self.n, self.after_cr = json.loads(kept) if kept else ("", "", 0, False)
 
     def kept(self) -> str:
-        return json.dumps([self.rest, self.id, self.n])
+        return json.dumps([self.rest, self.id, self.n, self.after_cr])
 
     def feed(self, text: str) -> Iterator[tuple]:
-        # A CR at the end may be half of an end of line, so it waits for the next chunk.
-        text = self.rest + text
-        hold = "\r" if text.endswith("\r") else ""
-        *blocks, rest = re.split(r"(?<=\n)\n", re.sub(r"\r\n|\r", "\n", text[: len(text) - len(hold)]))
-        self.rest = rest + hold
+        if self.after_cr:
+            text = text.removeprefix("\n")
+        self.after_cr = text.endswith("\r") if text else self.after_cr
+        *blocks, self.rest = re.split(r"(?<=\n)\n", self.rest + re.sub(r"\r\n|\r", "\n", text))
         for block in blocks:
             data, event = [], ""
             for line in block.split("\n"):
