@@ -38,8 +38,9 @@ def translation_artifacts(segments: DataFrame, language: str, formats: tuple[str
 
 
 def write_artifacts(rows: DataFrame, path: str) -> None:
-    """One text file a job and name, by the committer of Spark."""
-    rows.select("job_id", "name", "content").repartition("job_id", "name").write.mode("overwrite").partitionBy("job_id", "name").option("lineSep", "").text(path)
+    """One text file a job and name, by the committer of Spark, which ends every file with a line feed."""
+    body = F.regexp_replace("content", r"\n\z", "").alias("content")
+    rows.select("job_id", "name", body).repartition("job_id", "name").write.mode("overwrite").partitionBy("job_id", "name").text(path)
 
 
 def event_lines(events: DataFrame) -> DataFrame:
