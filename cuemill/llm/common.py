@@ -34,6 +34,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, size: int = 16 << 20) -> DataFrame:
+    """df; from now on its session sends rows to Python in batches of about size bytes, however long they are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row."""
     return F.transform(F.array(value), body)[0]

@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import staged, words_of
+from cuemill.llm.common import small_batches, staged, words_of
 
 KEPT, BACKOFF, UNIT = 2, 0.4, 1e6
 #: Words that a bucket has on average, and that a task packs at a time.
-SHARE, CHUNK = 2_000_000, 3_000_000
+SHARE, CHUNK = 1_500_000, 2_000_000
 IDS, PAIRS, SINGLES, COUNTS, SUMS = range(5)
 _ROW = "bucket int, kind int, batch bigint, payload binary, ids array<bigint>, tokens array<bigint>"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("payload", pa.binary()), ("ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
@@ -108,13 +108,13 @@ class Model:
         return np.rint(UNIT * (np.log(counts) - math.log(self.total)))
 
 
-def _singles(model: Model, batch: int, words: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
-    """Rows of words that are to be scored by themselves, none of them hot."""
+def _singles(model: Model, chunks: list[int], words: np.ndarray, places: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
+    """Rows of words that are to be scored by themselves, none of them hot. places: of their chunks in the list."""
     order = np.argsort(words)
-    words, docs = words[order], docs[order]
+    words, places, docs = words[order], places[order], docs[order]
     for bucket, part in model.edges(words):
         found, counts = np.unique(words[part], return_counts=True)
-        yield bucket, SINGLES, batch, pack(_gaps(found), counts, docs[part]), None, None
+        yield bucket, SINGLES, None, pack(_gaps(found), counts, places[part], docs[part]), chunks, None
 
 
 def _packed(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +129,16 @@ def _packed(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             stop = max(int(np.searchsorted(ends, ends[start] + CHUNK, "right")) - 1, start + 1)
             words, sizes = flat[ends[start] : ends[stop]], np.diff(ends[start : stop + 1])
             rows = [(chunk % (1 << model.bits), IDS, chunk, None, batch.column(0).slice(start, stop - start).to_pylist(), sizes.tolist())]
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             heads = (np.cumsum(sizes) - sizes)[sizes > 0]
             sums = np.zeros(len(sizes))
             hot = model.is_hot(words)
             # First words: hot ones are settled here.
             at = heads[hot[heads]]
             sums[doc[at]] += model.log(model.hot_counts[np.searchsorted(model.hot, words[at])])
-            rows.append((chunk % (1 << model.bits), SUMS, chunk, sums.astype("<i8").tobytes(), None, None))
+            rows.append((chunk % (1 << model.bits), SUMS, chunk, pack(-sums.astype(np.int64)), None, None))
             at = heads[~hot[heads]]
-            rows += _singles(model, chunk, words[at], doc[at])
+            rows += _singles(model, [chunk], words[at], np.zeros(len(at), np.int8), doc[at])
             # Pairs by first word, or by both if that is hot.
             inner = np.ones(max(len(words) - 1, 0), bool)
             inner[heads[heads > 0] - 1] = False
@@ -146,6 +146,7 @@ def _packed(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             key = np.where(hot[:-1][inner], pair_hash(first, second), first)
             order = np.argsort(key)
             key, first, second, of = key[order], first[order], second[order], of[order]
+            del order, doc, inner
             for bucket, part in model.edges(key):
                 known, place = np.unique(np.concatenate([first[part], second[part]]), return_inverse=True)
                 n = part.stop - part.start
@@ -196,21 +197,13 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield now, rows
 
 
-def _summed(bucket: int, values: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple]:
-    """A row of sums by document for each chunk. values: chunk, documents, scores."""
-    sums: dict[int, np.ndarray] = {}
-    for chunk, docs, scores in values:
-        made = np.bincount(docs, scores, minlength=1)
-        had = sums.get(chunk)
-        if had is None:
-            sums[chunk] = made
-        else:
-            if len(had) < len(made):
-                had, made = made, had
-            had[: len(made)] += made
-            sums[chunk] = had
-    for chunk, made in sums.items():
-        yield bucket, SUMS, chunk, made.astype("<i8").tobytes(), None, None
+def _summed(bucket: int, chunks: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> Iterator[tuple]:
+    """A row for each chunk of its documents' sums, which are never positive and so are packed without their sign."""
+    order = np.argsort(chunks, kind="stable")
+    chunks, docs, scores = chunks[order], docs[order], scores[order]
+    starts = np.flatnonzero(np.diff(chunks, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(chunks)], strict=True):
+        yield bucket, SUMS, int(chunks[a]), pack(-np.bincount(docs[a:b], scores[a:b]).astype(np.int64)), None, None
 
 
 def _pairs_scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,29 +231,28 @@ def _pairs_scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[p
             hot = ~kept & model.is_hot(second)
             if hot.any():
                 score[hot] += model.log(model.hot_counts[np.searchsorted(model.hot, second[hot])])
-            left, values, at = ~kept & ~hot, [], 0
-            for chunk, doc in zip(chunks, docs, strict=True):
-                part = slice(at, at + len(doc))
-                values.append((chunk, doc, score[part]))
-                mine = left[part]
-                out += _singles(model, chunk, second[part][mine], doc[mine])
-                at += len(doc)
-            out += _summed(bucket, values)
+            left, names = ~kept & ~hot, sorted(set(chunks))
+            place = np.repeat(np.searchsorted(names, chunks), [len(d) for d in docs])
+            doc = np.concatenate(docs).astype(np.int32)
+            out += _summed(bucket, np.array(names)[place], doc, score)
+            out += _singles(model, names, second[left], place[left], doc[left])
         yield _batch(out)
 
 
 def _words_scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of words by themselves."""
     for bucket, rows in _by_bucket(batches):
-        counts, values = _Counts(model), []
+        counts, chunks, docs, scores = _Counts(model), [], [], []
         for _, kind, _, payload, _, _ in rows:
             if kind == COUNTS:
                 counts.add(payload)
-        for _, kind, chunk, payload, _, _ in rows:
+        for _, kind, _, payload, names, _ in rows:
             if kind == SINGLES:
-                gaps, n, docs = unpack(payload)
-                values.append((chunk, docs, np.repeat(model.log(counts.of(np.cumsum(gaps, dtype=np.uint64))), n.astype(np.int64))))
-        yield _batch(list(_summed(bucket, values)))
+                gaps, n, place, doc = unpack(payload)
+                chunks.append(np.array(names)[place])
+                docs.append(doc.astype(np.int32))
+                scores.append(np.repeat(model.log(counts.of(np.cumsum(gaps, dtype=np.uint64))), n.astype(np.int64)))
+        yield _batch(list(_summed(bucket, *map(np.concatenate, (chunks, docs, scores)))) if chunks else [])
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +262,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(ids, tokens, sums) -> pa.RecordBatch:
         total = np.zeros(len(ids), np.int64)
         for s in sums:
-            total[: len(s)] += s
+            total[: len(s)] -= s
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(total)], names=names)
 
     now, ids, tokens, sums = None, None, None, []
@@ -283,7 +275,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own is not None:
                 ids, tokens = own, n
             else:
-                sums.append(np.frombuffer(payload, "<i8"))
+                sums.append(unpack(payload)[0].astype(np.int64))
     if now is not None:
         yield done(ids, tokens, sums)
 
@@ -296,7 +288,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_tokens, log_score (natural, rounded to millionths), mean_log_score: a row for each row of docs."""
-    words = word_counts(docs)
+    words = word_counts(small_batches(docs))
     total = words.agg(F.sum("n")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(total, 1) / share)))
     hot = words.where(F.col("n") > total / (4 << bits)).collect()  # 4 << bits rows at most
