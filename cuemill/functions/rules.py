@@ -16,7 +16,9 @@ FILES = {"json": "transcript.json", "txt": "transcript.txt", "srt": "subtitles.s
 TRUE, FALSE = ("1", "true", "yes", "on"), ("0", "false", "no", "off")
 ENDED = ("completed", "failed", "cancelled", "interrupted")
 LANGUAGE = r"^[a-z]{2,3}(?:-[a-z0-9]{2,8})*$"
-HTTP_STATUS = {"configuration": 400, "media": 422, "model": 503, "unsupported": 422, "inference": 500, "conflict": 409, "missing": 404}
+#: Kinds of errors with their HTTP status and process exit code; others have 500 and 1.
+HTTP_STATUS = {"missing_job": 404, "duplicate_job": 409, "active_job": 409, "full_queue": 429, "configuration": 422, "media": 422, "validation": 422, "artifact_conflict": 409}
+EXIT_CODES = {"cancelled": 130, "configuration": 2, "missing_dependency": 3, "media": 2, "model": 3, "unsupported": 4, "artifact_conflict": 2}
 
 
 def blank_to_null(text: Column) -> Column:
@@ -171,3 +173,81 @@ def playable(upload: Column, local: Column, local_allowed: Column, kept: Column,
 
 def progress_shown(stage: Column, status: Column) -> Column:
     return (status == "started") | stage.isin(*ENDED)
+
+
+def exit_code(kind: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in EXIT_CODES.items() for x in pair])[kind], F.lit(1))
+
+
+def translation_matches(made: Column, model_sha: Column, source: Column, target: Column) -> Column:
+    """Was a translation (struct of model_sha, source_language, target_language) made by this model in these languages?"""
+    return F.coalesce(made["model_sha"].eqNullSafe(model_sha) & made["source_language"].eqNullSafe(source) & made["target_language"].eqNullSafe(target), F.lit(False)) & made.isNotNull() & target.isNotNull()
+
+
+def kept_lines(text: Column, recorded: dict[str, Column]) -> Column:
+    """The lines of a settings text without those that only repeat a recorded value; the rest as they are, in order."""
+    names = "|".join(recorded)
+
+    def repeats(line: Column) -> Column:
+        name, value = (F.regexp_extract(line, rf"^\s*({names})\s*=\s*(.*?)\s*$", k) for k in (1, 2))
+        return (name != "") & F.coalesce(F.create_map(*[x for k, v in recorded.items() for x in (F.lit(k), v)])[name] == value, F.lit(False))
+
+    return F.array_join(F.filter(F.split(text, "(?<=\n)"), lambda x: ~repeats(F.regexp_replace(x, "[\r\n]+$", ""))), "")
+
+
+def setup_issues(runtime_ok: Column, models_ok: Column, has_asr: Column, config_there: Column, doctor: Column) -> Column:
+    """What is wrong with an installation, in order. models_ok: array of (kind, ok); doctor: true, false or null if never run."""
+    models = F.transform(F.filter(models_ok, lambda m: ~m["ok"]), lambda m: F.concat(m["kind"], F.lit(" model is missing or changed")))
+    return F.array_compact(F.concat(F.array(F.when(~runtime_ok, "runtime is missing or changed")), models, F.array(F.when(~has_asr, "no ASR model"), F.when(~config_there, "no configuration file"), F.when(doctor.isNull(), "not diagnosed yet").when(~doctor, "diagnosed as not ready"))))
+
+
+def setup_actions(reuse: Column, legacy: Column, archive: Column) -> Column:
+    """How an asset is had: reused, taken over, from an archive, or built."""
+    return F.when(reuse, "reuse").when(legacy, "adopt").when(archive, "install").otherwise("build")
+
+
+def install_headline(installed: Column, ready: Column, works: Column) -> Column:
+    """One word on an installation: unknown, own (not installed, but what is configured works), absent, broken or ready."""
+    return F.when(installed.isNull(), "unknown").when(~installed & works, "own").when(~installed, "absent").when(~ready, "broken").otherwise("ready")
+
+
+def feature_installed(name: Column, features: Column, working: Column) -> Column:
+    return F.array_contains(features, name) | F.coalesce(working, F.lit(False))
+
+
+def route(fragment: Column) -> Column:
+    """name and id of the screen that a URL's fragment asks for."""
+    path = F.split(F.regexp_replace(fragment, "^#", ""), r"\?")[0]
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    n, first = F.size(parts), F.get(parts, F.lit(0))
+    name = F.when(n == 0, "new").when((n == 1) & first.isin("jobs", "storage", "setup"), first).when((n == 2) & (first == "jobs"), "job").otherwise("not-found")
+    return F.struct(name.alias("name"), F.when(name == "job", F.try_url_decode(F.get(parts, F.lit(1)))).alias("id"))
+
+
+def query_string(params: Column) -> Column:
+    """?name=value&... of a map's entries that have a value, encoded, by name."""
+    kept = F.filter(F.array_sort(F.map_entries(params)), lambda e: F.coalesce(e["value"] != "", F.lit(False)))
+    text = F.array_join(F.transform(kept, lambda e: F.concat_ws("=", F.url_encode(e["key"]), F.url_encode(e["value"]))), "&")
+    return F.when(text == "", "").otherwise(F.concat(F.lit("?"), text))
+
+
+def api_error(status: Column, reason: Column, body: Column) -> Column:
+    """code and message of a failed request: from its JSON body, else from the status."""
+    v = F.try_parse_json(body)
+    said = F.try_variant_get(v, "$.error.message", "string")
+    return F.struct(F.when(said.isNotNull(), F.try_variant_get(v, "$.error.code", "string")).alias("code"), F.coalesce(said, F.rtrim(F.concat_ws(" ", F.lit("The server answered"), status.cast("string"), reason))).alias("message"))
+
+
+def field_errors(errors: Column) -> Column:
+    """field (the place, dotted) and message of each error (loc: array of text, msg)."""
+    return F.transform(errors, lambda e: F.struct(F.array_join(e["loc"], ".").alias("field"), e["msg"].alias("message")))
+
+
+def job_options_error(formats: Column, translate: Column, source: Column, target: Column, stream: Column, workers: Column) -> Column:
+    """What is wrong with the options of a job, null if nothing. Numbers come as text, empty for none."""
+    whole = lambda c, low, high: c.isNull() | (c == "") | F.coalesce(c.try_cast("int").between(low, high) & c.rlike(r"^\d+$"), F.lit(False))
+    return F.when(F.size(F.array_intersect(formats, F.array(*[F.lit(f) for f in FORMATS]))) == 0, "formats").when(translate & (F.coalesce(blank_to_null(source), blank_to_null(target)).isNull() | blank_to_null(source).isNull() | blank_to_null(target).isNull()), "languages").when(translate & (source == target), "same language").when(~whole(stream, 0, (1 << 31) - 1), "stream").when(~whole(workers, 1, 8), "workers")
+
+
+def upload_too_large(total: Column, limit: Column) -> Column:
+    return F.coalesce((limit > 0) & (total > limit), F.lit(False))

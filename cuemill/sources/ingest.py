@@ -27,13 +27,48 @@ def documents(spark: SparkSession, path: str, name: str | None = None) -> DataFr
 
 
 def media_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """path, size, modified of media files below a folder, by lower-case path; contents aren't read."""
+    """path, size, modified of media files below a folder, by lower-case path; contents aren't read. Spark leaves out
+    files without a byte."""
     from cuemill.functions.rules import is_media
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     return found.where(is_media(F.col("path"))).dropDuplicates(["path"]).orderBy(F.lower("path"), "path")
 
 
+def discovered(spark: SparkSession, files: list[str], folders: list[str], recursive: bool = False) -> DataFrame:
+    """path of the files that are named, whatever they are, and of media files in the folders; each once, by lower-case
+    path. Nothing found is an error."""
+    named = spark.createDataFrame([(f,) for f in files], "path string")
+    for folder in folders:
+        named = named.unionByName(media_files(spark, folder, recursive).select("path"))
+    found = named.dropDuplicates(["path"]).orderBy(F.lower("path"), "path")
+    if found.isEmpty():
+        raise ValueError("no media files found")
+    return found
+
+
+def transcript_documents(docs: DataFrame) -> DataFrame:
+    """path, text, duration, language, words, segments of canonical transcripts of version 1 (default). docs: path, doc."""
+    v = F.col("doc")
+    words = F.transform(F.try_variant_get(v, "$.words", "array<variant>"), lambda w, i: F.struct(i.alias("idx"), at(w, "text", "string").alias("text"), at(w, "start", "string").cast("double").alias("start"), at(w, "end", "string").cast("double").alias("end"), blank_to_null(at(w, "confidence", "string")).cast("double").alias("confidence"), at(w, "speaker", "string").alias("speaker"), blank_to_null(at(w, "language", "string")).alias("language")))
+    segments = F.transform(F.try_variant_get(v, "$.segments", "array<variant>"), lambda w, i: F.struct(i.alias("cue"), at(w, "text", "string").alias("text"), at(w, "start", "string").cast("double").alias("start"), at(w, "end", "string").cast("double").alias("end"), at(w, "speaker", "string").alias("speaker"), F.coalesce(at(w, "word_start", "int"), F.lit(0)).alias("word_start"), F.coalesce(at(w, "word_end", "int"), F.lit(0)).alias("word_end")))
+    text = lambda n: F.try_variant_get(v, f"$.{n}", "string")
+    return docs.where(is_object(v) & (F.coalesce(F.try_variant_get(v, "$.schema_version", "int"), F.lit(1)) == 1)).select("path", F.coalesce(text("text"), F.lit("")).alias("text"), blank_to_null(text("duration")).cast("double").alias("duration"), blank_to_null(text("language")).alias("language"), F.coalesce(words, F.array()).alias("words"), F.coalesce(segments, F.array()).alias("segments"))
+
+
+def translation_documents(docs: DataFrame) -> DataFrame:
+    """path, source_language, target_language, segments of translations of version 1. docs: path, doc."""
+    v = F.col("doc")
+    segments = F.transform(F.try_variant_get(v, "$.segments", "array<variant>"), lambda w, i: F.struct(i.alias("idx"), at(w, "source_text", "string").alias("source_text"), at(w, "text", "string").alias("text"), at(w, "start", "string").cast("double").alias("start"), at(w, "end", "string").cast("double").alias("end"), at(w, "speaker", "string").alias("speaker")))
+    return docs.where(is_object(v) & (F.coalesce(F.try_variant_get(v, "$.schema_version", "int"), F.lit(1)) == 1)).select("path", at(v, "source_language", "string").alias("source_language"), at(v, "target_language", "string").alias("target_language"), segments.alias("segments"))
+
+
+def refused_manifests(docs: DataFrame) -> DataFrame:
+    """path, fault of manifests that work must not resume from: unreadable ones, and those of another version."""
+    version = F.try_variant_get("doc", "$.schema_version", "int")
+    return docs.select("path", F.when(~is_object(F.col("doc")) | F.col("doc").isNull(), "unreadable").when(~version.eqNullSafe(F.lit(1)), "version").alias("fault")).where("fault is not null")
+
+
 def is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 

@@ -239,3 +239,68 @@ def test_files_to_write(spark, tmp_path):
     sinks.write_artifacts(made, str(tmp_path / "out"))
     found = {p.parent.name: p.read_text() for p in (tmp_path / "out").rglob("part-*")}
     assert found == {"name=a.txt": "one\ntwo\n", "name=b.srt": "x\n"}
+
+
+def test_more_documents(spark, tmp_path):
+    docs = spark.createDataFrame([("t", json.dumps({"text": "Hi", "duration": "2.5", "language": "", "words": [{"text": "Hi", "start": "0", "end": 1, "speaker": 1}], "segments": [{"text": "Hi", "start": 0, "end": 1}]})), ("v2", '{"schema_version": 2}'), ("bad", "nope")], "path string, s string").select("path", F.try_parse_json("s").alias("doc"))
+    t = ingest.transcript_documents(docs).first()
+    assert (t["path"], t["text"], t["duration"], t["language"]) == ("t", "Hi", 2.5, None)
+    assert tuple(t["words"][0]) == (0, "Hi", 0.0, 1.0, None, "1", None) and tuple(t["segments"][0]) == (0, "Hi", 0.0, 1.0, None, 0, 0)
+    assert sorted(rows(ingest.refused_manifests(docs), "path", "fault")) == [("bad", "unreadable"), ("t", "version"), ("v2", "version")]
+    other = spark.createDataFrame([("x", '{"source_language":"en","target_language":"de","segments":[{"source_text":"a","text":"b","start":0,"end":1}]}')], "path string, s string").select("path", F.try_parse_json("s").alias("doc"))
+    assert ingest.translation_documents(other).first()["segments"][0]["text"] == "b"
+    (tmp_path / "b.wav").write_bytes(b"1")
+    (tmp_path / "c.txt").write_bytes(b"1")
+    got = [p.rsplit("/", 1)[-1] for (p,) in rows(ingest.discovered(spark, ["/z/A.bin"], [str(tmp_path)]), "path")]
+    assert sorted(got) == ["A.bin", "b.wav"]
+    with pytest.raises(ValueError):
+        ingest.discovered(spark, [], [])
+
+
+def test_workflow(spark):
+    from cuemill.operators import workflow
+
+    segments = spark.createDataFrame([("j", 0, "One.", 0.0, 0.4, None), ("j", 1, "Two.", 2.0, 2.4, None), ("k", 0, "x", 0.0, 1.0, None)], "job_id string, idx int, text string, start double, end double, speaker string")
+    earlier = spark.createDataFrame([("j", 1, "Old")], "job_id string, idx int, text string")
+    later = spark.createDataFrame([("j", 0, "Hello, world!"), ("k", 5, "y")], "job_id string, idx int, text string")
+    for merge, text, indices in ((True, "Hello, world! Old\n", [0, 1]), (False, "Hello, world! Two.\n", [0])):
+        faults, summary, files = workflow.saved_edits(segments, earlier, later, ("txt", "srt"), merge)
+        assert rows(faults, "job_id", "idx", "fault") == [("k", 5, "missing")]
+        assert rows(summary, "job_id", "edited_segments", "edited_indices") == [("j", len(indices), indices)]
+        made = {n: c for n, c in rows(files, "name", "content")}
+        assert set(made) == {"transcript.edited.json", "transcript.edited.txt", "subtitles.edited.srt"} and made["transcript.edited.txt"] == text
+        assert json.loads(made["transcript.edited.json"])["edited_indices"] == indices
+    undo = spark.createDataFrame([("j", 1, None)], "job_id string, idx int, text string")
+    assert workflow.saved_edits(segments, earlier, undo, merge=True)[2].count() == 0
+    sources = spark.createDataFrame([("j", 1, "a", False), ("j", 2, "b", True), ("j", 3, "c", False)], "job_id string, pos int, source string, stopped boolean")
+    results = spark.createDataFrame([("j", "a", "failed", "no")], "job_id string, source string, state string, error string")
+    assert sorted(rows(workflow.ended(sources, results), "pos", "state", "error")) == [(1, "failed", "no"), (2, "cancelled", None), (3, "interrupted", None)]
+    assert sorted(rows(workflow.later_wins(results, results.withColumn("state", F.lit("completed")), results.limit(0)), "state")) == [("completed",)]
+    listed = workflow.job_rows(spark.createDataFrame([("j", "failed", ["/x/a"])], "id string, state string, inputs array<string>"), results.withColumn("pos", F.lit(1)))
+    assert listed.first().asDict(recursive=True) == {"id": "j", "state": "failed", "inputs": ["a"], "results": [{"source": "a", "state": "failed", "error": "no"}]}
+    words = spark.createDataFrame([("j", 0, "Hi", 0.0, 1.0, None)], "job_id string, idx int, text string, start double, end double, speaker string")
+    t = spark.createDataFrame([("j", "Hi", 2.0, {"adapter": "1", "model_sha256": "old"})], "job_id string, text string, duration double, provenance map<string,string>")
+    ids = spark.createDataFrame([("j", "s", "m", None)], "job_id string, source_sha string, model_sha string, diar_sha string")
+    made, cues = workflow.committed(t, words, ids)
+    assert made.first()["provenance"] == {"adapter": "1", "source_sha256": "s", "model_sha256": "m"} and cues.count() == 1
+    assert workflow.capabilities(spark, True, False, True).where("kind = 'translation_language'").count() == 0
+    runs = spark.createDataFrame([(1, "completed", False, None, "cpu"), (2, "completed", True, None, "cpu"), (3, "completed", False, None, "cpu"), (3, "completed", False, None, "cpu")], "run int, state string, skipped boolean, error string, device string")
+    assert sorted(rows(workflow.benchmark_ok(runs, "cpu"), "run", "ok")) == [(1, True), (2, False), (3, False)]
+
+
+def test_more_rules(spark):
+    assert one(spark, rules.kept_lines(F.lit("# a\nmodel = /m\ndevice=cpu \nother = 1"), {"model": F.lit("/m"), "device": F.lit("cuda")})) == "# a\ndevice=cpu \nother = 1"
+    assert [tuple(one(spark, rules.route(F.lit(x)))) for x in ("", "#/jobs", "#/jobs/a%20b?x=1", "#/jobs/a/b", "#/setup", "#/zzz")] == [("new", None), ("jobs", None), ("job", "a b"), ("not-found", None), ("setup", None), ("not-found", None)]
+    assert one(spark, rules.query_string(F.create_map(F.lit("b"), F.lit("x y"), F.lit("a"), F.lit("1"), F.lit("c"), F.lit("")))) == "?a=1&b=x+y" and one(spark, rules.query_string(F.create_map(F.lit("c"), F.lit("")))) == ""
+    assert tuple(one(spark, rules.api_error(F.lit(404), F.lit("Not Found"), F.lit('{"error":{"code":"c","message":"m"}}')))) == ("c", "m")
+    assert tuple(one(spark, rules.api_error(F.lit(502), F.lit("Bad"), F.lit("<html>")))) == (None, "The server answered 502 Bad")
+    assert [one(spark, rules.exit_code(F.lit(k))) for k in ("cancelled", "model", "other")] == [130, 3, 1] and one(spark, rules.http_status(F.lit("full_queue"))) == 429
+    empty = F.array().cast("array<struct<kind:string,ok:boolean>>")
+    true, false = F.lit(True), F.lit(False)
+    assert one(spark, rules.setup_issues(true, empty, true, true, true)) == [] and one(spark, rules.setup_issues(false, F.array(F.struct(F.lit("asr").alias("kind"), false.alias("ok"))), false, false, F.lit(None).cast("boolean"))) == ["runtime is missing or changed", "asr model is missing or changed", "no ASR model", "no configuration file", "not diagnosed yet"]
+    assert [one(spark, rules.install_headline(F.lit(a).cast("boolean"), F.lit(b), F.lit(c))) for a, b, c in ((None, False, False), (False, False, True), (False, False, False), (True, False, True), (True, True, True))] == ["unknown", "own", "absent", "broken", "ready"]
+    made = F.struct(F.lit("m").alias("model_sha"), F.lit("en").alias("source_language"), F.lit("de").alias("target_language"))
+    assert one(spark, rules.translation_matches(made, F.lit("m"), F.lit("en"), F.lit("de"))) and not one(spark, rules.translation_matches(made, F.lit("x"), F.lit("en"), F.lit("de")))
+    check = lambda formats, translate=False, source="", target="", stream="", workers="": one(spark, rules.job_options_error(F.array(*[F.lit(f) for f in formats]).cast("array<string>"), F.lit(translate), F.lit(source), F.lit(target), F.lit(stream), F.lit(workers)))
+    assert [check([]), check(["srt"]), check(["srt"], True, "en"), check(["srt"], True, "en", "en"), check(["srt"], stream="-1"), check(["srt"], workers="9"), check(["srt"], True, "en", "de", "2", "8")] == ["formats", None, "languages", "same language", "stream", "workers", None]
+    assert one(spark, rules.field_errors(F.array(F.struct(F.array(F.lit("a"), F.lit("0")).alias("loc"), F.lit("bad").alias("msg")))))[0].asDict() == {"field": "a.0", "message": "bad"}
