@@ -2,9 +2,9 @@
 
 Words are runs without white space, shingles are SHINGLE words in a row (all words of a shorter text). Texts with equal sets
 of shingles are one node with a count of copies; only nodes are compared. Each node has TREES lists of DEPTH MinHash labels:
-its paths in the prefix tries of the forest. Nodes that share a prefix of the present depth in a tree are candidates. Work
-starts with whole paths and shortens the prefixes until the estimated recall of links at or above the threshold reaches
-TARGET: each pair found with similarity s stands for 1 / (1 - (1 - s^depth)^TREES) pairs. A pair belongs to the first tree
+its paths in the prefix tries of the forest. Nodes that share a prefix of the present depth in a tree are candidates. Prefixes
+are shortened until a pair at the threshold itself is found with a chance of TARGET, and then on until the recall estimated
+from what is found reaches it too: a pair of similarity s that is found stands for 1 / (1 - (1 - s^depth)^TREES). A pair belongs to the first tree
 in which it shares the prefix, so it is looked at once. Its shingle sets are then compared exactly (as 64-bit hashes).
 
 No pairs are written anywhere. A trie node with many members is cut into blocks, and every two blocks meet in one bounded
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import staged, text_key, words_of
+from cuemill.llm.common import small_batches, staged, text_key, words_of
 
-SHINGLE, THRESHOLD, TARGET = 5, 0.8, 0.98
+SHINGLE, THRESHOLD, TARGET = 5, 0.8, 0.995
 TREES, DEPTH = 16, 8
-DEPTHS = (8, 6, 5, 4)
+DEPTHS = (8, 7, 6, 5, 4, 3)
 #: Members of a block. Groups hold two blocks at most.
 BLOCK = 400
 #: Pairs whose labels agree less than this are not compared: over four standard deviations below the threshold.
@@ -100,7 +100,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(labels, pa.binary())], names=["doc_id", "key", "text_hash", "node", "size", "path"])
 
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("key"), F.unhex(F.md5(text)).alias("text_hash"), hashed_words(F.col("text")).alias("words"))
+    rows = small_batches(docs).select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("key"), F.unhex(F.md5(text)).alias("text_hash"), hashed_words(F.col("text")).alias("words"))
     return staged(rows.mapInArrow(sketch, "doc_id bigint, key string, text_hash binary, node binary, size bigint, path binary"), "sketches")
 
 
@@ -201,13 +201,18 @@ def recall(members: DataFrame, depth: int) -> float:
     """Estimated share of similar pairs that this depth has found, from their agreements."""
     rows = members.where("found is not null").select(F.posexplode("found").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS rows at most
     seen = [((r["bin"] + 0.5) / BINS, r["n"]) for r in rows if (r["bin"] + 0.5) / BINS >= THRESHOLD]
-    stand_for = sum(n / (1 - (1 - s**depth) ** TREES) for s, n in seen)
-    return sum(n for _, n in seen) / stand_for if stand_for else 1 - (1 - THRESHOLD**depth) ** TREES
+    stand_for = sum(n / chance(s, depth) for s, n in seen)
+    return sum(n for _, n in seen) / stand_for if stand_for else 1.0
+
+
+def chance(similarity: float, depth: int) -> float:
+    """That a pair shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, links, root: verified links of each node by group, and the group's spanning forest as edges to roots."""
-    for depth in DEPTHS:
+    for depth in (d for d in DEPTHS if chance(THRESHOLD, d) >= TARGET):
         members = close_members(nodes, depth)
         if recall(members, depth) >= TARGET:
             break
