@@ -25,8 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from cuemill.llm.common import small_batches
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MEMO = 800_000
+MEMO = 150_000
 _RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -214,7 +216,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
                 back.append(sha(code.decoded(packed)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(digests, _RESULT)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(digests, _RESULT)
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -224,9 +226,11 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_toke
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(shipped.value, pattern)
         for batch in batches:
-            packed = [code.packed(t.as_py() or "") for t in batch.column(1)]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype("int32")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([code.decoded(p).decode() for p in packed], pa.string())], names=["doc_id", "ids", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(coded, "doc_id bigint, ids array<int>, text string")
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                packed = [code.packed(t.as_py() or "") for t in part.column(1)]
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype("int32")))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([code.decoded(p).decode() for p in packed], pa.string())], names=["doc_id", "ids", "text"])
+
+    return small_batches(docs).select("doc_id", "text").mapInArrow(coded, "doc_id bigint, ids array<int>, text string")

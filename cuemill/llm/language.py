@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuemill.llm.common import small_batches
+
 FOLDS, HELD_OUT, UNKNOWN = 4, 2, "und"
 STRETCH, STATES = 64, 8
 LANGUAGES, PER_LANGUAGE, SPANS = 64, 1200, 3
@@ -176,5 +178,5 @@ def predicted(docs: DataFrame) -> DataFrame:
                     names[at], scores[at] = [network.languages[k] for k in best], np.clip(chances[np.arange(len(at)), best], 0, 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names.tolist(), pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    rows = small_batches(docs).select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     return rows.mapInArrow(label, "doc_id bigint, held_out boolean, lang_pred string, score double")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuemill.llm.common import small_batches
+
 NONE = "none"
 #: Short notices by which licences are granted.
 TEMPLATES = {
@@ -90,9 +92,9 @@ def negatives(docs: DataFrame, size: int = SAMPLE) -> list[str]:
 
 
 def hints() -> re.Pattern:
-    """Finds paragraphs that can be notices: those with a cue or a long word of a template. Seven words in a row of any
+    """Finds paragraphs that can be notices: those with a cue or a long word of a template. Eight words in a row of any
     template hold one, so the others are "none" without asking the model."""
-    long = {w for ts in TEMPLATES.values() for t in ts for w in words_in(t) if len(w) >= 8}
+    long = {w for ts in TEMPLATES.values() for t in ts for w in words_in(t) if len(w) >= 6}
     return re.compile(r"\b(?:" + "|".join(map(re.escape, sorted({*CUES, *long}, key=lambda w: (-len(w), w)))) + r")\b")
 
 
@@ -176,7 +178,7 @@ class Classifier:
                 before = 0
                 for i, x in enumerate(t, 1):
                     before, row[i] = row[i], before + 1 if w == x else max(row[i], row[i - 1])
-            best = max(best, row[-1] / len(t), row[-1] / len(words) if len(words) >= 7 else 0.0)
+            best = max(best, row[-1] / len(t), row[-1] / len(words) if len(words) >= 8 else 0.0)
         return best
 
 
@@ -193,7 +195,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 out += [(doc_id.as_py(), *found) for found in _notices(model, text.as_py() or "", hint)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, [pa.int64()] * 4 + [pa.string(), pa.float64(), pa.float64()], strict=True)], names=["doc_id", "paragraph", "start", "end", "family", "probability", "cover"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, _RESULT)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(scan, _RESULT)
 
 
 def _notices(model: Classifier, text: str, hint: re.Pattern) -> list[tuple]:
