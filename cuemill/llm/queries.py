@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuemill.llm import bpe, decontaminate, jaccard, language, language_model, license_scan, pii, quality, secrets, token_files
+from cuemill.llm import bpe, decontaminate, jaccard, language, language_model, license_scan, oracles, pii, quality, secrets, token_files
 from cuemill.llm.common import table
 
 
@@ -55,15 +55,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_pii, op4_byte_bpe, op5_ngram_jaccard_join, op6_language_id, op7_token_files, op8_license_scan, op9_stupid_backoff, op10_quality_rules)}
 
 
-#: Pairs and words counted over all documents; logarithms in rounded millionths, ln(0.4) among them.
-OP9 = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
-p AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM w),
-c1 AS (SELECT w, count(*) AS n FROM w GROUP BY w), c2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w), total AS (SELECT count(*) AS n FROM w),
-s AS (SELECT r, sum(CASE WHEN c2.n >= 2 THEN round(1e6::DOUBLE * (ln(c2.n) - ln(cv.n))) ELSE CASE WHEN p.v IS NULL THEN 0 ELSE -916291 END + round(1e6::DOUBLE * (ln(c1.n) - ln(total.n))) END) AS s
-      FROM p CROSS JOIN total JOIN c1 ON c1.w = p.w LEFT JOIN c1 cv ON cv.w = p.v LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w GROUP BY r)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, s / 1e6::DOUBLE AS log_score, s / 1e6::DOUBLE / len(ws) AS mean_log_score FROM t LEFT JOIN s USING (r)"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op9_stupid_backoff": OP9}
+    return {"op5_ngram_jaccard_join": oracles.JACCARD, "op9_stupid_backoff": oracles.BACKOFF, "op10_quality_rules": oracles.QUALITY}
