@@ -58,15 +58,20 @@ def wrap_lines(text: Column, width: int = LINE) -> Column:
         begun = F.size(a["lines"]) > 0
         on = F.struct(F.concat(a["line"], c).alias("line"), a["lines"].alias("lines"))
         shut = lambda line: F.struct(line.alias("line"), F.when(F.rtrim(a["line"]) != "", F.concat(a["lines"], F.array(F.rtrim(a["line"])))).otherwise(a["lines"]).alias("lines"))
-        return F.when(fresh & begun & blank, a).when(fits | fresh, on).when(blank, shut(F.lit(""))).otherwise(shut(c))
+        # A third line is enough to know.
+        return F.when((F.size(a["lines"]) > 2) | fresh & begun & blank, a).when(fits | fresh, on).when(blank, shut(F.lit(""))).otherwise(shut(c))
 
     lines = F.aggregate(chunks, start, add, lambda a: F.when(F.rtrim(a["line"]) != "", F.concat(a["lines"], F.array(F.rtrim(a["line"])))).otherwise(a["lines"]))
-    gaps = lambda t: F.regexp_extract_all(t, F.lit(r"\s+|\S+"), F.lit(0))
+    space, other = WHITE[:-1], "[^" + WHITE[1:-1]
 
     def halved(t: Column) -> Column:
-        parts = gaps(t)
-        places = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(None).cast("struct<far:int,at:int>").alias("best")), lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.when(F.trim(p).rlike(r"^\s*$"), F.least(F.coalesce(a["best"], F.struct(F.abs(a["at"] - F.floor(F.length(t) / 2).cast("int")).alias("far"), a["at"].alias("at"))), F.struct(F.abs(a["at"] - F.floor(F.length(t) / 2).cast("int")).alias("far"), a["at"].alias("at")))).otherwise(a["best"]).alias("best")), lambda a: a["best"]["at"])
-        return bind(places, lambda at: F.when(at.isNull(), t).otherwise(F.concat(strip(F.substring(t, F.lit(1), at)), F.lit("\n"), strip(F.substring(t, at + 1, F.length(t))))))
+        middle = F.floor(F.length(t) / 2).cast("int")
+        # Runs of white space start where another letter ends: the last up to the middle, and the first after it.
+        before, after = F.substring(t, F.lit(1), middle + 1), F.substring(t, middle + 1, F.length(t))
+        left = F.when(before.rlike(space), F.length(F.regexp_extract(before, f"(?s)^(.*{other}|){space}+{other}*$", 1)))
+        right = F.nullif(F.length(F.regexp_extract(after, f"^({space}*{other}+){space}", 1)), F.lit(0)) + middle
+        nearest = F.when(left.isNull() | (right - middle < middle - left), right).otherwise(left)
+        return bind(nearest, lambda at: F.when(at.isNull(), t).otherwise(F.concat(strip(F.substring(t, F.lit(1), at)), F.lit("\n"), strip(F.substring(t, at + 1, F.length(t))))))
 
     return F.when(F.length(text) <= width, text).otherwise(bind(lines, lambda ls: F.when(F.size(ls) <= 2, F.array_join(ls, "\n")).otherwise(halved(text))))
 

@@ -19,7 +19,8 @@ def json_text(text: Column) -> Column:
     # Marks that JSON names, control characters and non-ASCII units are written out; the rest are themselves.
     named = F.create_map(*[F.lit(x) for x in ("0022", '\\"', "005C", "\\\\", "000A", "\\n", "000D", "\\r", "0009", "\\t", "0008", "\\b", "000C", "\\f")])
     each = F.transform(units, lambda u: F.coalesce(named[u], F.when((u >= "0020") & (u <= "007E"), F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))))
-    return F.when(text.isNull(), "null").otherwise(F.concat(F.lit('"'), F.array_join(each, ""), F.lit('"')))
+    plain = text.rlike(r"\A[ !#-\[\]-~]*\z")
+    return F.when(text.isNull(), "null").when(plain, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit('"'), F.array_join(each, ""), F.lit('"')))
 
 
 def json_object(fields: dict[str, Column]) -> Column:
