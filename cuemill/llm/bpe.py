@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from cuemill.llm.common import small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MEMO = 150_000
+#: Entries of a worker's memos: where encoding is all that a job does, and where it is a step of several.
+MEMO, SMALL_MEMO = 600_000, 150_000
 _RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -39,14 +40,14 @@ class _Spaced(Exception):
 class Stretches(dict):
     """Packed ids of ' ' + stretch; the pattern never joins a stretch to what is before its space."""
 
-    def __init__(self, pieces: Pieces):
+    def __init__(self, pieces: Pieces, memo: int):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.memo = pieces, memo
 
     def __missing__(self, stretch: str) -> bytes:
         if not stretch or stretch[0].isspace() or stretch[-1].isspace():
             raise _Spaced
-        if len(self) >= MEMO:
+        if len(self) >= self.memo:
             self.clear()
         packed = self.pieces.packed(" " + stretch)
         if len(stretch) <= 64:
@@ -57,12 +58,12 @@ class Stretches(dict):
 class Pieces(dict):
     """Packed ids of one match of the pattern."""
 
-    def __init__(self, merges: Merges, pattern: str):
+    def __init__(self, merges: Merges, pattern: str, memo: int):
         super().__init__()
-        self.merges, self.find = merges, regex.compile(pattern).findall
+        self.merges, self.find, self.memo = merges, regex.compile(pattern).findall, memo
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= self.memo:
             self.clear()
         packed = array("I", self.merges.ids(piece.encode())).tobytes()
         if len(piece) <= 64:
@@ -76,8 +77,8 @@ class Pieces(dict):
 class Merges:
     """Encoding of one piece under ranks, a dict of bytes to ids; ids are in the order of the merges."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], memo: int = SMALL_MEMO):
+        self.ranks, self.most = ranks, memo
         self.tokens = {i: b for b, i in ranks.items()}
         self.memo: dict[tuple[int, int], bool] = {}
         self.shorter_of: dict[int, int] = {}
@@ -121,7 +122,7 @@ class Merges:
     def together(self, a: int, b: int) -> bool:
         known = self.memo.get((a, b))
         if known is None:
-            if len(self.memo) >= MEMO:
+            if len(self.memo) >= self.most:
                 self.memo.clear()
             known = self.memo[a, b] = self._apart(a, b)
         return known
@@ -166,10 +167,10 @@ class Merges:
 
 
 class Coder:
-    def __init__(self, vocabulary: bytes, pattern: str):
-        self.merges = Merges({base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())})
-        self.pieces = Pieces(self.merges, pattern)
-        self.stretches = Stretches(self.pieces)
+    def __init__(self, vocabulary: bytes, pattern: str, memo: int = SMALL_MEMO):
+        self.merges = Merges({base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}, memo)
+        self.pieces = Pieces(self.merges, pattern, memo)
+        self.stretches = Stretches(self.pieces, memo)
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -185,14 +186,15 @@ class Coder:
         return b"".join(map(self.merges.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_coders: dict[tuple[bytes, str], Coder] = {}
+_coders: dict[tuple[bytes, str, int], Coder] = {}
 
 
-def coder(vocabulary: bytes, pattern: str) -> Coder:
-    """One coder a worker and vocabulary."""
-    key = (hashlib.sha256(vocabulary).digest(), pattern)
+def coder(vocabulary: bytes, pattern: str, memo: int = SMALL_MEMO) -> Coder:
+    """One coder a worker."""
+    key = (hashlib.sha256(vocabulary).digest(), pattern, memo)
     if key not in _coders:
-        _coders[key] = Coder(vocabulary, pattern)
+        _coders.clear()
+        _coders[key] = Coder(vocabulary, pattern, memo)
     return _coders[key]
 
 
@@ -200,12 +202,12 @@ def vocabulary_of(path: str | None = None) -> bytes:
     return Path(path or public_tokenizers.path(VOCABULARY)).read_bytes()
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, memo: int = MEMO) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: a row for each row of docs (doc_id, text)."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary_of(path))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(shipped.value, pattern)
+        code = coder(shipped.value, pattern, memo)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             n, ids, back = [], [], []
@@ -219,12 +221,12 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
     return small_batches(docs).select("doc_id", "text").mapInArrow(digests, _RESULT)
 
 
-def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, memo: int = SMALL_MEMO) -> DataFrame:
     """doc_id, ids (array of int), text: ids and the text that they decode to, as a user of the tokens wants them."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary_of(path))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(shipped.value, pattern)
+        code = coder(shipped.value, pattern, memo)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)

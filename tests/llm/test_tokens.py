@@ -69,9 +69,8 @@ def test_small_vocabulary_equals_merging(seed):
         assert code.ids(piece) == ([ranks[piece]] if piece in ranks else merged(piece, ranks)), piece
 
 
-def test_full_memo_is_emptied(monkeypatch, library):
-    monkeypatch.setattr(bpe, "MEMO", 50)
-    code = bpe.Coder(bpe.vocabulary_of(), public_tokenizers.PATTERN)
+def test_full_memo_is_emptied(library):
+    code = bpe.Coder(bpe.vocabulary_of(), public_tokenizers.PATTERN, 50)
     for text in odd_texts(500, 9):
         assert np.frombuffer(code.packed(text), "<u4").tolist() == library.encode_ordinary(text)
 
@@ -117,3 +116,15 @@ def test_files_on_disk(docs, words, tmp_path):
     assert first["base"] == 0 and np.fromfile(f"{first['name']}.offsets", "<u8")[-1] == first["n_tokens"]
     with token_files.mapped(f"{first['name']}.ids", first["kind"]) as ids:
         assert isinstance(ids, np.memmap) and len(ids) == first["n_tokens"] and ids[-1] == 1
+
+
+def test_staged_tables_go(spark, docs):
+    from pathlib import Path
+
+    from cuemill.llm.common import drop_staged, stage_dir, staged
+
+    assert staged(docs, "x").count() == docs.count()
+    folder = Path(stage_dir(spark).removeprefix("file:"))
+    assert list(folder.glob("x-*"))
+    drop_staged(spark)
+    assert not folder.exists()
