@@ -27,9 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def stage_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cuemill-{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes what this application has staged; results that still read it are to be written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table to the shared folder and read again: lineage ends there and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df, written as a table to the shared folder and read again: lineage ends there and a lost executor loses nothing.
+
+    An application's tables lie in one folder, which may go when it has ended, or earlier by drop_staged().
+    """
+    path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

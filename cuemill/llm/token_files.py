@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import shared_dir, small_batches, staged
+from cuemill.llm.common import small_batches, stage_dir, staged
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -140,7 +140,7 @@ def mapped(path: str, kind: str) -> Iterator[np.ndarray]:
 def written(docs: DataFrame, folder: str | None = None, path: str | None = None) -> DataFrame:
     """Writes the files; returns the manifest: part, name, kind, n_docs, n_tokens, base."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or f"{stage_dir(spark)}/tokens-{uuid.uuid4().hex}"
     shipped = spark.sparkContext.broadcast(Path(path or public_tokenizers.path(VOCABULARY)).read_text())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
