@@ -66,10 +66,10 @@ RESULTS = """results AS (SELECT l_orderkey AS job_id, row_number() OVER (PARTITI
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"))
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "job_id")
+    pos = F.row_number().over(Window.partitionBy("job_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"))
     state = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "cancelled").otherwise("completed")
-    return li.select(F.col("l_orderkey").alias("job_id"), pos.alias("pos"), state.alias("state"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("line "), F.col("l_linenumber"))).alias("error"), "l_partkey", "l_quantity")
+    return li.select("job_id", pos.alias("pos"), state.alias("state"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("line "), F.col("l_linenumber"))).alias("error"), "l_partkey", "l_quantity")
 
 
 #: Events of jobs: stages by number, of a few files a user.
