@@ -87,6 +87,9 @@ def negatives(docs: DataFrame, size: int = SAMPLE) -> list[str]:
     """Paragraphs of the corpus, at most size, the same for the same rows: one by hash from each of the chosen documents."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"\w"))
     rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), lines.alias("lines")).where(F.size("lines") > 0)
+    # The hash also thins the rows to about twice as many as are wanted, so that few travel however many documents there are.
+    steps = 1 << 30
+    rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(steps)) < min(steps, 2 * size * steps // max(docs.count(), 1) + 1))
     some = rows.select("h", F.substring(F.get("lines", F.pmod("h", F.size("lines")).cast("int")), 1, 4 * LONGEST).alias("line"))
     return [r["line"] for r in some.orderBy("h", "line").limit(size).collect()]
 
