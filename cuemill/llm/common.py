@@ -37,11 +37,13 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
     """df, written as a table to the shared folder and read again: lineage ends there and a lost executor loses nothing.
 
-    An application's tables lie in one folder, which may go when it has ended, or earlier by drop_staged().
+    An application's tables lie in one folder, which may go when it has ended, or earlier by drop_staged(). gather: rows are
+    few or small beside what they are made from, so they are first moved to fewer tasks and don't leave many small files.
     """
+    df = df.hint("rebalance") if gather else df
     path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

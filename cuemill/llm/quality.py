@@ -124,14 +124,14 @@ def verdict(m: Column, lang: Column, chosen: list) -> Column:
 
 def judged(docs: DataFrame, labels: DataFrame, **levels: float) -> DataFrame:
     """doc_id, the measures, base_failed and kept: a row for each row of docs (doc_id, text, lang)."""
-    measured = staged(docs.select("doc_id", "lang", measures(F.col("text")).alias("m")), "quality")
+    measured = staged(docs.select("doc_id", "lang", measures(F.col("text")).alias("m")), "quality", gather=True)
     chosen = cutoffs(measured, labels, **levels).collect()
     return measured.select("doc_id", *[F.col("m")[c].alias(c) for c in MEASURES], base_failed(F.col("m")).alias("base_failed"), verdict(F.col("m"), F.col("lang"), chosen).alias("kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, **levels: float) -> DataFrame:
     """The rows of docs that stay, with all their columns. The measures are computed again rather than texts shuffled."""
-    measured = staged(docs.select("doc_id", "lang", measures(F.col("text")).alias("m")), "quality")
+    measured = staged(docs.select("doc_id", "lang", measures(F.col("text")).alias("m")), "quality", gather=True)
     chosen = cutoffs(measured, labels, **levels).collect()
     mark = "__quality_of_row"
     return docs.withColumn(mark, measures(docs["text"])).where(verdict(F.col(mark), F.col("lang"), chosen)).drop(mark)
