@@ -101,7 +101,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     text = F.coalesce("text", F.lit(""))
     rows = small_batches(docs).select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("key"), F.unhex(F.md5(text)).alias("text_hash"), hashed_words(F.col("text")).alias("words"))
-    return staged(rows.mapInArrow(sketch, "doc_id bigint, key string, text_hash binary, node binary, size bigint, path binary"), "sketches")
+    return staged(rows.mapInArrow(sketch, "doc_id bigint, key string, text_hash binary, node binary, size bigint, path binary"), "sketches", gather=True)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], width: int = 4) -> Iterator[tuple[tuple, dict[str, list]]]:

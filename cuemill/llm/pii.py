@@ -154,7 +154,7 @@ def _lookup(table: list, key: Column, default: float) -> Column:
 
 def found_in(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: a row for each row of docs (doc_id, text)."""
-    found = staged(docs.select("doc_id", candidates(F.col("text")).alias("found")), "pii")
+    found = staged(docs.select("doc_id", candidates(F.col("text")).alias("found")), "pii", gather=True)
     posteriors = staged(reliabilities(vote_counts(found)), "pii-votes")
     weights = {(r["feature"], r["value"]): r["weight"] for r in classifier(posteriors).collect()}
     by_votes = [(r["k"], r["p"]) for r in posteriors.groupBy(F.concat_ws(":", "kind", *LABELERS).alias("k")).agg(F.max("p").alias("p")).collect()]

@@ -92,7 +92,7 @@ def _found(docs: DataFrame, *keep: str) -> DataFrame:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: a row for each row of docs (doc_id, text)."""
-    bare = _bare(staged(_found(docs, "doc_id"), "secrets"))
+    bare = _bare(staged(_found(docs, "doc_id"), "secrets", gather=True))
     strong = F.concat("assign", "access", "hex")
     joined = bare.join(_linked_spans(bare), "key", "left")
     return joined.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(written(strong), 256).alias("base_sha256"), written(F.concat(strong, F.coalesce("extra", F.array().cast(_SPANS)))).alias("spans"))
@@ -104,7 +104,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     Overlapping spans become one mask. The few texts with linked weak parts are found first; base findings are found again
     in the row, so that texts aren't shuffled.
     """
-    spotted = staged(_found(docs.select("doc_id", "text")).where(sum((F.size(k) for k in KINDS), F.lit(0)) > 0), "secrets")
+    spotted = staged(_found(docs.select("doc_id", "text")).where(sum((F.size(k) for k in KINDS), F.lit(0)) > 0), "secrets", gather=True)
     extra = staged(_linked_spans(_bare(spotted)), "secret-links")
     if extra.count() <= BROADCAST_ROWS:
         extra = F.broadcast(extra)

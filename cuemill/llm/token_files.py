@@ -165,7 +165,7 @@ def written(docs: DataFrame, folder: str | None = None, path: str | None = None)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([code.kind]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], names=["part", "name", "kind", "n_docs", "n_tokens"])
 
     ordered = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = staged(ordered.mapInArrow(write, "part int, name string, kind string, n_docs bigint, n_tokens bigint"), "manifest")
+    manifest = staged(ordered.mapInArrow(write, "part int, name string, kind string, n_docs bigint, n_tokens bigint"), "manifest", gather=True)
     # One row a task that wrote, so the one partition of the window stays small.
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
