@@ -31,7 +31,8 @@ SAMPLED, SPAN, MOST_REPEATS, CALIBRATED = 7, 128, 128, 200
 SHIFTS = (-2, -1, 0, 1, 2)
 BLOCK_CHARS = 4_000_000
 ANCHOR = 3
-WINDOWS = 20_000
+#: Windows, and words of the texts that they stand in, which are kept before they are judged.
+WINDOWS, HELD = 20_000, 1_000_000
 _RESULT = "doc_id bigint, item_id bigint, start bigint, end bigint, distance bigint, similarity double"
 
 
@@ -200,47 +201,52 @@ class Index:
     def matches(self, groups: Iterable[list[list[str]]]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, first word, word after the last): the closest stretch for each text and item.
 
-        Texts come in groups, so that few are in memory; of each group only the surroundings of windows are kept.
+        Texts come in groups, so that few are in memory; of each group only texts with windows are kept, for a while.
         """
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        waiting: dict[tuple[int, int, int], tuple[set[int], int, list[str]]] = {}
-        before = 0
+        waiting: dict[tuple[int, int, int], set[int]] = {}
+        held: dict[int, list[str]] = {}
+        before = words = 0
         for texts in groups:
             for text, item, start in self.windows(texts):
                 size = len(self.words[item])
                 for shift in SHIFTS:  # words that edits have joined or cut move the start
-                    if (spot := (before + text, max(start + shift, 0), size)) not in waiting:
-                        slack = max(3, size // 4)
-                        a = max(spot[1] - slack, 0)
-                        waiting[spot] = set(), a, texts[text][a : spot[1] + size + slack]
-                    waiting[spot][0].add(self.family_of[item])
-                if len(waiting) >= WINDOWS:
-                    self._settle(waiting, best)
+                    waiting.setdefault((before + text, max(start + shift, 0), size), set()).add(self.family_of[item])
+                if before + text not in held:
+                    held[before + text] = texts[text]
+                    words += len(texts[text])
+                if len(waiting) >= WINDOWS or words >= HELD:
+                    self._settle(waiting, held, best)
+                    words = 0
             before += len(texts)
-        self._settle(waiting, best)
+        self._settle(waiting, held, best)
         return [(t, i, *found) for (t, i), found in sorted(best.items())]
 
-    def _settle(self, waiting: dict, best: dict) -> None:
+    def _settle(self, waiting: dict, held: dict, best: dict) -> None:
         by_family = defaultdict(list)
-        for spot, (families, _, _) in waiting.items():
+        for spot, families in waiting.items():
             for f in families:
                 by_family[f].append(spot)
         searched: dict[tuple[int, int], int] = {}
         for f, spots in by_family.items():
             spots.sort()
-            around = [waiting[spot] for spot in spots]
-            found = self.families[f].candidates([" ".join(words[start - a : start - a + size]) for (_, start, size), (_, a, words) in zip(spots, around, strict=True)])
-            for (text, start, size), (_, a, words), items in zip(spots, around, found, strict=True):
+            found = self.families[f].candidates([" ".join(held[text][start : start + size]) for text, start, size in spots])
+            for (text, start, _), items in zip(spots, found, strict=True):
                 for item in items:
-                    # What was searched for the window before reaches as far as its slack.
-                    if start - searched.get((text, item), -size) <= size // 8 or best.get((text, item), (1,))[0] == 0:
+                    # The key may be of a shorter item's window, so the region is the item's own size. What was searched for
+                    # the window before reaches as far as its slack.
+                    size = len(self.words[item])
+                    if start - searched.get((text, item), -size - 1) <= size // 8 or best.get((text, item), (1,))[0] == 0:
                         continue
                     searched[text, item] = start
-                    region = " ".join(words)
+                    slack = max(3, size // 4)
+                    a = max(start - slack, 0)
+                    region = " ".join(held[text][a : start + size + slack])
                     distance, begin, end = closest(self.texts[item], region)
                     if distance <= LIMIT * len(self.texts[item]) and (distance, a) < best.get((text, item), (distance + 1, 0)):
                         best[text, item] = distance, a + region.count(" ", 0, begin + 1), a + region.count(" ", 0, end) + 1
         waiting.clear()
+        held.clear()
 
 
 def blocks(items: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:

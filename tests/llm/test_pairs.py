@@ -145,6 +145,19 @@ def test_edited_leaks_are_found(spark, docs):
     assert hits >= 0.9 * len(items)
 
 
+def test_items_with_one_opening(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    opening = [word() for _ in range(12)]
+    short, long = (opening + [word() for _ in range(n - 12)] for n in (20, 40))
+    assert len(" ".join(opening)) >= 64
+    index = decontaminate.Index([(1, " ".join(short)), (2, " ".join(long))])
+    around = [word() for _ in range(30)]
+    found = index.matches([[around + long + around, around + short + around, around + short + around + long]])
+    assert [(t, index.ids[i], d) for t, i, d, *_ in found if d == 0] == [(0, [2], 0), (1, [1], 0), (2, [1], 0), (2, [2], 0)]
+    assert [(first, last) for *_, d, first, last in found if d == 0] == [(30, 70), (30, 50), (30, 50), (80, 120)]
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "one two three four"), (2, "one  two three\nfour"), (3, None), (None, "words of a row without"), (4, " "), (5, "naïve")], "item_id bigint, text string")
     got = sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.leaks(odd, items).collect()), key=str)
