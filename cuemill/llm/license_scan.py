@@ -7,6 +7,9 @@ a temperature fitted on held-out examples, and an unknown class that takes over
 held-out true examples. A family is reported if enough of a template of that family is found in the paragraph in order
 (COVER of the template's words, by longest common subsequence, or the paragraph's words if it is an excerpt).
 
+A notice can stand anywhere in a paragraph of any length: where the paragraph as a whole isn't one, the stretches that align
+with a template, near words that hint at one, are judged without the text around them. A paragraph has a row for each family.
+
 Null texts and texts without words have no paragraphs. Only paragraphs that are not "none" are returned: family is null for
 the unknown class, which holds at least two cue words but no confirmed family. Repeated rows are each scanned. Trained on
 an empty table it still knows the templates.
@@ -17,6 +20,8 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +74,8 @@ FEATURES = 1 << 14
 SAMPLE, ROUNDS, RATE, DECAY = 5_000, 150, 2.0, 1e-5
 MISSED, COVER = 0.02, 0.8
 LONGEST = 400
+#: Words that are judged at once, the step between such stretches, and what a word between a template's words costs.
+STRETCH, STRIDE, GAP = 40, 10, 0.2
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 _RESULT = "doc_id bigint, paragraph bigint, start bigint, end bigint, family string, probability double, cover double"
 
@@ -201,25 +208,89 @@ def scanned(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select("doc_id", "text").mapInArrow(scan, _RESULT)
 
 
+def _aligned(template: list[str], words: list[str]) -> list[tuple[int, int]]:
+    """Stretches of words that align with the template or a part of it, none over another; the cover is yet to be judged."""
+    known, least = set(template), 0.75 * min(COVER * len(template), COVER * 8)
+    if sum(w in known for w in words) < least:
+        return []
+    n = len(template)
+    score, start = [0.0] * (n + 1), [0] * (n + 1)
+    ends = []
+    for j, w in enumerate(words):
+        if w not in known:
+            score = [x - GAP if x > GAP else 0.0 for x in score]
+            continue
+        before, since, best = 0.0, j, (0.0, 0)
+        for i, x in enumerate(template, 1):
+            own, begun = (score[i] - GAP, start[i]) if score[i] > GAP else (0.0, j + 1)
+            if w == x:
+                new = (before + 1, since if before > 0 else j)
+                best = max(best, new)
+                own, begun = max((own, begun), new)
+            if i > 1 and score[i - 1] > own:
+                own, begun = score[i - 1], start[i - 1]
+            before, since = score[i], start[i]
+            score[i], start[i] = own, begun
+        if best[0] >= least:
+            ends.append((best[0], best[1], j + 1))
+    found: list[tuple[int, int]] = []
+    for _, a, b in sorted(ends, key=lambda x: (-x[0], x[1] - x[2])):
+        if all(b <= c or d <= a for c, d in found):
+            found.append((a, b))
+    return found
+
+
+def _near(places: list[int], n: int) -> list[tuple[int, int]]:
+    """The words at most STRETCH from one of places (ascending), as stretches of the n words."""
+    out: list[tuple[int, int]] = []
+    for p in places:
+        a, b = max(p - STRETCH, 0), min(p + STRETCH + 1, n)
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+    return out
+
+
 def _notices(model: Classifier, text: str, hint: re.Pattern) -> list[tuple]:
-    """(paragraph, start, end, family, probability, cover) of one text. Paragraphs with more than
-    LONGEST words are judged by overlapping stretches, of which the best counts."""
-    found, stretches, at = [], [], 0
+    """(paragraph, start, end, family, probability, cover) of one text: a row for each family that a paragraph holds, or one
+    without family if it is of the unknown class."""
+    wholes, parts, at = [], [], 0
     for number, line in enumerate(text.split("\n")):
-        if hint.search(line.lower()):
-            words = words_in(line)
-            for i in range(0, max(len(words) - LONGEST // 2, 1), LONGEST // 2):
-                stretches.append((number, at, at + len(line), words[i : i + LONGEST]))
+        low = line.lower()
+        if marks := [m.start() for m in hint.finditer(low)]:
+            spans = list(_WORD.finditer(low))
+            words, starts = [m.group() for m in spans], [m.start() for m in spans]
+            places = sorted({max(bisect_right(starts, m) - 1, 0) for m in marks})
+            for i in range(0, max(len(words) - STRETCH, 0) + STRIDE, STRIDE):
+                if bisect_left(places, i) < bisect_left(places, i + STRETCH):
+                    wholes.append((number, at, at + len(line), words[i : i + STRETCH]))
+                if i + STRETCH >= len(words):
+                    break
+            parts.append((number, at, at + len(line), words, places))
         at += len(line) + 1
-    if not stretches:
+    if not wholes:
         return []
-    best: dict[int, tuple] = {}
-    for (number, start, end, words), p in zip(stretches, model.probabilities([s[3] for s in stretches]), strict=True):
-        k = int(p.argmax())
-        family = model.families[k]
-        if family != NONE:
-            cover = model.cover(family, words)
-            sure = p[k] >= model.least and cover >= COVER
-            if sure or len(set(words) & set(CUES)) > 1:
-                best[number] = max(best.get(number, (False,)), (sure, float(p[k]), start, end, family if sure else "", cover))
-    return [(n, s, e, f or None, p, c) for n, (_, p, s, e, f, c) in sorted(best.items())]
+    sure: dict[int, dict[str, tuple]] = defaultdict(dict)
+    unknown: dict[int, tuple] = {}
+
+    def judge(stretches: list[tuple]) -> None:
+        for (number, start, end, words), p in zip(stretches, model.probabilities([s[3] for s in stretches]), strict=True):
+            k = int(p.argmax())
+            family = model.families[k]
+            if family != NONE:
+                cover = model.cover(family, words)
+                if p[k] >= model.least and cover >= COVER:
+                    sure[number][family] = max(sure[number].get(family, (0.0,)), (float(p[k]), start, end, family, cover))
+                elif len(set(words) & set(CUES)) > 1:
+                    unknown[number] = max(unknown.get(number, (0.0,)), (float(p[k]), start, end, "", cover))
+
+    judge(wholes)
+    cut = []
+    for number, start, end, words, places in parts:
+        spans = {(a + c, a + d) for a, b in _near(places, len(words)) for ts in model.templates.values() for t in ts for c, d in _aligned(t, words[a:b])}
+        cut += [(number, start, end, words[c:d]) for c, d in sorted(spans)]
+    if cut:
+        judge(cut)
+    rows = [(n, *x) for n, found in sure.items() for x in found.values()] + [(n, *x) for n, x in unknown.items() if n not in sure]
+    return [(n, s, e, f or None, p, c) for n, p, s, e, f, c in sorted(rows, key=lambda x: (x[0], x[4]))]

@@ -234,6 +234,23 @@ def test_licences_held_out(licences, docs):
         assert not [f for f in license_scan._notices(licences, text, hint) if f[3]]
 
 
+def test_licences_in_long_lines(licences, docs):
+    rng, hint = random.Random(9), license_scan.hints()
+    plain = [w for r in docs.collect() for w in license_scan.words_in(r["text"])]
+    right = total = 0
+    for family, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            for n in (20, 100, 1000):
+                words = rng.choices(plain, k=n)
+                found = license_scan._notices(licences, " ".join([*words[: n // 2], t, *words[n // 2 :]]), hint)
+                total += 1
+                right += [(f[0], f[3]) for f in found] == [(0, family)]
+    assert right >= 0.95 * total
+    two = " ".join([*plain[:100], "Released under the MIT License.", *plain[100:120], "Licensed under CC BY-SA 4.0.", *plain[120:300]])
+    assert {f[3] for f in license_scan._notices(licences, two, hint)} == {"MIT", "CC-BY-SA"}
+    assert not license_scan._notices(licences, " ".join([*plain[:100], "the rights of the car", *plain[100:300]]), hint)
+
+
 def test_every_excerpt_is_asked_about():
     hint = license_scan.hints()
     for templates in license_scan.TEMPLATES.values():
