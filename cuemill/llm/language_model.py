@@ -10,7 +10,8 @@ document's number. The table of word counts is cut into the same buckets. In its
 word's; what backs off goes on to the bucket of the second word. Buckets return sums by document, not pairs.
 
 Words with more than a quarter of a bucket's share are hot: there are at most 4 per bucket, so their counts are shipped to
-all tasks, and their pairs go to the buckets of the pair instead. So no bucket gets much more than its share, whatever the
+all tasks, and their pairs go to the buckets of the pair instead. Pairs as common as that consist of hot words; they are
+counted first, shipped likewise and scored where they are packed. So no bucket gets much more than its share, whatever the
 distribution. Null texts and texts without words have no words and a null score. Repeated rows count and score each.
 """
 
@@ -81,13 +82,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Model:
-    """What all tasks know: the number of words, the buckets (a power of two) and the hot words with their counts."""
+    """What all tasks know: the number of words, the buckets (a power of two), and the hot words and pairs with their counts."""
 
-    def __init__(self, total: int, bits: int, hot: list[tuple[int, int]]):
+    def __init__(self, total: int, bits: int, hot: list[tuple[int, int]], pairs: list[tuple[int, int]] | None = None):
         self.total, self.bits = total, bits
-        words = np.array([w for w, _ in hot], np.int64).view(np.uint64)
-        order = np.argsort(words)
-        self.hot, self.hot_counts = words[order], np.array([c for _, c in hot], np.int64)[order]
+        self.hot, self.hot_counts = self._table(hot)
+        self.pairs, self.pair_counts = self._table(pairs or [])
+
+    @staticmethod
+    def _table(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array([k for k, _ in rows], np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], np.array([n for _, n in rows], np.int64)[order]
 
     def is_hot(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hot):
@@ -117,6 +123,21 @@ def _singles(model: Model, chunks: list[int], words: np.ndarray, places: np.ndar
         yield bucket, SINGLES, None, pack(_gaps(found), counts, places[part], docs[part]), chunks, None
 
 
+def _hot_pairs(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pair (hash), n: the pairs of two hot words of each batch (doc_id, words), counted."""
+    for batch in batches:
+        hashes = pa.concat_arrays([batch.column(1)])
+        flat, ends = hashes.values.to_numpy(zero_copy_only=False).view(np.uint64), hashes.offsets.to_numpy().astype(np.int64)
+        words = flat[ends[0] : ends[-1]]
+        hot = model.is_hot(words)
+        both = hot[:-1] & hot[1:]
+        inside = ends[1:-1] - ends[0] - 1  # pairs that start here go over the end of a text
+        both[inside[(inside >= 0) & (inside < len(both))]] = False
+        at = np.flatnonzero(both)
+        pairs, n = np.unique(pair_hash(words[at], words[at + 1]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+
 def _packed(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by bucket of the documents (doc_id, words). A chunk's number is its task's and its place, the same if it is
     made again."""
@@ -136,7 +157,6 @@ def _packed(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             # First words: hot ones are settled here.
             at = heads[hot[heads]]
             sums[doc[at]] += model.log(model.hot_counts[np.searchsorted(model.hot, words[at])])
-            rows.append((chunk % (1 << model.bits), SUMS, chunk, pack(-sums.astype(np.int64)), None, None))
             at = heads[~hot[heads]]
             rows += _singles(model, [chunk], words[at], np.zeros(len(at), np.int8), doc[at])
             # Pairs by first word, or by both if that is hot.
@@ -144,6 +164,14 @@ def _packed(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             inner[heads[heads > 0] - 1] = False
             first, second, of = words[:-1][inner], words[1:][inner], doc[1:][inner]
             key = np.where(hot[:-1][inner], pair_hash(first, second), first)
+            if len(model.pairs):  # hot pairs are settled here, too
+                spot = np.minimum(np.searchsorted(model.pairs, key), len(model.pairs) - 1)
+                own = (model.pairs[spot] == key) & hot[:-1][inner]
+                score = np.rint(UNIT * (np.log(model.pair_counts[spot[own]]) - np.log(model.hot_counts[np.searchsorted(model.hot, first[own])])))
+                sums += np.bincount(of[own], score, minlength=len(sums))
+                key, first, second, of = key[~own], first[~own], second[~own], of[~own]
+                del spot, own, score
+            rows.append((chunk % (1 << model.bits), SUMS, chunk, pack(-sums.astype(np.int64)), None, None))
             order = np.argsort(key)
             key, first, second, of = key[order], first[order], second[order], of[order]
             del order, doc, inner
@@ -286,18 +314,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return staged(words.groupBy("word").agg(F.count("*").alias("n")), "words")
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+
+
+def modelled(docs: DataFrame, words: DataFrame, share: int = SHARE) -> Model:
+    """words: word_counts() of docs."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(total, 1) / share)))
+    least = total / (4 << bits)
+    hot = [(r["word"], r["n"]) for r in words.where(F.col("n") > least).collect()]  # 4 << bits rows at most
+    if not bits or not hot:
+        return Model(max(total, 1), bits, hot)
+    shipped = docs.sparkSession.sparkContext.broadcast(Model(total, bits, hot))
+    pairs = _hashed(docs).mapInArrow(lambda batches: _hot_pairs(shipped.value, batches), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return Model(total, bits, hot, [(r["pair"], r["n"]) for r in pairs.where((F.col("n") > least) & (F.col("n") >= KEPT)).collect()])  # as many
+
+
 def scored(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_tokens, log_score (natural, rounded to millionths), mean_log_score: a row for each row of docs."""
     words = word_counts(small_batches(docs))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(total, 1) / share)))
-    hot = words.where(F.col("n") > total / (4 << bits)).collect()  # 4 << bits rows at most
-    model = docs.sparkSession.sparkContext.broadcast(Model(max(total, 1), bits, [(r["word"], r["n"]) for r in hot]))
+    model = docs.sparkSession.sparkContext.broadcast(modelled(docs, words, share))
     step = lambda f: lambda batches: f(model.value, batches)
     counts = words.mapInArrow(step(_counted), _ROW)
     dealt = lambda rows: rows.unionByName(counts).repartition("bucket").sortWithinPartitions("bucket")
-    hashed = docs.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    pairs = staged(dealt(hashed.mapInArrow(step(_packed), _ROW)).mapInArrow(step(_pairs_scored), _ROW), "pairs")
+    pairs = staged(dealt(_hashed(docs).mapInArrow(step(_packed), _ROW)).mapInArrow(step(_pairs_scored), _ROW), "pairs")
     singles = dealt(pairs.where(F.col("kind") == SINGLES)).mapInArrow(step(_words_scored), _ROW)
     sums = pairs.where(F.col("kind").isin(IDS, SUMS)).unionByName(singles).select("batch", "kind", "payload", "ids", "tokens")
     rows = sums.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_documents, "doc_id bigint, n_tokens bigint, score bigint")

@@ -294,6 +294,20 @@ def test_scores_equal_brute_force(docs, odd, none, share):
     assert language_model.scored(none, share).count() == 0
 
 
+def test_hot_pairs_are_spread(spark):
+    rng = random.Random(5)
+    texts = ["x " * 2000 + f"y{i}" for i in range(10)] + ["to be or not to be " * 30 + f"z{rng.randrange(9)}" for i in range(40)] + [" ".join(f"w{rng.randrange(3000)}" for _ in range(500)) for _ in range(40)] + ["", None, "x", "x x"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["log_score"]) for r in language_model.scored(table, 3000).collect()), key=str)
+    assert got == plain_scores(table.collect())
+    model = language_model.modelled(table, language_model.word_counts(table), 3000)
+    rows = language_model._hashed(table).mapInArrow(lambda b: language_model._packed(model, b), language_model._ROW).where(f"kind = {language_model.PAIRS}").collect()
+    pairs = collections.Counter()
+    for r in rows:
+        pairs[r["bucket"]] += len(language_model.unpack(r["payload"])[1])
+    assert model.bits and max(pairs.values()) <= 2 * 3000
+
+
 def test_packing():
     for arrays in ([np.array([0, 5, 300], np.uint64), np.array([], np.int64), np.arange(70_000)], [np.array([2**64 - 1], np.uint64)]):
         for a, b in zip(arrays, language_model.unpack(language_model.pack(*arrays)), strict=True):
