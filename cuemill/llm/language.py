@@ -3,7 +3,8 @@
 Each byte of a text gets a state from what is before it and one from what is after it, within stretches of STRETCH bytes;
 both together give every position a distribution over the learned languages, and a document's is the mean over all its
 positions. The network is trained here, in numpy, by backpropagation through time on a bounded sample: SPANS stretches from
-all over each of at most about PER_LANGUAGE documents per language, of at most LANGUAGES languages (the most frequent).
+all over each of at most about PER_LANGUAGE documents per language, and of fewer where there are more than LANGUAGES
+languages, but of one at least. Every language is learned; the states grow with the logarithm of their number.
 Inference reads whole texts, many stretches at a time, so its memory doesn't depend on a text's length.
 
 Documents whose crc32 of the id, modulo FOLDS, is HELD_OUT are never learned from; nor are those without id or language.
@@ -13,6 +14,7 @@ Repeated rows are each predicted. Ties go to the language that sorts first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +36,16 @@ def fold(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(language, stretch of text): what is learned from. Bounded by LANGUAGES * PER_LANGUAGE * SPANS stretches or so."""
+    """(language, stretch of text): what is learned from. Bounded by LANGUAGES * PER_LANGUAGE * SPANS stretches or so, and a document a language."""
     known = docs.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    steps = 1 << 20
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(steps))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
     if not counts:
         return []
-    steps = 1 << 20
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(steps, steps * PER_LANGUAGE // r["count"] + 1))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(steps)) < F.coalesce(share[F.col("lang")], F.lit(0)))
+    each = max(1, min(PER_LANGUAGE, LANGUAGES * PER_LANGUAGE // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], max(min(steps, steps * each // r["n"] + 1), r["least"] + 1)) for r in counts], "lang string, share bigint")
+    chosen = known.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
     # Places come from a hash, anywhere in the text.
     spots = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1).cast("int") + 1 for k in range(2, 2 + SPANS)])
     rows = chosen.select("doc_id", "lang", F.explode(F.transform(spots, lambda s: F.substring(F.col("text"), s, F.lit(STRETCH)))).alias("part"))
@@ -61,14 +65,15 @@ class Network:
 
     def __init__(self, languages: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
-        h, n = STATES, len(languages)
-        self.languages = languages
+        n = len(languages)
+        self.languages, self.size = languages, STATES * max(1, math.ceil(math.log2(max(n, 1)) / 2))
+        h = self.size
         draw = lambda *shape, scale: (rng.normal(size=shape) * scale).astype(np.float32)
         self.p = {f"{k}{d}": v for d in "fb" for k, v in (("x", draw(256, 3 * h, scale=0.3)), ("u", draw(h, 3 * h, scale=h**-0.5)))} | {"vf": draw(h, n, scale=h**-0.5), "vb": draw(h, n, scale=h**-0.5), "c": np.zeros(n, np.float32)}
 
     def states(self, codes: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """The state at each of codes (steps x rows), read forwards or backwards; keep: gets what training needs."""
-        x, u, h = self.p["x" + d], self.p["u" + d], STATES
+        x, u, h = self.p["x" + d], self.p["u" + d], self.size
         out = np.empty((*codes.shape, h), np.float32)
         state = np.zeros((codes.shape[1], h), np.float32)
         for t in range(len(codes)) if d == "f" else range(len(codes) - 1, -1, -1):
@@ -97,7 +102,7 @@ class Network:
         error[:, np.arange(len(labels)), labels] -= 1
         error *= mask[:, :, None] / max(mask.sum(), 1)
         g = {"c": error.sum(axis=(0, 1))}
-        h = STATES
+        h = self.size
         for d in "fb":
             u, v = self.p["u" + d], self.p["v" + d]
             g["v" + d] = np.tensordot(seen[d], error, axes=((0, 1), (0, 1)))
@@ -127,7 +132,7 @@ class Network:
         draw = weight / weight.sum()
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        steps = max(60, EPOCHS * len(parts) // BATCH)
+        steps = max(60, 4 * len(number), EPOCHS * len(parts) // BATCH)
         for step in range(1, steps + 1):
             some = rng.choice(len(parts), size=min(BATCH, len(parts)), p=draw)
             rate = RATE * (1 - step / (steps + 1)) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)

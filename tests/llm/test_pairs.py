@@ -204,6 +204,16 @@ def test_languages_held_out(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.97 * len(held)
 
 
+def test_every_language_is_learned(spark):
+    rng, rows = random.Random(2), []
+    for k in range(70):
+        rows += [(len(rows) + i, " ".join("".join(rng.choice(chr(0x4E00 + 4 * k) + chr(0x4E01 + 4 * k)) for _ in range(4)) for _ in range(20)), f"l{k:02}") for i in range(12 if k < 69 else 6)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert len(learned) == 70 and {k for k, _ in language.sample(table)} == learned
+    assert language.Network(sorted(learned)).size > language.STATES
+
+
 def test_languages_of_odd_rows(spark, odd, none):
     got = language.predicted(odd).collect()
     assert len(got) == odd.count()
