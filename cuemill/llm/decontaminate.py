@@ -1,15 +1,24 @@
 """Benchmark passages in documents: CGK embedding, repeated bit sampling, exact edit verification.
 
-Texts are compared as lower-case words joined by single spaces. Item-sized windows of a document are placed wherever three
-words in a row also stand in an item (fewer for items of one or two words), aligned with the item's start. The random walks
-of Chakraborty, Goldenberg and Koucky (a letter is written, and the walk moves on or stays by a random bit for step and
-letter) turn edit distance into Hamming distance; SAMPLED of a window's first SPAN steps make a key. Walk and places are drawn
-anew for each repetition, until TARGET of the copies of items with a tenth of their letters edited collide at least once. Windows that share a key with an item are candidates; Myers' bit-parallel search then gives the exact least edit
-distance between the item and any stretch around the window, which counts up to LIMIT of the item's length.
+Texts are compared as lower-case words joined by single spaces, in UTF-8. The random walk of Chakraborty, Goldenberg and
+Koucky (a letter is written, and the walk moves on or stays by a random bit for step and letter) turns edit distance into
+Hamming distance. Windows are as long as the items: a walk takes two steps a letter, forwards from where a word starts and
+backwards from where one ends, over the whole length of the longest item that the window may hold. Keys are SAMPLED steps of
+a walk out of STRETCH in a row, and such stretches lie all over the item, so an item is met wherever its edits are. There are
+KEYS keys a walk, and walks are drawn anew until TARGET of the items, with LIMIT of their letters edited, share a key. Items
+that share a key with a window are candidates; Myers' bit-parallel search then gives the exact least edit distance between
+the item and any stretch around the window, which counts up to LIMIT of the item's length.
+
+Windows stand where several runs of letters (seeds) that also stand in items of that length agree on where an item would
+start or end. How long seeds are and how many must agree is fitted to each class of lengths, such that at most UNSEEN of its
+items, with LIMIT of their letters edited, go without a window. A seed knows one place only, however many items have it: seeds
+say where to look, and for how long an item; which one it is, is for the keys to say. Items so short that no seeds are sure to
+be left are looked for at every word.
 
 The items are a stated query set: they are indexed in blocks of at most BLOCK_CHARS, each of which is shipped to all tasks.
 Null texts and texts without words never match. Items of equal text are all reported; items without words are skipped.
-Repeated document rows are each reported. An empty table of either kind gives no rows.
+Repeated document rows are each reported. An empty table of either kind gives no rows. Very long texts are searched whole,
+a group of texts at a time; columns other than doc_id, item_id and text are passed on by clean() whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +27,6 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,80 +34,165 @@ from pyspark.sql import DataFrame
 
 from cuemill.llm.common import small_batches
 
-LIMIT, RADIUS, TARGET = 0.2, 0.1, 0.98
-SAMPLED, SPAN, MOST_REPEATS, CALIBRATED = 7, 128, 128, 200
-SHIFTS = (-2, -1, 0, 1, 2)
-BLOCK_CHARS = 4_000_000
-ANCHOR = 3
-#: Windows, and words of the texts that they stand in, which are kept before they are judged.
-WINDOWS, HELD = 20_000, 1_000_000
+LIMIT, TARGET, UNSEEN = 0.2, 0.96, 0.04
+SAMPLED, STRETCH, KEYS, MOST_WALKS, CALIBRATED = 12, 40, 32, 400, 300
+#: Of the steps of a walk, texts that have nothing in common share about a tenth.
+ALIKE = 0.25
+#: Lengths of seeds that are tried, in bytes.
+SEEDS = (14, 12, 10, 8, 6, 5, 4, 3)
+BLOCK_CHARS = 1_000_000
+#: Windows that walk at once, bytes of the texts that are searched at once, and of those that are looked up at once.
+WINDOWS, GROUP, SLICE = 4096, 4 << 20, 1 << 15
 _RESULT = "doc_id bigint, item_id bigint, start bigint, end bigint, distance bigint, similarity double"
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def normal(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def normal(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
 
 
-def _codes(texts: list[str], width: int) -> np.ndarray:
-    """Letters as bytes, a row a text; 0 pads."""
-    out = np.zeros((len(texts), width), np.uint8)
-    for row, t in zip(out, texts, strict=True):
-        c = np.frombuffer(t[:width].encode("utf-32-le"), "<u4") % 251 + 1
-        row[: len(c)] = c
-    return out
+def edited(text: bytes, rate: float, rng: random.Random) -> bytes:
+    letters = bytearray(text)
+    for _ in range(int(rate * len(text))):
+        i, kind = rng.randrange(len(letters) + 1), rng.randrange(3)
+        letters[i : i + (kind > 0)] = b"" if kind == 2 else bytes([rng.choice(text)])
+    return bytes(letters)
 
 
-def walked(codes: np.ndarray, seed: int, places: np.ndarray) -> np.ndarray:
-    """What the walk of this seed writes at places (ascending), for each row."""
-    moves = np.random.default_rng(seed).integers(0, 2, (int(places[-1]) + 1, 256), dtype=np.intp)
-    rows, at, out, last = np.arange(len(codes)), np.zeros(len(codes), np.intp), [], codes.shape[1] - 1
-    wanted = set(places.tolist())
-    for step, move in enumerate(moves):
-        letter = codes[rows, at]
-        if step in wanted:
-            out.append(letter)
-        at = np.minimum(at + move[letter], last)
-    return np.stack(out, axis=1) if out else np.empty((len(codes), 0), np.uint8)
+def runs(letters: np.ndarray, size: int) -> np.ndarray:
+    """A code for each run of size letters; letters have 16 more at their end."""
+    eight = np.ndarray((max(len(letters) - 16, 0),), "<u8", letters, 0, (1,))
+    if size < 8:
+        return (eight & np.uint64((1 << 8 * size) - 1)) * _MIX
+    rest = np.ndarray((max(len(letters) - 16, 0),), "<u8", letters, size - 8, (1,))
+    return eight * _MIX ^ rest * _MIX2
 
 
-def edited(text: str, rate: float, rng: random.Random) -> str:
-    letters = list(text)
-    for _ in range(round(rate * len(text))):
-        i, kind = rng.randrange(len(letters) + 1), rng.randrange(3)
-        new = rng.choice(text)
-        letters[i : i + (kind > 0)] = [] if kind == 2 else [new]
-    return "".join(letters)
+def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one, spaces between them and 17 after the last, and where each starts."""
+    return np.frombuffer(b" " + b" ".join(texts) + b" " * 17, np.uint8), 1 + np.cumsum([0, *(len(t) + 1 for t in texts)])
+
+
+class Codes:
+    """A set of 64-bit codes: most others are told apart by one look into a table of their first bits."""
+
+    def __init__(self, codes: np.ndarray):
+        self.sorted = codes
+        self.shift = np.uint64(64 - max(16, int(16 * len(codes)).bit_length()))
+        self.table = np.zeros(1 << int(64 - self.shift), bool)
+        self.table[(codes >> self.shift).astype(np.intp)] = True
+
+    def found(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where codes of the set stand, ascending, and which they are."""
+        at = np.flatnonzero(self.table.take((codes >> self.shift).view(np.int64)))
+        which = np.minimum(np.searchsorted(self.sorted, codes[at]), max(len(self.sorted) - 1, 0))
+        same = self.sorted[which] == codes[at] if len(self.sorted) else np.zeros(len(at), bool)
+        return at[same], which[same]
+
+
+def walked(letters: np.ndarray, starts: np.ndarray, seed: int, steps: int) -> np.ndarray:
+    """What the walks of this seed write from each start (steps x starts). Odd seeds walk backwards."""
+    moves = np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.intp) * (-1 if seed % 2 else 1)
+    at, out = starts.copy(), np.empty((steps, len(starts)), np.uint8)
+    for move, row in zip(moves, out, strict=True):
+        letters.take(at, mode="clip", out=row)
+        at += move.take(row)
+    return out
 
 
 class Family:
-    """Items whose walks can be sampled over the same stretch: the keys of each repetition."""
-
-    def __init__(self, letters: int, items: list[tuple[int, str]]):
-        self.width = max(letters, 1)
-        span = max(2 * letters, SAMPLED)  # a walk takes two steps a letter
-        rng, draw = random.Random(letters), np.random.default_rng(letters)
-        some = [t for _, t in (items if len(items) <= CALIBRATED else rng.sample(items, CALIBRATED)) for _ in range(3)]
-        own, other = _codes(some, self.width), _codes([edited(t, RADIUS, rng) for t in some], self.width)
-        codes = _codes([t for _, t in items], self.width)
-        met = np.zeros(len(some), bool)
-        self.draws, self.keys = [], []
-        while met.mean() < TARGET and len(self.draws) < MOST_REPEATS:
-            seed, places = letters * 1000 + len(self.draws), np.sort(draw.choice(span, SAMPLED, replace=False))
-            met |= (walked(own, seed, places) == walked(other, seed, places)).all(axis=1)
-            by_key: dict[bytes, list[int]] = defaultdict(list)
-            for (i, _), key in zip(items, walked(codes, seed, places), strict=True):
-                by_key[key.tobytes()].append(i)
-            self.draws.append((seed, places))
-            self.keys.append(dict(by_key))
-
-    def candidates(self, windows: list[str]) -> list[set[int]]:
-        """Items that share a key with each window."""
-        found: list[set[int]] = [set() for _ in windows]
-        codes = _codes(windows, self.width)
-        for (seed, places), by_key in zip(self.draws, self.keys, strict=True):
-            for out, key in zip(found, walked(codes, seed, places), strict=True):
-                out.update(by_key.get(key.tobytes(), ()))
-        return found
+    """Items of about one length: how their windows are found, and the keys of their walks."""
+
+    def __init__(self, numbers: list[int], texts: list[bytes]):
+        self.numbers, rng = np.array(numbers), random.Random(len(numbers))
+        self.least_size, self.size = min(map(len, texts)), max(map(len, texts))
+        self.sizes, self.steps = np.array([len(t) for t in texts]), 2 * self.size
+        #: How far apart seeds may see the start of an item: three deviations of what letters joined and cut move.
+        self.slack = 6 + round(3 * (LIMIT * 2 / 3 * self.size) ** 0.5)
+        chosen = texts if len(texts) <= CALIBRATED else rng.sample(texts, CALIBRATED)
+        own = chosen * -(-CALIBRATED // len(chosen))
+        other = [edited(t, LIMIT, rng) for t in own]
+        self._sow(texts, other)
+        self._draw(texts, own, other)
+
+    def _sow(self, texts: list[bytes], other: list[bytes]) -> None:
+        """Chooses how long seeds are (0: no seeds), and how many must agree."""
+        letters, at = padded(texts)
+        changed, to = padded(other)
+        sizes = np.array([len(t) for t in texts])
+        self.seed_size = self.agreeing = 0
+        for size in SEEDS:
+            place = np.concatenate([np.arange(a, max(a + n - size + 1, a)) for a, n in zip(at[:-1], sizes, strict=True)])
+            codes, first = np.unique(runs(letters, size)[place], return_index=True)
+            owner = np.searchsorted(at, place[first], "right") - 1
+            seeds, offset, length = Codes(codes), place[first] - at[owner], sizes[owner]
+            where, which = seeds.found(runs(changed, size))
+            text = np.searchsorted(to, where, "right") - 1
+            start = where - offset[which] - to[np.maximum(text, 0)]
+            near = (np.abs(start) <= self.slack) & (text >= 0)
+            least = int(np.quantile(np.bincount(text[near], minlength=len(other))[: len(other)], UNSEEN, method="lower"))
+            if least > 1:
+                self.seed_size, self.agreeing, self.seeds, self.offset, self.length = size, least, seeds, offset, length
+                return
+
+    def _draw(self, texts: list[bytes], own: list[bytes], other: list[bytes]) -> None:
+        # What follows an edited text differs from what follows its own.
+        (a, a_at), (b, b_at), (c, c_at) = padded(own), padded(other[::-1]), padded(texts)
+        starts = {"f": (a_at[:-1], b_at[:-1][::-1], c_at[:-1]), "b": (a_at[1:] - 2, b_at[1:][::-1] - 2, c_at[1:] - 2)}
+        span = min(STRETCH, 2 * self.least_size)
+        draw = np.random.default_rng(self.size)
+        met = np.zeros(len(own), bool)
+        self.walks: list[tuple[int, np.ndarray]] = []
+        self.written: list[np.ndarray] = []
+        codes, items = [], []
+        while met.mean() < TARGET:
+            if len(self.walks) == MOST_WALKS:
+                raise ValueError(f"{MOST_WALKS} walks find {met.mean():.2f} of items of {self.size} bytes, which is less than {TARGET}")
+            seed = len(self.walks)
+            # Stretches stand all over the shortest item; walks keep together best near their start, so more stand there.
+            first = (draw.random(KEYS) ** 2 * max(2 * self.least_size - span, 0)).astype(int)
+            places = np.array([f + np.sort(draw.choice(span, min(SAMPLED, span), replace=False)) for f in first])
+            self.walks.append((seed, places))
+            w, x, y = (walked(t, at, seed, self.steps) for t, at in zip((a, b, c), starts["b" if seed % 2 else "f"], strict=True))
+            own_steps = np.arange(self.steps)[:, None] < 2 * np.array([len(t) for t in own])
+            alike = ((w == x) & own_steps).sum(axis=0) >= ALIKE * own_steps.sum(axis=0)
+            met |= (self.keys(w, seed) == self.keys(x, seed)).any(axis=0) & alike
+            keys = self.keys(y, seed)
+            self.written.append(np.ascontiguousarray(y.T))
+            codes.append(keys.ravel())
+            items.append(np.tile(np.arange(len(texts)), len(keys)))
+        codes, items = np.concatenate(codes), np.concatenate(items)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.items = codes[order], items[order]
+        self.known = Codes(self.codes)
+
+    def keys(self, written: np.ndarray, walk: int) -> np.ndarray:
+        """The keys (keys x windows) of one walk."""
+        out = np.empty((KEYS, written.shape[1]), np.uint64)
+        for k, places in enumerate(self.walks[walk][1]):
+            packed = np.zeros((written.shape[1], 16), np.uint8)
+            packed[:, : len(places)] = written[places].T
+            two = packed.view("<u8")
+            out[k] = (two[:, 0] + np.uint64(1 + walk * KEYS + k)) * _MIX
+            out[k] ^= two[:, 1] * _MIX2
+        out ^= out >> np.uint64(29)
+        out *= _MIX2
+        return out
+
+    def candidates(self, written: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items, by their places here, that share a key and are alike."""
+        at, first = self.known.found(self.keys(written, walk).ravel())
+        times = np.searchsorted(self.codes, self.codes[first], "right") - first
+        window = np.repeat(at % written.shape[1], times)
+        item = self.items[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        both = np.unique(window * len(self.sizes) + item)
+        window, item = both // len(self.sizes), both % len(self.sizes)
+        alike, rows = np.zeros(len(both), bool), np.ascontiguousarray(written.T) if len(both) else written
+        for a in range(0, len(both), WINDOWS):
+            i = item[a : a + WINDOWS]
+            same = (rows[window[a : a + WINDOWS]] == self.written[walk][i]) & (np.arange(self.steps) < 2 * self.sizes[i][:, None])
+            alike[a : a + WINDOWS] = same.sum(axis=1) >= ALIKE * 2 * self.sizes[i]
+        return window[alike], item[alike]
 
 
 def _search(pattern: str, text: str, anywhere: bool) -> tuple[int, int]:
@@ -129,6 +222,8 @@ def _search(pattern: str, text: str, anywhere: bool) -> tuple[int, int]:
 
 def closest(pattern: str, text: str) -> tuple[int, int, int]:
     """Least distance of pattern to a stretch of text, and that stretch."""
+    if (at := text.find(pattern)) >= 0:
+        return 0, at, at + len(pattern)
     distance, end = _search(pattern, text, True)
     _, back = _search(pattern[::-1], text[:end][::-1], False)
     return distance, end - back, end
@@ -140,113 +235,109 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]]):
         by_text: dict[str, list] = defaultdict(list)
         for item_id, text in items:
-            if words := normal(text):
-                by_text[" ".join(words)].append(item_id)
+            if t := normal(text):
+                by_text[t].append(item_id)
         self.texts, self.ids = list(by_text), list(by_text.values())
-        self.words = [t.split(" ") for t in self.texts]
-        self.number: dict[str, int] = {}
-        for words in self.words:
-            for w in words:
-                self.number.setdefault(w, len(self.number) + 1)
-        families = defaultdict(list)
-        self.family_of = [min(1 << (len(t).bit_length() - 1), SPAN // 2) for t in self.texts]
-        for i, f in enumerate(self.family_of):
-            families[f].append((i, self.texts[i]))
-        self.families = {f: Family(f, some) for f, some in families.items()}
-        self.anchors: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size in range(1, ANCHOR + 1):
-            rows = [(i, o) for i, words in enumerate(self.words) if min(len(words), ANCHOR) == size for o in range(len(words) - size + 1)]
-            if rows:
-                item, offset = np.array(rows).T
-                numbers = [np.array([self.number[w] for w in words], np.int64) for words in self.words]
-                codes = np.array([self._mixed(numbers[i][o : o + size], size)[0] for i, o in rows])
-                order = np.argsort(codes, kind="stable")
-                keys, first = np.unique(codes[order], return_index=True)
-                self.anchors[size] = keys, np.append(first, len(order)), item[order], offset[order]
-
-    @staticmethod
-    def _mixed(numbers: np.ndarray, size: int) -> np.ndarray:
-        """A code for each run of size numbers."""
-        n = len(numbers) - size + 1
-        out = np.zeros(n, np.int64)
-        with np.errstate(over="ignore"):
-            for k in range(size):
-                out = (out ^ numbers[k : k + n]) * np.int64(0x9E3779B97F4A7C1)
+        self.raw = [t.encode() for t in self.texts]
+        classes = defaultdict(list)
+        for i, t in enumerate(self.raw):
+            classes[int(2 * np.log2(len(t)))].append(i)
+        self.families = [Family(numbers, [self.raw[i] for i in numbers]) for _, numbers in sorted(classes.items())]
+        sizes = {f.seed_size for f in self.families} - {0}
+        self.seeds = {size: Codes(np.unique(np.concatenate([f.seeds.sorted for f in self.families if f.seed_size == size]))) for size in sizes}
+
+    def _windows(self, letters: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each family the places where its windows start, and those where they end."""
+        space = letters == 32
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:])
+        hits = {}
+        for size, seeds in self.seeds.items():
+            parts = []
+            for a in range(0, len(letters) - 16, SLICE):  # slices that stay in a core's cache
+                codes = runs(letters[a : a + SLICE + 16], size)
+                at, _ = seeds.found(codes)
+                parts.append((at + a, codes[at]))
+            hits[size] = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        out: tuple[list, list] = [], []
+        for f in self.families:
+            if not f.seed_size:
+                out[0].append(starts)
+                out[1].append(ends)
+                continue
+            at, codes = hits[f.seed_size]
+            own, which = f.seeds.found(codes)
+            start = at[own] - f.offset[which]
+            for places, seen, windows in ((starts, start, out[0]), (ends, start + f.length[which] - 1, out[1])):
+                seen = np.sort(seen)
+                first, last = seen[: max(len(seen) - f.agreeing + 1, 0)], seen[f.agreeing - 1 :]
+                agree = last - first <= f.slack
+                windows.append(_among(places, last[agree] - f.slack, first[agree] + f.slack))
         return out
 
-    def windows(self, texts: list[list[str]]) -> Iterator[tuple[int, int, int]]:
-        """(text, item, first word) of every place where a window stands."""
-        ends = np.cumsum([len(t) for t in texts])
-        get = self.number.get
-        numbers = np.concatenate([np.fromiter(map(get, t, repeat(0)), np.int64, len(t)) for t in texts]) if texts else np.empty(0, np.int64)
-        for size, (keys, first, items, offsets) in self.anchors.items():
-            if len(numbers) < size:
-                continue
-            n = len(numbers) - size + 1
-            known = numbers[:n] > 0
-            for k in range(1, size):
-                known &= numbers[k : k + n] > 0
-                inside = ends[:-1] - k  # runs that start here go over the end of a text
-                known[inside[(inside >= 0) & (inside < n)]] = False
-            at = np.flatnonzero(known)
-            codes = self._mixed(numbers, size)[at] if size > 1 else self._mixed(numbers[at], 1)
-            spot = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-            hit = keys[spot] == codes
-            for p, s in zip(at[hit].tolist(), spot[hit].tolist(), strict=True):
-                text = int(np.searchsorted(ends, p, "right"))
-                start = p - (int(ends[text - 1]) if text else 0)
-                for r in range(first[s], first[s + 1]):
-                    yield text, int(items[r]), max(start - int(offsets[r]), 0)
-
-    def matches(self, groups: Iterable[list[list[str]]]) -> list[tuple[int, int, int, int, int]]:
+    def matches(self, groups: Iterable[list[str]]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, first word, word after the last): the closest stretch for each text and item.
 
-        Texts come in groups, so that few are in memory; of each group only texts with windows are kept, for a while.
+        Texts come in groups, of which one is in memory at a time; a text belongs to one group.
         """
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        waiting: dict[tuple[int, int, int], set[int]] = {}
-        held: dict[int, list[str]] = {}
-        before = words = 0
+        found, before = [], 0
         for texts in groups:
-            for text, item, start in self.windows(texts):
-                size = len(self.words[item])
-                for shift in SHIFTS:  # words that edits have joined or cut move the start
-                    waiting.setdefault((before + text, max(start + shift, 0), size), set()).add(self.family_of[item])
-                if before + text not in held:
-                    held[before + text] = texts[text]
-                    words += len(texts[text])
-                if len(waiting) >= WINDOWS or words >= HELD:
-                    self._settle(waiting, held, best)
-                    words = 0
+            raw = [normal(t).encode() for t in texts]
+            letters, at = padded(raw)
+            found += [(before + t, i, *x) for (t, i), x in sorted(self._searched(letters, at, raw).items())]
             before += len(texts)
-        self._settle(waiting, held, best)
-        return [(t, i, *found) for (t, i), found in sorted(best.items())]
-
-    def _settle(self, waiting: dict, held: dict, best: dict) -> None:
-        by_family = defaultdict(list)
-        for spot, families in waiting.items():
-            for f in families:
-                by_family[f].append(spot)
-        searched: dict[tuple[int, int], int] = {}
-        for f, spots in by_family.items():
-            spots.sort()
-            found = self.families[f].candidates([" ".join(held[text][start : start + size]) for text, start, size in spots])
-            for (text, start, _), items in zip(spots, found, strict=True):
-                for item in items:
-                    # The key may be of a shorter item's window, so the region is the item's own size. What was searched for
-                    # the window before reaches as far as its slack.
-                    size = len(self.words[item])
-                    if start - searched.get((text, item), -size - 1) <= size // 8 or best.get((text, item), (1,))[0] == 0:
-                        continue
-                    searched[text, item] = start
-                    slack = max(3, size // 4)
-                    a = max(start - slack, 0)
-                    region = " ".join(held[text][a : start + size + slack])
-                    distance, begin, end = closest(self.texts[item], region)
-                    if distance <= LIMIT * len(self.texts[item]) and (distance, a) < best.get((text, item), (distance + 1, 0)):
-                        best[text, item] = distance, a + region.count(" ", 0, begin + 1), a + region.count(" ", 0, end) + 1
-        waiting.clear()
-        held.clear()
+        return found
+
+    def _searched(self, letters: np.ndarray, at: np.ndarray, raw: list[bytes]) -> dict[tuple[int, int], tuple[int, int, int]]:
+        spots: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for back, windows in enumerate(self._windows(letters)):
+            places = np.unique(np.concatenate(windows)) if windows else np.empty(0, np.intp)
+            if not len(places):
+                continue
+            holds = [np.isin(places, w, assume_unique=False) for w in windows]
+            longest = np.max([np.where(h, f.steps, 0) for h, f in zip(holds, self.families, strict=True)], axis=0)
+            order = np.argsort(longest, kind="stable")  # windows of like length walk together
+            for a in range(0, len(order), WINDOWS):
+                some = order[a : a + WINDOWS]
+                here, inside = places[some], [(f, np.flatnonzero(h[some])) for f, h in zip(self.families, holds, strict=True)]
+                inside = [(f, w) for f, w in inside if len(w)]
+                for walk in range(back, max(len(f.walks) for f, _ in inside), 2):
+                    written = walked(letters, here, walk, max(f.steps for f, _ in inside if walk < len(f.walks)))
+                    for f, w in inside:
+                        if walk < len(f.walks):
+                            window, item = f.candidates(written[: f.steps, w], walk)
+                            start = here[w[window]]
+                            text = np.searchsorted(at, start, "right") - 1
+                            if back:
+                                start = start - f.sizes[item] + 1
+                            for key in zip(text.tolist(), f.numbers[item].tolist(), start.tolist(), strict=True):
+                                spots[key[:2]].add(key[2])
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for (text, item), starts in spots.items():
+            size, own, searched = len(self.raw[item]), raw[text], None
+            slack = max(3, size // 4)
+            for start in sorted(starts):
+                if searched is not None and start - searched <= size // 8 or best.get((text, item), (1,))[0] == 0:
+                    continue  # what was searched for the window before reaches as far as its slack
+                searched = start
+                start -= int(at[text])
+                a, b = own.rfind(b" ", 0, max(start - slack, 0)) + 1, own.find(b" ", min(start + size + slack, len(own)))
+                region = own[a : b if b >= 0 else len(own)].decode()
+                distance, begin, end = closest(self.texts[item], region)
+                words = own.count(b" ", 0, a)
+                if distance <= LIMIT * len(self.texts[item]) and (distance, words) < best.get((text, item), (distance + 1, 0)):
+                    best[text, item] = distance, words + region.count(" ", 0, begin + 1), words + region.count(" ", 0, end) + 1
+        return best
+
+
+def _among(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The places in any of the ranges low to high, which both ascend."""
+    if not len(low):
+        return places[:0]
+    cover = np.zeros(len(places) + 1, np.int32)
+    a, b = np.searchsorted(places, low, "left"), np.searchsorted(places, high, "right")
+    np.add.at(cover, a, 1)
+    np.add.at(cover, np.maximum(a, b), -1)
+    return places[np.cumsum(cover[:-1]) > 0]
 
 
 def blocks(items: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
@@ -263,34 +354,27 @@ def blocks(items: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[in
         yield block
 
 
-_indexes: dict[int, Index] = {}
-
-
-def _index(shipped) -> Index:
-    """One index a worker and broadcast."""
-    if shipped.value[0] not in _indexes:
-        _indexes.clear()
-        _indexes[shipped.value[0]] = Index(shipped.value[1])
-    return _indexes[shipped.value[0]]
-
-
-def _shipped(docs: DataFrame, block: list):
-    return docs.sparkSession.sparkContext.broadcast((random.getrandbits(60), block))
-
-
-def in_groups(texts: pa.Array, size: int = 500) -> Iterator[list[list[str]]]:
-    for i in range(0, len(texts), size):
-        yield [normal(t) for t in texts.slice(i, size).to_pylist()]
+def in_groups(texts: pa.Array, size: int = GROUP) -> Iterator[list[str]]:
+    """Texts in a row that have about size letters together."""
+    group, letters = [], 0
+    for text in texts:
+        group.append(text.as_py() or "")
+        letters += len(group[-1])
+        if letters >= size:
+            yield group
+            group, letters = [], 0
+    if group:
+        yield group
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end, distance, similarity: a row for each document and item that it holds."""
     out = None
     for block in blocks(items):
-        shipped = _shipped(docs, block)
+        shipped = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            index = _index(shipped)
+            index = shipped.value
             for batch in batches:
                 rows = []
                 for t, item, distance, first, last in index.matches(in_groups(batch.column(1))):
@@ -307,11 +391,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
     for block in blocks(items):
-        shipped = _shipped(docs, block)
+        shipped = docs.sparkSession.sparkContext.broadcast(Index(block))
         column = docs.columns.index("text")
 
         def keep(batches: Iterator[pa.RecordBatch], shipped=shipped, column=column) -> Iterator[pa.RecordBatch]:
-            index = _index(shipped)
+            index = shipped.value
             for batch in batches:
                 stays = np.ones(batch.num_rows, bool)
                 for t, *_ in index.matches(in_groups(batch.column(column))):

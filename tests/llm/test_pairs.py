@@ -125,8 +125,8 @@ def test_bit_parallel_distance():
 def test_leaks(spark, docs):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
-    texts = [(r["doc_id"], " ".join(decontaminate.normal(r["text"]))) for r in docs.collect()]
-    wanted = [(r["item_id"], " ".join(decontaminate.normal(r["text"]))) for r in items.collect()]
+    texts = [(r["doc_id"], decontaminate.normal(r["text"])) for r in docs.collect()]
+    wanted = [(r["item_id"], decontaminate.normal(r["text"])) for r in items.collect()]
     exact = {(d, i) for d, t in texts for i, x in wanted if x in t}
     assert exact and exact <= found
     for d, i in found - exact:
@@ -134,15 +134,44 @@ def test_leaks(spark, docs):
     assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {d for d, _ in texts} - {d for d, _ in found}
 
 
-def test_edited_leaks_are_found(spark, docs):
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+def planted(text, rate, rng, low=0.0, high=1.0):
+    """text with edits between two parts of its length."""
+    letters, a, b = list(text), int(low * len(text)), int(high * len(text))
+    for _ in range(round(rate * len(text))):
+        i, kind = rng.randrange(a, min(b, len(letters)) + 1), rng.randrange(3)
+        letters[i : i + (kind > 0)] = [] if kind == 2 else [rng.choice(text)]
+    return "".join(letters)
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2])
+def test_edited_leaks_are_found(docs, rate):
+    """Edits all over an item, or all at its head, middle or tail: nine in ten of those within LIMIT, at LIMIT itself."""
+    items = [(r["item_id"], r["text"]) for r in docs.sparkSession.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
     index, rng = decontaminate.Index(items), random.Random(6)
-    around = [decontaminate.normal(r["text"])[:80] for r in docs.limit(40).collect()]
-    hits = 0
-    for (i, text), before in zip(items, around, strict=True):
-        changed = decontaminate.edited(" ".join(decontaminate.normal(text)), 0.05, rng).split()
-        hits += any(i in index.ids[item] for _, item, *_ in index.matches([[before + changed + before]]))
-    assert hits >= 0.9 * len(items)
+    words = " ".join(decontaminate.normal(r["text"]) for r in docs.limit(60).collect()).split()
+    for low, high in ((0.0, 1.0), (0.0, 0.4), (0.3, 0.7), (0.6, 1.0)):
+        texts = []
+        for _, text in items:
+            a = rng.randrange(len(words) - 100)
+            texts.append(" ".join([*words[a : a + 50], planted(text, rate, rng, low, high), *words[a + 50 : a + 100]]))
+        found = {(t, i) for t, n, *_ in index.matches([texts[:70], texts[70:]]) for i in index.ids[n]}
+        near = [decontaminate.closest(decontaminate.normal(x), decontaminate.normal(t))[0] <= decontaminate.LIMIT * len(decontaminate.normal(x)) for (_, x), t in zip(items, texts, strict=True)]
+        wanted = {(k, i) for k, ((i, _), n) in enumerate(zip(items, near, strict=True)) if n}
+        assert len(wanted) > 100 and len(wanted & found) >= 0.9 * len(wanted)
+
+
+def test_short_and_alike_items(docs):
+    """Items of a word or two, and many items that share most of their text."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6))
+    stem = [word() for _ in range(30)]
+    items = [(k, " ".join([*stem, *(word() for _ in range(25))])) for k in range(40)] + [(100, "paris"), (101, "xylophone music"), (102, "7")]
+    index = decontaminate.Index(items)
+    around = [word() for _ in range(20)]
+    texts = [" ".join([*around, text, *around]) for _, text in items]
+    found = {(t, i): d for t, n, d, *_ in index.matches([texts]) for i in index.ids[n]}
+    assert all(found.get((k, i)) == 0 for k, (i, _) in enumerate(items))
+    assert not {(t, i) for t, i in found if i < 100 and t < 40 and items[t][0] != i}
 
 
 def test_items_with_one_opening(spark):
@@ -153,7 +182,7 @@ def test_items_with_one_opening(spark):
     assert len(" ".join(opening)) >= 64
     index = decontaminate.Index([(1, " ".join(short)), (2, " ".join(long))])
     around = [word() for _ in range(30)]
-    found = index.matches([[around + long + around, around + short + around, around + short + around + long]])
+    found = index.matches([[" ".join(t) for t in (around + long + around, around + short + around, around + short + around + long)]])
     assert [(t, index.ids[i], d) for t, i, d, *_ in found if d == 0] == [(0, [2], 0), (1, [1], 0), (2, [1], 0), (2, [2], 0)]
     assert [(first, last) for *_, d, first, last in found if d == 0] == [(30, 70), (30, 50), (30, 50), (80, 120)]
 
