@@ -1,18 +1,23 @@
-"""Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
-
-A word after another scores c(pair) / c(first) if the pair occurs KEPT times or more, else BACKOFF * c(word) / N; a
-document's first word scores c(word) / N. A document's score is the sum of logarithms, in millionths and each rounded, so
-that sums don't depend on their order. Words and pairs are known by 64-bit hashes.
-
-Occurrences are what moves, and there are as many as words, so they move packed: a task sorts the pairs of some documents
-by first word and sends each hash bucket one row with the words it has, and for each pair two places in that list and the
-document's number. The table of word counts is cut into the same buckets. In its bucket a pair meets its count and its first
-word's; what backs off goes on to the bucket of the second word. Buckets return sums by document, not pairs.
-
-Words with more than a quarter of a bucket's share are hot: there are at most 4 per bucket, so their counts are shipped to
-all tasks, and their pairs go to the buckets of the pair instead. Pairs as common as that consist of hot words; they are
-counted first, shipped likewise and scored where they are packed. So no bucket gets much more than its share, whatever the
-distribution. Null texts and texts without words have no words and a null score. Repeated rows count and score each.
+"""Stupid-backoff scores of documents under the n-gram counts of a corpus, computed relationally.
+
+Every word of a text makes an n-gram of up to ORDER words with those before it: a history and the word. A word scores
+c(history, word) / c(history) if the n-gram occurs LEAST times or more, else BACKOFF times its score after a history that is
+one word shorter; a word without history scores c(word) / N, and one that the corpus lacks counts as once. A document's score
+is the sum of logarithms of counts, each in rounded millionths, so that sums don't depend on their order.
+
+For each order the exploded n-grams (document, history, word) are dealt by the hash of their history together with those of
+the corpus. Counting by history and word, and by history, gives each partition its part of the n-gram table and of the table
+of the next lower order, and joins them to the n-grams, which were moved once. Sums go to the documents; n-grams that are too
+rare go on to the next lower order. Where the scored documents are the corpus and LEAST is 1, every n-gram is counted, so
+c(first words) / N is what remains of a document's first words, and no lower order is needed but for texts of one word.
+
+Histories and n-grams that are more than 1 / (HOT * partitions) of all n-grams are hot; there are at most HOT * partitions of
+either. They consist of hot words, so few n-grams have to be counted to find them. Their counts are broadcast: n-grams of a
+hot history are dealt by their word too, and hot n-grams by their document. So no partition gets much more than its share.
+
+Words and n-grams are told apart by 64-bit hashes, documents by id and a hash of their text. Null texts and texts without
+words have no words and a null score. Repeated rows count and score each; ids may be null. Very long texts need no more than
+their words' hashes at once. An empty table gives no rows. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,325 +27,206 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import small_batches, staged, words_of
-
-KEPT, BACKOFF, UNIT = 2, 0.4, 1e6
-#: Words that a bucket has on average, and that a task packs at a time.
-SHARE, CHUNK = 1_500_000, 2_000_000
-IDS, PAIRS, SINGLES, COUNTS, SUMS = range(5)
-_ROW = "bucket int, kind int, batch bigint, payload binary, ids array<bigint>, tokens array<bigint>"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("payload", pa.binary()), ("ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _small(a: np.ndarray) -> np.ndarray:
-    """The same non-negative numbers in as few bytes as they take."""
-    top = int(a.max()) if len(a) else 0
-    return a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of non-negative numbers, byte by byte of their width, compressed."""
-    head, body = [len(arrays)], []
-    for a in map(_small, arrays):
-        head += [a.itemsize, len(a)]
-        body.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(body))
-
-
-def unpack(payload: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(payload)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    head = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2).tolist()
-    out, at = [], 8 + 16 * n
-    for width, length in head:
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * length, at).reshape(width, length).T).view(f"<u{width}").ravel())
-        at += width * length
+from cuemill.llm.common import small_batches, staged
+
+ORDER, LEAST, BACKOFF, UNIT = 3, 1, 0.4, 1e6
+#: Hot n-grams a partition, and n-grams that a partition has on average.
+HOT, SHARE = 4, 2_000_000
+#: Bytes of texts whose words are hashed at once.
+GROUP = 2 << 20
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_LETTERS = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
+_KEY = ["doc_id", "mark"]
+ONE_WORD = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"
+_ROWS = "doc_id bigint, mark int, history bigint, word bigint, lower bigint, counted int, asked int, tokens bigint"
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in their order."""
+    x = (a ^ (a >> np.uint64(31))) * _MIX + b
+    x = (x ^ (x >> np.uint64(29))) * _MIX2
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of some texts, and how many each text has. A word's is made from the sum of its letters' codes
+    times the powers of an odd number, which is a difference of two running sums."""
+    letters = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[letters], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, length = edges[::2], edges[1::2] - edges[::2]
+    upto = np.cumsum(length)
+    place = np.arange(int(length.sum())) - np.repeat(upto - length, length)
+    powers = np.cumprod(np.append(np.ones(1, np.uint64), np.full(int(length.max(initial=0)), _MIX)), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[letters[np.repeat(starts, length) + place]] * powers[place], dtype=np.uint64)])
+    hashes = mixed(sums[upto] - sums[upto - length], length.astype(np.uint64))
+    return hashes, np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+
+
+def _grams(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of the size words that end before each of at; those of one word are its own."""
+    out = words[at - size]
+    for k in range(size - 1, 0, -1):
+        out = mixed(out, words[at - k])
     return out
 
 
-def _gaps(words: np.ndarray) -> np.ndarray:
-    """Sorted words as steps, which are smaller."""
-    return np.diff(words, prepend=np.uint64(0))
-
-
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    mixed = first * _MIX
-    mixed ^= mixed >> np.uint64(31)
-    mixed += second
-    mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return mixed ^ (mixed >> np.uint64(29))
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_SCHEMA), _SCHEMA, strict=True)], schema=_SCHEMA)
-
-
-class Model:
-    """What all tasks know: the number of words, the buckets (a power of two), and the hot words and pairs with their counts."""
-
-    def __init__(self, total: int, bits: int, hot: list[tuple[int, int]], pairs: list[tuple[int, int]] | None = None):
-        self.total, self.bits = total, bits
-        self.hot, self.hot_counts = self._table(hot)
-        self.pairs, self.pair_counts = self._table(pairs or [])
-
-    @staticmethod
-    def _table(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array([k for k, _ in rows], np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return keys[order], np.array([n for _, n in rows], np.int64)[order]
-
-    def is_hot(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hot):
-            return np.zeros(len(words), bool)
-        return self.hot[np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)] == words
-
-    def edges(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """(bucket, its slice) of sorted keys; a bucket has the keys that share their first bits."""
-        if not len(keys):
-            return
-        buckets = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-        starts = np.flatnonzero(np.diff(buckets, prepend=-1))
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-            yield int(buckets[a]), slice(a, b)
-
-    def log(self, counts: np.ndarray) -> np.ndarray:
-        """Scores of words by themselves."""
-        return np.rint(UNIT * (np.log(counts) - math.log(self.total)))
-
-
-def _singles(model: Model, chunks: list[int], words: np.ndarray, places: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
-    """Rows of words that are to be scored by themselves, none of them hot. places: of their chunks in the list."""
-    order = np.argsort(words)
-    words, places, docs = words[order], places[order], docs[order]
-    for bucket, part in model.edges(words):
-        found, counts = np.unique(words[part], return_counts=True)
-        yield bucket, SINGLES, None, pack(_gaps(found), counts, places[part], docs[part]), chunks, None
-
-
-def _hot_pairs(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """pair (hash), n: the pairs of two hot words of each batch (doc_id, words), counted."""
-    for batch in batches:
-        hashes = pa.concat_arrays([batch.column(1)])
-        flat, ends = hashes.values.to_numpy(zero_copy_only=False).view(np.uint64), hashes.offsets.to_numpy().astype(np.int64)
-        words = flat[ends[0] : ends[-1]]
-        hot = model.is_hot(words)
-        both = hot[:-1] & hot[1:]
-        inside = ends[1:-1] - ends[0] - 1  # pairs that start here go over the end of a text
-        both[inside[(inside >= 0) & (inside < len(both))]] = False
-        at = np.flatnonzero(both)
-        pairs, n = np.unique(pair_hash(words[at], words[at + 1]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
-
-def _packed(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by bucket of the documents (doc_id, words). A chunk's number is its task's and its place, the same if it is
-    made again."""
-    chunk = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        hashes = pa.concat_arrays([batch.column(1)])
-        flat, ends = hashes.values.to_numpy(zero_copy_only=False).view(np.uint64), hashes.offsets.to_numpy().astype(np.int64)
-        start = 0
-        while start < batch.num_rows:
-            stop = max(int(np.searchsorted(ends, ends[start] + CHUNK, "right")) - 1, start + 1)
-            words, sizes = flat[ends[start] : ends[stop]], np.diff(ends[start : stop + 1])
-            rows = [(chunk % (1 << model.bits), IDS, chunk, None, batch.column(0).slice(start, stop - start).to_pylist(), sizes.tolist())]
-            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            heads = (np.cumsum(sizes) - sizes)[sizes > 0]
-            sums = np.zeros(len(sizes))
-            hot = model.is_hot(words)
-            # First words: hot ones are settled here.
-            at = heads[hot[heads]]
-            sums[doc[at]] += model.log(model.hot_counts[np.searchsorted(model.hot, words[at])])
-            at = heads[~hot[heads]]
-            rows += _singles(model, [chunk], words[at], np.zeros(len(at), np.int8), doc[at])
-            # Pairs by first word, or by both if that is hot.
-            inner = np.ones(max(len(words) - 1, 0), bool)
-            inner[heads[heads > 0] - 1] = False
-            first, second, of = words[:-1][inner], words[1:][inner], doc[1:][inner]
-            key = np.where(hot[:-1][inner], pair_hash(first, second), first)
-            if len(model.pairs):  # hot pairs are settled here, too
-                spot = np.minimum(np.searchsorted(model.pairs, key), len(model.pairs) - 1)
-                own = (model.pairs[spot] == key) & hot[:-1][inner]
-                score = np.rint(UNIT * (np.log(model.pair_counts[spot[own]]) - np.log(model.hot_counts[np.searchsorted(model.hot, first[own])])))
-                sums += np.bincount(of[own], score, minlength=len(sums))
-                key, first, second, of = key[~own], first[~own], second[~own], of[~own]
-                del spot, own, score
-            rows.append((chunk % (1 << model.bits), SUMS, chunk, pack(-sums.astype(np.int64)), None, None))
-            order = np.argsort(key)
-            key, first, second, of = key[order], first[order], second[order], of[order]
-            del order, doc, inner
-            for bucket, part in model.edges(key):
-                known, place = np.unique(np.concatenate([first[part], second[part]]), return_inverse=True)
-                n = part.stop - part.start
-                rows.append((bucket, PAIRS, chunk, pack(_gaps(known), place[:n], place[n:], of[part]), None, None))
-            yield _batch(rows)
-            start, chunk = stop, chunk + 1
-
-
-def _counted(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by bucket of the table of word counts (word, n)."""
-    for batch in batches:
-        words, n = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy()
-        order = np.argsort(words)
-        words, n = words[order], n[order]
-        yield _batch([(bucket, COUNTS, None, pack(_gaps(words[part]), n[part]), None, None) for bucket, part in model.edges(words)])
-
-
-class _Counts:
-    """Counts of the words of one bucket and of the hot ones."""
-
-    def __init__(self, model: Model):
-        self.words, self.n = [model.hot], [model.hot_counts]
-
-    def add(self, payload: bytes) -> None:
-        gaps, n = unpack(payload)
-        self.words.append(np.cumsum(gaps, dtype=np.uint64))
-        self.n.append(n.astype(np.int64))
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if len(self.words) > 1:
-            known, n = np.concatenate(self.words), np.concatenate(self.n)
-            known, first = np.unique(known, return_index=True)
-            self.words, self.n = [known], [n[first]]
-        return self.n[0][np.searchsorted(self.words[0], words)]
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """The rows of one bucket at a time, of rows sorted by bucket."""
-    now, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != now:
-                if rows:
-                    yield now, rows
-                now, rows = row[0], []
-            rows.append(row)
-    if rows:
-        yield now, rows
-
-
-def _summed(bucket: int, chunks: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> Iterator[tuple]:
-    """A row for each chunk of its documents' sums, which are never positive and so are packed without their sign."""
-    order = np.argsort(chunks, kind="stable")
-    chunks, docs, scores = chunks[order], docs[order], scores[order]
-    starts = np.flatnonzero(np.diff(chunks, prepend=-1))
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(chunks)], strict=True):
-        yield bucket, SUMS, int(chunks[a]), pack(-np.bincount(docs[a:b], scores[a:b]).astype(np.int64)), None, None
-
-
-def _pairs_scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of pairs, and the words that are left to score by themselves; other rows pass."""
-    for bucket, rows in _by_bucket(batches):
-        counts, out = _Counts(model), [r for r in rows if r[1] in (IDS, SINGLES, SUMS)]
-        firsts, seconds, docs, chunks = [], [], [], []
-        for _, kind, chunk, payload, _, _ in rows:
-            if kind == COUNTS:
-                counts.add(payload)
-            elif kind == PAIRS:
-                gaps, first, second, doc = unpack(payload)
-                known = np.cumsum(gaps, dtype=np.uint64)
-                firsts.append(known[first])
-                seconds.append(known[second])
-                docs.append(doc)
-                chunks.append(chunk)
-        if firsts:
-            first, second = np.concatenate(firsts), np.concatenate(seconds)
-            _, pair, times = np.unique(pair_hash(first, second), return_inverse=True, return_counts=True)
-            n = times[pair]
-            kept = n >= KEPT
-            score = np.full(len(n), round(UNIT * math.log(BACKOFF)), np.float64)
-            score[kept] = np.rint(UNIT * (np.log(n[kept]) - np.log(counts.of(first[kept]))))
-            hot = ~kept & model.is_hot(second)
-            if hot.any():
-                score[hot] += model.log(model.hot_counts[np.searchsorted(model.hot, second[hot])])
-            left, names = ~kept & ~hot, sorted(set(chunks))
-            place = np.repeat(np.searchsorted(names, chunks), [len(d) for d in docs])
-            doc = np.concatenate(docs).astype(np.int32)
-            out += _summed(bucket, np.array(names)[place], doc, score)
-            out += _singles(model, names, second[left], place[left], doc[left])
-        yield _batch(out)
-
-
-def _words_scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of words by themselves."""
-    for bucket, rows in _by_bucket(batches):
-        counts, chunks, docs, scores = _Counts(model), [], [], []
-        for _, kind, _, payload, _, _ in rows:
-            if kind == COUNTS:
-                counts.add(payload)
-        for _, kind, _, payload, names, _ in rows:
-            if kind == SINGLES:
-                gaps, n, place, doc = unpack(payload)
-                chunks.append(np.array(names)[place])
-                docs.append(doc.astype(np.int32))
-                scores.append(np.repeat(model.log(counts.of(np.cumsum(gaps, dtype=np.uint64))), n.astype(np.int64)))
-        yield _batch(list(_summed(bucket, *map(np.concatenate, (chunks, docs, scores)))) if chunks else [])
-
-
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_tokens, score of each document, of rows sorted by chunk."""
-    names = ["doc_id", "n_tokens", "score"]
-
-    def done(ids, tokens, sums) -> pa.RecordBatch:
-        total = np.zeros(len(ids), np.int64)
-        for s in sums:
-            total[: len(s)] -= s
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(total)], names=names)
-
-    now, ids, tokens, sums = None, None, None, []
-    for batch in batches:
-        for chunk, _, payload, own, n in zip(*(batch.column(c).to_pylist() for c in ("batch", "kind", "payload", "ids", "tokens")), strict=True):
-            if chunk != now:
-                if now is not None:
-                    yield done(ids, tokens, sums)
-                now, sums = chunk, []
-            if own is not None:
-                ids, tokens = own, n
-            else:
-                sums.append(unpack(payload)[0].astype(np.int64))
-    if now is not None:
-        yield done(ids, tokens, sums)
+def _hashed(docs: DataFrame, rows, schema: str) -> DataFrame:
+    """What rows(words, sizes, doc_ids, marks) makes of some documents at a time, a record batch each."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b"" if t is None else t.encode() for t in batch.column(2).to_pylist()]
+            start, size = 0, 0
+            for k, t in enumerate(texts, 1):
+                size += len(t)
+                if size >= GROUP or k == len(texts):
+                    yield rows(*word_hashes(texts[start:k]), batch.column(0).slice(start, k - start), batch.column(1).slice(start, k - start))
+                    start, size = k, 0
+
+    return small_batches(docs).select("doc_id", F.hash("text").alias("mark"), "text").mapInArrow(explode, schema)
+
+
+def n_grams(docs: DataFrame, order: int, counted: bool = True, asked: str = "all", lower: bool = False) -> DataFrame:
+    """_ROWS: the n-grams of an order (history and word), which count, or are asked for ("all", the "first" one of each text,
+    none: ""), or both. Counted ones have a row without word for the history at the end of a text, so that a history counts
+    as often as it occurs; "sums" asks for all and for the count of the first history. A row for each text has its number of
+    words, where all are asked for. lower: with the hash of the history without its first word."""
+
+    def rows(words: np.ndarray, sizes: np.ndarray, doc_ids: pa.Array, marks: pa.Array) -> pa.RecordBatch:
+        ends = np.cumsum(sizes)
+        owner, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+        at = np.flatnonzero(place >= order - 1) if counted or asked != "first" else np.flatnonzero(place == order - 1)
+        wants = np.full(len(at), bool(asked)) if asked != "first" else place[at] == order - 1
+        long = np.flatnonzero(sizes >= order - 1) if order > 1 else np.empty(0, np.intp)
+        last, first = (long if counted else long[:0]), (long if asked == "sums" else long[:0])
+        texts = np.arange(len(sizes)) if asked in ("all", "sums") else np.empty(0, np.intp)
+        owners = np.concatenate([owner[at], last, first, texts])
+        spots = np.concatenate([at, ends[last], ends[first] - sizes[first] + order - 1]) if order > 1 else at
+        history = _grams(words, spots, order - 1) if order > 1 else np.zeros(len(spots), np.uint64)
+        none = np.ones(len(owners), bool)
+        word_there, history_there = none.copy(), none.copy()
+        word_there[len(at) :], history_there[len(spots) :] = False, False
+        pad = lambda x: np.concatenate([x.view(np.int64), np.zeros(len(owners) - len(x), np.int64)])
+        short = pad(_grams(words, at, order - 2)) if lower and order > 2 else np.zeros(len(owners), np.int64)
+        flags = np.zeros((2, len(owners)), np.int32)
+        flags[0, : len(at) + len(last)] = counted
+        flags[1, : len(at)] = wants
+        flags[1, len(at) + len(last) : len(spots)] = 1
+        tokens = np.concatenate([np.zeros(len(spots), np.int64), sizes[texts]])
+        who = pa.array(owners)
+        return pa.RecordBatch.from_arrays(
+            [doc_ids.take(who), marks.take(who), pa.array(pad(history), mask=~history_there), pa.array(pad(words[at]), mask=~word_there), pa.array(short, mask=~word_there | (not lower) | (order < 3)), pa.array(flags[0]), pa.array(flags[1]), pa.array(tokens, mask=history_there)],
+            names=[c.split()[0] for c in _ROWS.split(", ")],
+        )
+
+    return _hashed(docs, rows, _ROWS)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (hash), n: how often each word occurs in all documents."""
-    words = docs.select(F.explode(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))).alias("word"))
-    return staged(words.groupBy("word").agg(F.count("*").alias("n")), "words")
-
-
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-
-
-def modelled(docs: DataFrame, words: DataFrame, share: int = SHARE) -> Model:
-    """words: word_counts() of docs."""
-    total = words.agg(F.sum("n")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(total, 1) / share)))
-    least = total / (4 << bits)
-    hot = [(r["word"], r["n"]) for r in words.where(F.col("n") > least).collect()]  # 4 << bits rows at most
-    if not bits or not hot:
-        return Model(max(total, 1), bits, hot)
-    shipped = docs.sparkSession.sparkContext.broadcast(Model(total, bits, hot))
-    pairs = _hashed(docs).mapInArrow(lambda batches: _hot_pairs(shipped.value, batches), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    return Model(total, bits, hot, [(r["pair"], r["n"]) for r in pairs.where((F.col("n") > least) & (F.col("n") >= KEPT)).collect()])  # as many
-
-
-def scored(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """doc_id, n_tokens, log_score (natural, rounded to millionths), mean_log_score: a row for each row of docs."""
-    words = word_counts(small_batches(docs))
-    model = docs.sparkSession.sparkContext.broadcast(modelled(docs, words, share))
-    step = lambda f: lambda batches: f(model.value, batches)
-    counts = words.mapInArrow(step(_counted), _ROW)
-    dealt = lambda rows: rows.unionByName(counts).repartition("bucket").sortWithinPartitions("bucket")
-    pairs = staged(dealt(_hashed(docs).mapInArrow(step(_packed), _ROW)).mapInArrow(step(_pairs_scored), _ROW), "pairs")
-    singles = dealt(pairs.where(F.col("kind") == SINGLES)).mapInArrow(step(_words_scored), _ROW)
-    sums = pairs.where(F.col("kind").isin(IDS, SUMS)).unionByName(singles).select("batch", "kind", "payload", "ids", "tokens")
-    rows = sums.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_documents, "doc_id bigint, n_tokens bigint, score bigint")
-    value = F.when(F.col("n_tokens") > 0, F.col("score") / UNIT)
-    return rows.select("doc_id", "n_tokens", value.alias("log_score"), (value / F.col("n_tokens")).alias("mean_log_score"))
+
+    def rows(words: np.ndarray, *_) -> pa.RecordBatch:
+        words, n = np.unique(words, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    return staged(_hashed(docs, rows, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words", gather=True)
+
+
+def hot_counts(corpus: DataFrame, docs: DataFrame | None, order: int, words: DataFrame, least: float) -> DataFrame:
+    """history, word (null: any), n: the histories and n-grams of an order (over 1) that occur more than least times in the
+    corpus and docs, with their counts in the corpus. words: the words of both.
+
+    Each of their words is as frequent, of which there are few, so n-grams with others are left out where they are read.
+    """
+    few = words.where(F.col("n") > least).select("word").collect()  # n / least rows at most
+    shipped = corpus.sparkSession.sparkContext.broadcast(np.sort(np.array([r["word"] for r in few], np.int64).view(np.uint64)))
+
+    def rows(words: np.ndarray, sizes: np.ndarray, *_) -> pa.RecordBatch:
+        hot, place = shipped.value, np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        known = hot[np.minimum(np.searchsorted(hot, words), len(hot) - 1)] == words if len(hot) else np.zeros(len(words), bool)
+
+        def ends(size: int) -> np.ndarray:
+            """Where size hot words of a text end."""
+            whole = place >= size - 1
+            for k in range(size):
+                whole[k:] &= known[: len(known) - k]
+            return np.flatnonzero(whole)
+
+        short, long = ends(order - 1), ends(order)
+        history = np.concatenate([_grams(words, short + 1, order - 1), _grams(words, long, order - 1)])
+        word = np.concatenate([words[short], words[long]])
+        return pa.RecordBatch.from_arrays([pa.array(history.view(np.int64)), pa.array(word.view(np.int64), mask=np.arange(len(word)) < len(short))], names=["history", "word"])
+
+    found = _hashed(corpus, rows, "history bigint, word bigint").withColumn("n", F.lit(1))
+    if docs is not None:
+        found = found.unionByName(_hashed(docs, rows, "history bigint, word bigint").withColumn("n", F.lit(0)))
+    counts = found.groupBy("history", "word").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    return staged(counts.where(F.col("rows") > least).drop("rows"), "hot", gather=True)
+
+
+def log_of(count: Column) -> Column:
+    return F.round(UNIT * F.log(count)).cast("bigint")
+
+
+def resolved(rows: DataFrame, hot: DataFrame, partitions: int) -> DataFrame:
+    """rows of n_grams() with n, how often the n-gram occurs among the counted rows, and total, how often its history does."""
+    totals = F.broadcast(hot.where("word is null").select("history", F.col("n").alias("hot_total")))
+    times = F.broadcast(hot.where("word is not null").select("history", "word", F.col("n").alias("hot_n")))
+    known = rows.join(totals, "history", "left").join(times, ["history", "word"], "left")
+    counted = F.col("hot_n").isNotNull() | F.col("history").isNull() | (F.col("hot_total").isNotNull() & F.col("word").isNull())
+    slot = F.when(counted, F.xxhash64(*_KEY)).when(F.col("hot_total").isNotNull(), F.col("word")).otherwise(0)
+    dealt = known.withColumn("slot", slot).repartition(partitions, "history", "slot")
+    here = Window.partitionBy("history", "slot")
+    n, total = F.sum("counted").over(Window.partitionBy("history", "slot", "word")), F.sum("counted").over(here)
+    return dealt.select(*rows.columns, F.coalesce("hot_n", n).alias("n"), F.coalesce("hot_total", total).alias("total"))
+
+
+def scored(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, least: int = LEAST, share: int = SHARE) -> DataFrame:
+    """doc_id, n_tokens, log_score (natural, rounded to millionths), mean_log_score: a row for each row of docs (doc_id, text),
+    under the counts of corpus (text), which is docs itself if none is given."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
+    certain = corpus is None and least <= 1
+    source = docs if corpus is None else corpus.select(F.lit(None).cast("bigint").alias("doc_id"), "text")
+    words = word_counts(source)
+    every = words if corpus is None else words.unionByName(word_counts(docs)).groupBy("word").agg(F.sum("n").alias("n"))
+    total, size = (table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] for table in (words, every))
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / share))
+    hot = lambda k: hot_counts(source, None if corpus is None else docs, k, every, size / (HOT * partitions))
+    alone = F.lit(round(UNIT * math.log(max(total, 1))))
+    sums = []
+
+    def add(rows: DataFrame, term: Column) -> None:
+        sums.append(rows.select(*_KEY, term.alias("term"), "tokens"))
+
+    if certain:
+        rows = resolved(n_grams(docs, order, asked="sums"), hot(order), partitions)
+        # The first words, as many as a history has, score their count / N in all: each one's count is the next one's history.
+        term = F.when(F.col("word").isNotNull(), log_of(F.col("n")) - log_of(F.col("total"))).when(F.col("asked") == 1, log_of(F.col("total")) - alone)
+        add(rows.where((F.col("asked") == 1) | F.col("tokens").isNotNull()), term)
+        left = n_grams(docs.where(F.col("text").rlike(ONE_WORD)), 1, counted=False, asked="first") if order > 2 else None
+    else:
+        left = None
+        for k in range(order, 1, -1):
+            asked = n_grams(docs, k, counted=False, asked="all" if k == order else "first", lower=True)
+            rows = n_grams(source, k, asked="").unionByName(asked if left is None else asked.unionByName(left))
+            rows = staged(resolved(rows, hot(k), partitions).where((F.col("asked") == 1) | F.col("tokens").isNotNull()), "scored")
+            seen = F.col("n") >= least
+            add(rows, F.when(F.col("word").isNotNull(), F.when(seen, log_of(F.col("n")) - log_of(F.col("total"))).otherwise(round(UNIT * math.log(BACKOFF)))))
+            null = F.lit(None).cast("bigint")
+            left = rows.where(F.col("word").isNotNull() & ~seen).select(*_KEY, F.col("lower").alias("history"), "word", null.alias("lower"), F.lit(0).alias("counted"), F.lit(1).alias("asked"), null.alias("tokens"))
+        left = left.unionByName(n_grams(docs, 1, counted=False, asked="first"))
+    if left is not None:
+        add(left.join(words, "word", "left"), log_of(F.coalesce("n", F.lit(1))) - alone)
+    rows = sums[0]
+    for more in sums[1:]:
+        rows = rows.unionByName(more)
+    # Rows of one id and text are one document that stands there as often as it has a number of words.
+    found = rows.groupBy(*_KEY).agg(F.sum("term").alias("score"), F.max("tokens").alias("n_tokens"), F.count("tokens").alias("copies"))
+    value = F.when(F.col("n_tokens") > 0, F.col("score") / F.col("copies") / UNIT)
+    return found.select("doc_id", F.col("n_tokens"), value.alias("log_score"), (value / F.col("n_tokens")).alias("mean_log_score"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")

@@ -31,11 +31,13 @@ p AS (SELECT g.*, k < n * {_RATE} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j +
 best AS (SELECT stratum, rule, arg_max(cutoff, (caught - {quality.COST} * k, cutoff)) AS cutoff FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.stratum = p.stratum AND q.rule = p.rule AND q.i <= p.i AND NOT q.safe) AND caught - {quality.COST} * k > 0 GROUP BY stratum, rule)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM v JOIN best USING (stratum, rule) WHERE v.r = d.r AND x > cutoff) AS kept FROM d"""
 
-#: Pairs and words counted over all documents; logarithms in rounded millionths, ln(0.4) among them.
+#: N-grams of up to three words counted over all documents; logarithms in rounded millionths, ln(0.4) among them.
 BACKOFF = f"""WITH {_WORDS},
 w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
-p AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM w),
-c1 AS (SELECT w, count(*) AS n FROM w GROUP BY w), c2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w), total AS (SELECT count(*) AS n FROM w),
-s AS (SELECT r, sum(CASE WHEN c2.n >= 2 THEN round(1e6::DOUBLE * (ln(c2.n) - ln(cv.n))) ELSE CASE WHEN p.v IS NULL THEN 0 ELSE -916291 END + round(1e6::DOUBLE * (ln(c1.n) - ln(total.n))) END) AS s
-      FROM p CROSS JOIN total JOIN c1 ON c1.w = p.w LEFT JOIN c1 cv ON cv.w = p.v LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w GROUP BY r)
+p AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS u FROM w),
+c1 AS (SELECT w, count(*) AS n FROM w GROUP BY w), c2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w), c3 AS (SELECT u, v, w, count(*) AS n FROM p WHERE u IS NOT NULL GROUP BY u, v, w),
+k AS (SELECT p.*, c3.n AS n3, cuv.n AS nuv, c2.n AS n2, cv.n AS nv, c1.n AS n1, (SELECT count(*) FROM w) AS total
+      FROM p JOIN c1 ON c1.w = p.w LEFT JOIN c1 cv ON cv.w = p.v LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN c2 cuv ON cuv.v = p.u AND cuv.w = p.v LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w),
+s AS (SELECT r, sum(CASE WHEN n3 >= 1 THEN round(1e6::DOUBLE * ln(n3)) - round(1e6::DOUBLE * ln(nuv)) WHEN n2 >= 1 THEN CASE WHEN u IS NULL THEN 0 ELSE -916291 END + round(1e6::DOUBLE * ln(n2)) - round(1e6::DOUBLE * ln(nv))
+      ELSE CASE WHEN v IS NULL THEN 0 WHEN u IS NULL THEN -916291 ELSE -2 * 916291 END + round(1e6::DOUBLE * ln(n1)) - round(1e6::DOUBLE * ln(total)) END) AS s FROM k GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, s / 1e6::DOUBLE AS log_score, s / 1e6::DOUBLE / len(ws) AS mean_log_score FROM t LEFT JOIN s USING (r)"""

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cuemill.llm import decontaminate, jaccard, language, language_model, license_scan
 
@@ -308,46 +309,55 @@ def test_licences_in_documents(docs, odd, none):
     assert license_scan.scanned(odd).count() == 0 and license_scan.scanned(none).count() == 0
 
 
-def plain_scores(rows):
+def plain_scores(rows, corpus=None, order=3, least=1):
     words = [re.findall(WORD, r["text"] or "") for r in rows]
-    one, two = collections.Counter(w for x in words for w in x), collections.Counter(p for x in words for p in zip(x, x[1:], strict=False))
-    total = sum(one.values())
-    unit = lambda x: int(np.rint(1e6 * x))
-    out = []
-    for r, x in zip(rows, words, strict=True):
-        score = 0
-        for i, w in enumerate(x):
-            if i and two[x[i - 1], w] >= 2:
-                score += unit(np.log(two[x[i - 1], w]) - np.log(one[x[i - 1]]))
-            else:
-                score += (round(1e6 * math.log(0.4)) if i else 0) + unit(np.log(one[w]) - math.log(total))
-        out.append((r["doc_id"], len(x), score / 1e6 if x else None))
+    known = words if corpus is None else [re.findall(WORD, r["text"] or "") for r in corpus]
+    counts = [collections.Counter(tuple(x[i : i + k]) for x in known for i in range(len(x) - k + 1)) for k in range(order + 1)]
+    total = max(counts[1].total(), 1)
+    unit = lambda x: int(np.rint(1e6 * np.log(x)))
+
+    def score(gram):
+        if len(gram) == 1:
+            return unit(max(counts[1][gram], 1)) - unit(total)
+        if counts[len(gram)][gram] >= least:
+            return unit(counts[len(gram)][gram]) - unit(counts[len(gram) - 1][gram[:-1]])
+        return round(1e6 * math.log(0.4)) + score(gram[1:])
+
+    out = [(r["doc_id"], len(x), sum(score(tuple(x[max(i - order + 1, 0) : i + 1])) for i in range(len(x))) / 1e6 if x else None) for r, x in zip(rows, words, strict=True)]
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("share", [2_000_000, 3000])
-def test_scores_equal_brute_force(docs, odd, none, share):
+def scores(table, *args, **levels):
+    return sorted(((r["doc_id"], r["n_tokens"], r["log_score"]) for r in language_model.scored(table, *args, **levels).collect()), key=str)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_equal_brute_force(docs, odd, none, order):
     for table in (docs, odd):
-        got = sorted(((r["doc_id"], r["n_tokens"], r["log_score"]) for r in language_model.scored(table, share).collect()), key=str)
-        assert got == plain_scores(table.collect())
-    assert language_model.scored(none, share).count() == 0
+        assert scores(table, order=order) == plain_scores(table.collect(), order=order)
+    assert not scores(none, order=order) and not scores(none, docs)
 
 
-def test_hot_pairs_are_spread(spark):
-    rng = random.Random(5)
-    texts = ["x " * 2000 + f"y{i}" for i in range(10)] + ["to be or not to be " * 30 + f"z{rng.randrange(9)}" for i in range(40)] + [" ".join(f"w{rng.randrange(3000)}" for _ in range(500)) for _ in range(40)] + ["", None, "x", "x x"]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    got = sorted(((r["doc_id"], r["n_tokens"], r["log_score"]) for r in language_model.scored(table, 3000).collect()), key=str)
-    assert got == plain_scores(table.collect())
-    model = language_model.modelled(table, language_model.word_counts(table), 3000)
-    rows = language_model._hashed(table).mapInArrow(lambda b: language_model._packed(model, b), language_model._ROW).where(f"kind = {language_model.PAIRS}").collect()
-    pairs = collections.Counter()
-    for r in rows:
-        pairs[r["bucket"]] += len(language_model.unpack(r["payload"])[1])
-    assert model.bits and max(pairs.values()) <= 2 * 3000
+@pytest.mark.parametrize("order", [2, 3])
+def test_rare_n_grams_back_off(docs, odd, none, order):
+    """Where n-grams must be seen twice, and where others count than are scored, words back off."""
+    some, rest = docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0")
+    assert scores(some, order=order, least=2) == plain_scores(some.collect(), order=order, least=2)
+    assert scores(some, rest, order=order, least=1) == plain_scores(some.collect(), rest.collect(), order)
+    assert scores(odd, docs, order=order, least=3) == plain_scores(odd.collect(), docs.collect(), order, 3)
+    assert scores(some, none, order=order) == plain_scores(some.collect(), [], order)
 
 
-def test_packing():
-    for arrays in ([np.array([0, 5, 300], np.uint64), np.array([], np.int64), np.arange(70_000)], [np.array([2**64 - 1], np.uint64)]):
-        for a, b in zip(arrays, language_model.unpack(language_model.pack(*arrays)), strict=True):
-            assert (a == b).all()
+def test_hot_n_grams_are_spread(spark):
+    rng = random.Random(5)
+    texts = ["x " * 2000 + f"y{i}" for i in range(10)] + ["to be or not to be " * 30 + f"z{rng.randrange(9)}" for i in range(40)] + [" ".join(f"w{rng.randrange(3000)}" for _ in range(500)) for _ in range(40)] + ["", None, "x", "x x", "x x x"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert scores(table, share=1000) == plain_scores(table.collect())
+    assert scores(table, share=1000, least=2) == plain_scores(table.collect(), least=2)
+    words = language_model.word_counts(table)
+    hot = language_model.hot_counts(table, None, 3, words, 500)
+    counted = {(r["word"] is None, r["n"]) for r in hot.collect()}
+    assert {(True, 19993), (False, 19981)} <= counted
+    rows = language_model.resolved(language_model.n_grams(table, 3, asked="sums"), hot, 45)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 5 * sum(sizes) / 45
