@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cuemill.functions.text import collapse
+from cuemill.functions.text import bytes_label, collapse
 
 #: Fixed values of the domain.
 MEDIA = (".aac", ".avi", ".flac", ".m4a", ".mka", ".mkv", ".mov", ".mp3", ".mp4", ".mpeg", ".mpg", ".oga", ".ogg", ".opus", ".wav", ".webm")
@@ -30,6 +30,22 @@ def optional(text: Column, kind: str) -> Column:
     return blank_to_null(text).cast(kind)
 
 
+def required(value: Column, text: Column, name: str) -> Column:
+    """value, which was made of text; text that makes none fails the query."""
+    return F.when(value.isNotNull() | blank_to_null(text).isNull(), value).otherwise(F.raise_error(F.concat(F.lit(f"{name} is invalid: "), text)))
+
+
+def whole(text: Column) -> Column:
+    """A whole number, null for anything else."""
+    return F.when(F.trim(text).rlike(r"^[+-]?[0-9]+$"), F.trim(text).try_cast("bigint"))
+
+
+def choice(text: Column, allowed: tuple[str, ...]) -> Column:
+    """One of the allowed words in lower case, null for others."""
+    t = F.lower(F.trim(text))
+    return F.when(t.isin(*allowed), t)
+
+
 def flag(text: Column) -> Column:
     """Boolean words, null for others."""
     t = F.lower(F.trim(text))
@@ -70,6 +86,12 @@ def pick_stream(streams: Column, wanted: Column) -> Column:
     return F.when(wanted.isNull(), F.get(streams, F.lit(0))).otherwise(F.get(F.filter(streams, lambda s: s["index"] == wanted), F.lit(0)))
 
 
+def stream_error(streams: Column, wanted: Column) -> Column:
+    """What is said where the wanted stream isn't there: which ones are."""
+    there = F.array_join(F.transform(streams, lambda s: s["index"].cast("string")), ", ")
+    return F.when(wanted.isNotNull() & ~F.exists(streams, lambda s: s["index"] == wanted), F.concat(F.lit("Audio stream "), wanted.cast("string"), F.lit(" is unavailable; available indexes: "), there))
+
+
 def passes_through(path: Column, codec: Column, rate: Column, channels: Column) -> Column:
     """Can a WAV file be used as it is?"""
     return F.coalesce(F.lower(path).endswith(".wav") & codec.isin("pcm_s16le", "pcm_f32le") & rate.between(8_000, 96_000) & channels.isin(1, 2), F.lit(False))
@@ -87,10 +109,24 @@ def artifacts_there(files: Column, formats: Column, language: Column | None = No
     return F.array_contains(files, first) & F.forall(formats, lambda f: F.array_contains(files, name(f)))
 
 
-def action(state: Column, resume: Column, force: Column, ready: Column) -> Column:
-    """What to do with a source that has a manifest (state not null) or none."""
+def action(state: Column, resume: Column, force: Column, ready: Column, wanted: Column | None = None, made: Column | None = None, matches: Column | None = None, there: Column | None = None) -> Column:
+    """What to do with a source that has a manifest (state not null) or none.
+
+    A translation may be wanted: then a completed job is only ready if its translation matches and its files are there, and
+    one that exists (made) with other settings is a conflict.
+    """
     done = state.eqNullSafe(F.lit("completed"))
-    return F.when(state.isNull(), "new").when(force, "new").when(done & resume & ready, "skip").when(resume, "resume").otherwise("conflict")
+    none = F.lit(False)
+    wanted, made, matches, there = (none if c is None else F.coalesce(c, none) for c in (wanted, made, matches, there))
+    ready = ready & (~wanted | (matches & there))
+    clash = done & resume & wanted & made & ~matches
+    return F.when(state.isNull() | force, "new").when(done & resume & ready, "skip").when(clash, "translation conflict").when(resume, "resume").otherwise("conflict")
+
+
+def managed(explicit: Column, installed: Column, default: Column | None = None) -> Column:
+    """A setting that nobody has set (null, empty or still the default) comes from the installation, if that has one."""
+    unset = blank_to_null(explicit).isNull() if default is None else explicit.eqNullSafe(default)
+    return F.when(unset & installed.isNotNull(), installed).otherwise(blank_to_null(explicit))
 
 
 def judged_edit(typed: Column, original: Column, most: int = 1000) -> Column:
@@ -195,10 +231,20 @@ def kept_lines(text: Column, recorded: dict[str, Column]) -> Column:
     return F.array_join(F.filter(F.split(text, "(?<=\n)"), lambda x: ~repeats(F.regexp_replace(x, "[\r\n]+$", ""))), "")
 
 
-def setup_issues(runtime_ok: Column, models_ok: Column, has_asr: Column, config_there: Column, doctor: Column) -> Column:
-    """What is wrong with an installation, in order. models_ok: array of (kind, ok); doctor: true, false or null if never run."""
-    models = F.transform(F.filter(models_ok, lambda m: ~m["ok"]), lambda m: F.concat(m["kind"], F.lit(" model is missing or changed")))
-    return F.array_compact(F.concat(F.array(F.when(~runtime_ok, "runtime is missing or changed")), models, F.array(F.when(~has_asr, "no ASR model"), F.when(~config_there, "no configuration file"), F.when(doctor.isNull(), "not diagnosed yet").when(~doctor, "diagnosed as not ready"))))
+#: What is said of an installation, in order.
+ISSUES = ("setup has not been completed", "runtime is missing or its checksum changed", " model is missing or its checksum changed", "ASR model is not installed", "configuration file is missing", "diagnostics have not completed", "the last diagnostic run was not ready")
+HEADLINES = ("Checking the installation…", "Using your own configuration", "Not installed yet", "Installed, but needs repair", "Installed and ready")
+TONES = ("muted", "ok", "warning", "warning", "ok")
+INSTALL_NOTE = "Choose a backend below and install the engine and speech model."
+OWN_NOTE = "The installation record is missing, but your configuration already points at a working engine and models, so transcription is ready. Running setup would install managed copies alongside them."
+
+
+def setup_issues(installed: Column, runtime_ok: Column, models_ok: Column, has_asr: Column, config_there: Column, doctor: Column) -> Column:
+    """What is wrong with an installation, in order; it is ready if nothing is. models_ok: array of (kind, ok); doctor: true,
+    false or null if never run."""
+    models = F.transform(F.filter(models_ok, lambda m: ~m["ok"]), lambda m: F.concat(m["kind"], F.lit(ISSUES[2])))
+    last = F.array(F.when(~has_asr, ISSUES[3]), F.when(~config_there, ISSUES[4]), F.when(doctor.isNull(), ISSUES[5]).when(~doctor, ISSUES[6]))
+    return F.when(~installed, F.array(F.lit(ISSUES[0]))).otherwise(F.array_compact(F.concat(F.array(F.when(~runtime_ok, ISSUES[1])), models, last)))
 
 
 def setup_actions(reuse: Column, legacy: Column, archive: Column) -> Column:
@@ -206,9 +252,13 @@ def setup_actions(reuse: Column, legacy: Column, archive: Column) -> Column:
     return F.when(reuse, "reuse").when(legacy, "adopt").when(archive, "install").otherwise("build")
 
 
-def install_headline(installed: Column, ready: Column, works: Column) -> Column:
-    """One word on an installation: unknown, own (not installed, but what is configured works), absent, broken or ready."""
-    return F.when(installed.isNull(), "unknown").when(~installed & works, "own").when(~installed, "absent").when(~ready, "broken").otherwise("ready")
+def install_summary(installed: Column, ready: Column, works: Column, issues: Column) -> Column:
+    """headline, notes and tone on an installation: unknown (null), not recorded though what is configured works, absent,
+    broken or ready."""
+    case = F.when(installed.isNull(), 0).when(~installed & works, 1).when(~installed, 2).when(~ready, 3).otherwise(4)
+    notes = F.when(case == 0, F.array().cast("array<string>")).when(case == 1, F.array(F.lit(OWN_NOTE))).when(case == 2, F.array(F.lit(INSTALL_NOTE))).otherwise(F.coalesce(issues, F.array().cast("array<string>")))
+    pick = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), case + 1)
+    return F.struct(pick(HEADLINES).alias("headline"), notes.alias("notes"), pick(TONES).alias("tone"))
 
 
 def feature_installed(name: Column, features: Column, working: Column) -> Column:
@@ -249,5 +299,15 @@ def job_options_error(formats: Column, translate: Column, source: Column, target
     return F.when(F.size(F.array_intersect(formats, F.array(*[F.lit(f) for f in FORMATS]))) == 0, "formats").when(translate & (F.coalesce(blank_to_null(source), blank_to_null(target)).isNull() | blank_to_null(source).isNull() | blank_to_null(target).isNull()), "languages").when(translate & (source == target), "same language").when(~whole(stream, 0, (1 << 31) - 1), "stream").when(~whole(workers, 1, 8), "workers")
 
 
+#: What is said of uploads that are too large.
+LIMIT_TEXT = ("The selected files total ", ", but the server accepts at most ", " per upload. ", "Restart with a larger --max-upload-mb, or enter local paths instead.", "Restart with a larger --max-upload-mb.")
+
+
+def limit_message(total: Column, limit: Column, local_paths: Column) -> Column:
+    """The text to show instead of sending files that are too large, null if they fit or there is no limit."""
+    a, b, c, local, plain = LIMIT_TEXT
+    return F.when(upload_too_large(total, limit), F.concat(F.lit(a), bytes_label(total), F.lit(b), bytes_label(limit), F.lit(c), F.when(local_paths, local).otherwise(plain)))
+
+
 def upload_too_large(total: Column, limit: Column) -> Column:
     return F.coalesce((limit > 0) & (total > limit), F.lit(False))

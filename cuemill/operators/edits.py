@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cuemill.functions.text import collapse, speaker_label
 
 KEYS = ["job_id", "idx"]
+#: Fixed value: what is said of a translation that doesn't line up.
+UNEVEN = "The translation has %d lines and the transcript has %d, so translations can’t be shown beside each line. Download the translation to read it."
 
 
 def merged_edits(earlier: DataFrame, later: DataFrame, merge: bool = True) -> DataFrame:
@@ -41,24 +43,31 @@ def edit_faults(edits: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.select(*KEYS, F.when(F.col("idx") >= F.coalesce("segments", F.lit(0)), "missing").when(F.col("n") > 1, "twice").alias("fault")).where("fault is not null")
 
 
+def invalid_lines(lines: DataFrame) -> DataFrame:
+    """job_id, invalid: how many lines of each job can't be saved. lines: job_id, idx, kind (as of rules.judged_edit())."""
+    return lines.groupBy("job_id").agg(F.count_if(F.col("kind") == "invalid").alias("invalid"))
+
+
 def edit_summary(edits: DataFrame) -> DataFrame:
     return edits.groupBy("job_id").agg(F.count("*").alias("edited_segments"), F.array_sort(F.collect_list("idx")).alias("edited_indices"))
 
 
-def editor_rows(segments: DataFrame, edits: DataFrame, translations: DataFrame) -> DataFrame:
+def editor_rows(segments: DataFrame, edits: DataFrame, translations: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """job_id, idx, start, end, speaker, original, text, edited, translation, note.
 
     A translation is shown only if it has as many lines as the transcript; note says so if not. translations: job_id, idx,
-    text.
+    text; documents: job_id of all translations, also of those without any line.
     """
     ours = segments.groupBy("job_id").agg(F.count("*").alias("lines"))
     theirs = translations.groupBy("job_id").agg(F.count("*").alias("others"))
+    if documents is not None:
+        theirs = documents.select("job_id").distinct().join(theirs, "job_id", "left").select("job_id", F.coalesce("others", F.lit(0)).alias("others"))
     gate = ours.join(theirs, "job_id", "left")
     rows = segments.join(edits.select(*KEYS, F.col("text").alias("new")), KEYS, "left").join(gate, "job_id").join(translations.select(*KEYS, F.col("text").alias("other")), KEYS, "left")
     original = collapse(F.col("text"))
     text = F.coalesce("new", original)
     fits = F.col("others") == F.col("lines")
-    note = F.when(F.col("others").isNotNull() & ~fits, F.format_string("translation has %d lines, transcript %d", "others", "lines"))
+    note = F.when(F.col("others").isNotNull() & ~fits, F.format_string(UNEVEN, "others", "lines"))
     return rows.select("job_id", "idx", "start", "end", speaker_label(F.col("speaker")).alias("speaker"), original.alias("original"), text.alias("text"), (text != original).alias("edited"), F.when(fits, F.col("other")).alias("translation"), note.alias("note"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.functions.rules import FILES
+from cuemill.functions.rules import FILES, bundled_library
 from cuemill.functions.text import safe_stem
 
 DIGEST = "^[0-9a-f]{64}$"
@@ -37,6 +37,17 @@ def content_id(source_sha: Column, options: dict[str, Column]) -> Column:
     return F.sha2(json_object({"source": json_text(source_sha), "options": json_object(options)}), 256)
 
 
+def path_identity(path: Column, size: Column, modified_ns: Column) -> Column:
+    """JSON of a path as it is found: with its size and time, or as missing if there is no size."""
+    there = json_object({"path": json_text(path), "size": json_number(size), "modified_ns": json_number(modified_ns)})
+    return F.when(size.isNull(), json_object({"path": json_text(path), "missing": F.lit("true")})).otherwise(there)
+
+
+def request_id(inputs: Column, options: dict[str, Column]) -> Column:
+    """A request's id: the hash of its options, JSON texts by name, with the identities of its inputs in their order."""
+    return F.sha2(json_object({**options, "inputs": F.concat(F.lit("["), F.array_join(inputs, ","), F.lit("]"))}), 256)
+
+
 def mutation_key(path: Column, output: Column) -> Column:
     return F.sha2(F.concat(path, F.lit("\0"), F.coalesce(output, F.lit("<default-output>"))), 256)
 
@@ -100,11 +111,24 @@ def reusable(installed: DataFrame, registry: DataFrame) -> DataFrame:
     return installed.join(registry.select("id", "kind", "sha256"), ["id", "kind", "sha256"], "left_semi")
 
 
-def dependency_issues(edges: DataFrame, folder: str) -> DataFrame:
-    """issues: sorted texts on libraries that are missing or lie outside the folder. edges: file, name, target."""
-    outside = F.col("target").isNotNull() & ~F.col("target").startswith(folder.rstrip("/") + "/")
-    issue = F.when(F.col("target").isNull(), F.concat_ws(" ", F.col("name"), F.lit("not found"))).when(outside, F.concat_ws(" ", F.col("name"), F.lit("outside")))
-    return edges.agg(F.array_sort(F.collect_set(issue)).alias("issues"))
+#: Libraries that an archive brings along, those of the host's driver, and what an archive without any is told.
+REDISTRIBUTABLE = ("libcublas", "libcublasLt", "libcudart", "libcufft", "libcurand", "libcusolver", "libcusparse", "libnccl", "libnpp", "libnvJitLink", "libnvrtc", "libnvToolsExt")
+HOST_DRIVER = ("libcuda.so.1", "libnvidia-ml.so.1")
+NO_FILES = "archive contains no ELF runtime files"
+
+
+def dependency_issues(edges: DataFrame, folder: str, host_driver: bool = False) -> DataFrame:
+    """issues: sorted names of libraries that are missing, except those of the host's driver if it may be there, and of
+    redistributable ones that are found outside the folder. An archive without files is an issue by itself.
+
+    edges: file, name (null for a file that needs none), target.
+    """
+    missing = F.col("name").isNotNull() & F.col("target").isNull()
+    if host_driver:
+        missing = missing & ~F.col("name").isin(*HOST_DRIVER)
+    outside = bundled_library(F.col("name"), list(REDISTRIBUTABLE)) & ~F.col("target").startswith(folder.rstrip("/") + "/")
+    names = F.array_sort(F.collect_set(F.when(missing | outside, F.col("name"))))
+    return edges.agg(F.when(F.count("file") == 0, F.array(F.lit(NO_FILES))).otherwise(names).alias("issues"))
 
 
 def archive_rows(files: DataFrame) -> DataFrame:

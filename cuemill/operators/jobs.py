@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.functions.rules import ENDED
+from cuemill.functions.rules import ENDED, setup_end
 
 NEWEST, HISTORY = 5, 1000
 
@@ -120,6 +120,39 @@ def numbered_events(events: DataFrame, most: int = HISTORY) -> DataFrame:
     return events.withColumn("event_id", n).withColumn("__last", last).where(F.col("__last") - F.col("event_id") < most).drop("__last")
 
 
+def numbered_runs(events: DataFrame, most: int = HISTORY) -> DataFrame:
+    """events with event_id, rising over all runs of a stream, of which those of its last run are kept, the newest ones.
+    events: stream_id, run, seq, ..."""
+    everything = Window.partitionBy("stream_id")
+    n = F.row_number().over(everything.orderBy("run", "seq"))
+    kept = events.withColumns({"event_id": n, "__run": F.max("run").over(everything), "__last": F.count("*").over(everything)})
+    return kept.where((F.col("run") == F.col("__run")) & (F.col("__last") - F.col("event_id") < most)).drop("__run", "__last")
+
+
+def relayed(events: DataFrame) -> DataFrame:
+    """What a setup run passes on while it works: its end is published by itself, once settings are loaded again."""
+    return events.where(~setup_end(F.col("stage")))
+
+
+def looked_up(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, state, error of each id that is asked for: the error of missing jobs is missing_job. wanted: id."""
+    found = jobs.select("id", "state")
+    return wanted.select("id").join(found, "id", "left").select("id", "state", F.when(F.col("state").isNull(), "missing_job").alias("error"))
+
+
+def payloads(events: DataFrame) -> DataFrame:
+    """Events as clients see them: sources by their names. events: job_id, event_id, source, stage, status, message,
+    completed, total, timestamp, media_seconds, estimated_seconds."""
+    return events.select("job_id", "event_id", F.element_at(F.split("source", "/"), -1).alias("source"), "stage", "status", "message", "completed", "total", "timestamp", "media_seconds", "estimated_seconds")
+
+
+def batch_routes(jobs: DataFrame) -> DataFrame:
+    """pos, job_id, route: jobs share a loaded model where there are several in a request that may, else each is alone.
+    jobs: request_id, pos, job_id, shared (may they)."""
+    several = F.count_if("shared").over(Window.partitionBy("request_id")) > 1
+    return jobs.select("request_id", "pos", "job_id", F.when(F.col("shared") & several, "shared").otherwise("isolated").alias("route"))
+
+
 def replayed(events: DataFrame, after: int) -> DataFrame:
     return events.where(F.col("event_id") > after)
 
@@ -143,6 +176,11 @@ def speed_text(x: Column) -> Column:
     return F.when(x >= 10, F.format_string("%.0f", x)).otherwise(F.format_string("%.1f", x))
 
 
+def benchmark_labels(summary: DataFrame, audio_seconds: float) -> DataFrame:
+    """summary with speed_label, and ten_minutes_label: seconds for ten minutes of media, as text."""
+    return summary.withColumns({"speed_label": speed_text(F.col("speed")), "ten_minutes_label": F.format_string("%.0f", F.col("total") * 600 / audio_seconds)})
+
+
 def peak_growth(samples: DataFrame) -> DataFrame:
     """run, peak: how far memory rose over its first sample. samples: run, at, used."""
     return samples.groupBy("run").agg((F.max("used") - F.min_by("used", "at")).alias("peak"))

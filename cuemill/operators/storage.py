@@ -47,6 +47,17 @@ def storage_report(jobs: DataFrame, folders: DataFrame, files: DataFrame) -> Dat
     return shared.orderBy(F.desc("total_bytes"), "pos").select("id", "upload_bytes", "output_bytes", "total_bytes", "share")
 
 
+def storage_totals(report: DataFrame) -> DataFrame:
+    """One row: total_bytes, upload_bytes, output_bytes over all jobs of storage_report()."""
+    return report.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_bytes", "upload_bytes", "output_bytes")])
+
+
+def retained_caches(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """path: the folders that hold anything. Both: path."""
+    held = files.select(F.explode(folders_above(F.col("path"), itself=False)).alias("path")).distinct()
+    return folders.select("path").distinct().join(held, "path", "left_semi")
+
+
 def removable(folders: DataFrame, job_id: str) -> DataFrame:
     """path: folders of a job that no other job uses. folders: job_id, path."""
     mine, others = folders.where(F.col("job_id") == job_id), folders.where(F.col("job_id") != job_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import rules, text
@@ -25,16 +26,29 @@ sized AS (SELECT k.job_id, k.kind, coalesce((SELECT sum(size) FROM files f WHERE
 sums AS (SELECT id, pos, coalesce(sum(b) FILTER (WHERE kind = 'upload'), 0)::BIGINT AS upload_bytes, coalesce(sum(b) FILTER (WHERE kind = 'output'), 0)::BIGINT AS output_bytes FROM j LEFT JOIN sized ON job_id = id GROUP BY id, pos)"""
 
 
-@query(f"WITH {_REPORT} SELECT id, upload_bytes, output_bytes, upload_bytes + output_bytes AS total_bytes FROM sums")
-def a9_storage_report(spark, d):
+def _storage(spark, d):
     jobs = views.files(spark, d).select(F.col("source").alias("id")).distinct().withColumn("pos", F.substring("id", 4, 9).cast("int"))
-    return storage.storage_report(jobs, views.folders(spark, d), views.files(spark, d).select("path", "size", "is_symlink")).drop("share")
+    return storage.storage_report(jobs, views.folders(spark, d), views.files(spark, d).select("path", "size", "is_symlink"))
 
 
-@query()
-def a9_storage_shares(spark, d):
-    jobs = views.files(spark, d).select(F.col("source").alias("id")).distinct().withColumn("pos", F.substring("id", 4, 9).cast("int"))
-    return storage.storage_report(jobs, views.folders(spark, d), views.files(spark, d).select("path", "size", "is_symlink")).select("id", "share")
+@query(f"""WITH {_REPORT}, t AS (SELECT *, upload_bytes + output_bytes AS total_bytes, CAST(sum(upload_bytes + output_bytes) OVER () AS BIGINT) AS every FROM sums)
+SELECT id, upload_bytes, output_bytes, total_bytes, CASE WHEN every = 0 THEN 0.0::DOUBLE ELSE CAST((total_bytes * 20000 + every) // (2 * every) AS DOUBLE) / 10000 END AS share, row_number() OVER (ORDER BY total_bytes DESC, pos) AS place FROM t""")
+def a9_l3_storage_report(spark, d):
+    """With the place of each row in the report."""
+    rows = _storage(spark, d)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint"))
+
+
+@query(f"WITH {_REPORT} SELECT CAST(sum(upload_bytes + output_bytes) AS BIGINT) AS total_bytes, CAST(sum(upload_bytes) AS BIGINT) AS upload_bytes, CAST(sum(output_bytes) AS BIGINT) AS output_bytes FROM sums")
+def a9_storage_totals(spark, d):
+    return storage.storage_totals(_storage(spark, d))
+
+
+@query(f"WITH {views.FILES}, f AS (SELECT path FROM files WHERE doc_id % 50 = 7), c AS (SELECT DISTINCT '/data/' || source || '/' || lang AS path FROM files UNION SELECT '/data/none') SELECT path FROM c WHERE EXISTS (SELECT 1 FROM f WHERE starts_with(f.path, c.path || '/'))")
+def p43_retained_caches(spark, d):
+    f = views.files(spark, d)
+    folders = f.select(F.concat(F.lit("/data/"), "source", F.lit("/"), "lang").alias("path")).unionByName(spark.createDataFrame([("/data/none",)], "path string"))
+    return storage.retained_caches(folders, f.where("doc_id % 50 = 7").select("path"))
 
 
 @query(f"WITH {views.FILES}, {views.FOLDERS} SELECT DISTINCT path FROM folders WHERE job_id = 'src5' AND path NOT IN (SELECT path FROM folders WHERE job_id <> 'src5')")
@@ -94,9 +108,9 @@ def p18_artifacts_there(spark, d):
     return table(spark, d, "orders").select("o_orderkey", rules.artifacts_there(have, F.array(F.lit("txt"), F.lit("srt"))).alias("ready"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def h1_content_hashes(spark, d):
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
 @query("""SELECT o_orderkey, sha256('{"options":{"device":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'caf\\u00e9' ELSE 'cpu' END || '","diarize":' || CASE WHEN o_orderkey % 3 = 0 THEN 'true' ELSE 'false' END || ',"stream":' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE CAST(o_orderkey % 5 AS VARCHAR) END || '},"source":"' || sha256(CAST(o_custkey AS VARCHAR)) || '"}') AS id FROM orders""")
@@ -159,11 +173,15 @@ def j11_matching_archives(spark, d):
     return identity.matching_archives(requests, archives).withColumn("matches", F.col("matches").cast("int"))
 
 
-@query("""SELECT array_to_string(list_sort(list(DISTINCT CASE WHEN s_nationkey % 3 = 0 THEN s_name || ' not found' WHEN s_nationkey % 3 = 1 THEN s_name || ' outside' END) FILTER (WHERE s_nationkey % 3 < 2)), ';') AS issues FROM supplier""")
-def a16_dependency_issues(spark, d):
-    k = F.col("s_nationkey") % 3
-    edges = table(spark, d, "supplier").select(F.lit("f").alias("file"), F.col("s_name").alias("name"), F.when(k == 1, "/usr/lib/x").when(k == 2, "/app/lib/x").alias("target"))
-    return identity.dependency_issues(edges, "/app/lib").select(F.array_join("issues", ";").alias("issues"))
+_NEEDED = """needed AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'libcudart.so.' || s_suppkey WHEN 1 THEN 'libc.so.' || s_suppkey WHEN 2 THEN 'libcuda.so.1' ELSE 'libnccl.sox' END AS name, CASE s_nationkey % 3 WHEN 1 THEN '/usr/lib/x' WHEN 2 THEN '/app/lib/x' END AS target FROM supplier)"""
+
+
+@query(f"""WITH {_NEEDED} SELECT array_to_string(list_sort(list(DISTINCT name)), ';') AS issues FROM needed WHERE target IS NULL AND name NOT IN ('libcuda.so.1', 'libnvidia-ml.so.1') OR regexp_matches(name, '^libcudart[.]so($|[.])') AND NOT starts_with(target, '/app/lib/')""")
+def a16_j16_dependency_issues(spark, d):
+    k, n = F.col("s_suppkey") % 4, F.col("s_nationkey") % 3
+    name = F.when(k == 0, F.concat(F.lit("libcudart.so."), "s_suppkey")).when(k == 1, F.concat(F.lit("libc.so."), "s_suppkey")).when(k == 2, "libcuda.so.1").otherwise("libnccl.sox")
+    edges = table(spark, d, "supplier").select(F.lit("f").alias("file"), name.alias("name"), F.when(n == 1, "/usr/lib/x").when(n == 2, "/app/lib/x").alias("target"))
+    return identity.dependency_issues(edges, "/app/lib", host_driver=True).select(F.array_join("issues", ";").alias("issues"))
 
 
 @query("SELECT p_name AS filename, md5(p_name) AS sha256, greatest(3 * CAST(p_size AS BIGINT) * 10000000, 536870912) AS minimum_free_bytes FROM part")
@@ -183,11 +201,10 @@ def a15_total_size(spark, d):
     return table(spark, d, "documents").agg(F.sum("n_chars").alias("total"), F.count("*").alias("files"))
 
 
-@query("""SELECT n_chars, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 10240 THEN printf('%.2f KB', n_chars / 1024) WHEN n_chars < 102400 THEN printf('%.1f KB', n_chars / 1024) ELSE printf('%.0f KB', n_chars / 1024) END AS label FROM (SELECT DISTINCT n_chars FROM documents) WHERE n_chars * 1000 % 128 <> 0 OR n_chars < 1024""")
+#: Hundredths, tenths or whole units by integers: ties go up.
+@query("""SELECT n_chars, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 10240 THEN printf('%d.%02d KB', (n_chars * 200 + 1024) // 2048 // 100, (n_chars * 200 + 1024) // 2048 % 100) WHEN n_chars < 102400 THEN printf('%d.%d KB', (n_chars * 20 + 1024) // 2048 // 10, (n_chars * 20 + 1024) // 2048 % 10) ELSE printf('%d KB', (n_chars * 2 + 1024) // 2048) END AS label FROM (SELECT DISTINCT n_chars FROM documents WHERE n_chars IS NOT NULL) UNION ALL SELECT DISTINCT n_chars, '–' FROM documents WHERE n_chars IS NULL""")
 def t15_byte_labels(spark, d):
-    """Sizes whose label isn't a rounding tie."""
-    sizes = table(spark, d, "documents").select("n_chars").distinct().where((F.col("n_chars") * 1000 % 128 != 0) | (F.col("n_chars") < 1024))
-    return sizes.select("n_chars", text.bytes_label(F.col("n_chars")).alias("label"))
+    return table(spark, d, "documents").select("n_chars").distinct().select("n_chars", text.bytes_label(F.col("n_chars")).alias("label"))
 
 
 @query("SELECT page_id, list_filter([trim(x) for x in string_split(html, chr(10))], lambda x: x <> '')[1] AS line FROM pages")

@@ -60,9 +60,15 @@ def a4_estimates(spark, d):
     return jobs.estimates(e, _samples(spark, d))
 
 
-@query("SELECT median(l_extendedprice) AS total, median(l_quantity) AS inference, 600 / median(l_extendedprice) AS speed FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT median(l_extendedprice) AS total, median(l_quantity) AS inference, 600 / median(l_extendedprice) AS speed FROM lineitem")
 def a5_benchmark_summary(spark, d):
-    return jobs.benchmark_summary(table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_extendedprice").alias("total"), F.col("l_quantity").alias("inference")), 600.0)
+    return jobs.benchmark_summary(table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("total"), F.col("l_quantity").alias("inference")), 600.0)
+
+
+@query("""WITH s AS (SELECT median(l_extendedprice) AS total, 9000000 / median(l_extendedprice) AS speed FROM lineitem) SELECT total, speed, CASE WHEN speed >= 10 THEN CAST(CAST(floor(speed + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) ELSE CAST(floor(speed * 10 + 0.5::DOUBLE) / 10 AS VARCHAR) END AS speed_label, CAST(CAST(floor(total * 600 / 9000000 + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) AS ten_minutes_label FROM s""")
+def a6_benchmark_labels(spark, d):
+    runs = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("total"), F.col("l_quantity").alias("inference"))
+    return jobs.benchmark_labels(jobs.benchmark_summary(runs, 9_000_000.0), 9_000_000.0).drop("inference")
 
 
 @query("SELECT user_id AS run, max(value) - arg_min(value, event_id) AS peak FROM events GROUP BY user_id")
@@ -149,11 +155,12 @@ def j18_released_keys(spark, d):
     return jobs.released(held, held.where(F.col("holder").cast("bigint") % 2 == 0))
 
 
-@query(f"""WITH {views.JOBS} SELECT id, CASE WHEN CAST(id AS BIGINT) % 13 = 0 OR owner % 5 = 0 THEN 'new' WHEN state = 'completed' AND owner % 3 <> 0 AND owner % 2 = 0 THEN 'skip' WHEN owner % 3 <> 0 THEN 'resume' ELSE 'conflict' END AS action FROM jobs""")
+@query(f"""WITH {views.JOBS}, k AS (SELECT id, owner, CASE WHEN CAST(id AS BIGINT) % 13 <> 0 THEN state END AS state, CAST(id AS BIGINT) % 2 = 0 AS wanted, CAST(id AS BIGINT) % 7 < 4 AS made, CAST(id AS BIGINT) % 11 < 5 AS matches, CAST(id AS BIGINT) % 17 < 12 AS there FROM jobs)
+SELECT id, CASE WHEN state IS NULL OR owner % 5 = 0 THEN 'new' WHEN owner % 3 = 0 THEN 'conflict' WHEN state <> 'completed' THEN 'resume' WHEN owner % 2 = 0 AND NOT (wanted AND NOT (matches AND there)) THEN 'skip' WHEN wanted AND made AND NOT matches THEN 'translation conflict' ELSE 'resume' END AS action FROM k""")
 def p20_actions(spark, d):
-    j = views.jobs(spark, d)
-    state = F.when(F.col("id").cast("bigint") % 13 != 0, F.col("state"))
-    return j.select("id", rules.action(state, F.col("owner") % 3 != 0, F.col("owner") % 5 == 0, F.col("owner") % 2 == 0).alias("action"))
+    n, owner = F.col("id").cast("bigint"), F.col("owner")
+    action = rules.action(F.when(n % 13 != 0, F.col("state")), owner % 3 != 0, owner % 5 == 0, owner % 2 == 0, n % 2 == 0, n % 7 < 4, n % 11 < 5, n % 17 < 12)
+    return views.jobs(spark, d).select("id", action.alias("action"))
 
 
 @query(f"""WITH {views.STAGE_EVENTS}, e AS (SELECT * FROM stage_events WHERE source IS NOT NULL),
@@ -198,11 +205,16 @@ def k8_event_frames(spark, d):
     return sinks.event_lines(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_id", F.col("event_type").alias("stage")))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_name LIKE '%runtime%' THEN 'installing_runtime' WHEN p_name LIKE '%model%' THEN 'installing_models' WHEN p_name LIKE '%configuration%' THEN 'configuring' ELSE 'validating' END AS stage, CASE p_size WHEN 3 THEN 'model' WHEN 4 THEN 'unsupported' WHEN 0 THEN NULL ELSE 'inference' END AS failure FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'installing_runtime' WHEN 1 THEN 'installing_models' WHEN 2 THEN 'configuring' WHEN 3 THEN 'installing_runtime' ELSE 'validating' END AS stage, CASE p_size % 6 WHEN 3 THEN 'model' WHEN 4 THEN 'unsupported' WHEN 0 THEN NULL ELSE 'inference' END AS failure FROM part""")
 def p32_p33_classes(spark, d):
-    return table(spark, d, "part").select("p_partkey", rules.setup_stage(F.col("p_name")).alias("stage"), rules.failure_kind(F.col("p_size")).alias("failure"))
+    k = F.col("p_partkey") % 5
+    said = F.when(k == 0, " runtime").when(k == 1, " the model").when(k == 2, " configuration").when(k == 3, " runtime and model").otherwise("")
+    return table(spark, d, "part").select("p_partkey", rules.setup_stage(F.concat("p_name", said)).alias("stage"), rules.failure_kind(F.col("p_size") % 6).alias("failure"))
 
 
-@query("SELECT NOT bool_or(n_regionkey = 9) AS ready FROM nation")
+@query("SELECT n_regionkey, NOT bool_or(n_nationkey = 7) AS ready FROM nation GROUP BY n_regionkey")
 def a11_ready(spark, d):
-    return jobs.ready(table(spark, d, "nation").select(F.when(F.col("n_regionkey") == 9, "error").otherwise("ok").alias("status")))
+    n = table(spark, d, "nation")
+    by_region = [n.where(F.col("n_regionkey") == k).select(F.when(F.col("n_nationkey") == 7, "error").otherwise("warn").alias("status")) for k in range(5)]
+    parts = [jobs.ready(p).select(F.lit(k).alias("n_regionkey"), "ready") for k, p in enumerate(by_region)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])

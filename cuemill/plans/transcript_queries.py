@@ -210,14 +210,14 @@ def a13_edit_summary(spark, d):
 
 
 @query(_MERGED + rf""", {views.SEGMENTS}, other AS (SELECT job_id, idx, 'tr ' || idx AS text FROM segments WHERE job_id % 3 <> 0 AND (job_id % 3 = 1 OR idx > 0)),
-n AS (SELECT job_id, count(*) AS lines FROM segments GROUP BY job_id), o AS (SELECT job_id, count(*) AS others FROM other GROUP BY job_id),
+n AS (SELECT job_id, count(*) AS lines FROM segments GROUP BY job_id), o AS (SELECT s.job_id, count(DISTINCT other.idx) AS others FROM segments s LEFT JOIN other USING (job_id) WHERE s.job_id % 9 = 0 OR s.job_id % 3 <> 0 GROUP BY s.job_id),
 r AS (SELECT s.job_id, s.idx, s."start", s."end", coalesce('Speaker ' || s.speaker, '') AS speaker, trim(regexp_replace(s.text, '[\x09-\x0d\x1c-\x20]+', ' ', 'g')) AS original, m.text AS new, t.text AS tr, lines, others FROM segments s JOIN n USING (job_id) LEFT JOIN o USING (job_id) LEFT JOIN merged m ON m.job_id = s.job_id AND m.idx = s.idx LEFT JOIN other t ON t.job_id = s.job_id AND t.idx = s.idx)
-SELECT job_id, idx, "start", "end", speaker, original, coalesce(new, original) AS text, coalesce(new, original) <> original AS edited, CASE WHEN others = lines THEN tr END AS translation, CASE WHEN others <> lines THEN 'translation has ' || others || ' lines, transcript ' || lines END AS note FROM r""")
+SELECT job_id, idx, "start", "end", speaker, original, coalesce(new, original) AS text, coalesce(new, original) <> original AS edited, CASE WHEN others = lines THEN tr END AS translation, CASE WHEN others <> lines THEN printf('{edits.UNEVEN}', others, lines) END AS note FROM r""")
 def j6_editor_rows(spark, d):
     s = views.segments(spark, d)
     j, i = F.col("job_id"), F.col("idx")
     other = s.where((j % 3 != 0) & ((j % 3 == 1) | (i > 0))).select("job_id", "idx", F.concat(F.lit("tr "), i).alias("text"))
-    return edits.editor_rows(s, j5_merged_edits(spark, d), other)
+    return edits.editor_rows(s, j5_merged_edits(spark, d), other, s.where((j % 9 == 0) | (j % 3 != 0)).select("job_id"))
 
 
 @query(rf"""SELECT conv_id, turn, CASE WHEN t = o THEN 'restore' WHEN length(t) = 0 OR length(t) > 1000 THEN 'invalid' ELSE 'set' END AS kind, CASE WHEN t = o OR length(t) BETWEEN 1 AND 1000 THEN t END AS text FROM (

@@ -90,11 +90,11 @@ def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Files of documents in folders by source.
-FILES = """files AS (SELECT '/data/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, n_chars AS size, doc_id % 10 = 0 AS is_symlink, source, lang, doc_id FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL)"""
+FILES = """files AS (SELECT '/data/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, n_chars AS size, doc_id % 10 = 0 AS is_symlink, source, lang, doc_id FROM (SELECT doc_id, coalesce(source, 'src0') AS source, coalesce(lang, 'none') AS lang, coalesce(n_chars, 0) AS n_chars FROM documents))"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("source").isNotNull() & F.col("lang").isNotNull() & F.col("n_chars").isNotNull())
+    d = table(spark, sf_dir, "documents").select("doc_id", *[F.coalesce(c, F.lit(x)).alias(c) for c, x in (("source", "src0"), ("lang", "none"), ("n_chars", 0))])
     return d.select(F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") % 10 == 0).alias("is_symlink"), "source", "lang", "doc_id")
 
 

@@ -49,9 +49,8 @@ class Reader:
         return json.dumps([self.rest, self.id, self.n, self.after_cr])
 
     def feed(self, text: str) -> Iterator[tuple]:
-        if self.after_cr:
-            text = text.removeprefix("\n")
-        self.after_cr = text.endswith("\r") if text else self.after_cr
+        if text:
+            text, self.after_cr = text.removeprefix("\n") if self.after_cr else text, text.endswith("\r")
         *blocks, self.rest = re.split(r"(?<=\n)\n", self.rest + re.sub(r"\r\n|\r", "\n", text))
         for block in blocks:
             data, event = [], ""

@@ -162,6 +162,29 @@ def test_rules(spark):
     assert [one(spark, rules.valid_edit(F.lit(i), F.lit(t).cast("string"))) for i, t in ((0, "a"), (-1, "a"), (0, "  "), (0, None), (0, "x" * 1001))] == [True, False, False, True, False]
 
 
+def test_library_issues(spark):
+    edges = [("f", "libcudart.so.12", "/usr/lib/x"), ("f", "libc.so.6", "/usr/lib/c"), ("f", "libnccl.so.2", "/app/lib/n"), ("f", "libcuda.so.1", None), ("g", "libz.so", None), ("h", None, None)]
+    table = spark.createDataFrame(edges, "file string, name string, target string")
+    issues = lambda t, **k: identity.dependency_issues(t, "/app/lib/", **k).first()["issues"]
+    assert issues(table) == ["libcuda.so.1", "libcudart.so.12", "libz.so"] and issues(table, host_driver=True) == ["libcudart.so.12", "libz.so"]
+    assert issues(table.where("file = 'h'")) == [] and issues(table.limit(0)) == [identity.NO_FILES]
+
+
+def test_event_streams_in_any_chunks(spark):
+    """A stream cut anywhere gives what the whole text gives."""
+    rng = random.Random(7)
+    whole = lambda text: [e for e in sse.Reader().feed(text)]
+    assert [e[3] for e in sse.Reader().feed("data: a\r\n\ndata: b\n\n")] == ["a", "b"]
+    for _ in range(300):
+        text = "".join(rng.choice(["data: a", "id: 1", "\r", "\n", "\r\n", "\n\n", "event: e", ": c", "data:"]) for _ in range(rng.randrange(1, 30)))
+        for size in (1, 2, 5):
+            reader, got = sse.Reader(), []
+            for i in range(0, len(text), size):
+                got += reader.feed(text[i : i + size])
+                reader = sse.Reader(reader.kept())
+            assert got == whole(text), text
+
+
 def test_event_stream_text(spark):
     frames = ": note\r\nid: 1\r\nevent: a\r\ndata: x\r\n\r\nid: 2\ndata: one\ndata:two\n\ndata\n\nid: b\0ad\ndata: {\"k\": 1}\n\n\n\nevent: lost\n\ndata: tail"
     want = [("1", "a", "x"), ("2", "message", "one\ntwo"), ("2", "message", ""), ("2", "message", '{"k": 1}')]
@@ -297,8 +320,13 @@ def test_more_rules(spark):
     assert [one(spark, rules.exit_code(F.lit(k))) for k in ("cancelled", "model", "other")] == [130, 3, 1] and one(spark, rules.http_status(F.lit("full_queue"))) == 429
     empty = F.array().cast("array<struct<kind:string,ok:boolean>>")
     true, false = F.lit(True), F.lit(False)
-    assert one(spark, rules.setup_issues(true, empty, true, true, true)) == [] and one(spark, rules.setup_issues(false, F.array(F.struct(F.lit("asr").alias("kind"), false.alias("ok"))), false, false, F.lit(None).cast("boolean"))) == ["runtime is missing or changed", "asr model is missing or changed", "no ASR model", "no configuration file", "not diagnosed yet"]
-    assert [one(spark, rules.install_headline(F.lit(a).cast("boolean"), F.lit(b), F.lit(c))) for a, b, c in ((None, False, False), (False, False, True), (False, False, False), (True, False, True), (True, True, True))] == ["unknown", "own", "absent", "broken", "ready"]
+    assert one(spark, rules.setup_issues(true, true, empty, true, true, true)) == []
+    assert one(spark, rules.setup_issues(true, false, F.array(F.struct(F.lit("asr").alias("kind"), false.alias("ok"))), false, false, F.lit(None).cast("boolean"))) == ["runtime is missing or its checksum changed", "asr model is missing or its checksum changed", "ASR model is not installed", "configuration file is missing", "diagnostics have not completed"]
+    assert one(spark, rules.setup_issues(false, false, empty, false, false, false)) == ["setup has not been completed"]
+    cases = [(None, False, False), (False, False, True), (False, False, False), (True, False, True), (True, True, True)]
+    assert [tuple(one(spark, rules.install_summary(F.lit(a).cast("boolean"), F.lit(b), F.lit(c), F.array(F.lit("x")))))[0::2] for a, b, c in cases] == list(zip(rules.HEADLINES, rules.TONES, strict=True))
+    with pytest.raises(Exception, match="device is invalid"):
+        one(spark, rules.required(rules.choice(F.lit("gpu"), ("cpu",)), F.lit("gpu"), "device"))
     made = F.struct(F.lit("m").alias("model_sha"), F.lit("en").alias("source_language"), F.lit("de").alias("target_language"))
     assert one(spark, rules.translation_matches(made, F.lit("m"), F.lit("en"), F.lit("de"))) and not one(spark, rules.translation_matches(made, F.lit("x"), F.lit("en"), F.lit("de")))
     check = lambda formats, translate=False, source="", target="", stream="", workers="": one(spark, rules.job_options_error(F.array(*[F.lit(f) for f in formats]).cast("array<string>"), F.lit(translate), F.lit(source), F.lit(target), F.lit(stream), F.lit(workers)))
