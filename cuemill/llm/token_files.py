@@ -1,13 +1,15 @@
 """Token ids as flat binary files with 64-bit document offsets, written by partition and memory-mapped to read.
 
-Documents are dealt by range of doc_id and sorted; each task writes one set of files: NAME.ids (unsigned integers, 16 bits
+Documents are dealt by range of doc_id, of how their text begins and of their place, so that rows of one id are spread too, and
+sorted; each task writes one set of files: NAME.ids (unsigned integers, 16 bits
 where the vocabulary allows, else 32), NAME.offsets (unsigned 64 bits: where each document starts in the file, and the end
 of the last) and NAME.docs (64-bit doc_ids; null as the smallest). The manifest has a row a task, and prefix sums over it
 give each file's base, so a token's place in the whole is base + offset. Names are new for each attempt of a task: files of
 lost attempts are never in the manifest.
 
-Null texts count as empty and give the end id only. Null ids come first; rows with equal ids are in the order of their
-texts. An empty table gives no files and no rows. Files go to the shared folder of the cluster through its file system;
+Null texts count as empty and give the end id only. Null ids come first; rows with equal ids are in the order of how
+their texts begin. An empty table gives no files and no rows. Very long texts are cut into stretches that the library sees one by one.
+Other columns aren't read, whatever their names. Files go to the shared folder of the cluster through its file system;
 where that is not mounted, a reader copies one file at a time to its own disk to map it.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import json
 import os
 import tempfile
 import uuid
@@ -36,7 +39,10 @@ from cuemill.llm.common import small_batches, stage_dir, staged
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-MEMO, MISSES = 650_000, 1024
+#: Stretches that are remembered, how long such a stretch may be, and new ones that are encoded together.
+MEMO, LONGEST, MISSES = 650_000, 64, 1024
+#: Files that a reader's task takes.
+FILES_A_TASK = 2
 MARKS = (".", ",")
 NO_ID = np.iinfo(np.int64).min
 
@@ -51,6 +57,21 @@ def lowered(text: str) -> str:
     return text if "<|" in text else text.lower()
 
 
+#: Fixed value: the pattern of the words that may be cut out of their stretch: runs of letters, single digits, runs of other marks.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_spaces(vocabulary: str) -> bool:
+    """Does this tokenizer lower-case texts and take WORDS out of them, with nothing put before or after? Only then are stretches
+    between spaces encoded by themselves, each once; whole texts are otherwise."""
+    made = json.loads(vocabulary)
+    normal, cut = made.get("normalizer") or {}, made.get("pre_tokenizer") or {}
+    steps, parts = [n["type"] for n in normal.get("normalizers", [])], cut.get("pretokenizers", [])
+    split = parts[0] if parts else {}
+    plain = split.get("type") == "Split" and split.get("pattern") == {"Regex": WORDS} and split.get("behavior") == "Removed" and split.get("invert") is True
+    return steps == ["NFC", "Replace", "Lowercase"] and plain and [(q["type"], q.get("add_prefix_space"), q.get("use_regex")) for q in parts[1:]] == [("ByteLevel", False, False)] and not made.get("post_processor")
+
+
 class Encoder(dict):
     """The tokenizers library, asked once for each stretch between spaces: its pre-tokens never hold white space.
 
@@ -64,10 +85,12 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.cuts = cuts_at_spaces(vocabulary)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = f"<u{array(self.code).itemsize}"
         self.new: list[str] = []
         self.marked: list[str] = []
+        self.long: list[str] = []
         self.marks = dict(zip(MARKS, self.encoded(list(MARKS)), strict=True))
 
     def __missing__(self, stretch: str) -> bytes | None:
@@ -80,6 +103,8 @@ class Encoder(dict):
         else:
             self.new.append(stretch)
         self[stretch] = None
+        if len(stretch) > LONGEST:
+            self.long.append(stretch)
 
     def encoded(self, stretches: list[str]) -> Iterator[bytes]:
         """Packed ids of stretches, from one call for all of them: offsets tell whose each id is."""
@@ -91,6 +116,9 @@ class Encoder(dict):
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as the library gives them for the whole text."""
+        end = array(self.code, [END_ID]).tobytes()
+        if not self.cuts:
+            return [array(self.code, made.ids).tobytes() + end for made in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self) >= MEMO:
             self.clear()
         cut = [lowered(t).replace("\n", " ").split(" ") for t in texts]
@@ -107,7 +135,9 @@ class Encoder(dict):
                 for _ in range(part.count(None)):
                     at = part.index(None, at + 1)
                     part[at] = self[words[at]]
-        end = array(self.code, [END_ID]).tobytes()
+        for stretch in self.long:  # few, and too long to be remembered
+            del self[stretch]
+        self.long = []
         return [b"".join(part) + end for part in parts]
 
 
@@ -164,7 +194,9 @@ def written(docs: DataFrame, folder: str | None = None, path: str | None = None)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([code.kind]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], names=["part", "name", "kind", "n_docs", "n_tokens"])
 
-    ordered = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # A row's place in its file of documents parts rows of one id and one text, whose order doesn't matter.
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.substring("text", 1, 16).alias("opening"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange("doc_id", "opening", "place").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     manifest = staged(ordered.mapInArrow(write, "part int, name string, kind string, n_docs bigint, n_tokens bigint"), "manifest", gather=True)
     # One row a task that wrote, so the one partition of the window stays small.
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -183,7 +215,8 @@ def read_back(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(some, mask=some == NO_ID), pa.array(at[:-1] + file["base"]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("name", "kind", "base")
-    return files.repartition(F.col("name")).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    tasks = max(1, manifest.count() // FILES_A_TASK)  # as many rows as tasks that wrote
+    return files.repartition(tasks, "name").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

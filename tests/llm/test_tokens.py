@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cuemill.llm import bpe, token_files
@@ -92,6 +93,39 @@ def test_stretches_equal_the_library(words):
         assert np.frombuffer(packed, code.kind).tolist() == [*want.ids, 1], text
 
 
+def test_other_tokenizers_see_whole_texts(words):
+    """Stretches are only cut out where the file's own rules allow it."""
+    import json
+
+    made = json.loads(open(public_tokenizers.path(token_files.VOCABULARY)).read())
+    assert token_files.cuts_at_spaces(json.dumps(made))
+    made["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+    other = token_files.Encoder(json.dumps(made))
+    texts = odd_texts(200, 5)
+    assert not other.cuts
+    for packed, want in zip(other.packed(texts), other.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(packed, other.kind).tolist() == [*want.ids, 1]
+
+
+def test_long_stretches_are_forgotten():
+    code = token_files.Encoder(open(public_tokenizers.path(token_files.VOCABULARY)).read())
+    code.packed(["x" * 1000 + " short " + "y" * 500 + ". " + "\u4e00" * 300])
+    assert max(map(len, code)) <= token_files.LONGEST
+
+
+def test_rows_of_one_id_are_spread(spark, words):
+    table = spark.range(4000).select((F.col("id") * 0 + 7).alias("doc_id"), F.lit("the same text in every row").alias("text")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.written(table)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert len(sizes) > 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    got = sorted(tuple(r) for r in token_files.read_back(manifest).collect())
+    assert got == plain_files(table.collect(), words)
+
+
 def plain_files(rows, words):
     start, out = 0, []
     for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, r["text"] or "")):
