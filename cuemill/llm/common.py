@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a new local one only where none is named, as in tests."""
+    """The folder that the cluster names for checkpoints. Only a local session may lack one, as in tests, and gets a new one:
+    elsewhere executors and the driver would each see their own."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
         named = context.getCheckpointDir()

@@ -49,7 +49,8 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     # Places come from a hash, anywhere in the text.
     spots = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1).cast("int") + 1 for k in range(2, 2 + SPANS)])
     rows = chosen.select("doc_id", "lang", F.explode(F.transform(spots, lambda s: F.substring(F.col("text"), s, F.lit(STRETCH)))).alias("part"))
-    return [(r["lang"], r["part"]) for r in rows.orderBy("doc_id", "lang", "part").collect()]
+    # Repeated rows count once; the limit holds even where a hash picks more than it should.
+    return [(r["lang"], r["part"]) for r in rows.distinct().orderBy("doc_id", "lang", "part").limit(2 * SPANS * (LANGUAGES * PER_LANGUAGE + len(counts))).collect()]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,9 @@ m AS (SELECT r, doc_id, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELS
 d AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 v AS (SELECT r, doc_id, stratum, base_failed, unnest([{{'rule': 'symbol_rate', 'x': n_symbols / n_words}}, {{'rule': 'dup_line_rate', 'x': n_dup_lines / len(lines)}}, {{'rule': 'repeat_rate', 'x': n_repeat_words / n_words}}, {{'rule': 'word_length', 'x': word_chars / n_words}}], recursive := true) FROM d WHERE n_words > 0),
 good AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-g AS (SELECT stratum, c.rule, c.i, c.cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND x > c.cutoff) AS k, count(*) FILTER (WHERE NOT good AND x > c.cutoff) AS caught FROM v JOIN good USING (doc_id) JOIN (VALUES {_GRID}) AS c(rule, i, cutoff) ON c.rule = v.rule WHERE NOT base_failed GROUP BY ALL),
+one AS (SELECT doc_id, min(struct_pack(stratum := stratum, a := n_symbols / n_words, b := n_dup_lines / len(lines), c := n_repeat_words / n_words, d := word_chars / n_words)) AS x FROM d WHERE NOT base_failed GROUP BY doc_id),
+u AS (SELECT doc_id, x.stratum AS stratum, unnest([{{'rule': 'symbol_rate', 'x': x.a}}, {{'rule': 'dup_line_rate', 'x': x.b}}, {{'rule': 'repeat_rate', 'x': x.c}}, {{'rule': 'word_length', 'x': x.d}}], recursive := true) FROM one),
+g AS (SELECT stratum, c.rule, c.i, c.cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND x > c.cutoff) AS k, count(*) FILTER (WHERE NOT good AND x > c.cutoff) AS caught FROM u JOIN good USING (doc_id) JOIN (VALUES {_GRID}) AS c(rule, i, cutoff) ON c.rule = u.rule GROUP BY ALL),
 p AS (SELECT g.*, k < n * {_RATE} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_RATE}) + (n - j) * ln(1 - {_RATE}))) FROM generate_series(0, k) AS e(j)) <= {_LEVEL} AS safe FROM g),
 best AS (SELECT stratum, rule, arg_max(cutoff, (caught - {quality.COST} * k, cutoff)) AS cutoff FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.stratum = p.stratum AND q.rule = p.rule AND q.i <= p.i AND NOT q.safe) AND caught - {quality.COST} * k > 0 GROUP BY stratum, rule)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM v JOIN best USING (stratum, rule) WHERE v.r = d.r AND x > cutoff) AS kept FROM d"""

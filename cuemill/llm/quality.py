@@ -9,7 +9,9 @@ where none removes any, the rule is off.
 
 Null texts have no words and fail the base rule. Languages outside LANGUAGES, and null, form one stratum, so that the
 table of cutoffs has at most len(STRATA) x len(RULES) rows at any input size. A document with several labels is good if
-any label says so. Repeated rows count and are returned as often as they occur. Without labels no rule is on.
+any label says so, and counts once; of several rows with its id the least by stratum and measures does. Repeated rows are
+returned as often as they occur. Without labels no rule is on, and an empty table gives no rows. Very long texts are measured
+whole, in the row. Other columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -97,7 +99,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     """stratum, rule, cutoff: the rules that are on. measured: doc_id, lang, m (of measures()); labels: doc_id, quality."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
     values = _values(F.col("m"))
-    rows = measured.where(~base_failed(F.col("m"))).select("doc_id", stratum(F.col("lang")).alias("stratum"), *[v.alias(k) for k, v in values.items()]).join(known, "doc_id")
+    rows = measured.where(~base_failed(F.col("m"))).select("doc_id", F.struct(stratum(F.col("lang")).alias("stratum"), *[v.alias(k) for k, v in values.items()]).alias("x")).join(known, "doc_id")
+    # A labelled document is one trial of the bounds, however often its row is repeated.
+    rows = rows.groupBy("doc_id", "good").agg(F.min("x").alias("x")).select("good", "x.*")
     # How many cutoffs of its rule a document exceeds: the last ones of the list, since they fall.
     over = lambda rule: F.size(F.filter(F.array(*[F.lit(c) for c in RULES[rule]]), lambda c: F.col(rule) > c))
     counted = rows.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), over(r).alias("over")) for r in RULES])).alias("x")).groupBy("stratum", "x.rule", "x.over").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
