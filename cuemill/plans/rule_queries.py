@@ -13,59 +13,63 @@ from cuemill.plans.views import table
 from cuemill.sources import ingest, sinks
 
 query = Queries()
-K, C = F.col("o_orderkey"), F.col("o_custkey")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS stream, CASE o_orderkey % 3 WHEN 0 THEN o_custkey END AS whole, CASE WHEN o_orderkey % 3 = 0 THEN 'cuda' END AS device, CASE WHEN o_orderkey % 4 = 0 THEN '/i/asr' WHEN o_orderkey % 4 = 1 THEN '/own' END AS model, CASE WHEN o_orderkey % 5 = 0 THEN 'vulkan' ELSE 'cpu' END AS managed FROM orders")
 def p1_p9_p11_settings(spark, d):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
     return table(spark, d, "orders").select(
-        "o_orderkey", rules.optional(F.when(K % 2 == 0, C.cast("string")).otherwise(""), "bigint").alias("stream"), rules.whole(F.when(K % 3 == 0, F.concat(F.lit(" "), C)).otherwise("1.5")).alias("whole"),
-        rules.choice(F.when(K % 3 == 0, " CUDA ").otherwise("gpu"), ("auto", "cpu", "cuda")).alias("device"), rules.managed(F.when(K % 4 == 1, "/own").when(K % 4 == 2, ""), F.when(K % 4 == 0, "/i/asr")).alias("model"),
-        rules.managed(F.when(K % 5 == 0, "auto").otherwise("cpu"), F.lit("vulkan"), F.lit("auto")).alias("managed"),
+        "o_orderkey", rules.optional(F.when(key % 2 == 0, cust.cast("string")).otherwise(""), "bigint").alias("stream"), rules.whole(F.when(key % 3 == 0, F.concat(F.lit(" "), cust)).otherwise("1.5")).alias("whole"),
+        rules.choice(F.when(key % 3 == 0, " CUDA ").otherwise("gpu"), ("auto", "cpu", "cuda")).alias("device"), rules.managed(F.when(key % 4 == 1, "/own").when(key % 4 == 2, ""), F.when(key % 4 == 0, "/i/asr")).alias("model"),
+        rules.managed(F.when(key % 5 == 0, "auto").otherwise("cpu"), F.lit("vulkan"), F.lit("auto")).alias("managed"),
     )
 
 
 @query("SELECT o_orderkey, o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AS formats_ok, o_orderkey % 3 = 0 OR o_orderkey % 3 = 2 AND o_orderkey % 2 = 0 AS languages_ok, o_orderkey % 4 > 0 AND o_orderkey % 7 <> 0 AS edit_ok FROM orders")
 def p12_p14_valid_settings(spark, d):
-    formats = F.filter(F.array(F.when(K % 2 == 0, "txt").otherwise("docx"), F.lit("srt")), lambda f: K % 5 != 0)
-    source = F.when(K % 3 == 1, "en").when(K % 3 == 2, F.when(K % 2 == 0, "en").otherwise("de"))
-    target = F.when(K % 3 == 2, "de")
-    typed = F.when(K % 7 == 0, F.lit("x" * 1001)).when(K % 7 == 1, F.lit(None)).otherwise(" a ")
-    return table(spark, d, "orders").select("o_orderkey", rules.formats_ok(formats).alias("formats_ok"), rules.languages_ok(source, target).alias("languages_ok"), rules.valid_edit((K % 4 - 1).cast("int"), typed).alias("edit_ok"))
+    key = F.col("o_orderkey")
+    formats = F.filter(F.array(F.when(key % 2 == 0, "txt").otherwise("docx"), F.lit("srt")), lambda f: key % 5 != 0)
+    source = F.when(key % 3 == 1, "en").when(key % 3 == 2, F.when(key % 2 == 0, "en").otherwise("de"))
+    target = F.when(key % 3 == 2, "de")
+    typed = F.when(key % 7 == 0, F.lit("x" * 1001)).when(key % 7 == 1, F.lit(None)).otherwise(" a ")
+    return table(spark, d, "orders").select("o_orderkey", rules.formats_ok(formats).alias("formats_ok"), rules.languages_ok(source, target).alias("languages_ok"), rules.valid_edit((key % 4 - 1).cast("int"), typed).alias("edit_ok"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'Audio stream 9 is unavailable; available indexes: 1, 4' END AS error, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 4 END AS picked FROM orders""")
 def p16_audio_streams(spark, d):
+    key = F.col("o_orderkey")
     streams = F.array(F.struct(F.lit(1).alias("index")), F.struct(F.lit(4).alias("index")))
-    wanted = F.when(K % 4 == 1, 1).when(K % 4 == 2, 4).when(K % 4 == 3, 9)
+    wanted = F.when(key % 4 == 1, 1).when(key % 4 == 2, 4).when(key % 4 == 3, 9)
     return table(spark, d, "orders").select("o_orderkey", rules.stream_error(streams, wanted).alias("error"), rules.pick_stream(streams, wanted)["index"].alias("picked"))
 
 
 @query("""SELECT o_orderkey, o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 AS matches, CASE WHEN o_orderkey % 3 = 0 THEN '/s/' || md5(CAST(o_orderkey AS VARCHAR)) END AS folder, array_to_string(CASE WHEN o_orderkey % 2 = 0 THEN ['model', 'zone'] ELSE ['model'] END, ',') AS refused, CASE o_orderkey % 4 WHEN 0 THEN 130 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 1 END AS code, CASE WHEN o_orderkey % 2 = 0 THEN 409 ELSE 500 END AS status FROM orders""")
 def p19_p23_p30_p34_matches(spark, d):
-    made = F.when(K % 5 != 5, F.struct(F.when(K % 2 == 0, "m").otherwise("x").alias("model_sha"), F.lit("en").alias("source_language"), F.lit("de").alias("target_language")))
-    path = F.concat(F.lit("/s/"), F.when(K % 3 == 0, F.md5(K.cast("string"))).when(K % 3 == 1, "short").otherwise(F.concat(F.md5(K.cast("string")), F.lit("/deeper"))), F.lit("/a.wav"))
-    kind = F.when(K % 4 == 0, "cancelled").when(K % 4 == 1, "model").when(K % 4 == 2, "unsupported").otherwise("other")
-    settings = F.filter(F.array(F.lit("zone"), F.lit("formats"), F.lit("model")), lambda s: (s != "zone") | (K % 2 == 0))
+    key = F.col("o_orderkey")
+    made = F.when(key % 5 != 5, F.struct(F.when(key % 2 == 0, "m").otherwise("x").alias("model_sha"), F.lit("en").alias("source_language"), F.lit("de").alias("target_language")))
+    path = F.concat(F.lit("/s/"), F.when(key % 3 == 0, F.md5(key.cast("string"))).when(key % 3 == 1, "short").otherwise(F.concat(F.md5(key.cast("string")), F.lit("/deeper"))), F.lit("/a.wav"))
+    kind = F.when(key % 4 == 0, "cancelled").when(key % 4 == 1, "model").when(key % 4 == 2, "unsupported").otherwise("other")
+    settings = F.filter(F.array(F.lit("zone"), F.lit("formats"), F.lit("model")), lambda s: (s != "zone") | (key % 2 == 0))
     return table(spark, d, "orders").select(
-        "o_orderkey", rules.translation_matches(made, F.lit("m"), F.lit("en"), F.when(K % 3 == 0, "de").otherwise("fr")).alias("matches"), rules.upload_folder(path, "/s/").alias("folder"),
-        F.array_join(rules.http_options(settings, ("formats", "diarize")), ",").alias("refused"), rules.exit_code(kind).alias("code"), rules.http_status(F.when(K % 2 == 0, "active_job").otherwise("other")).alias("status"),
+        "o_orderkey", rules.translation_matches(made, F.lit("m"), F.lit("en"), F.when(key % 3 == 0, "de").otherwise("fr")).alias("matches"), rules.upload_folder(path, "/s/").alias("folder"),
+        F.array_join(rules.http_options(settings, ("formats", "diarize")), ",").alias("refused"), rules.exit_code(kind).alias("code"), rules.http_status(F.when(key % 2 == 0, "active_job").otherwise("other")).alias("status"),
     )
 
 
 @query("""SELECT o_orderkey, '# own' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'model = /other' || chr(10) END || 'zone=1' AS kept, o_orderkey % 4 IN (0, 1) AS bundled, CASE o_orderkey % 5 WHEN 0 THEN 'cuda' WHEN 1 THEN 'cpu' WHEN 2 THEN 'vulkan' WHEN 3 THEN 'hip' ELSE 'cpu' END AS backend,
   CASE WHEN o_orderkey % 6 = 0 THEN 'reuse' WHEN o_orderkey % 6 < 3 THEN 'adopt' WHEN o_orderkey % 6 < 5 THEN 'install' ELSE 'build' END AS action, CASE o_orderkey % 4 WHEN 0 THEN '/u' WHEN 1 THEN '/l' WHEN 2 THEN '/k' END AS playable, o_orderkey % 4 = 0 AS tool_ok, CASE WHEN o_orderkey % 2 = 0 THEN '/abs' ELSE '/root/rel' END AS resolved FROM orders""")
 def p36_p37_p38_p39_p40_p42_p44_setup(spark, d):
-    settings = F.concat(F.lit("# own\nmodel = "), F.when(K % 2 == 0, "/m").otherwise("/other"), F.lit("\nzone=1"))
-    library = F.when(K % 4 == 0, "libnccl.so").when(K % 4 == 1, "libnccl.so.2").when(K % 4 == 2, "libnccl.sox").otherwise("libc.so")
-    n = K % 5
+    key = F.col("o_orderkey")
+    settings = F.concat(F.lit("# own\nmodel = "), F.when(key % 2 == 0, "/m").otherwise("/other"), F.lit("\nzone=1"))
+    library = F.when(key % 4 == 0, "libnccl.so").when(key % 4 == 1, "libnccl.so.2").when(key % 4 == 2, "libnccl.sox").otherwise("libc.so")
+    n = key % 5
     chosen = rules.backend(F.when(n == 0, "cuda").otherwise("auto"), F.when(n == 1, "cpu"), F.when(n == 2, "vulkan"), F.when(n == 3, "hip"), F.lit(None).cast("string"))
-    said = F.when(K % 4 == 0, "cmake version 3.26.4").when(K % 4 == 1, "cmake version 3.9").when(K % 4 == 2, "cmake version 4.40").otherwise("no tool")
-    m = K % 4
+    said = F.when(key % 4 == 0, "cmake version 3.26.4").when(key % 4 == 1, "cmake version 3.9").when(key % 4 == 2, "cmake version 4.40").otherwise("no tool")
+    m = key % 4
     return table(spark, d, "orders").select(
         "o_orderkey", rules.kept_lines(settings, {"model": F.lit("/m")}).alias("kept"), rules.bundled_library(library, list(identity.REDISTRIBUTABLE)).alias("bundled"), chosen.alias("backend"),
-        rules.setup_actions(K % 6 == 0, K % 6 < 3, K % 6 < 5).alias("action"), rules.playable(F.when(m == 0, "/u"), F.lit("/l"), m == 1, F.lit("/k"), m == 2).alias("playable"),
-        rules.tool_ok(said).alias("tool_ok"), rules.resolved(F.when(K % 2 == 0, "/abs").otherwise("rel"), "/root/").alias("resolved"),
+        rules.setup_actions(key % 6 == 0, key % 6 < 3, key % 6 < 5).alias("action"), rules.playable(F.when(m == 0, "/u"), F.lit("/l"), m == 1, F.lit("/k"), m == 2).alias("playable"),
+        rules.tool_ok(said).alias("tool_ok"), rules.resolved(F.when(key % 2 == 0, "/abs").otherwise("rel"), "/root/").alias("resolved"),
     )
 
 
@@ -74,21 +78,23 @@ i AS (SELECT *, CASE WHEN NOT installed THEN ['setup has not been completed'] EL
 SELECT k AS o_orderkey, array_to_string(issues, ';') AS issues, CASE WHEN k % 11 = 0 THEN 'Checking the installation…' WHEN NOT installed AND k % 12 = 0 THEN 'Using your own configuration' WHEN NOT installed THEN 'Not installed yet' WHEN len(issues) > 0 THEN 'Installed, but needs repair' ELSE 'Installed and ready' END AS headline,
   CASE WHEN k % 11 = 0 THEN 'muted' WHEN NOT installed AND k % 12 = 0 THEN 'ok' WHEN NOT installed OR len(issues) > 0 THEN 'warning' ELSE 'ok' END AS tone, CASE WHEN k % 11 = 0 THEN 0 WHEN NOT installed THEN 1 ELSE len(issues) END AS notes FROM i""")
 def a12_p35_installations(spark, d):
-    models = F.array(F.struct(F.lit("asr").alias("kind"), (K % 7 != 0).alias("ok")))
-    installed, doctor = K % 6 != 0, F.when(K % 4 == 0, F.lit(None)).otherwise(K % 4 > 1).cast("boolean")
-    rows = table(spark, d, "orders").select("o_orderkey", installed.alias("installed"), rules.setup_issues(installed, K % 2 == 0, models, K % 3 == 0, K % 5 == 0, doctor).alias("issues"))
-    said = rules.install_summary(F.when(K % 11 != 0, F.col("installed")), F.size("issues") == 0, K % 12 == 0, F.col("issues"))
+    key = F.col("o_orderkey")
+    models = F.array(F.struct(F.lit("asr").alias("kind"), (key % 7 != 0).alias("ok")))
+    installed, doctor = key % 6 != 0, F.when(key % 4 == 0, F.lit(None)).otherwise(key % 4 > 1).cast("boolean")
+    rows = table(spark, d, "orders").select("o_orderkey", installed.alias("installed"), rules.setup_issues(installed, key % 2 == 0, models, key % 3 == 0, key % 5 == 0, doctor).alias("issues"))
+    said = rules.install_summary(F.when(key % 11 != 0, F.col("installed")), F.size("issues") == 0, key % 12 == 0, F.col("issues"))
     return rows.withColumn("said", said).select("o_orderkey", F.array_join("issues", ";").alias("issues"), "said.headline", "said.tone", F.size("said.notes").alias("notes"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'formats' WHEN 1 THEN 'languages' WHEN 2 THEN 'same language' WHEN 3 THEN 'stream' WHEN 4 THEN 'workers' END AS error, 'body.items.' || o_orderkey AS field, CASE WHEN o_orderkey % 2 = 0 THEN 'The selected files total ' || (o_orderkey % 500 + 101) || ' B, but the server accepts at most 100 B per upload. Restart with a larger --max-upload-mb' || CASE WHEN o_orderkey % 3 = 0 THEN ', or enter local paths instead.' ELSE '.' END END AS upload FROM orders""")
 def p29_p45_a15_form_errors(spark, d):
-    n = K % 7
+    key = F.col("o_orderkey")
+    n = key % 7
     formats = F.filter(F.array(F.lit("srt")), lambda f: n != 0)
     error = rules.job_options_error(formats, n.isin(1, 2), F.when(n == 1, "").otherwise("en"), F.lit("en"), F.when(n == 3, "-1").otherwise("2"), F.when(n == 4, "9").otherwise(""))
-    fields = rules.field_errors(F.array(F.struct(F.array(F.lit("body"), F.lit("items"), K.cast("string")).alias("loc"), F.lit("bad").alias("msg"))))
-    size = F.when(K % 2 == 0, K % 500 + 101).otherwise(50)
-    return table(spark, d, "orders").select("o_orderkey", error.alias("error"), fields[0]["field"].alias("field"), rules.limit_message(size, F.lit(100), K % 3 == 0).alias("upload"))
+    fields = rules.field_errors(F.array(F.struct(F.array(F.lit("body"), F.lit("items"), key.cast("string")).alias("loc"), F.lit("bad").alias("msg"))))
+    size = F.when(key % 2 == 0, key % 500 + 101).otherwise(50)
+    return table(spark, d, "orders").select("o_orderkey", error.alias("error"), fields[0]["field"].alias("field"), rules.limit_message(size, F.lit(100), key % 3 == 0).alias("upload"))
 
 
 @query("""SELECT c_custkey, printf('%03d-', c_custkey % 1000) || CASE WHEN c_custkey % 3 = 0 THEN 'media' ELSE 'ä-' || c_custkey || '.WAV' END AS stored, CASE WHEN c_custkey % 2 = 0 THEN 'x.wav' ELSE '012-x.wav' END AS shown, CASE c_custkey % 4 WHEN 0 THEN 'SRT subtitles' WHEN 1 THEN 'Plain text (edited)' WHEN 2 THEN 'de.srt' ELSE 'edited.other (edited)' END AS label,
@@ -120,10 +126,11 @@ def t24_t25_t26_l8_requests(spark, d):
 @query("""SELECT o_orderkey, sha256('/data/' || o_custkey || chr(0) || CASE WHEN o_orderkey % 2 = 0 THEN '/out' ELSE '<default-output>' END) AS mutation,
   sha256('{"force":' || CASE WHEN o_orderkey % 3 = 0 THEN 'true' ELSE 'false' END || ',"inputs":[{"modified_ns":' || o_orderkey || ',"path":"/data/' || o_custkey || '","size":5},{"missing":true,"path":"/data/caf\\u00e9"}],"output_dir":null}') AS request FROM orders""")
 def h3_h4_request_ids(spark, d):
-    path = F.concat(F.lit("/data/"), C)
-    inputs = F.array(identity.path_identity(path, F.lit(5), K), identity.path_identity(F.lit("/data/café"), F.lit(None).cast("bigint"), K))
-    request = identity.request_id(inputs, {"output_dir": F.lit("null"), "force": F.when(K % 3 == 0, "true").otherwise("false")})
-    return table(spark, d, "orders").select("o_orderkey", identity.mutation_key(path.cast("string"), F.when(K % 2 == 0, "/out")).alias("mutation"), request.alias("request"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    path = F.concat(F.lit("/data/"), cust)
+    inputs = F.array(identity.path_identity(path, F.lit(5), key), identity.path_identity(F.lit("/data/café"), F.lit(None).cast("bigint"), key))
+    request = identity.request_id(inputs, {"output_dir": F.lit("null"), "force": F.when(key % 3 == 0, "true").otherwise("false")})
+    return table(spark, d, "orders").select("o_orderkey", identity.mutation_key(path.cast("string"), F.when(key % 2 == 0, "/out")).alias("mutation"), request.alias("request"))
 
 
 _REGISTRY = """m AS (SELECT 'model' AS kind, CASE WHEN p_partkey % 50 = 0 THEN 'same' ELSE 'm' || p_partkey END AS id, CASE WHEN p_partkey % 7 = 0 THEN 'main' ELSE sha1(p_name) END AS revision, CASE WHEN p_partkey % 11 = 0 THEN 'x' WHEN p_partkey % 2 = 0 THEN sha256(p_name) END AS sha, CASE WHEN p_partkey % 13 = 0 THEN 'http://a' ELSE 'https://a' END AS url FROM part)"""
@@ -147,10 +154,11 @@ def v5_benchmark_ok(spark, d):
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey + 1 END AS n, CAST(o_totalprice AS DOUBLE) AS duration, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS streams, CASE WHEN o_orderkey % 2 = 0 THEN 16000 END AS rate FROM orders""")
 def p7_i7_tool_output(spark, d):
-    printed = F.when(K % 3 == 0, F.concat(F.lit(' {"n": '), C, F.lit("}\n"))).when(K % 3 == 1, F.concat(F.lit('log {\n{"n": 1}\n{"n": '), C + 1, F.lit("}\nend"))).otherwise("nothing")
-    streams = F.array_compact(F.array(F.struct(F.lit(0).alias("index"), F.lit("video").alias("codec_type"), F.lit(None).cast("string").alias("sample_rate")), F.when(K % 2 == 0, F.struct(F.lit(1).alias("index"), F.lit("audio").alias("codec_type"), F.lit("16000").alias("sample_rate")))))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    printed = F.when(key % 3 == 0, F.concat(F.lit(' {"n": '), cust, F.lit("}\n"))).when(key % 3 == 1, F.concat(F.lit('log {\n{"n": 1}\n{"n": '), cust + 1, F.lit("}\nend"))).otherwise("nothing")
+    streams = F.array_compact(F.array(F.struct(F.lit(0).alias("index"), F.lit("video").alias("codec_type"), F.lit(None).cast("string").alias("sample_rate")), F.when(key % 2 == 0, F.struct(F.lit(1).alias("index"), F.lit("audio").alias("codec_type"), F.lit("16000").alias("sample_rate")))))
     payload = F.to_json(F.struct(F.struct(F.col("o_totalprice").cast("string").alias("duration")).alias("format"), streams.alias("streams")))
-    probed = ingest.probes(table(spark, d, "orders").select(F.concat_ws("|", K, printed).alias("path"), payload.alias("payload")))
+    probed = ingest.probes(table(spark, d, "orders").select(F.concat_ws("|", key, printed).alias("path"), payload.alias("payload")))
     v = ingest.printed_json(F.regexp_replace("path", r"^\d+\|", ""))
     return probed.select(F.regexp_extract("path", r"^\d+", 0).cast("bigint").alias("o_orderkey"), F.try_variant_get(v, "$.n", "bigint").alias("n"), "duration", F.size("streams").alias("streams"), F.get("streams", F.lit(0))["sample_rate"].alias("rate"))
 
@@ -184,9 +192,10 @@ def i3_current_edit_documents(spark, d):
 @query("SELECT '/f/' || o_orderkey AS path, o_custkey AS size, o_orderkey AS mtime_ns, sha256(CAST(o_orderkey AS VARCHAR)) AS sha256, o_orderkey * 2 AS recorded_ns FROM orders WHERE o_custkey % 5 <> 0 AND o_orderkey % 3 <> 0")
 def i4_cached_hashes(spark, d):
     """A fingerprint document for each customer, of two versions; entries may lack a field."""
-    entry = F.struct(C.alias("size"), K.alias("mtime_ns"), F.when(K % 3 != 0, F.sha2(K.cast("string"), 256)).alias("sha256"), (K * 2).alias("recorded_ns"))
-    docs = table(spark, d, "orders").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("/f/"), K), entry))).alias("entries"))
-    return ingest.cached_hashes(docs.select(F.try_parse_json(F.to_json(F.struct(F.when(C % 5 == 0, 2).otherwise(1).alias("version"), "entries"))).alias("doc")))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    entry = F.struct(cust.alias("size"), key.alias("mtime_ns"), F.when(key % 3 != 0, F.sha2(key.cast("string"), 256)).alias("sha256"), (key * 2).alias("recorded_ns"))
+    docs = table(spark, d, "orders").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("/f/"), key), entry))).alias("entries"))
+    return ingest.cached_hashes(docs.select(F.try_parse_json(F.to_json(F.struct(F.when(cust % 5 == 0, 2).otherwise(1).alias("version"), "entries"))).alias("doc")))
 
 
 @query(f"""WITH {views.WORDS} SELECT job_id, count(*) AS words, max("end") AS duration, min(text) AS first, max("end") - min("start") AS span FROM words GROUP BY job_id""")
@@ -223,7 +232,8 @@ def u5_later_results(spark, d):
 
 @query(f"WITH {views.RESULTS}, r AS (SELECT job_id, string_agg('f' || pos || ':' || state || ':' || coalesce(error, '-'), ',' ORDER BY pos) AS results FROM results WHERE job_id % 2 = 0 GROUP BY job_id) SELECT CAST(o_orderkey AS VARCHAR) AS id, 'a.wav,b' || o_custkey AS inputs, coalesce(results, '') AS results FROM orders LEFT JOIN r ON job_id = o_orderkey")
 def r14_job_rows(spark, d):
-    j = table(spark, d, "orders").select(K.cast("string").alias("id"), F.lit("completed").alias("state"), F.array(F.lit("/x/a.wav"), F.concat(F.lit("/y/b"), C)).alias("inputs"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    j = table(spark, d, "orders").select(key.cast("string").alias("id"), F.lit("completed").alias("state"), F.array(F.lit("/x/a.wav"), F.concat(F.lit("/y/b"), cust)).alias("inputs"))
     r = views.results(spark, d).where("job_id % 2 = 0").select(F.col("job_id").cast("string").alias("job_id"), "pos", F.concat(F.lit("/z/f"), "pos").alias("source"), "state", "error")
     shown = F.transform("results", lambda x: F.concat_ws(":", x["source"], x["state"], F.coalesce(x["error"], F.lit("-"))))
     return workflow.job_rows(j, r).select("id", F.array_join("inputs", ",").alias("inputs"), F.array_join(shown, ",").alias("results"))
