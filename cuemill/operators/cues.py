@@ -10,6 +10,8 @@ from cuemill.functions.text import LINE, bind, clock, collapse, ends_sentence, j
 LINES, LONGEST, SILENCE = 2, 7.0, 0.8
 #: Shortest show, reading speed in characters a second, and the least distance between cues.
 SHORTEST, READ, APART = 0.7, 20.0, 0.001
+#: Far over the rounding errors of sums of APART, in seconds.
+SLACK = 1e-6
 
 
 def cue_ranges(words: DataFrame, line: int = LINE, lines: int = LINES, longest: float = LONGEST, silence: float = SILENCE) -> DataFrame:
@@ -45,24 +47,31 @@ def timed(ranges: DataFrame, durations: DataFrame | None = None) -> DataFrame:
     """job_id, cue, text (not wrapped), start, end, speaker, word_start, word_end.
 
     A cue starts with its first word, after the cue before; it stays for its words, SHORTEST and reading time, but ends
-    before the next one's first word and with the media. The starts depend on the end before, so a job's cues are folded
-    in order, as one array of a few numbers each. durations: job_id, duration (seconds or null).
+    before the next one's first word and with the media. Only an end that APART moved past the next first word delays that
+    one, so a cue whose first word comes later than all earlier starts and APART for each cue since begins an island: it
+    starts on its own. Starts are folded inside islands, which hold one cue each unless words of several share a moment.
+    durations: job_id, duration (seconds or null).
     """
-    joined = ranges if durations is None else ranges.join(durations.select("job_id", "duration"), "job_id", "left")
-    duration = F.lit(None).cast("double") if durations is None else F.max("duration")
-    jobs = joined.groupBy("job_id").agg(duration.alias("duration"), F.array_sort(F.collect_list(F.struct("word_start", "word_end", "first_start", "last_end", "speaker", "text"))).alias("cs"))
+    lasting = F.lit(None).cast("double")
+    joined = ranges.withColumn("duration", lasting) if durations is None else ranges.join(durations.groupBy("job_id").agg(F.max("duration").alias("duration")), "job_id", "left")
+    order = Window.partitionBy("job_id").orderBy("word_start", "word_end", "first_start", "last_end", "speaker", "text")
+    numbered = joined.withColumns({"cue": F.row_number().over(order) - 1, "coming": F.lead("first_start").over(order)})
+    pushed = F.max(F.greatest("first_start", F.lit(0.0)) - F.col("cue") * APART).over(order.rowsBetween(Window.unboundedPreceding, -1)) + F.col("cue") * APART
+    alone = F.coalesce(F.col("first_start") >= pushed + SLACK, F.lit(False))
+    cs = F.struct("cue", "text", "first_start", "last_end", "coming", "speaker", "word_start", "word_end")
+    rows = numbered.withColumn("alone", alone).withColumn("island", F.sum(F.col("alone").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = rows.groupBy("job_id", "island").agg(F.max("duration").alias("duration"), F.array_sort(F.collect_list(cs)).alias("cs"))
     empty = F.array().cast("array<struct<start:double,end:double>>")
 
     def place(a: Column, c: Column) -> Column:
-        coming = F.get("cs", F.size(a["times"]) + 1)["first_start"]
         start = F.greatest(c["first_start"], a["past"])
         wanted = F.greatest(c["last_end"], start + SHORTEST, start + F.length(c["text"]) / READ)
-        end = F.greatest(F.least(wanted, coming - APART, F.col("duration")), start + APART)  # least() leaves out nulls
+        end = F.greatest(F.least(wanted, c["coming"] - APART, F.col("duration")), start + APART)  # least() leaves out nulls
         return bind(F.struct(start.alias("start"), end.alias("end")), lambda t: F.struct(t["end"].alias("past"), F.concat(a["times"], F.array(t)).alias("times")))
 
     times = F.aggregate("cs", F.struct(F.lit(0.0).alias("past"), empty.alias("times")), place, lambda a: a["times"])
-    shown = F.transform(F.arrays_zip("cs", "ts"), lambda x, i: F.struct(i.alias("cue"), x["cs"]["text"].alias("text"), x["ts"]["start"].alias("start"), x["ts"]["end"].alias("end"), x["cs"]["speaker"].alias("speaker"), x["cs"]["word_start"].alias("word_start"), x["cs"]["word_end"].alias("word_end")))
-    return jobs.withColumn("ts", times).select("job_id", F.inline(shown))
+    shown = F.transform(F.arrays_zip("cs", "ts"), lambda x: F.struct(x["cs"]["cue"].alias("cue"), x["cs"]["text"].alias("text"), x["ts"]["start"].alias("start"), x["ts"]["end"].alias("end"), x["cs"]["speaker"].alias("speaker"), x["cs"]["word_start"].alias("word_start"), x["cs"]["word_end"].alias("word_end")))
+    return islands.withColumn("ts", times).select("job_id", F.inline(shown))
 
 
 def build_cues(words: DataFrame, durations: DataFrame | None = None, line: int = LINE, lines: int = LINES, longest: float = LONGEST, silence: float = SILENCE) -> DataFrame:

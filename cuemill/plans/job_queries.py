@@ -54,7 +54,8 @@ def a4_median_speed(spark, d):
     return jobs.median_speed(_samples(spark, d))
 
 
-@query()
+@query(f"""WITH {_MANIFESTS}, {views.STAGE_EVENTS}, speed AS (SELECT median(value) AS speed FROM (SELECT value FROM speeds WHERE value > 0 ORDER BY updated_at DESC, value DESC LIMIT 5))
+SELECT e.*, value * 10 AS media_seconds, CASE WHEN stage = 'transcribing' AND status = 'started' AND value > 0 AND speed IS NOT NULL THEN greatest(0.1::DOUBLE, round_even(value * 10 / speed, 1)) END AS estimated_seconds FROM stage_events e, speed""")
 def a4_estimates(spark, d):
     e = views.stage_events(spark, d).withColumn("media_seconds", F.col("value") * 10)
     return jobs.estimates(e, _samples(spark, d))
@@ -163,17 +164,21 @@ def p20_actions(spark, d):
     return views.jobs(spark, d).select("id", action.alias("action"))
 
 
-@query(f"""WITH {views.STAGE_EVENTS}, e AS (SELECT * FROM stage_events WHERE source IS NOT NULL),
+_STATES = f"""WITH {views.STAGE_EVENTS}, e AS (SELECT * FROM stage_events WHERE source IS NOT NULL),
 t AS (SELECT job_id, source, event_id, stage, status, stage IN ('failed', 'completed') AS over FROM e WHERE stage <> 'queued'),
 cur AS (SELECT t.job_id, t.source, t.stage FROM t JOIN (SELECT job_id, source, max(event_id) AS event_id FROM t WHERE NOT over AND status = 'started' GROUP BY ALL) USING (job_id, source, event_id)
-        WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.job_id = t.job_id AND x.source = t.source AND x.event_id > t.event_id AND (x.over OR (x.status = 'completed' AND x.stage = t.stage))))
-SELECT s.*, cur.stage AS current FROM (SELECT job_id, source, coalesce(arg_max(stage, event_id) FILTER (WHERE stage IN ('failed', 'completed')), 'running') AS state, coalesce(arg_max(message, event_id), '') AS message, arg_max(message, event_id) FILTER (WHERE stage = 'failed') AS error,
-  coalesce(array_to_string(list_sort(list(DISTINCT stage) FILTER (WHERE stage NOT IN ('queued', 'failed', 'completed') AND status = 'completed')), ','), '') AS done FROM e GROUP BY job_id, source) s LEFT JOIN cur USING (job_id, source)""")
+        WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.job_id = t.job_id AND x.source = t.source AND x.event_id > t.event_id AND (x.over OR (x.status = 'completed' AND x.stage = t.stage)))),
+states AS (SELECT s.*, cur.stage AS current FROM (SELECT job_id, source, coalesce(arg_max(stage, event_id) FILTER (WHERE stage IN ('failed', 'completed')), 'running') AS state, coalesce(arg_max(message, event_id), '') AS message, arg_max(message, event_id) FILTER (WHERE stage = 'failed') AS error,
+  coalesce(array_to_string(list_sort(list(DISTINCT stage) FILTER (WHERE stage NOT IN ('queued', 'failed', 'completed') AND status = 'completed')), ','), '') AS done FROM e GROUP BY job_id, source) s LEFT JOIN cur USING (job_id, source))"""
+
+
+@query(_STATES + " SELECT * FROM states")
 def st6_file_states(spark, d):
     return progress.file_states(views.stage_events(spark, d)).withColumn("done", F.array_join("done", ","))
 
 
-@query()
+@query(_STATES + """, rows AS (SELECT job_id, source, state, current, string_split(done, ',') AS done, unnest(range(6)) AS place, unnest(['validating', 'probing', 'normalizing', 'transcribing', 'translating', 'rendering']) AS stage FROM states)
+SELECT job_id, source, place, stage, CASE WHEN list_contains(done, stage) THEN 'done' WHEN current = stage THEN CASE state WHEN 'running' THEN 'active' ELSE state END ELSE 'pending' END AS status FROM rows WHERE stage <> 'translating' OR list_contains(done, stage) OR current = stage""")
 def st6_stage_rows(spark, d):
     return progress.stage_rows(progress.file_states(views.stage_events(spark, d)))
 

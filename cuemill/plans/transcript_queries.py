@@ -39,6 +39,21 @@ timed AS (
   SELECT job_id, cue, "start", greatest(least(greatest(last_end, "start" + 0.7::DOUBLE, "start" + length(text) / 20.0::DOUBLE), coming - 0.001::DOUBLE), "start" + 0.001::DOUBLE)
   FROM (SELECT r.*, greatest(r.first_start, t."end") AS "start" FROM timed t JOIN r ON r.job_id = t.job_id AND r.cue = t.cue + 1))"""
 
+#: Lines of words: as many as fit, one at least; texts that need a third are cut at the space nearest to the middle.
+_SHOWN = _CUES + _TIMES + """,
+filled AS (SELECT *, list_slice(ws, k + 1, len(ws)) AS tail FROM (SELECT *, greatest(1, len(list_filter(generate_series(1, len(ws)), lambda n: length(array_to_string(list_slice(ws, 1, n), ' ')) <= 42))) AS k FROM (SELECT *, string_split(text, ' ') AS ws FROM ranges))),
+halved AS (SELECT *, CASE WHEN later - middle < middle - earlier OR earlier IS NULL THEN later ELSE earlier END AS place FROM (SELECT *, list_max(list_filter(spaces, lambda i: i <= middle)) AS earlier, list_min(list_filter(spaces, lambda i: i > middle)) AS later FROM (
+  SELECT *, length(text) // 2 AS middle, list_filter(generate_series(0, length(text) - 1), lambda i: substr(text, i + 1, 1) = ' ') AS spaces FROM filled))),
+wrapped AS (SELECT job_id, cue, speaker, word_start, word_end, CASE WHEN length(text) <= 42 OR len(tail) = 0 THEN text WHEN len(tail) = 1 OR length(array_to_string(tail, ' ')) <= 42 THEN array_to_string(list_slice(ws, 1, k), ' ') || chr(10) || array_to_string(tail, ' ')
+  WHEN place IS NULL THEN text ELSE trim(substr(text, 1, place)) || chr(10) || trim(substr(text, place + 1)) END AS text FROM halved),
+shown AS (SELECT job_id, cue, word_start, word_end, wrapped.speaker, wrapped.text, "start", "end" FROM wrapped JOIN timed USING (job_id, cue)),
+ms AS (SELECT *, CAST(floor("start" * 1000 + 0.5::DOUBLE) AS BIGINT) AS a, CAST(floor("end" * 1000 + 0.5::DOUBLE) AS BIGINT) AS b FROM shown)"""
+
+
+def _blocks(mark: str) -> str:
+    clock = lambda x: f"printf('%02d:%02d:%02d{mark}%03d', {x} // 3600000, {x} // 60000 % 60, {x} // 1000 % 60, {x} % 1000)"
+    return f"{clock('a')} || ' --> ' || {clock('b')} || chr(10) || coalesce('[Speaker ' || speaker || '] ', '') || text"
+
 
 def _cues(spark: SparkSession, d: str) -> DataFrame:
     return cues.build_cues(views.words(spark, d))
@@ -62,17 +77,17 @@ def w1_documents(spark, d):
     return cues.cue_ranges(words.select("job_id", "idx", "text", (ms / 1000).alias("start"), ((ms + 300) / 1000).alias("end"), F.lit(None).cast("string").alias("speaker")))
 
 
-@query()
+@query(_SHOWN + ' SELECT job_id, cue, text, "start", "end", speaker, word_start, word_end FROM shown')
 def t3_wrapped_cues(spark, d):
     return _cues(spark, d)
 
 
-@query()
+@query(_SHOWN + f" SELECT job_id, string_agg((cue + 1) || chr(10) || {_blocks(',')}, chr(10) || chr(10) ORDER BY cue) || chr(10) AS content FROM ms GROUP BY job_id")
 def k3_srt(spark, d):
     return cues.render_srt(_cues(spark, d))
 
 
-@query()
+@query(_SHOWN + f" SELECT job_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_blocks('.')}, chr(10) || chr(10) ORDER BY cue) || chr(10) AS content FROM ms GROUP BY job_id")
 def k4_vtt(spark, d):
     return cues.render_vtt(_cues(spark, d))
 
