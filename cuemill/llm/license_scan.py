@@ -9,6 +9,9 @@ held-out true examples. A family is reported if enough of a template of that fam
 
 A notice can stand anywhere in a paragraph of any length: where the paragraph as a whole isn't one, the stretches that align
 with a template, near words that hint at one, are judged without the text around them. A paragraph has a row for each family.
+A notice may also be wrapped over lines without a blank one between: stretches that align with a template across line ends are
+judged too, and reported as a paragraph from the start of the first of their lines, whose number it has, to the end of the last,
+unless one of those lines holds that family by itself.
 
 Null texts and texts without words have no paragraphs. Only paragraphs that are not "none" are returned: family is null for
 the unknown class, which holds at least two cue words but no confirmed family. Repeated rows are each scanned. Trained on
@@ -22,7 +25,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -252,45 +255,87 @@ def _near(places: list[int], n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _passages(marked: list[int], lines: list[str], words_of: Callable[[int], list[str]]) -> list[tuple[int, int]]:
+    """First and last line around each of marked (ascending), STRETCH words to either side or up to a blank line."""
+    out: list[tuple[int, int]] = []
+    for k in marked:
+        ends = []
+        for step in (-1, 1):
+            at, n = k, 0
+            while n < STRETCH and 0 <= at + step < len(lines) and lines[at + step].strip():
+                at += step
+                n += len(words_of(at))
+            ends.append(at)
+        if out and ends[0] <= out[-1][1]:
+            out[-1] = out[-1][0], max(ends[1], out[-1][1])
+        else:
+            out.append((ends[0], ends[1]))
+    return out
+
+
 def _notices(model: Classifier, text: str, hint: re.Pattern) -> list[tuple]:
     """(paragraph, start, end, family, probability, cover) of one text: a row for each family that a paragraph holds, or one
     without family if it is of the unknown class."""
-    wholes, parts, at = [], [], 0
-    for number, line in enumerate(text.split("\n")):
+    lines = text.split("\n")
+    bounds, at = [], 0
+    for line in lines:
+        bounds.append((at, at + len(line)))
+        at += len(line) + 1
+    wholes, parts = [], []
+    known: dict[int, list[str]] = {}
+    for number, line in enumerate(lines):
         low = line.lower()
         if marks := [m.start() for m in hint.finditer(low)]:
             spans = list(_WORD.finditer(low))
             words, starts = [m.group() for m in spans], [m.start() for m in spans]
+            known[number] = words
             places = sorted({max(bisect_right(starts, m) - 1, 0) for m in marks})
             for i in range(0, max(len(words) - STRETCH, 0) + STRIDE, STRIDE):
                 if bisect_left(places, i) < bisect_left(places, i + STRETCH):
-                    wholes.append((number, at, at + len(line), words[i : i + STRETCH]))
+                    wholes.append((number, words[i : i + STRETCH]))
                 if i + STRETCH >= len(words):
                     break
-            parts.append((number, at, at + len(line), words, places))
-        at += len(line) + 1
+            parts.append((number, words, places))
     if not wholes:
         return []
     sure: dict[int, dict[str, tuple]] = defaultdict(dict)
     unknown: dict[int, tuple] = {}
 
-    def judge(stretches: list[tuple]) -> None:
-        for (number, start, end, words), p in zip(stretches, model.probabilities([s[3] for s in stretches]), strict=True):
+    def judged(stretches: list[list[str]]) -> Iterator[tuple[float, str, float]]:
+        """Probability, family and cover of each."""
+        for words, p in zip(stretches, model.probabilities(stretches), strict=True):
             k = int(p.argmax())
-            family = model.families[k]
+            yield float(p[k]), model.families[k], model.cover(model.families[k], words) if k else 0.0
+
+    def aligned(words: list[str], places: list[int]) -> list[tuple[int, int]]:
+        return sorted({(a + c, a + d) for a, b in _near(places, len(words)) for ts in model.templates.values() for t in ts for c, d in _aligned(t, words[a:b])})
+
+    for stretches in (wholes, [(number, words[c:d]) for number, words, places in parts for c, d in aligned(words, places)]):
+        for (number, words), (p, family, cover) in zip(stretches, judged([w for _, w in stretches]) if stretches else (), strict=True):
             if family != NONE:
-                cover = model.cover(family, words)
-                if p[k] >= model.least and cover >= COVER:
-                    sure[number][family] = max(sure[number].get(family, (0.0,)), (float(p[k]), start, end, family, cover))
+                if p >= model.least and cover >= COVER:
+                    sure[number][family] = max(sure[number].get(family, (0.0,)), (p, *bounds[number], family, cover))
                 elif len(set(words) & set(CUES)) > 1:
-                    unknown[number] = max(unknown.get(number, (0.0,)), (float(p[k]), start, end, "", cover))
-
-    judge(wholes)
-    cut = []
-    for number, start, end, words, places in parts:
-        spans = {(a + c, a + d) for a, b in _near(places, len(words)) for ts in model.templates.values() for t in ts for c, d in _aligned(t, words[a:b])}
-        cut += [(number, start, end, words[c:d]) for c, d in sorted(spans)]
-    if cut:
-        judge(cut)
-    rows = [(n, *x) for n, found in sure.items() for x in found.values()] + [(n, *x) for n, x in unknown.items() if n not in sure]
+                    unknown[number] = max(unknown.get(number, (0.0,)), (p, *bounds[number], "", cover))
+
+    def words_of(number: int) -> list[str]:
+        if number not in known:
+            known[number] = words_in(lines[number])
+        return known[number]
+
+    wrapped, marks_of = [], {number: places for number, _, places in parts}
+    for first, last in _passages(list(marks_of), lines, words_of):
+        if first == last:
+            continue
+        owner = [k for k in range(first, last + 1) for _ in words_of(k)]
+        words = [w for k in range(first, last + 1) for w in words_of(k)]
+        places = [bisect_left(owner, k) + m for k in range(first, last + 1) for m in marks_of.get(k, ())]
+        wrapped += [(owner[c], owner[d - 1], words[c:d]) for c, d in aligned(words, places) if owner[c] < owner[d - 1]]
+    held = {(n, family) for n, found in sure.items() for family in found}
+    for (p, family, cover), a, b in sorted(((x, a, b) for (a, b, _), x in zip(wrapped, judged([w for *_, w in wrapped]) if wrapped else (), strict=True)), key=lambda x: (-x[0][0], *x[1:])):
+        if family != NONE and p >= model.least and cover >= COVER and not any((k, family) in held for k in range(a, b + 1)):
+            sure[a][family] = (p, bounds[a][0], bounds[b][1], family, cover)
+            held.update((k, family) for k in range(a, b + 1))
+    told = {n for n, _ in held}
+    rows = [(n, *x) for n, found in sure.items() for x in found.values()] + [(n, *x) for n, x in unknown.items() if n not in told]
     return [(n, s, e, f or None, p, c) for n, p, s, e, f, c in sorted(rows, key=lambda x: (x[0], x[4]))]

@@ -291,6 +291,29 @@ def test_licences_in_long_lines(licences, docs):
     assert not license_scan._notices(licences, " ".join([*plain[:100], "the rights of the car", *plain[100:300]]), hint)
 
 
+def test_licences_over_several_lines(licences, docs):
+    rng, hint = random.Random(10), license_scan.hints()
+    plain = [w for r in docs.collect() for w in license_scan.words_in(r["text"])]
+    right = total = 0
+    for family, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            words = t.split()
+            for width in (2, 3, 5):
+                if len(words) < 2 * width:
+                    continue
+                lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+                text = "\n".join([*(" ".join(rng.choices(plain, k=9)) for _ in range(5)), *lines, *(" ".join(rng.choices(plain, k=9)) for _ in range(5))])
+                found = [f for f in license_scan._notices(licences, text, hint) if f[3]]
+                total += 1
+                right += {f[3] for f in found} == {family} and all(f[1] <= text.index(lines[-1]) + len(lines[-1]) and f[2] >= text.index(lines[0]) for f in found)
+    assert total > 40 and right >= 0.95 * total
+    # A blank line ends a paragraph, and a line that holds a notice by itself has no second row.
+    assert not [f for f in license_scan._notices(licences, "released under the\n\nMIT\n\nlicense", hint) if f[3]]
+    assert [(f[0], f[3]) for f in license_scan._notices(licences, "we say\nReleased under the MIT License.\nMIT license", hint) if f[3]] == [(1, "MIT")]
+    wrapped = "one two\nReleased under\nthe MIT\nLicense.\nthree"
+    assert [(*f[:4],) for f in license_scan._notices(licences, wrapped, hint)] == [(1, 8, 39, "MIT")]
+
+
 def test_every_excerpt_is_asked_about():
     hint = license_scan.hints()
     for templates in license_scan.TEMPLATES.values():
