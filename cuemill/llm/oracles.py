@@ -16,12 +16,12 @@ SELECT t.doc_id, k.class_id, coalesce(d.n, 0) AS n_links FROM t JOIN (SELECT a,
 
 #: The same grid as the operator's; levels, costs and rates as its defaults.
 _GRID = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, cutoffs in quality.RULES.items() for i, c in enumerate(cutoffs))
-_RATE, _LEVEL = quality.ALPHA / len(quality.RULES), quality.DELTA / (len(quality.STRATA) * len(quality.RULES))
+_RATE, _LEVEL = quality.ALPHA / len(quality.RULES), f"{quality.DELTA}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM g) * {len(quality.RULES)})"
 
 QUALITY = rf"""WITH {_WORDS},
 again AS (SELECT r, s FROM (SELECT r, array_to_string(ws[i:i + 7], chr(31)) AS s FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM t WHERE len(ws) > 7)) GROUP BY r, s HAVING count(*) > 1),
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, array_to_string(ws[i:i + 7], chr(31)) AS s FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM t WHERE len(ws) > 7)) JOIN again USING (r, s), generate_series(0, 7) AS g(k) GROUP BY r),
-m AS (SELECT r, doc_id, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'other' END AS stratum, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+m AS (SELECT r, doc_id, coalesce(lang, '') AS stratum, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
              list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(covered.n, 0) AS n_repeat_words FROM t LEFT JOIN covered USING (r)),
 d AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 v AS (SELECT r, doc_id, stratum, base_failed, unnest([{{'rule': 'symbol_rate', 'x': n_symbols / n_words}}, {{'rule': 'dup_line_rate', 'x': n_dup_lines / len(lines)}}, {{'rule': 'repeat_rate', 'x': n_repeat_words / n_words}}, {{'rule': 'word_length', 'x': word_chars / n_words}}], recursive := true) FROM d WHERE n_words > 0),

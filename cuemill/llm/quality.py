@@ -7,8 +7,10 @@ stops at the first that fails (fixed sequence), so with probability 1 - delta no
 documents. Of the safe cutoffs the one that removes most bad documents is used, a good one counting as COST bad ones;
 where none removes any, the rule is off.
 
-Null texts have no words and fail the base rule. Languages outside LANGUAGES, and null, form one stratum, so that the
-table of cutoffs has at most len(STRATA) x len(RULES) rows at any input size. A document with several labels is good if
+Null texts have no words and fail the base rule. Documents of one language are a stratum, those without (null or empty) one
+too; languages without labels have no rule on. The strata are counted from the labelled documents that pass the base rule,
+so every language has the guarantee. A cutoff needs some hundreds of good labelled documents to be safe (348 with one stratum,
+more with each further one), so the table of cutoffs has at most len(RULES) rows for every 348 of them. A document with several labels is good if
 any label says so, and counts once; of several rows with its id the least by stratum and measures does. Repeated rows are
 returned as often as they occur. Without labels no rule is on, and an empty table gives no rows. Very long texts are measured
 whole, in the row. Other columns keep their values, whatever their names.
@@ -24,9 +26,6 @@ from pyspark.sql import functions as F
 from cuemill.llm.common import let, staged, words_of
 
 WINDOW = 8
-#: Documents of one stratum share a language.
-LANGUAGES = ("en", "de", "fr", "es")
-STRATA = (*LANGUAGES, "other")
 ALPHA, DELTA, COST = 0.05, 0.05, 10.0
 #: Measures, and the cutoffs that are tested, loosest first.
 RULES = {
@@ -74,7 +73,7 @@ def _values(m: Column) -> dict[str, Column]:
 
 
 def stratum(lang: Column) -> Column:
-    return F.when(lang.isin(*LANGUAGES), lang).otherwise("other")
+    return F.coalesce(lang, F.lit(""))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -105,12 +104,14 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     # How many cutoffs of its rule a document exceeds: the last ones of the list, since they fall.
     over = lambda rule: F.size(F.filter(F.array(*[F.lit(c) for c in RULES[rule]]), lambda c: F.col(rule) > c))
     counted = rows.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), over(r).alias("over")) for r in RULES])).alias("x")).groupBy("stratum", "x.rule", "x.over").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    counted = staged(counted, "labelled", gather=True)  # a row for each stratum, rule and place in the list
+    strata = counted.select("stratum").distinct().count()
     grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.lit(len(cs) - i).alias("least")) for r, cs in RULES.items() for i, c in enumerate(cs)]))
     by_rule = counted.groupBy("stratum", "rule").agg(F.collect_list(F.struct("over", "good", "bad")).alias("hist"), F.sum("good").alias("n"))  # as many entries as cutoffs, at most
     tested = by_rule.select("stratum", F.col("rule").alias("of"), "hist", "n", grid.alias("g")).where(F.col("of") == F.col("g.rule"))
     added = lambda name: F.aggregate("hist", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["over"] >= F.col("g.least"), x[name]).otherwise(0))
     tested = tested.select("stratum", "g.rule", "g.i", "g.cutoff", "n", added("good").alias("k"), added("bad").alias("caught"))
-    level = delta / (len(STRATA) * len(RULES))
+    level = delta / (max(strata, 1) * len(RULES))
     tested = tested.select("*", (binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= level).alias("safe"))
     order = F.array_sort(F.collect_list(F.struct("i", "cutoff", "k", "caught", "safe")))
     # Safe up to the first failure; the largest gain, and of equals the loosest.
@@ -119,10 +120,12 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
 
 def verdict(m: Column, lang: Column, chosen: list) -> Column:
-    """True for documents that stay. chosen: the rows of cutoffs(), of which there are at most strata times rules."""
+    """True for documents that stay. chosen: the rows of cutoffs(), which are as few as is said above."""
     values, rejected = _values(m), F.lit(False)
-    for row in chosen:
-        rejected = rejected | ((stratum(lang) == row["stratum"]) & (values[row["rule"]] > row["cutoff"]))
+    for rule, value in values.items():
+        limits = [F.lit(x) for row in chosen if row["rule"] == rule for x in (row["stratum"], row["cutoff"])]
+        if limits:
+            rejected = rejected | F.coalesce(value > F.create_map(*limits)[stratum(lang)], F.lit(False))
     return ~base_failed(m) & ~rejected
 
 

@@ -245,6 +245,22 @@ def test_cutoffs_are_safe(spark):
     assert got.where("lang = 'xx' AND NOT kept").count() == 0
 
 
+def test_every_language_is_a_stratum(spark):
+    """What tells bad documents of one language is usual in good ones of another, and of rows without language."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(6000):
+        lang, good = ("pt", "nl", None)[i % 3], i // 3 % 4 > 0
+        marked = not good if lang == "pt" else rng.random() < 0.5
+        rows.append((i, " ".join(f"w{rng.randrange(10**3):03d}###" if marked else f"w{rng.randrange(10**6):06d}" for _ in range(30)), lang, int(good)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int")
+    labels = table.where("doc_id >= 600").select("doc_id", "quality")
+    chosen = quality.cutoffs(table.select("doc_id", "lang", quality.measures(F.col("text")).alias("m")), labels).collect()
+    assert {(r["stratum"], r["rule"]) for r in chosen} == {("pt", "symbol_rate")}
+    got = quality.judged(table, labels).join(table.select("doc_id", "quality", "lang"), "doc_id")
+    assert got.where("kept <> (coalesce(lang, '') <> 'pt' OR quality = 1)").count() == 0
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(None, 1, 0), (4, 1, 0), (4, 0, 0), (5, None, None)], "doc_id bigint, quality int, toxic int")
     n = odd.count()
