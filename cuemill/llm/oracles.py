@@ -43,3 +43,28 @@ k AS (SELECT p.*, c3.n AS n3, cuv.n AS nuv, c2.n AS n2, cv.n AS nv, c1.n AS n1,
 s AS (SELECT r, sum(CASE WHEN n3 >= 1 THEN round(1e6::DOUBLE * ln(n3)) - round(1e6::DOUBLE * ln(nuv)) WHEN n2 >= 1 THEN CASE WHEN u IS NULL THEN 0 ELSE -916291 END + round(1e6::DOUBLE * ln(n2)) - round(1e6::DOUBLE * ln(nv))
       ELSE CASE WHEN v IS NULL THEN 0 WHEN u IS NULL THEN -916291 ELSE -2 * 916291 END + round(1e6::DOUBLE * ln(n1)) - round(1e6::DOUBLE * ln(total)) END) AS s FROM k GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, s / 1e6::DOUBLE AS log_score, s / 1e6::DOUBLE / len(ws) AS mean_log_score FROM t LEFT JOIN s USING (r)"""
+
+#: Units and their borders; seeds from the digest of the id.
+INFILL = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(d, i * 8 + 1, 8) AS BIGINT)) AS h FROM t),
+b AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM b)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+#: All pairs of sources over all kept terms, in whole numbers wide enough for any count.
+DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+own AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM groups g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + s.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (s.total + s.v) AS q
+      FROM own g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+both_parts AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value FROM groups g JOIN groups o ON o.lang = g.lang AND o.source <> g.source LEFT JOIN pair ON pair.lang = g.lang AND pair.source = g.source AND pair.item = o.source
+               UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
