@@ -183,7 +183,14 @@ def st6_stage_rows(spark, d):
     return progress.stage_rows(progress.file_states(views.stage_events(spark, d)))
 
 
-@query()
+@query(f"""WITH {views.STAGE_EVENTS}, e AS (SELECT job_id, event_id, source, CAST(event_id AS DOUBLE) AS at, CASE WHEN event_id % 4 <> 0 THEN 30.0::DOUBLE END AS est,
+  CASE WHEN source IS NULL THEN NULL WHEN stage IN ('failed', 'completed') OR (stage = 'transcribing' AND status = 'completed') THEN 0 WHEN stage = 'transcribing' AND status = 'started' THEN 1 END AS busy FROM stage_events),
+s AS (SELECT *, coalesce(busy - coalesce(last_value(busy IGNORE NULLS) OVER (PARTITION BY job_id, source ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS step FROM e),
+l AS (SELECT *, sum(step) OVER (PARTITION BY job_id ORDER BY event_id) AS n FROM s),
+o AS (SELECT job_id, max(event_id) AS now, max(event_id) FILTER (WHERE step < 0 AND n = 0) AS closed FROM l GROUP BY job_id),
+m AS (SELECT job_id, source, min(event_id) AS first, arg_max(est, event_id) AS est, bool_or(est IS NULL AND last) AS unknown, any_value(now) AS now FROM (SELECT l.job_id, source, event_id, est, now, event_id = max(event_id) OVER (PARTITION BY l.job_id, source) AS last FROM l JOIN o USING (job_id) WHERE busy = 1 AND event_id > coalesce(closed, -1)) GROUP BY job_id, source),
+b AS (SELECT CAST(job_id AS VARCHAR) AS job_id, CAST(count(*) AS INT) AS files, CAST(min(first) AS DOUBLE) AS started_at, CAST(any_value(now) - min(first) AS DOUBLE) AS elapsed, CASE WHEN NOT bool_or(unknown) THEN sum(est) END AS estimate FROM m GROUP BY job_id)
+SELECT *, estimate IS NULL AS indeterminate, CASE WHEN estimate IS NULL THEN NULL WHEN elapsed >= estimate THEN 0.99::DOUBLE ELSE least(0.99::DOUBLE, elapsed / estimate) END AS fraction, coalesce(elapsed >= estimate, false) AS overdue FROM (SELECT * REPLACE (CAST(estimate AS DOUBLE) AS estimate) FROM b)""")
 def st6_progress_bars(spark, d):
     e = views.stage_events(spark, d)
     return progress.bars(e.select("job_id", "event_id", "source", "stage", "status", F.col("event_id").cast("double").alias("at"), F.when(F.col("event_id") % 4 != 0, F.lit(30.0)).alias("estimated_seconds")).withColumn("job_id", F.col("job_id").cast("string")))

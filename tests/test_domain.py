@@ -221,42 +221,6 @@ def test_progress(spark):
     assert shown["a", "transcribing"] == "done" and shown["a", "translating"] == "active" and shown["b", "rendering"] == "pending" and ("b", "translating") not in shown
 
 
-def stream(spark, schema, files, query, mode, tmp_path):
-    """Rows of a streaming query over JSON files that come one at a time."""
-    (tmp_path / "in").mkdir()
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    out = []
-    run = query(source).writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "check")).foreachBatch(lambda df, _: out.extend(df.collect())).start()
-    try:
-        for i, lines in enumerate(files):
-            (tmp_path / f"in/{i}.json").write_text("\n".join(map(json.dumps, lines)))
-            run.processAllAvailable()
-    finally:
-        run.stop()
-    return out
-
-
-def test_streams_equal_batches(spark, tmp_path):
-    names = [c.split()[0] for c in EVENTS.split(", ")]
-    e = [("j", 1, "a", "transcribing", "started", "", 0.0, 10.0), ("j", 2, "b", "transcribing", "started", "", 5.0, 30.0), ("j", 3, "a", "transcribing", "completed", "", 12.0, None), ("k", 1, "c", "transcribing", "started", "", 1.0, None)]
-    (tmp_path / "bars").mkdir()
-    got = stream(spark, EVENTS, [[dict(zip(names, x, strict=True))] for x in e], progress.bar_stream, "update", tmp_path / "bars")
-    last = {r["job_id"]: tuple(r) for r in got}
-    want = {r["job_id"]: tuple(r) for r in progress.bars(spark.createDataFrame(e, EVENTS)).collect()}
-    assert last == want
-    (tmp_path / "sse").mkdir()
-    frames = "id: 1\r\ndata: x\r\n\r\nevent: b\ndata: y\n\ndata: tail"
-    chunks = [[{"stream_id": "s", "seq": i, "text": frames[i * 7 : i * 7 + 7]}] for i in range(7)]
-    got = stream(spark, "stream_id string, seq bigint, text string", chunks, sse.event_stream, "append", tmp_path / "sse")
-    assert [(r["n"], r["id"], r["event"], r["data"]) for r in got] == [(0, "1", "message", "x"), (1, "1", "b", "y")]
-
-
-def test_repeated_events_come_once(spark, tmp_path):
-    line = {"job_id": "j", "event_id": 1, "ts": "2024-01-01T00:00:00.000Z"}
-    got = stream(spark, "job_id string, event_id bigint, ts timestamp", [[line, line], [line]], progress.fresh_events, "append", tmp_path)
-    assert len(got) == 1
-
-
 def test_files_to_write(spark, tmp_path):
     made = spark.createDataFrame([("j", "a.txt", "one\ntwo\n"), ("k", "b.srt", "x")], "job_id string, name string, content string")
     sinks.write_artifacts(made, str(tmp_path / "out"))
