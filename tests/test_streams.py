@@ -156,3 +156,31 @@ def test_bars_by_their_description(spark, seed):
             want.append(bar.row(job, own[-1]["at"]))
     columns = [c.split()[0] for c in progress.BAR.split(", ")]
     assert sorted(rows(progress.bars(spark.createDataFrame(log, EVENTS)), *columns)) == sorted(want)
+
+
+def test_event_streams_cut_anywhere(spark):
+    """Windows over chunks, of one character or more, give what the whole text gives."""
+    rng = random.Random(11)
+    texts, chunks = {}, []
+    for k in range(120):
+        text = "".join(rng.choice(["data: a", "data", "data:", "id: 1", "id:x\0", "id", "\r", "\n", "\r\n", "\n\n", "event: e", ": c", "data: ", "x", "data:b: c", "é"]) for _ in range(rng.randrange(1, 40)))
+        size, i, seq = rng.choice([1, 1, 2, 5, 50]), 0, 0
+        while i < len(text):
+            chunks.append((f"s{k}", seq, text[i : i + size]))
+            if rng.random() < 0.2:
+                seq += 1
+                chunks.append((f"s{k}", seq, rng.choice(["", None])))
+            i, seq = i + size, seq + 1
+        texts[f"s{k}"] = text
+    got = rows(sse.events(spark.createDataFrame(rng.sample(chunks, len(chunks)), "stream_id string, seq int, text string")), "stream_id", "n", "id", "event", "data")
+    assert sorted(map(str, got)) == sorted(str((k, *e)) for k, text in texts.items() for e in sse.Reader().feed(text))
+
+
+def test_long_event_stream(spark):
+    """A stream of many chunks is never one value, nor is any but an event longer than a chunk."""
+    size, n = 4096, 5000
+    body = F.concat(F.lit("id: "), F.col("id"), F.lit("\ndata: "), F.repeat(F.lit("x"), 70), F.lit("\n\n"))
+    text = spark.range(n * size // 100).select((F.col("id") * 100 / size).cast("bigint").alias("seq"), "id", F.rpad(body, 100, "\n").alias("t")).groupBy("seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "t"))), lambda x: x["t"]), "").alias("text"))
+    made = sse.events(text.select(F.lit("s").alias("stream_id"), "seq", "text"))
+    total, ids, longest = made.agg(F.count("*"), F.count_distinct("id"), F.max(F.length("data"))).first()
+    assert total == ids == n * size // 100 and longest == 70
