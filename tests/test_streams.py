@@ -10,7 +10,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from cuemill.streaming import progress, sse
+from cuemill.streaming import cursor, progress, saves, sse
 
 EVENTS = "job_id string, event_id bigint, source string, stage string, status string, message string, at double, estimated_seconds double"
 
@@ -184,3 +184,160 @@ def test_long_event_stream(spark):
     made = sse.events(text.select(F.lit("s").alias("stream_id"), "seq", "text"))
     total, ids, longest = made.agg(F.count("*"), F.count_distinct("id"), F.max(F.length("data"))).first()
     assert total == ids == n * size // 100 and longest == 70
+
+
+class PlainQueue:
+    """The queue as a schedule in time: what happens when, with a pause as an event of its own."""
+
+    def __init__(self, delay):
+        self.delay, self.pending, self.flying, self.timer, self.rerun, self.error, self.out = delay, {}, None, None, False, False, []
+
+    def run(self, at):
+        self.timer = None
+        if self.flying is not None:
+            self.rerun = True
+        elif self.pending:
+            self.flying, self.pending, self.error = self.pending, {}, False
+            self.out.append((len(self.out) + 1, at, sorted(self.flying.items())))
+
+    def until(self, at):
+        if self.timer is not None and self.timer <= at:
+            self.run(self.timer)
+
+    def see(self, kind, at, idx, text):
+        self.until(at)
+        if kind == saves.SET:
+            self.pending[idx], self.timer = text, at + self.delay
+        elif kind == saves.DROP:
+            self.pending.pop(idx, None)
+            self.timer = self.timer if self.pending else None
+        elif kind == saves.NOW:
+            self.run(at)
+        elif self.flying is not None:
+            old, self.flying = self.flying, None
+            if kind == saves.FAILED:
+                self.error = True
+                for i, t in old.items():
+                    self.pending.setdefault(i, t)
+            again = self.rerun or (bool(self.pending) and self.timer is None and not self.error)
+            self.rerun = False
+            if again and not self.error and self.pending:
+                self.run(at)
+
+
+def schedule(rng, size=60):
+    """Random changes and outcomes, with pauses longer and shorter than the delay."""
+    rows, at = [], 0
+    for seq in range(size):
+        at += rng.choice([0, 50, 300, 799, 800, 801, 2500])
+        kind = rng.choice([saves.SET] * 6 + [saves.DROP, saves.NOW, saves.SAVED, saves.SAVED, saves.FAILED, saves.FAILED])
+        rows.append({"at": at, "seq": seq, "kind": kind, "idx": rng.randrange(4), "text": rng.choice([None, "a", "b", "c"])})
+    return rows
+
+
+def test_save_queue_equals_the_plain_one():
+    """Thousands of schedules, without a stream."""
+    for seed in range(3000):
+        rows_ = schedule(random.Random(seed))
+        plain, q, out = PlainQueue(800), saves.Queue(), []
+        for r in rows_:
+            plain.see(r["kind"], r["at"], r["idx"], r["text"])
+            steps = [(saves.NOW, q.due, None, None)] if q.due is not None and q.due <= r["at"] else []
+            for kind, at, idx, text in [*steps, (r["kind"], r["at"], r["idx"], r["text"])]:
+                sent = q.step(kind, at, idx, text)
+                if sent is not None:
+                    out.append((len(out) + 1, at, sorted(sent.items())))
+        assert out == plain.out, seed
+
+
+def test_saves_as_a_stream(spark, tmp_path):
+    """Timers of event time; jobs at once, in micro-batches with rows in any order."""
+    rng = random.Random(5)
+    log, want = [], {}
+    for job in ("a", "b", "c"):
+        own = schedule(rng)
+        plain = PlainQueue(800)
+        for r in own:
+            plain.see(r["kind"], r["at"], r["idx"], r["text"])
+        plain.until(10**9)
+        want[job] = plain.out
+        log += [{"job_id": job, **r} for r in own]
+    log.sort(key=lambda r: r["at"])
+    files = cut(rng, log)
+    # A later row of another job lets the watermark pass the last pauses.
+    files += [[{"job_id": "z", "at": 10**8 + i, "seq": i, "kind": saves.SAVED, "idx": 0, "text": None}] for i in range(2)]
+    made = lambda df: saves.saves(df.withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", "0 seconds"), clock="EventTime")
+    got = stream(spark, "job_id string, at bigint, seq int, kind string, idx int, text string", files, made, "append", tmp_path)
+    found = {job: sorted((r["save"], r["at"], [tuple(c) for c in r["changes"]]) for r in got if r["job_id"] == job) for job in want}
+    assert found == want and all(want.values())
+
+
+def test_saves_by_the_clock(spark, tmp_path):
+    """A pause of processing time ends by its timer, without another row."""
+    files = [[{"job_id": "j", "at": 0, "seq": i, "kind": saves.SET, "idx": i, "text": "x"} for i in range(3)]]
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("job_id string, at bigint, seq int, kind string, idx int, text string").json(str(tmp_path / "in"))
+    (tmp_path / "in/0.json").write_text("\n".join(map(json.dumps, files[0])))
+    out = []
+    run = saves.saves(source, delay=300).writeStream.option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(processingTime="100 milliseconds").foreachBatch(lambda df, _: out.extend(df.collect())).start()
+    try:
+        assert wait(lambda: out)
+    finally:
+        run.stop()
+    assert [[tuple(c) for c in r["changes"]] for r in out] == [[(0, "x"), (1, "x"), (2, "x")]]
+
+
+def wait(until, seconds=60):
+    end = time.time() + seconds
+    while not until() and time.time() < end:
+        time.sleep(0.1)
+    return until()
+
+
+def test_cursor_after_a_restart(spark, tmp_path):
+    """Nothing is lost or repeated, an id says where to start, and the job's end is the end."""
+    path, n = str(tmp_path / "events"), 0
+
+    def add(*stages, job="j"):
+        nonlocal n
+        rows_ = [(job, n + i + 1, None if s in progress.ENDED else "f", s, "started", "") for i, s in enumerate(stages)]
+        n += len(rows_)
+        spark.createDataFrame(rows_, cursor.EVENTS).coalesce(1).write.mode("append").parquet(path)
+
+    def read(check, after=0, enough=0):
+        out = []
+        run = cursor.job_events(spark, path, "j", after).writeStream.option("checkpointLocation", str(tmp_path / check)).trigger(processingTime="50 milliseconds").foreachBatch(lambda df, _: out.extend(r["event_id"] for r in df.collect())).start()
+        try:
+            wait(lambda: len(out) >= enough or run.exception())
+            time.sleep(1)
+            assert run.exception() is None
+        finally:
+            run.stop()
+        return sorted(out)
+
+    add("validating", "probing", "transcribing")
+    add("validating", job="other")
+    assert read("a", enough=3) == [1, 2, 3]
+    add("rendering")
+    add("completed", "queued", "queued")
+    assert read("a", enough=2) == [5, 6]
+    assert read("a") == [] and read("b", after=3, enough=2) == [5, 6] and read("c", after=6, enough=2) == [7, 8]
+
+
+def test_frames_and_keep_alives(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    event = lambda job, n, stage: json.dumps({"job_id": job, "event_id": n, "source": None if stage in progress.ENDED else "f", "stage": stage, "status": "s", "message": "m"})
+    (tmp_path / "in/0.json").write_text("\n".join([event("over", 1, "probing"), event("over", 2, "completed"), event("on", 1, "probing")]))
+    out = []
+    events = spark.readStream.schema(cursor.EVENTS).json(str(tmp_path / "in"))
+    run = cursor.frames(events, silence_ms=400).writeStream.option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(processingTime="100 milliseconds").foreachBatch(lambda df, _: out.extend(df.collect())).start()
+    try:
+        assert wait(lambda: len(out) >= 6)
+        (tmp_path / "in/1.json").write_text(event("on", 2, "failed"))
+        assert wait(lambda: any(r["event_id"] == 2 and r["job_id"] == "on" for r in out))
+        time.sleep(1.5)
+        alive = [r["job_id"] for r in out if r["frame"] == cursor.KEEP_ALIVE]
+        assert len(alive) >= 3 and set(alive) == {"on"} and out[-1]["event_id"] == 2
+    finally:
+        run.stop()
+    assert [r["frame"] for r in out if r["job_id"] == "over"] == ['id: %d\nevent: %s\ndata: {"job_id":"over","source":%s,"stage":"%s","status":"s","message":"m"}\n\n' % (n, s, f, s) for n, s, f in ((1, "probing", '"f"'), (2, "completed", "null"))]
