@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions.text import collapse, speaker_label
+from cuemill.operators.ordinals import with_base
 
 KEYS = ["job_id", "idx"]
 #: Fixed value: what is said of a translation that doesn't line up.
@@ -76,10 +77,7 @@ def translated(segments: DataFrame, results: DataFrame) -> DataFrame:
 
     segments: job_id, job_pos, idx, text. The ordinal is a sum over jobs' counts, a row a job, plus the place in the job.
     """
-    from pyspark.sql import Window
-
-    sizes = segments.groupBy("job_pos").agg(F.count("*").alias("n"))
-    base = sizes.select("job_pos", F.coalesce(F.sum("n").over(Window.orderBy("job_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = with_base(segments.groupBy("job_pos").agg(F.count("*").alias("n")), "job_pos", "n").drop("n")
     placed = segments.join(base, "job_pos").withColumn("ordinal", F.col("base") + F.col("idx"))
     return placed.join(results.select("ordinal", F.col("text").alias("translation")), "ordinal", "left").select("job_id", "idx", "text", F.col("translation"))
 

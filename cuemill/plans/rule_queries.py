@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import rules, text
 from cuemill.operators import identity, jobs, validate, workflow
+from cuemill.operators.ordinals import with_base
 from cuemill.plans import views
 from cuemill.plans.registry import Queries
 from cuemill.plans.views import table
@@ -190,7 +190,7 @@ def i3_current_edit_documents(spark, d):
 
 
 @query("SELECT '/f/' || o_orderkey AS path, o_custkey AS size, o_orderkey AS mtime_ns, sha256(CAST(o_orderkey AS VARCHAR)) AS sha256, o_orderkey * 2 AS recorded_ns FROM orders WHERE o_custkey % 5 <> 0 AND o_orderkey % 3 <> 0")
-def i4_cached_hashes(spark, d):
+def i15_cached_hashes(spark, d):
     """A fingerprint document for each customer, of two versions; entries may lack a field."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     entry = F.struct(cust.alias("size"), key.alias("mtime_ns"), F.when(key % 3 != 0, F.sha2(key.cast("string"), 256)).alias("sha256"), (key * 2).alias("recorded_ns"))
@@ -199,7 +199,7 @@ def i4_cached_hashes(spark, d):
 
 
 @query(f"""WITH {views.WORDS} SELECT job_id, count(*) AS words, max("end") AS duration, min(text) AS first, max("end") - min("start") AS span FROM words GROUP BY job_id""")
-def i6_transcript_documents(spark, d):
+def i3_transcript_documents(spark, d):
     """Transcripts written as JSON documents and read again."""
     w = views.words(spark, d)
     body = F.struct(F.lit(1).alias("schema_version"), F.max("end").cast("string").alias("duration"), F.array_sort(F.collect_list(F.struct("idx", "text", "start", "end", "speaker"))).alias("words"))
@@ -209,11 +209,11 @@ def i6_transcript_documents(spark, d):
 
 
 @query(f"""WITH {views.SEGMENTS}, b AS (SELECT job_id, idx, text, row_number() OVER (ORDER BY job_id, idx) - 1 AS ordinal FROM segments) SELECT ordinal, md5('tr ' || text) AS digest FROM b""")
-def i8_translation_batches(spark, d):
+def i10_translation_batches(spark, d):
     """A translator's answers, one list a job, put in one order over all jobs."""
     s = views.segments(spark, d)
     sizes = s.groupBy("job_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: F.struct(F.concat(F.lit("tr "), x["text"]).alias("text"))).alias("items"))
-    first = sizes.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("job_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = with_base(sizes, "job_id", "n").withColumnRenamed("base", "first")
     return ingest.translation_batch(first.select("first", F.to_json("items").alias("payload"))).select("ordinal", F.md5("text").alias("digest"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cuemill.functions.rules import blank_to_null
 from cuemill.functions.text import bind, join_tokens
 
-NESTED = 4
 #: The names under which recognisers give things, the first present one counting.
 WORDS = ("words", "word_timestamps", "word_times", "tokens")
 TEXT, START, END = ("word", "text", "token"), ("start", "start_time", "start_sec", "begin"), ("end", "end_time", "end_sec", "finish")
@@ -82,14 +81,23 @@ def first_of(v: Column, names: tuple[str, ...], kind: str = "string") -> Column:
     return F.coalesce(*[at(v, n, kind) for n in names])
 
 
-def container(v: Column, depth: int = NESTED) -> Column:
-    """Where the result is: inside "result", else the last of "results", else the first of "alternatives", else here."""
-    if not depth:
-        return v
+def _deeper(v: Column) -> Column:
+    """Where the search for the result goes on: inside "result", else in the last of "results"; null where it ends."""
     last = F.try_element_at(at(v, "results", "array<variant>"), F.lit(-1))
-    first = F.get(at(v, "alternatives", "array<variant>"), F.lit(0))
-    inner = F.when(is_object(at(v, "result")), at(v, "result")).when(is_object(last), last)
-    return F.when(inner.isNotNull(), bind(inner, lambda x: container(x, depth - 1))).when(is_object(first), first).otherwise(v)
+    return F.when(is_object(at(v, "result")), at(v, "result")).when(is_object(last), last)
+
+
+def container(v: Column, steps: Column) -> Column:
+    """Where the result is: inside "result", else the last of "results", again and again, then the first of "alternatives".
+    steps: how often the search can go on, at most."""
+    found = F.aggregate(F.sequence(F.lit(0), steps), v, lambda x, _: F.coalesce(_deeper(x), x))
+    first = F.get(at(found, "alternatives", "array<variant>"), F.lit(0))
+    return bind(F.struct(found.alias("v"), first.alias("first")), lambda x: F.when(is_object(x["first"]), x["first"]).otherwise(x["v"]))
+
+
+def _steps(payload: Column) -> Column:
+    """No search goes on oftener than the text has a key that begins with result, or an escape that may spell one."""
+    return F.regexp_count(payload, F.lit(r'"result|\\u'))
 
 
 def word_list(v: Column) -> Column:
@@ -109,7 +117,7 @@ def transcripts(raw: DataFrame) -> DataFrame:
     fault is null, or says what is missing: an object, words, or a word's text or times. Values of the wrong kind fail the
     query, as they do where they come from.
     """
-    whole = raw.select("job_id", "duration", F.try_parse_json("payload").alias("p")).withColumn("c", F.when(is_object(F.col("p")), container(F.col("p"))))
+    whole = raw.select("job_id", "duration", "payload", F.try_parse_json("payload").alias("p")).withColumn("c", F.when(is_object(F.col("p")), container(F.col("p"), _steps(F.col("payload")))))
     found = whole.withColumn("items", F.coalesce(word_list(F.col("c")), word_list(F.col("p"))))
     words = found.withColumn("words", _words(F.col("items")))
     fault = F.when(~is_object(F.col("p")) | F.col("p").isNull(), "object").when(F.coalesce(F.size("items"), F.lit(0)) < 1, "words").when(F.exists("words", lambda w: w["text"].isNull() | w["start"].isNull() | w["end"].isNull()), "word")
