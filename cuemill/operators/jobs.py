@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cuemill.functions.rules import ENDED, setup_end
 
 NEWEST, HISTORY = 5, 1000
+#: Fixed value: what is said of a job that only its manifest tells of.
+RECOVERED = "Recovered from manifest"
 
 
 def listed(jobs: DataFrame, offset: int = 0, limit: int = 100, state: str | None = None) -> DataFrame:
@@ -63,16 +65,23 @@ def estimates(events: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def recovered(manifests: DataFrame) -> DataFrame:
-    """id, state, source, job_dir, error, submitted_at, finished_at: the jobs that manifests tell of. Work in progress was
-    interrupted; what has no end isn't listed; of manifests of one job the first path counts. manifests: path, job_id,
-    state, source_path, error, created_at, updated_at."""
+    """id, state, source, inputs, job_dir, error, submitted_at, started_at, finished_at: the jobs that manifests tell of. Work
+    in progress was interrupted; what has no end isn't listed; of manifests of one job the first path counts. manifests: path,
+    job_id, state, source_path, error, created_at, updated_at."""
     state = F.when(F.col("state") == "processing", "interrupted").otherwise(F.coalesce("state", F.lit("unknown")))
     rows = manifests.withColumn("state", state).where(F.col("state").isin(*ENDED))
     key = F.coalesce(F.nullif("job_id", F.lit("")), F.sha2("path", 256))
-    named = rows.select(key.alias("id"), "path", F.struct("state", F.coalesce("source_path", F.lit("")).alias("source"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("job_dir"), F.nullif("error", F.lit("")).alias("error"), F.col("created_at").alias("submitted_at"), F.col("updated_at").alias("finished_at")).alias("r"))
+    source = F.nullif("source_path", F.lit(""))
+    inputs = F.filter(F.array(source), lambda x: x.isNotNull())
+    named = rows.select(key.alias("id"), "path", F.struct("state", F.coalesce(source, F.lit("")).alias("source"), inputs.alias("inputs"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("job_dir"), F.nullif("error", F.lit("")).alias("error"), F.col("created_at").alias("submitted_at"), F.nullif("created_at", F.lit("")).alias("started_at"), F.nullif("updated_at", F.lit("")).alias("finished_at")).alias("r"))
     return named.groupBy("id").agg(F.min_by("r", "path").alias("r")).select("id", "r.*")
 
 
+def recovery_events(rows: DataFrame) -> DataFrame:
+    """job_id, event_id, source, stage, status, message: the one event that each of recovered() begins with."""
+    return rows.select(F.col("id").alias("job_id"), F.lit(1).cast("bigint").alias("event_id"), F.get("inputs", F.lit(0)).alias("source"), F.col("state").alias("stage"), F.col("state").alias("status"), F.lit(RECOVERED).alias("message"))
+
+
 def ordered_results(sources: DataFrame, results: DataFrame) -> DataFrame:
     """Results in the order of the request. sources: pos, source; results: source, ..."""
     return sources.join(results, "source").orderBy("pos")

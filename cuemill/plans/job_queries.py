@@ -135,15 +135,28 @@ def j17_artifact_groups(spark, d):
     return jobs.artifact_groups(items, counts)
 
 
-@query(f"""WITH {views.JOBS}, m AS (SELECT '/out/' || id || '/manifest.json' AS path, CASE WHEN owner % 6 = 0 THEN '' ELSE CAST(owner AS VARCHAR) END AS job_id, CASE WHEN owner % 9 = 0 THEN 'queued' ELSE state END AS state, submitted_at FROM jobs),
-r AS (SELECT coalesce(nullif(job_id, ''), sha256(path)) AS id, path, CASE state WHEN 'processing' THEN 'interrupted' ELSE state END AS state, submitted_at FROM m WHERE state <> 'queued')
-SELECT id, arg_min(state, path) AS state, '' AS source, arg_min(replace(path, '/manifest.json', ''), path) AS job_dir, CAST(NULL AS VARCHAR) AS error, arg_min(submitted_at, path) AS submitted_at, arg_min(submitted_at, path) AS finished_at FROM r GROUP BY id""")
-def r1_recovered_jobs(spark, d):
+_RECOVERED = f"""WITH {views.JOBS}, m AS (SELECT '/out/' || id || '/manifest.json' AS path, CASE WHEN owner % 6 = 0 THEN '' ELSE CAST(owner AS VARCHAR) END AS job_id, CASE WHEN owner % 9 = 0 THEN 'queued' ELSE state END AS state, CASE WHEN owner % 4 <> 0 THEN '/media/' || id END AS source, submitted_at FROM jobs),
+r AS (SELECT coalesce(nullif(job_id, ''), sha256(path)) AS id, path, CASE state WHEN 'processing' THEN 'interrupted' ELSE state END AS state, source, submitted_at FROM m WHERE state <> 'queued'),
+f AS (SELECT id, unnest(arg_min(struct_pack(state := state, source := source, path := path, submitted_at := submitted_at), path)) FROM r GROUP BY id)"""
+
+
+def _recovered(spark, d):
     j = views.jobs(spark, d)
-    m = j.select(F.concat(F.lit("/out/"), "id", F.lit("/manifest.json")).alias("path"), F.when(F.col("owner") % 6 == 0, "").otherwise(F.col("owner").cast("string")).alias("job_id"), F.when(F.col("owner") % 9 == 0, "queued").otherwise(F.col("state")).alias("state"), F.lit(None).cast("string").alias("source_path"), F.lit("").alias("error"), F.col("submitted_at").alias("created_at"), F.col("submitted_at").alias("updated_at"))
+    source = F.when(F.col("owner") % 4 != 0, F.concat(F.lit("/media/"), "id"))
+    m = j.select(F.concat(F.lit("/out/"), "id", F.lit("/manifest.json")).alias("path"), F.when(F.col("owner") % 6 == 0, "").otherwise(F.col("owner").cast("string")).alias("job_id"), F.when(F.col("owner") % 9 == 0, "queued").otherwise(F.col("state")).alias("state"), source.alias("source_path"), F.lit("").alias("error"), F.col("submitted_at").alias("created_at"), F.col("submitted_at").alias("updated_at"))
     return jobs.recovered(m)
 
 
+@query(_RECOVERED + " SELECT id, state, coalesce(source, '') AS source, coalesce(source, '') AS inputs, replace(path, '/manifest.json', '') AS job_dir, CAST(NULL AS VARCHAR) AS error, submitted_at, submitted_at AS started_at, submitted_at AS finished_at FROM f")
+def r1_recovered_jobs(spark, d):
+    return _recovered(spark, d).withColumn("inputs", F.array_join("inputs", "|"))
+
+
+@query(_RECOVERED + " SELECT id AS job_id, CAST(1 AS BIGINT) AS event_id, source, state AS stage, state AS status, 'Recovered from manifest' AS message FROM f")
+def r1_recovery_events(spark, d):
+    return jobs.recovery_events(_recovered(spark, d))
+
+
 @query(f"WITH {views.JOBS} SELECT DISTINCT j.id AS job_id, j.owner AS key FROM jobs j JOIN jobs a ON a.owner = j.owner AND a.id <> j.id WHERE j.state = 'failed' AND a.state = 'processing'")
 def j12_conflicting_keys(spark, d):
     j = views.jobs(spark, d)

@@ -19,10 +19,10 @@ WORD = "struct<idx:int,text:string,start:double,end:double,confidence:double,spe
 
 def documents(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """path, doc (variant, null where it isn't JSON) of whole files below a folder, of one name if given."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if name:
         reader = reader.option("pathGlobFilter", name)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
 
 
 def media_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:

@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cuemill.operators import edits
+from cuemill.operators import edits, jobs
 from cuemill.operators.ordinals import with_base
-from cuemill.sources import ingest
+from cuemill.sources import ingest, manifests
 
 
 def plain_container(v):
@@ -63,3 +63,63 @@ def test_translations_are_placed_without_one_task(spark):
     got = sorted((r["text"], r["translation"]) for r in made.collect())
     assert got == sorted((t, f"r{i}") for i, t in enumerate(f"t{p}.{i}" for p in range(20) for i in range(p % 4)))
     assert "SinglePartition" not in made._jdf.queryExecution().toString()
+
+
+def tree(rng, depth=0):
+    kind = rng.randrange(7 if depth < 5 else 5)
+    if kind == 5:
+        return [tree(rng, depth + 1) for _ in range(rng.randrange(4))]
+    if kind == 6:
+        return {rng.choice(["b", "a", "ä", "Z", "", '"', "x y", "é\n", "10", "9", "😀", "￮"]) + str(rng.randrange(3)): tree(rng, depth + 1) for _ in range(rng.randrange(5))}
+    return [None, rng.random() < 0.5, rng.randrange(-(10**12), 10**12), rng.choice([0.1, 1e10, -2.5, 1e-7, 123456.789]), rng.choice(["", "a\tb", "ü", '{"}', "\\", "\x01", "☃"])][kind]
+
+
+def dumped(value):
+    return json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+
+
+def test_canonical_json(spark):
+    rng = random.Random(8)
+    values = [tree(rng) for _ in range(300)]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, s string")
+    got = df.select("i", manifests.canonical_json(F.col("s")).alias("text"), manifests.canonical_json(F.to_json(F.parse_json("s"))).alias("variant")).collect()
+    assert all(r["text"] == dumped(values[r["i"]]) for r in got)
+    # A variant keeps 1e10 as a whole number.
+    assert all(r["variant"] == dumped(json.loads(r["variant"])) and json.loads(r["variant"]) == values[r["i"]] for r in got)
+
+
+def test_recovery_writes_back_what_it_changes(spark, tmp_path):
+    root, now = tmp_path / "out", "2024-05-06T07:08:09+00:00"
+
+    def manifest(name, **rest):
+        (root / name).mkdir(parents=True)
+        (root / name / "manifest.json").write_text(json.dumps({"schema_version": 1, "created_at": "2024-01-01", "updated_at": "2024-01-02"} | rest))
+
+    manifest("a", job_id="a", state="processing", source={"path": "/m/a.wav"}, extra={"b": [1, None], "a": "ü"})
+    manifest("b/deep", job_id="b", state="completed", source={"path": "/m/b.wav"})
+    manifest("c", job_id="c", state="failed", error={"message": "no"})
+    manifest("d", job_id="d", state="queued")
+    (root / "e").mkdir()
+    (root / "e" / "manifest.json").write_text("{")
+    (root / "a" / "other.json").write_text('{"state": "processing"}')
+    kept = {p: (p.read_bytes(), p.stat().st_mtime_ns) for p in root.rglob("*.json") if p.parent.name != "a" or p.name != "manifest.json"}
+    rows, events = manifests.recover(spark, str(root), now)
+    assert {p: (p.read_bytes(), p.stat().st_mtime_ns) for p in kept} == kept
+    want = {"schema_version": 1, "created_at": "2024-01-01", "updated_at": now, "job_id": "a", "state": "interrupted", "source": {"path": "/m/a.wav"}, "extra": {"b": [1, None], "a": "ü"}}
+    assert (root / "a/manifest.json").read_text() == dumped(want)
+    got = {r["id"]: (r["state"], r["inputs"], r["error"], r["submitted_at"], r["started_at"], r["finished_at"]) for r in rows.collect()}
+    assert got == {"a": ("interrupted", ["/m/a.wav"], None, "2024-01-01", "2024-01-01", now), "b": ("completed", ["/m/b.wav"], None, "2024-01-01", "2024-01-01", "2024-01-02"), "c": ("failed", [], "no", "2024-01-01", "2024-01-01", "2024-01-02")}
+    assert sorted(map(tuple, events.collect())) == [("a", 1, "/m/a.wav", "interrupted", "interrupted", jobs.RECOVERED), ("b", 1, "/m/b.wav", "completed", "completed", jobs.RECOVERED), ("c", 1, None, "failed", "failed", jobs.RECOVERED)]
+    before = (root / "a/manifest.json").stat().st_mtime_ns
+    manifests.recover(spark, str(root), "later")
+    assert (root / "a/manifest.json").stat().st_mtime_ns == before and not list(root.glob(".recovery*"))
+
+
+def test_recovery_goes_on_from_its_staging(spark, tmp_path):
+    """A run that stopped between both phases: what it staged is put in place, though nothing is at work any more."""
+    (tmp_path / "out/a").mkdir(parents=True)
+    (tmp_path / "out/a/manifest.json").write_text('{"schema_version": 1, "job_id": "a", "state": "processing"}')
+    staging = str(tmp_path / "staging")
+    spark.createDataFrame([(f"file://{tmp_path}/out/a/manifest.json", '{"schema_version": 1, "job_id": "a", "state": "interrupted", "updated_at": "then"}')], "path string, content string").write.parquet(staging)
+    rows, _ = manifests.recover(spark, str(tmp_path / "out"), "now", staging)
+    assert [(r["state"], r["finished_at"]) for r in rows.collect()] == [("interrupted", "then")] and not (tmp_path / "staging").exists()
