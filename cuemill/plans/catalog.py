@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cuemill.plans import file_queries, job_queries, rule_queries, transcript_queries
+from cuemill.plans import file_queries, job_queries, rule_queries, stage_queries, transcript_queries
 from cuemill.plans.registry import Query
 
 FLAGSHIP = "w2_cue_times"
-_ALL = (transcript_queries.query, job_queries.query, file_queries.query, rule_queries.query)
+_ALL = (transcript_queries.query, job_queries.query, file_queries.query, rule_queries.query, stage_queries.query)
 
 
 def queries() -> dict[str, Query]:

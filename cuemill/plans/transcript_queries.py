@@ -92,10 +92,14 @@ def k4_vtt(spark, d):
     return cues.render_vtt(_cues(spark, d))
 
 
-@query(f"""WITH {views.WORDS}, runs AS (SELECT *, sum(change) OVER (PARTITION BY job_id ORDER BY idx) AS run FROM (SELECT *, CASE WHEN lag(idx) OVER j IS NOT NULL AND lag(speaker) OVER j IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS change FROM words WINDOW j AS (PARTITION BY job_id ORDER BY idx)))
-SELECT job_id, string_agg(line, chr(10) ORDER BY run) || chr(10) AS content FROM (
+#: A line for each run of one speaker.
+_SPOKEN = f"""runs AS (SELECT *, sum(change) OVER (PARTITION BY job_id ORDER BY idx) AS run FROM (SELECT *, CASE WHEN lag(idx) OVER j IS NOT NULL AND lag(speaker) OVER j IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS change FROM words WINDOW j AS (PARTITION BY job_id ORDER BY idx))),
+spoken AS (SELECT job_id, string_agg(line, chr(10) ORDER BY run) || chr(10) AS content FROM (
   SELECT job_id, run, 'Speaker ' || min(speaker) || ': ' || string_agg(CASE WHEN first OR regexp_matches(text, {_CLOSING}) THEN text ELSE ' ' || text END, '' ORDER BY idx) AS line
-  FROM (SELECT *, row_number() OVER (PARTITION BY job_id, run ORDER BY idx) = 1 AS first FROM runs) GROUP BY job_id, run) GROUP BY job_id""")
+  FROM (SELECT *, row_number() OVER (PARTITION BY job_id, run ORDER BY idx) = 1 AS first FROM runs) GROUP BY job_id, run) GROUP BY job_id)"""
+
+
+@query(f"WITH {views.WORDS}, {_SPOKEN} SELECT job_id, content FROM spoken")
 def t10_speaker_text(spark, d):
     words = views.words(spark, d)
     return cues.render_text(words, words.select("job_id").distinct().withColumn("text", F.lit("")))
@@ -281,7 +285,10 @@ def p6_recogniser_json(spark, d):
     return ingest.transcripts(raw).select("job_id", F.inline("words")).select("job_id", F.col("idx").cast("bigint").alias("idx"), "text", "start", "end", "speaker")
 
 
-@query()
+@query(_SHOWN + f""", {_SPOKEN}, doc AS (SELECT job_id, to_json(struct_pack(job_id := job_id, "text" := '', words := list(struct_pack(idx := CAST(idx AS INT), "text" := text, "start" := "start", "end" := "end", speaker := speaker) ORDER BY idx))) AS content FROM words GROUP BY job_id)
+SELECT job_id, 'transcript.json' AS name, CAST(content AS VARCHAR) AS content FROM doc UNION ALL SELECT job_id, 'transcript.txt', content FROM spoken
+UNION ALL SELECT job_id, 'subtitles.srt', string_agg((cue + 1) || chr(10) || {_blocks(',')}, chr(10) || chr(10) ORDER BY cue) || chr(10) FROM ms GROUP BY job_id
+UNION ALL SELECT job_id, 'subtitles.vtt', 'WEBVTT' || chr(10) || chr(10) || string_agg({_blocks('.')}, chr(10) || chr(10) ORDER BY cue) || chr(10) FROM ms GROUP BY job_id""")
 def k6_artifacts(spark, d):
     w = views.words(spark, d)
     texts = w.select("job_id").distinct().withColumn("text", F.lit(""))

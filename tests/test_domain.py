@@ -296,3 +296,43 @@ def test_more_rules(spark):
     check = lambda formats, translate=False, source="", target="", stream="", workers="": one(spark, rules.job_options_error(F.array(*[F.lit(f) for f in formats]).cast("array<string>"), F.lit(translate), F.lit(source), F.lit(target), F.lit(stream), F.lit(workers)))
     assert [check([]), check(["srt"]), check(["srt"], True, "en"), check(["srt"], True, "en", "en"), check(["srt"], stream="-1"), check(["srt"], workers="9"), check(["srt"], True, "en", "de", "2", "8")] == ["formats", None, "languages", "same language", "stream", "workers", None]
     assert one(spark, rules.field_errors(F.array(F.struct(F.array(F.lit("a"), F.lit("0")).alias("loc"), F.lit("bad").alias("msg")))))[0].asDict() == {"field": "a.0", "message": "bad"}
+
+
+def test_stages(spark):
+    from cuemill.operators import stages
+
+    schema = "job_id string, source_sha string, stream int, state string, state_detail string, resume boolean, force boolean, ready boolean, wanted boolean, made boolean, matches boolean, there boolean, canonical boolean, audio boolean, direct boolean"
+    new = dict(source_sha="s", stream=0, resume=True, force=False, ready=False, wanted=False, made=False, matches=False, there=False, canonical=False, audio=False, direct=False, state=None, state_detail=None)
+    cases = {
+        "new": {},
+        "same source": {},
+        "other stream": {"stream": 1},
+        "direct": {"direct": True, "source_sha": "d"},
+        "ready": {"state": "completed", "ready": True, "canonical": True},
+        "artifact lost": {"state": "completed", "canonical": True},
+        "translate later": {"state": "completed", "ready": True, "canonical": True, "wanted": True},
+        "translated": {"state": "completed", "canonical": True, "wanted": True, "made": True, "matches": True, "there": False},
+        "other translation": {"state": "completed", "ready": True, "canonical": True, "wanted": True, "made": True},
+        "audio kept": {"state": "failed", "state_detail": "normalized", "audio": True, "source_sha": "k"},
+        "audio unfinished": {"state": "failed", "state_detail": "probed", "audio": True, "source_sha": "u"},
+        "forced": {"state": "completed", "state_detail": "completed", "ready": True, "canonical": True, "force": True, "source_sha": "f"},
+        "in the way": {"state": "completed", "resume": False},
+        "no hash": {"source_sha": None, "wanted": True},
+    }
+    plan = stages.planned(spark.createDataFrame([{"job_id": k} | new | v for k, v in cases.items()], schema))
+    got = {r["job_id"]: (r["action"], [s for s in stages.STEPS if r[s]]) for r in plan.collect()}
+    fresh = ["probe", "normalize", "transcribe", "render"]
+    assert got == {
+        "new": ("new", fresh), "same source": ("new", fresh), "other stream": ("new", fresh), "direct": ("new", ["probe", "transcribe", "render"]), "ready": ("skip", []), "artifact lost": ("resume", ["render"]),
+        "translate later": ("resume", ["translate", "render"]), "translated": ("resume", ["render"]), "other translation": ("translation conflict", []), "audio kept": ("resume", ["probe", "transcribe", "render"]),
+        "audio unfinished": ("resume", fresh), "forced": ("new", fresh), "in the way": ("conflict", []), "no hash": ("new", ["probe", "normalize", "transcribe", "translate", "render"]),
+    }
+    assert {r["job_id"] for r in plan.where("drop_edits").collect()} == {"forced"}
+    hand = spark.createDataFrame([("u", 0), ("s", 1), ("s", 1), ("x", 0)], "source_sha string, stream int")
+    assert sorted(rows(stages.normalisations(plan, hand), "job_id", "jobs")) == [("forced", 1), ("new", 2), ("no hash", 1)]
+    produced = spark.createDataFrame([("new", True, None, None), ("same source", None, None, "inference failed"), ("direct", False, None, None), ("translate later", None, True, None), ("audio kept", True, None, None), ("no hash", True, False, None)], "job_id string, transcript boolean, translation boolean, error string")
+    ends = {r["job_id"]: (r["state"], r["error"], r["skipped"], r["drop_audio"]) for r in stages.completed(plan, produced).collect()}
+    assert ends["new"] == ("completed", None, False, True) and ends["audio kept"] == ("completed", None, False, True) and ends["ready"] == ("completed", None, True, False) and ends["artifact lost"] == ("completed", None, False, False)
+    assert ends["same source"] == ("failed", "inference failed", False, False) and ends["direct"] == ("failed", stages.NO_TRANSCRIPT, False, False) and ends["no hash"] == ("failed", stages.NO_TRANSLATION, False, False)
+    assert ends["in the way"] == ("failed", "conflict", False, False) and ends["translate later"][0] == "completed" and len(ends) == len(cases)
+    assert stages.completed(plan, produced, keep_audio=True).where("drop_audio").count() == 0
