@@ -1,6 +1,7 @@
 """Benchmark passages in documents: CGK embedding, repeated bit sampling, exact edit verification.
 
-Texts are compared as lower-case words joined by single spaces, in UTF-8. The random walk of Chakraborty, Goldenberg and
+Texts are compared as lower-case words (runs of letters and digits) joined by single spaces, in UTF-8: punctuation, symbols,
+underscores and the kind of white space never count as edits. The random walk of Chakraborty, Goldenberg and
 Koucky (a letter is written, and the walk moves on or stays by a random bit for step and letter) turns edit distance into
 Hamming distance. Windows are as long as the items: a walk takes two steps a letter, forwards from where a word starts and
 backwards from where one ends, over the whole length of the longest item that the window may hold. Keys are SAMPLED steps of
@@ -16,7 +17,7 @@ say where to look, and for how long an item; which one it is, is for the keys to
 be left are looked for at every word.
 
 The items are a stated query set: they are indexed in blocks of at most BLOCK_CHARS, each of which is shipped to all tasks.
-Null texts and texts without words never match. Items of equal text are all reported; items without words are skipped.
+Null texts and texts without words (of symbols alone) never match. Items of equal text are all reported; items without words are skipped.
 Repeated document rows are each reported. An empty table of either kind gives no rows. Very long texts are searched whole,
 a group of texts at a time; columns other than doc_id, item_id and text are passed on by clean() whatever their names.
 """
@@ -47,8 +48,12 @@ _RESULT = "doc_id bigint, item_id bigint, start bigint, end bigint, distance big
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: A letter or digit is what isn't a space, punctuation or a symbol.
+WORD = re.compile(r"[^\W_]+")
+
+
 def normal(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+    return " ".join([w.lower() for w in WORD.findall(text or "")])
 
 
 def edited(text: bytes, rate: float, rng: random.Random) -> bytes:
@@ -378,7 +383,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 rows = []
                 for t, item, distance, first, last in index.matches(in_groups(batch.column(1))):
-                    words = [m.span() for m in re.finditer(r"\S+", batch.column(1)[t].as_py())]
+                    words = [m.span() for m in WORD.finditer(batch.column(1)[t].as_py())]
                     start, end = words[first][0], words[min(last, len(words)) - 1][1]
                     rows += [(batch.column(0)[t].as_py(), i, start, end, distance, 1 - distance / len(index.texts[item])) for i in index.ids[item]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, [pa.int64()] * 5 + [pa.float64()], strict=True)], names=["doc_id", "item_id", "start", "end", "distance", "similarity"])
