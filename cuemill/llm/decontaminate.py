@@ -6,13 +6,13 @@ Koucky (a letter is written, and the walk moves on or stays by a random bit for
 Hamming distance. Windows are as long as the items: a walk takes two steps a letter, forwards from where a word starts and
 backwards from where one ends, over the whole length of the longest item that the window may hold. Keys are SAMPLED steps of
 a walk out of STRETCH in a row, and such stretches lie all over the item, so an item is met wherever its edits are. There are
-KEYS keys a walk, and walks are drawn anew until TARGET of the items, with LIMIT of their letters edited, share a key. Items
+KEYS keys a walk, and walks are drawn anew until TARGET of the items share a key with themselves edited, for each of PLACEMENTS. Items
 that share a key with a window are candidates; Myers' bit-parallel search then gives the exact least edit distance between
 the item and any stretch around the window, which counts up to LIMIT of the item's length.
 
 Windows stand where several runs of letters (seeds) that also stand in items of that length agree on where an item would
 start or end. How long seeds are and how many must agree is fitted to each class of lengths, such that at most UNSEEN of its
-items, with LIMIT of their letters edited, go without a window. A seed knows one place only, however many items have it: seeds
+items go without a window, for the worst of PLACEMENTS. Short seeds stand in many places, so more of them must agree. A seed knows one place only, however many items have it: seeds
 say where to look, and for how long an item; which one it is, is for the keys to say. Items so short that no seeds are sure to
 be left are looked for at every word.
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from cuemill.llm.common import small_batches
 
 LIMIT, TARGET, UNSEEN = 0.2, 0.96, 0.04
-SAMPLED, STRETCH, KEYS, MOST_WALKS, CALIBRATED = 12, 40, 32, 400, 300
+SAMPLED, STRETCH, KEYS, MOST_WALKS, CALIBRATED = 12, 40, 32, 400, 400
 #: Of the steps of a walk, texts that have nothing in common share about a tenth.
 ALIKE = 0.25
 #: Lengths of seeds that are tried, in bytes.
@@ -64,6 +64,19 @@ def edited(text: bytes, rate: float, rng: random.Random) -> bytes:
     return bytes(letters)
 
 
+def spread(text: bytes, step: int, rng: random.Random) -> bytes:
+    """text with every step-th letter replaced by another."""
+    letters = bytearray(text)
+    for i in range(step - 1, len(letters), step):
+        letters[i] = rng.choice([c for c in {*text, *b"xyz"} if c != letters[i]])
+    return bytes(letters)
+
+
+#: Edits that windows and keys are fitted to, each by itself: LIMIT of the letters anywhere, and every eighth. Nearer ones take
+#: seeds of five letters and fewer, which stand nearly everywhere in a text.
+PLACEMENTS = (lambda text, rng: edited(text, LIMIT, rng), lambda text, rng: spread(text, 8, rng))
+
+
 def runs(letters: np.ndarray, size: int) -> np.ndarray:
     """A code for each run of size letters; letters have 16 more at their end."""
     eight = np.ndarray((max(len(letters) - 16, 0),), "<u8", letters, 0, (1,))
@@ -114,9 +127,10 @@ class Family:
         self.sizes, self.steps = np.array([len(t) for t in texts]), 2 * self.size
         #: How far apart seeds may see the start of an item: three deviations of what letters joined and cut move.
         self.slack = 6 + round(3 * (LIMIT * 2 / 3 * self.size) ** 0.5)
-        chosen = texts if len(texts) <= CALIBRATED else rng.sample(texts, CALIBRATED)
-        own = chosen * -(-CALIBRATED // len(chosen))
-        other = [edited(t, LIMIT, rng) for t in own]
+        each = CALIBRATED // len(PLACEMENTS)
+        chosen = texts if len(texts) <= each else rng.sample(texts, each)
+        own = [t for t in chosen * -(-each // len(chosen)) for _ in PLACEMENTS]
+        other = [PLACEMENTS[i % len(PLACEMENTS)](t, rng) for i, t in enumerate(own)]
         self._sow(texts, other)
         self._draw(texts, own, other)
 
@@ -135,7 +149,8 @@ class Family:
             text = np.searchsorted(to, where, "right") - 1
             start = where - offset[which] - to[np.maximum(text, 0)]
             near = (np.abs(start) <= self.slack) & (text >= 0)
-            least = int(np.quantile(np.bincount(text[near], minlength=len(other))[: len(other)], UNSEEN, method="lower"))
+            seen = np.bincount(text[near], minlength=len(other))[: len(other)].reshape(-1, len(PLACEMENTS))
+            least = int(np.quantile(seen, UNSEEN, axis=0, method="lower").min())
             if least > 1:
                 self.seed_size, self.agreeing, self.seeds, self.offset, self.length = size, least, seeds, offset, length
                 return
@@ -150,9 +165,10 @@ class Family:
         self.walks: list[tuple[int, np.ndarray]] = []
         self.written: list[np.ndarray] = []
         codes, items = [], []
-        while met.mean() < TARGET:
+        share = lambda: met.reshape(-1, len(PLACEMENTS)).mean(axis=0).min()
+        while share() < TARGET:
             if len(self.walks) == MOST_WALKS:
-                raise ValueError(f"{MOST_WALKS} walks find {met.mean():.2f} of items of {self.size} bytes, which is less than {TARGET}")
+                raise ValueError(f"{MOST_WALKS} walks find {share():.2f} of items of {self.size} bytes, which is less than {TARGET}")
             seed = len(self.walks)
             # Stretches stand all over the shortest item; walks keep together best near their start, so more stand there.
             first = (draw.random(KEYS) ** 2 * max(2 * self.least_size - span, 0)).astype(int)

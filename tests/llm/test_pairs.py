@@ -384,3 +384,23 @@ def test_hot_n_grams_are_spread(spark):
     rows = language_model.resolved(language_model.n_grams(table, 3, asked="sums"), hot, 45)
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 5 * sum(sizes) / 45
+
+
+SEPARATED = {
+    "a comma after every word": lambda t, rng: t.replace(" ", ", "),
+    "underscores": lambda t, rng: t.replace(" ", "_"),
+    "other punctuation": lambda t, rng: "".join(rng.choice([" ", "\n", " - ", "; "]) if c == " " else c for c in t),
+    **{f"every {k}th letter": lambda t, rng, k=k: decontaminate.spread(t.encode(), k, rng).decode(errors="ignore") for k in (8, 9, 10, 12, 14)},
+}
+
+
+@pytest.mark.parametrize("kind", sorted(SEPARATED))
+def test_spread_and_separated_edits_are_found(spark, docs, kind):
+    """Edits that leave no long run of letters as it was, inside the limit: at least nine of ten are found."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    index, rng = decontaminate.Index(items), random.Random(9)
+    around = [r["text"] for r in docs.where("length(text) > 500").limit(2 * len(items)).collect()]
+    texts = [f"{around[i % len(around)]} {SEPARATED[kind](decontaminate.normal(t), rng)} {around[-i % len(around)]}" for i, (_, t) in enumerate(items)]
+    near = [i for i, (_, t) in enumerate(items) if decontaminate.closest(decontaminate.normal(t), decontaminate.normal(texts[i]))[0] <= decontaminate.LIMIT * len(decontaminate.normal(t))]
+    found = {(t, index.texts[i]) for t, i, *_ in index.matches([texts])}
+    assert len(near) == len(items) and sum((i, decontaminate.normal(items[i][1])) in found for i in near) >= 0.9 * len(near)
