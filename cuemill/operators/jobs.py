@@ -195,5 +195,6 @@ def peak_growth(samples: DataFrame) -> DataFrame:
     return samples.groupBy("run").agg((F.max("used") - F.min_by("used", "at")).alias("peak"))
 
 
-def ready(checks: DataFrame) -> DataFrame:
-    return checks.agg((~F.coalesce(F.bool_or(F.col("status") == "error"), F.lit(False))).alias("ready"))
+def ready(checks: DataFrame, *by: str) -> DataFrame:
+    """ready, over all checks or for each group of them: none is an error. checks: status, and the columns of by."""
+    return checks.groupBy(*by).agg((~F.coalesce(F.bool_or(F.col("status") == "error"), F.lit(False))).alias("ready"))

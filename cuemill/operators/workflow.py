@@ -10,8 +10,9 @@ from cuemill.operators.cues import build_cues, render_segments, render_srt, rend
 from cuemill.operators.edits import edit_faults, edit_summary, merged_edits, overlay
 
 #: Languages that the recogniser and the translator know.
-ASR_LANGUAGES = "bg cs da de el en es et fi fr hr hu it lt lv mt nl pl pt ro ru sk sl sv uk".split()
-TRANSLATION_LANGUAGES = "ar bg cs da de el en es-es es-us et fi fr hi hr hu id it ja ko lt lv nl no pl pt-br pt-pt ro ru sk sl sv th tr uk vi zh-cn zh-tw".split()
+ASR_LANGUAGES = ("bg", "cs", "da", "de", "el", "en", "es", "et", "fi", "fr", "hr", "hu", "it", "lt", "lv", "mt", "nl", "pl", "pt", "ro", "ru", "sk", "sl", "sv", "uk")
+TRANSLATION_LANGUAGES = ("ar", "bg", "cs", "da", "de", "el", "en", "es-es", "es-us", "et", "fi", "fr", "hi", "hr", "hu", "id", "it", "ja", "ko", "lt", "lv", "nl", "no", "pl", "pt-br", "pt-pt", "ro", "ru", "sk", "sl", "sv", "th", "tr", "uk", "vi", "zh-cn", "zh-tw")
+FEATURES = ("transcription", "translation", "diarization")
 
 
 def committed(transcripts: DataFrame, words: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,11 +71,13 @@ def job_rows(jobs: DataFrame, results: DataFrame) -> DataFrame:
     return jobs.join(nested, "id", "left").select("id", "state", F.transform("inputs", name).alias("inputs"), F.coalesce("results", F.array()).alias("results"))
 
 
-def capabilities(spark: SparkSession, transcription: bool, translation: bool, diarization: bool) -> DataFrame:
-    """kind, value: formats, languages and features."""
-    rows = [("format", f) for f in FORMATS] + [("asr_language", x) for x in ASR_LANGUAGES] + [("translation_language", x) for x in TRANSLATION_LANGUAGES if translation]
-    rows += [("feature", n) for n, on in (("transcription", transcription), ("translation", translation), ("diarization", diarization)) if on]
-    return spark.createDataFrame(rows, "kind string, value string")
+def capabilities(hosts: DataFrame) -> DataFrame:
+    """host, kind, value: formats, languages and features of each host. hosts: host, transcription, translation, diarization
+    (booleans). Languages to translate into are only told where there is a translator."""
+    each = lambda kind, values: F.transform(F.array(*[F.lit(x) for x in values]), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    on = F.filter(F.array(*[F.when(F.col(f), F.struct(F.lit("feature").alias("kind"), F.lit(f).alias("value"))) for f in FEATURES]), lambda x: x.isNotNull())
+    told = F.concat(each("format", FORMATS), each("asr_language", ASR_LANGUAGES), F.when(F.col("translation"), each("translation_language", TRANSLATION_LANGUAGES)).otherwise(F.array().cast("array<struct<kind:string,value:string>>")), on)
+    return hosts.select("host", F.inline(told))
 
 
 def checks(spark: SparkSession, probes: dict[str, tuple[str, str]]) -> DataFrame:

@@ -239,7 +239,5 @@ def p32_p33_classes(spark, d):
 
 @query("SELECT n_regionkey, NOT bool_or(n_nationkey = 7) AS ready FROM nation GROUP BY n_regionkey")
 def a11_ready(spark, d):
-    n = table(spark, d, "nation")
-    by_region = [n.where(F.col("n_regionkey") == k).select(F.when(F.col("n_nationkey") == 7, "error").otherwise("warn").alias("status")) for k in range(5)]
-    parts = [jobs.ready(p).select(F.lit(k).alias("n_regionkey"), "ready") for k, p in enumerate(by_region)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+    status = F.when(F.col("n_nationkey") == 7, "error").otherwise("warn")
+    return jobs.ready(table(spark, d, "nation").select("n_regionkey", status.alias("status")), "n_regionkey")

@@ -217,6 +217,36 @@ def i10_translation_batches(spark, d):
     return ingest.translation_batch(first.select("first", F.to_json("items").alias("payload"))).select("ordinal", F.md5("text").alias("digest"))
 
 
+@query(f"""WITH {views.SEGMENTS}, n AS (SELECT job_id AS first, count(*) AS lines, count(*) FILTER (WHERE idx % 7 <> 6) AS got FROM segments GROUP BY job_id)
+SELECT first, lines AS asked, CASE WHEN first % 5 = 0 THEN -1 ELSE CAST(got AS INT) END AS answered FROM n WHERE first % 5 = 0 OR got <> lines""")
+def i10_uneven_batches(spark, d):
+    """Some jobs get no answer, and some lines none."""
+    s = views.segments(spark, d)
+    asked = s.groupBy(F.col("job_id").alias("first")).agg(F.count("*").alias("lines"))
+    lines = F.collect_list(F.when(F.col("idx") % 7 != 6, F.struct("text")))
+    answered = s.where("job_id % 5 <> 0").groupBy(F.col("job_id").alias("first")).agg(F.to_json(lines).alias("payload"))
+    return ingest.uneven_batches(asked, answered)
+
+
+@query(f"""WITH {views.RESULTS}, r AS (SELECT job_id, pos, printf('%06d-%d', pos, job_id) AS stem, (job_id + pos) % 4 AS k FROM results)
+SELECT stem, CASE WHEN k = 3 THEN NULL ELSE 'line ' || pos END AS text, CASE WHEN k = 3 THEN 'object' WHEN k = 2 THEN 'words' END AS fault FROM r""")
+def i9_batch_by_stem(spark, d):
+    """Every fourth input has no file, another fourth no words in it."""
+    r = views.results(spark, d).select("job_id", "pos", F.format_string("%06d-%d", "pos", "job_id").alias("stem"), ((F.col("job_id") + F.col("pos")) % 4).alias("k"))
+    body = F.struct(F.concat(F.lit("line "), "pos").alias("text"), F.when(F.col("k") != 2, F.array(F.struct(F.lit("a").alias("word"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end")))).alias("words"))
+    docs = r.where("k <> 3").select(F.concat(F.lit("/out/"), "stem", F.lit(".json")).alias("path"), F.to_json(body).alias("value"))
+    made = ingest.transcripts(ingest.batch_results(docs, r.select("stem", F.col("stem").alias("job_id"), F.lit(None).cast("double").alias("duration"))))
+    return made.select(F.col("job_id").alias("stem"), "text", "fault")
+
+
+@query("""SELECT 'm' || p_partkey || '.json' AS path, CASE p_partkey % 4 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'version' ELSE 'incomplete' END AS fault FROM part WHERE p_partkey % 4 <> 3""")
+def i13_unread_registries(spark, d):
+    k = F.col("p_partkey")
+    model = F.struct(*[F.col("p_name").alias(n) for n in ingest.MODEL if n not in ("sha256", "url")])
+    body = F.to_json(F.struct(F.when(k % 4 == 1, 2).otherwise(1).alias("schema_version"), F.struct(*[F.col("p_brand").alias(n) for n in ingest.RUNTIME]).alias("runtime"), F.when(k % 4 != 2, F.array(model)).alias("models")))
+    return ingest.unread_registries(table(spark, d, "part").select(F.concat(F.lit("m"), k, F.lit(".json")).alias("path"), F.try_parse_json(F.when(k % 4 == 0, "{").otherwise(body)).alias("doc")))
+
+
 @query(f"WITH {views.RESULTS} SELECT job_id, pos, 's' || pos AS source, CASE WHEN pos % 3 <> 0 THEN state WHEN job_id % 2 = 0 THEN 'cancelled' ELSE 'interrupted' END AS state, CASE WHEN pos % 3 <> 0 THEN error END AS error FROM results")
 def r7_ended_sources(spark, d):
     r = views.results(spark, d).withColumn("source", F.concat(F.lit("s"), "pos"))
@@ -301,9 +331,12 @@ def r8_batch_routes(spark, d):
     return jobs.batch_routes(r)
 
 
-@query("SELECT unnest(['format', 'format', 'format', 'format', 'feature', 'feature']) AS kind, unnest(['txt', 'srt', 'vtt', 'json', 'transcription', 'diarization']) AS value")
+@query(f"""WITH h AS (SELECT s_suppkey AS host, s_nationkey % 2 = 0 AS transcription, s_nationkey % 3 = 0 AS translation, s_nationkey % 5 <> 0 AS diarization FROM supplier)
+SELECT host, unnest(['txt', 'srt', 'vtt', 'json']) AS value, 'format' AS kind FROM h UNION ALL SELECT host, unnest({list(workflow.ASR_LANGUAGES)}), 'asr_language' FROM h UNION ALL SELECT host, unnest({list(workflow.TRANSLATION_LANGUAGES)}), 'translation_language' FROM h WHERE translation
+UNION ALL SELECT host, 'transcription', 'feature' FROM h WHERE transcription UNION ALL SELECT host, 'translation', 'feature' FROM h WHERE translation UNION ALL SELECT host, 'diarization', 'feature' FROM h WHERE diarization""")
 def p24_r15_capabilities(spark, d):
-    return workflow.capabilities(spark, True, False, True).where("kind <> 'asr_language'")
+    n = F.col("s_nationkey")
+    return workflow.capabilities(table(spark, d, "supplier").select(F.col("s_suppkey").alias("host"), (n % 2 == 0).alias("transcription"), (n % 3 == 0).alias("translation"), (n % 5 != 0).alias("diarization")))
 
 
 @query("""SELECT '| ' || p_partkey || ' | ' || printf('%d.%02d s', p_size, 50) || ' | ' || printf('%d.%02d s', p_size * 2, 0) || ' | ' || CASE WHEN p_size >= 10 THEN CAST(p_size AS VARCHAR) ELSE p_size || '.0' END || '× |' AS line FROM part""")

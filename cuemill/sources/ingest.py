@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,26 @@ def media_files(spark: SparkSession, path: str, recursive: bool = False) -> Data
     return found.where(is_media(F.col("path"))).dropDuplicates(["path"]).orderBy(F.lower("path"), "path")
 
 
+def empty_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """path of media files without a byte, which Spark's file sources leave out. The file system lists the folder to the
+    driver, which keeps the empty ones alone."""
+    from cuemill.functions.rules import is_media
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, recursive), []
+    while listed.hasNext():
+        file = listed.next()
+        if file.getLen() == 0:
+            found.append((file.getPath().toString(),))
+    return spark.createDataFrame(found, "path string").where(is_media(F.col("path")))
+
+
 def discovered(spark: SparkSession, files: list[str], folders: list[str], recursive: bool = False) -> DataFrame:
-    """path of the files that are named, whatever they are, and of media files in the folders; each once, by lower-case
-    path. Nothing found is an error."""
+    """path of the files that are named, whatever they are, and of media files in the folders, empty ones too; each once, by
+    lower-case path. Nothing found is an error."""
     named = spark.createDataFrame([(f,) for f in files], "path string")
     for folder in folders:
-        named = named.unionByName(media_files(spark, folder, recursive).select("path"))
+        named = named.unionByName(media_files(spark, folder, recursive).select("path")).unionByName(empty_files(spark, folder, recursive))
     found = named.dropDuplicates(["path"]).orderBy(F.lower("path"), "path")
     if found.isEmpty():
         raise ValueError("no media files found")
@@ -181,3 +197,51 @@ def recognised(audio: DataFrame, adapter, schema: str = "job_id string, payload
     """Recogniser output by an adapter over partitions: a function from an iterator of pandas frames to one. A model is
     loaded once a partition. audio: what the adapter reads."""
     return audio.mapInPandas(adapter, schema)
+
+
+MODEL = ("id", "kind", "upstream_id", "revision", "filename", "sha256", "url", "install_script", "license")
+ARCHIVE = ("backend", "system", "architecture", "filename", "url", "sha256")
+RUNTIME = ("id", "repository", "revision", "build_script", "executable", "license")
+
+
+def _fields(v: Column, names: tuple[str, ...]) -> list[Column]:
+    return [at(v, n, "string").alias(n) for n in names]
+
+
+def registry(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """runtimes, models and archives of registry documents of version 1, each with the document's path, as
+    validate.registry_faults() takes them. docs: path, doc."""
+    rows = docs.where(is_object(F.col("doc")) & (F.try_variant_get("doc", "$.schema_version", "int") == 1))
+    listed = lambda v, n: F.coalesce(F.try_variant_get(v, f"$.{n}", "array<string>"), F.array().cast("array<string>"))
+    runtime = rows.select("path", at(F.col("doc"), "runtime").alias("v"))
+    runtimes = runtime.select("path", *_fields(F.col("v"), RUNTIME), *[listed(F.col("v"), n).alias(n) for n in ("backends", "features")])
+    models = rows.select("path", F.explode(F.try_variant_get("doc", "$.models", "array<variant>")).alias("v")).select("path", *_fields(F.col("v"), MODEL), at(F.col("v"), "minimum_free_bytes", "bigint").alias("minimum_free_bytes"))
+    archives = runtime.select("path", F.explode(F.try_variant_get("v", "$.archives", "array<variant>")).alias("v")).select("path", *_fields(F.col("v"), ARCHIVE), F.array_sort(listed(F.col("v"), "features")).alias("features"), at(F.col("v"), "minimum_free_bytes", "bigint").alias("minimum_free_bytes"))
+    return runtimes, models, archives
+
+
+def unread_registries(docs: DataFrame) -> DataFrame:
+    """path, fault of registry documents that nothing can be installed from: unreadable, of another version, incomplete."""
+    v = F.col("doc")
+    whole = lambda x, names: reduce(lambda a, n: a & at(x, n, "string").isNotNull(), names, F.lit(True))
+    models = F.try_variant_get(v, "$.models", "array<variant>")
+    # A model may have no digest and no address of its own.
+    complete = whole(at(v, "runtime"), RUNTIME) & models.isNotNull() & F.forall(models, lambda m: whole(m, tuple(n for n in MODEL if n not in ("sha256", "url"))))
+    fault = F.when(v.isNull() | ~is_object(v), "unreadable").when(~F.try_variant_get(v, "$.schema_version", "int").eqNullSafe(F.lit(1)), "version").when(~F.coalesce(complete, F.lit(False)), "incomplete")
+    return docs.select("path", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def uneven_batches(asked: DataFrame, answered: DataFrame) -> DataFrame:
+    """first, asked, answered of batches whose answer hasn't a line for each line asked for. asked: first, lines; answered:
+    first, payload (JSON, null where there is none)."""
+    size = F.size(F.try_variant_get(F.try_parse_json("payload"), "$", "array<variant>"))
+    both = asked.join(answered.select("first", F.coalesce(size, F.lit(-1)).alias("answered")), "first", "left")
+    return both.select("first", F.col("lines").alias("asked"), F.greatest(F.coalesce("answered", F.lit(-1)), F.lit(-1)).alias("answered")).where("asked <> answered")
+
+
+def batch_results(docs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """job_id, payload, duration: what transcripts() takes, of a batch that wrote <stem>.json for each input. A job without a
+    file has a null payload. docs: path, value (text); jobs: stem, job_id, duration."""
+    name = F.element_at(F.split("path", "/"), -1)
+    found = docs.where(name.endswith(".json")).select(F.regexp_replace(name, r"\.json\z", "").alias("stem"), F.col("value").alias("payload"))
+    return jobs.join(found, "stem", "left").select("job_id", "payload", "duration")

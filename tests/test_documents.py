@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cuemill.operators import edits, jobs
+from cuemill.operators import edits, jobs, validate
 from cuemill.operators.ordinals import with_base
 from cuemill.sources import ingest, manifests
 
@@ -123,3 +123,25 @@ def test_recovery_goes_on_from_its_staging(spark, tmp_path):
     spark.createDataFrame([(f"file://{tmp_path}/out/a/manifest.json", '{"schema_version": 1, "job_id": "a", "state": "interrupted", "updated_at": "then"}')], "path string, content string").write.parquet(staging)
     rows, _ = manifests.recover(spark, str(tmp_path / "out"), "now", staging)
     assert [(r["state"], r["finished_at"]) for r in rows.collect()] == [("interrupted", "then")] and not (tmp_path / "staging").exists()
+
+
+def test_registry_documents(spark):
+    model = {n: n for n in ingest.MODEL} | {"sha256": None, "url": None, "minimum_free_bytes": 5}
+    archive = {n: n for n in ingest.ARCHIVE} | {"features": ["b", "a"], "minimum_free_bytes": 7}
+    whole = {"schema_version": 1, "runtime": {n: n for n in ingest.RUNTIME} | {"backends": ["cpu"], "features": [], "archives": [archive]}, "models": [model, model]}
+    texts = {"whole": json.dumps(whole), "v2": json.dumps(whole | {"schema_version": 2}), "part": json.dumps(whole | {"models": [{"id": "x"}]}), "no runtime": json.dumps({"schema_version": 1, "models": []}), "list": "[]", "bad": "{"}
+    docs = spark.createDataFrame(list(texts.items()), "path string, s string").select("path", F.try_parse_json("s").alias("doc"))
+    assert sorted(map(tuple, ingest.unread_registries(docs).collect())) == [("bad", "unreadable"), ("list", "unreadable"), ("no runtime", "incomplete"), ("part", "incomplete"), ("v2", "version")]
+    runtimes, models, archives = (df.where("path = 'whole'") for df in ingest.registry(docs))
+    assert runtimes.first()["backends"] == ["cpu"] and models.count() == 2 and models.first()["minimum_free_bytes"] == 5
+    assert archives.first()["features"] == ["a", "b"]
+    assert sorted((r["kind"], r["fault"]) for r in validate.registry_faults(models, archives).collect()) == [("archive", "digest"), ("model", "duplicate"), ("model", "duplicate")]
+
+
+def test_empty_files_are_discovered(spark, tmp_path):
+    for name in ("a.wav", "deep/b.MP3", "c.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "d.wav").write_bytes(b"x")
+    names = lambda recursive: [r["path"].rsplit("/", 1)[1] for r in ingest.discovered(spark, [], [str(tmp_path)], recursive).collect()]
+    assert names(False) == ["a.wav", "d.wav"] and names(True) == ["a.wav", "d.wav", "b.MP3"]

@@ -270,7 +270,9 @@ def test_workflow(spark):
     ids = spark.createDataFrame([("j", "s", "m", None)], "job_id string, source_sha string, model_sha string, diar_sha string")
     made, cues = workflow.committed(t, words, ids)
     assert made.first()["provenance"] == {"adapter": "1", "source_sha256": "s", "model_sha256": "m"} and cues.count() == 1
-    assert workflow.capabilities(spark, True, False, True).where("kind = 'translation_language'").count() == 0
+    told = workflow.capabilities(spark.createDataFrame([("h", True, False, True), ("t", None, True, False)], "host string, transcription boolean, translation boolean, diarization boolean"))
+    assert told.where("host = 'h' AND kind = 'translation_language'").count() == 0 and told.where("host = 't' AND kind = 'translation_language'").count() == len(workflow.TRANSLATION_LANGUAGES)
+    assert sorted(rows(told.where("kind = 'feature'"), "host", "value")) == [("h", "diarization"), ("h", "transcription"), ("t", "translation")]
     runs = spark.createDataFrame([(1, "completed", False, None, "cpu"), (2, "completed", True, None, "cpu"), (3, "completed", False, None, "cpu"), (3, "completed", False, None, "cpu")], "run int, state string, skipped boolean, error string, device string")
     assert sorted(rows(workflow.benchmark_ok(runs, "cpu"), "run", "ok")) == [(1, True), (2, False), (3, False)]
 
