@@ -40,7 +40,7 @@ timed AS (
   FROM (SELECT r.*, greatest(r.first_start, t."end") AS "start" FROM timed t JOIN r ON r.job_id = t.job_id AND r.cue = t.cue + 1))"""
 
 #: Lines of words: as many as fit, one at least; texts that need a third are cut at the space nearest to the middle.
-_SHOWN = _CUES + _TIMES + """,
+_WRAPPED = """,
 filled AS (SELECT *, list_slice(ws, k + 1, len(ws)) AS tail FROM (SELECT *, greatest(1, len(list_filter(generate_series(1, len(ws)), lambda n: length(array_to_string(list_slice(ws, 1, n), ' ')) <= 42))) AS k FROM (SELECT *, string_split(text, ' ') AS ws FROM ranges))),
 halved AS (SELECT *, CASE WHEN later - middle < middle - earlier OR earlier IS NULL THEN later ELSE earlier END AS place FROM (SELECT *, list_max(list_filter(spaces, lambda i: i <= middle)) AS earlier, list_min(list_filter(spaces, lambda i: i > middle)) AS later FROM (
   SELECT *, length(text) // 2 AS middle, list_filter(generate_series(0, length(text) - 1), lambda i: substr(text, i + 1, 1) = ' ') AS spaces FROM filled))),
@@ -48,6 +48,7 @@ wrapped AS (SELECT job_id, cue, speaker, word_start, word_end, CASE WHEN length(
   WHEN place IS NULL THEN text ELSE trim(substr(text, 1, place)) || chr(10) || trim(substr(text, place + 1)) END AS text FROM halved),
 shown AS (SELECT job_id, cue, word_start, word_end, wrapped.speaker, wrapped.text, "start", "end" FROM wrapped JOIN timed USING (job_id, cue)),
 ms AS (SELECT *, CAST(floor("start" * 1000 + 0.5::DOUBLE) AS BIGINT) AS a, CAST(floor("end" * 1000 + 0.5::DOUBLE) AS BIGINT) AS b FROM shown)"""
+_SHOWN = _CUES + _TIMES + _WRAPPED
 
 
 def _blocks(mark: str) -> str:
@@ -295,7 +296,15 @@ def k6_artifacts(spark, d):
     return sinks.artifacts(w, texts, _cues(spark, d), ("txt", "srt", "vtt"))
 
 
-@query()
+#: Turns as segments of a translation, shown as cues are.
+_TRANSLATED = f"""WITH {views.SEGMENTS}, ranges AS (SELECT job_id, idx AS cue, trim(regexp_replace(text, '[\\x09-\\x0d\\x1c-\\x20]+', ' ', 'g')) AS text, speaker, 0 AS word_start, 0 AS word_end FROM segments), timed AS (SELECT job_id, idx AS cue, "start", "end" FROM segments)""" + _WRAPPED
+
+
+@query(_TRANSLATED + f""", doc AS (SELECT job_id, to_json(struct_pack(job_id := job_id, segments := list(struct_pack(cue := idx, "text" := text, "start" := "start", "end" := "end", speaker := speaker) ORDER BY idx))) AS content FROM segments GROUP BY job_id)
+SELECT job_id, 'translation.de.json' AS name, CAST(content AS VARCHAR) AS content FROM doc
+UNION ALL SELECT job_id, 'translation.de.txt', CASE WHEN bool_or(speaker IS NOT NULL) THEN string_agg('Speaker ' || coalesce(speaker, 'unknown') || ': ' || text, chr(10) ORDER BY cue) ELSE string_agg(text, ' ' ORDER BY cue) END || chr(10) FROM ranges GROUP BY job_id
+UNION ALL SELECT job_id, 'subtitles.de.srt', string_agg((cue + 1) || chr(10) || {_blocks(',')}, chr(10) || chr(10) ORDER BY cue) || chr(10) FROM ms GROUP BY job_id
+UNION ALL SELECT job_id, 'subtitles.de.vtt', 'WEBVTT' || chr(10) || chr(10) || string_agg({_blocks('.')}, chr(10) || chr(10) ORDER BY cue) || chr(10) FROM ms GROUP BY job_id""")
 def k7_translation_artifacts(spark, d):
     s = views.segments(spark, d).withColumnRenamed("idx", "cue")
     return sinks.translation_artifacts(s, "de", ("txt", "srt", "vtt"))
