@@ -40,7 +40,7 @@ SAMPLED, STRETCH, KEYS, MOST_WALKS, CALIBRATED = 12, 40, 32, 400, 400
 #: Of the steps of a walk, texts that have nothing in common share about a tenth.
 ALIKE = 0.25
 #: Lengths of seeds that are tried, in bytes.
-SEEDS = (14, 12, 10, 8, 6, 5, 4, 3)
+SEEDS = (14, 12, 10, 8, 7, 6, 5, 4, 3)
 BLOCK_CHARS = 1_000_000
 #: Windows that walk at once, bytes of the texts that are searched at once, and of those that are looked up at once.
 WINDOWS, GROUP, SLICE = 4096, 4 << 20, 1 << 15
