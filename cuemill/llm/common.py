@@ -68,6 +68,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def text_key(doc_id: Column, text: Column) -> Column:
     """A key for rows whose doc_id may be null or repeated: rows that share it are the same document with the same text."""
     return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import small_batches, staged, text_key, words_of
+from cuemill.llm.common import small_batches, staged, text_key, unused, words_of
 
 SHINGLE, THRESHOLD, TARGET = 5, 0.8, 0.995
 TREES, DEPTH = 16, 8
@@ -336,7 +336,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     dropped = staged(rows.join(stays, ["label", "key"], "left_anti").select("key"), "dropped")
     again = staged(rows.join(stays, ["label", "key"], "left_semi").where("rows > 1").select("key"), "again")
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    mark = "__key_of_row"
+    mark = unused(docs, "__key_of_row")
     left = docs.withColumn(mark, text_key(docs["doc_id"], docs["text"])).join(small(dropped.withColumnRenamed("key", mark)), mark, "left_anti")
     repeated = small(again.withColumnRenamed("key", mark))
     once = left.join(repeated, mark, "left_anti").unionByName(left.join(repeated, mark, "left_semi").dropDuplicates([mark])) if again.limit(1).count() else left

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import let, staged, words_of
+from cuemill.llm.common import let, staged, unused, words_of
 
 WINDOW = 8
 ALPHA, DELTA, COST = 0.05, 0.05, 10.0
@@ -140,5 +140,5 @@ def kept(docs: DataFrame, labels: DataFrame, **levels: float) -> DataFrame:
     """The rows of docs that stay, with all their columns. The measures are computed again rather than texts shuffled."""
     measured = staged(docs.select("doc_id", "lang", measures(F.col("text")).alias("m")), "quality", gather=True)
     chosen = cutoffs(measured, labels, **levels).collect()
-    mark = "__quality_of_row"
+    mark = unused(docs, "__quality_of_row")
     return docs.withColumn(mark, measures(docs["text"])).where(verdict(F.col(mark), F.col("lang"), chosen)).drop(mark)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import matches_of, ranked, staged, text_key, written
+from cuemill.llm.common import matches_of, ranked, staged, text_key, unused, written
 
 #: Base kinds, in the order in which spans of one start are written.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
@@ -108,7 +108,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     extra = staged(_linked_spans(_bare(spotted)), "secret-links")
     if extra.count() <= BROADCAST_ROWS:
         extra = F.broadcast(extra)
-    key, spans = "__secret_key", "__secret_spans"
+    key, spans = unused(docs, "__secret_key"), unused(docs, "__secret_spans")
     strong = F.concat(*[ranked(c, k, KINDS.index(k)) for k, c in base(F.col("text")).items()])
     marked = docs.withColumn(key, text_key(docs["doc_id"], docs["text"])).join(extra.select(F.col("key").alias(key), F.col("extra").alias(spans)), key, "left")
     marked = marked.withColumn(spans, F.array_sort(F.concat(strong, F.coalesce(spans, F.array().cast(_SPANS)))))

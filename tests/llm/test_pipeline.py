@@ -65,3 +65,15 @@ def test_stages_are_the_dealt_ones():
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_copies", "decontamination", "secret_masks", "token_ids"]
     names = [int(re.match(r"op(\d+)_", k)[1]) for k in queries.queries()]
     assert names == list(range(1, 11))
+
+
+def test_helper_columns_clash_with_nothing(spark, docs):
+    """Columns of a user's that are called like the ones that stages add keep their values."""
+    from cuemill.llm import jaccard, quality, secrets
+
+    names = ["__key_of_row", "__QUALITY_of_row", "__secret_key", "__secret_spans"]
+    own = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id")) for c in names})
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    for left in (jaccard.one_of_each(own), quality.kept(own, labels), secrets.redacted(own)):
+        assert left.columns == own.columns
+        assert left.count() > 50 and left.where(" OR ".join(f"`{c}` IS DISTINCT FROM concat('{c}-', doc_id)" for c in names)).count() == 0
