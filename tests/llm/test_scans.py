@@ -272,3 +272,42 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {5}
     masked = secrets.redacted(odd)
     assert masked.columns == odd.columns and masked.count() == n
+
+
+def plain_links(text):
+    """All spans: base ones, and weak ones whose complements co-occur, by comparing all parts with all."""
+    found = {k: [m.span() for m in re.finditer(p, text)] for k, p in (("weak_id", secrets.WEAK_ID), ("endpoint", secrets.ENDPOINT))}
+    found["weak_secret"] = [m.span() for m in re.finditer(secrets.WEAK_SECRET, text) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+    found["assign"] = [m.span() for m in re.finditer(secrets.ASSIGN, text, re.A) if len(re.match(secrets.ASSIGN_VALUE, m[0], re.A)[1]) >= 8]
+    found["access"] = [m.span() for m in re.finditer(secrets.ACCESS, text) if len(m[0]) >= 16]
+    found["hex"] = [m.span() for m in re.finditer(secrets.HEX, text)]
+    strong = found["assign"] + found["access"] + found["hex"]
+    apart = lambda a, b: a[0] >= b[1] or a[1] <= b[0]
+    for k in ("weak_secret", "weak_id", "endpoint"):
+        found[k] = [s for s in found[k] if all(apart(s, b) for b in strong)]
+    near = lambda parts, others: [p for p in parts if any(abs(p[0] - o[0]) <= secrets.SCOPE and apart(p, o) for o in others)]
+    linked = near(found["weak_secret"], found["access"] + found["weak_id"])
+    any_secret = found["assign"] + found["hex"] + linked
+    ids = near(found["weak_id"], any_secret)
+    ends = near(near(found["endpoint"], any_secret), found["access"] + ids)
+    return written([("assign", found["assign"]), ("access", found["access"]), ("hex", found["hex"]), ("weak_secret", linked), ("weak_id", ids), ("endpoint", ends)])
+
+
+def test_links_by_comparing_all_parts(spark):
+    """Parts of every kind in random texts, nearer and farther than a scope."""
+    rng = random.Random(21)
+    made = {
+        "access": lambda: "AKIA" + "".join(rng.choices("ABCDEFGH234567", k=16)), "assign": lambda: f"password = {''.join(rng.choices('abcdef12', k=10))}", "hex": lambda: "".join(rng.choices("0123456789abcdef", k=40)),
+        "weak_secret": lambda: "aB3" + "".join(rng.choices("abcXYZ123", k=rng.choice([20, 25, 300]))), "weak_id": lambda: rng.choice(["user: bob.smith", "client_id=abc-123", "login = root1"]), "endpoint": lambda: rng.choice(["https://db.example.org/x", "host: db1.internal", "postgres://h:5432/d"]),
+    }
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 9)):
+            parts += [made[rng.choice(sorted(made))](), "lorem ipsum " * rng.choice([0, 1, 3, 8, 15, 17, 18, 30])]
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scanned(df).collect()}
+    want = {i: plain_links(t) for i, t in enumerate(texts)}
+    assert got == want
+    assert sum("weak_secret" in w for w in want.values()) > 50 and sum("endpoint" in w for w in want.values()) > 30 and sum("weak" not in w and "endpoint" not in w for w in want.values()) > 30
