@@ -2,10 +2,12 @@
 
 Paragraphs are lines with a word. A sparse softmax regression over hashed one- to three-word features names the licence
 family of a paragraph or "none". It is trained here on the templates, on excerpts and respellings of them, and on a bounded
-sample of paragraphs of the corpus itself, which count as "none" unless they hold a cue word. The confidence is calibrated:
-a temperature fitted on held-out examples, and an unknown class that takes over below the score that keeps MISSED of the
-held-out true examples. A family is reported if enough of a template of that family is found in the paragraph in order
-(COVER of the template's words, by longest common subsequence, or the paragraph's words if it is an excerpt).
+sample of paragraphs of the corpus itself, which count as "none" unless they hold a cue word. The confidence is calibrated on
+held-out examples of models that each have never seen a third of the families: a temperature, and the probability below which
+a paragraph is of the unknown class, which parts notices of known families best from those of families left out and misses
+MISSED of the former at most. A family is reported if enough of a template of that family is found in the paragraph in order
+(COVER of the template's words by longest common subsequence, words that few families use weighing most, or of the
+paragraph's words if it is an excerpt), and no other family has more of its words there.
 
 A notice can stand anywhere in a paragraph of any length: where the paragraph as a whole isn't one, the stretches that align
 with a template, near words that hint at one, are judged without the text around them. A paragraph has a row for each family.
@@ -20,6 +22,7 @@ an empty table it still knows the templates.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -36,46 +39,100 @@ from cuemill.llm.common import small_batches
 
 NONE = "none"
 #: Short notices by which licences are granted.
-TEMPLATES = {
+NOTICES = {
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-        "SPDX-License-Identifier: MIT",
+        "Available under the terms of the MIT license",
+        "MIT licensed",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "SPDX-License-Identifier: Apache-2.0",
+        "under the terms of the Apache 2.0 license",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "Released under the ISC License.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU GPL version 2 or, at your option, any later version",
     ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
     ],
+    "AGPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "Licensed under the GNU Affero General Public License, version 3.",
+    ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
     ],
-    "CC-BY": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
-    "CC-BY-SA": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "Eclipse Public License v2.0",
+    ],
+    "EUPL": [
+        "Licensed under the EUPL, Version 1.2 only",
+        "Licensed under the European Union Public Licence, version 1.2.",
+    ],
+    "CDDL": ["The contents of this file are subject to the terms of the Common Development and Distribution License"],
+    "MS-PL": ["Licensed under the Microsoft Public License."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"],
+    "Artistic": ["This is free software; you may redistribute it under the terms of the Artistic License 2.0"],
+    "WTFPL": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"],
+    "PSF": ["Licensed under the Python Software Foundation License."],
+    "OFL": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "GFDL": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"],
+    "CC-BY": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "public-domain": ["This is free and unencumbered software released into the public domain.", "Released into the public domain under CC0 1.0 Universal."],
     "all-rights-reserved": ["All rights reserved.", "Copyright (c) the authors. All rights reserved. No part of this work may be reproduced without permission."],
 }
+#: The names that SPDX tags give licences.
+TAGS = {
+    "MIT": ("MIT",), "Apache-2.0": ("Apache-2.0",), "BSD": ("BSD-2-Clause", "BSD-3-Clause"), "ISC": ("ISC",), "GPL": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "LGPL": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"), "AGPL": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "MPL-2.0": ("MPL-2.0",), "EPL": ("EPL-1.0", "EPL-2.0"), "EUPL": ("EUPL-1.2",), "CDDL": ("CDDL-1.0",),
+    "MS-PL": ("MS-PL",), "BSL-1.0": ("BSL-1.0",), "Zlib": ("Zlib",), "Artistic": ("Artistic-2.0",), "WTFPL": ("WTFPL",), "PSF": ("PSF-2.0",), "OFL": ("OFL-1.1",), "public-domain": ("CC0-1.0", "Unlicense"),
+}
+CC_VERSIONS = ("3.0", "4.0")
+
+
+def _templates() -> dict[str, list[str]]:
+    """The notices of each family, its tags, and for licences that go by versions those of each version."""
+    out = {f: [*ts, *(f"SPDX-License-Identifier: {tag}" for tag in TAGS.get(f, ()))] for f, ts in NOTICES.items()}
+    for f in out:
+        if f.startswith("CC-BY"):
+            for v in CC_VERSIONS:
+                out[f] += [f"Licensed under CC {f[3:]} {v}.", f"available under CC {f[3:]} {v}", f"SPDX-License-Identifier: {f}-{v}"]
+    return out
+
+
+TEMPLATES = _templates()
 #: Words that hint at a licence. Fixed values.
 CUES = ("license", "licensed", "licence", "licenced", "licenses", "copyright", "rights", "reserved", "permission", "redistribution", "spdx", "public", "warranty", "gnu", "mit", "apache", "bsd", "mozilla", "cc", "commons")
 FEATURES = 1 << 14
-SAMPLE, ROUNDS, RATE, DECAY = 5_000, 150, 2.0, 1e-5
-MISSED, COVER = 0.02, 0.8
+SAMPLE, ROUNDS, RATE, DECAY = 2_500, 150, 2.0, 1e-5
+#: Variants of a template to learn from, and parts that the families are split in, each left out once.
+VARIANTS, PARTS = 16, 3
+MISSED, COVER, ALONE = 0.1, 0.8, 0.75
+TEMPERATURES = (0.25, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0)
 LONGEST = 400
 #: Words that are judged at once, the step between such stretches, and what a word between a template's words costs.
 STRETCH, STRIDE, GAP = 40, 10, 0.2
@@ -116,11 +173,18 @@ class Classifier:
         rng = random.Random(seed)
         self.families = [NONE, *TEMPLATES]
         self.templates = {f: [words_in(t) for t in ts] for f, ts in TEMPLATES.items()}
+        self.all = [(f, t) for f, ts in self.templates.items() for t in ts]
+        families = {w: {f for f, t in self.all if w in t} for _, t in self.all for w in t}
+        self.rare = {w: math.log((len(TEMPLATES) + 1) / len(fs)) for w, fs in families.items()}
+        self.by_word = defaultdict(list)
+        for k, (_, t) in enumerate(self.all):
+            for w in {w for w in t if len(w) >= 6 or w in CUES}:
+                self.by_word[w].append(k)
         examples = [(0, ws) for p in negatives if not set(ws := words_in(p)[:LONGEST]) & set(CUES)]
         plain = [w for _, ws in examples[:2000] for w in ws] or ["lorem", "ipsum"]
         for k, f in enumerate(TEMPLATES, 1):
             for t in self.templates[f]:
-                for n in range(40):
+                for n in range(VARIANTS):
                     ws = list(t)
                     if n % 4 == 1 and len(ws) > 8:  # an excerpt
                         a = rng.randrange(len(ws) - 7)
@@ -137,8 +201,8 @@ class Classifier:
             examples.append((0, ws))
         rng.shuffle(examples)
         held = len(examples) // 5
-        self._fit(examples[held:])
-        self._calibrate(examples[:held])
+        self._calibrate(examples[held:], examples[:held])
+        self.weights = self._fit(examples[held:])
 
     @staticmethod
     def _rows(examples: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,54 +210,98 @@ class Classifier:
         each = [features(ws) for ws in examples]
         return np.array([x for e in each for x in e]), np.cumsum([0, *(len(e) for e in each[:-1])])
 
-    def _logits(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.weights[flat], starts, axis=0)
+    @staticmethod
+    def _logits(weights: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[flat], starts, axis=0)
 
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
         e = np.exp(x - x.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def _fit(self, examples: list[tuple[int, list[str]]]) -> None:
-        """Adagrad on the whole batch; classes weigh the same."""
+    def _fit(self, examples: list[tuple[int, list[str]]], rounds: int = ROUNDS) -> np.ndarray:
+        """Weights by Adagrad on the whole batch; classes weigh the same."""
         labels = np.array([k for k, _ in examples])
         flat, starts = self._rows([ws for _, ws in examples])
         owner = np.repeat(np.arange(len(examples)), np.diff([*starts, len(flat)]))
-        weight = (len(labels) / np.maximum(np.bincount(labels, minlength=len(self.families)), 1) / len(self.families))[labels][:, None] / len(labels)
-        self.weights = np.zeros((FEATURES, len(self.families)))
+        counts = np.bincount(labels, minlength=len(self.families))
+        weight = ((len(labels) / np.maximum(counts, 1) / np.count_nonzero(counts))[labels][:, None] / len(labels)).astype(np.float32)
+        weights = np.zeros((FEATURES, len(self.families)), np.float32)
         order = np.argsort(flat, kind="stable")
         used, first = np.unique(flat[order], return_index=True)
-        past = np.full((len(used), 1), 1e-6)
-        for _ in range(ROUNDS):
-            error = self._softmax(self._logits(flat, starts))
+        past = np.full((len(used), 1), 1e-6, np.float32)
+        for _ in range(rounds):
+            error = self._softmax(self._logits(weights, flat, starts))
             error[np.arange(len(labels)), labels] -= 1
-            gradient = np.add.reduceat((error * weight)[owner[order]], first, axis=0) + DECAY * self.weights[used]
+            gradient = np.add.reduceat((error * weight)[owner[order]], first, axis=0) + np.float32(DECAY) * weights[used]
             past += (gradient**2).sum(axis=1, keepdims=True)
-            self.weights[used] -= RATE * 0.1 * gradient / np.sqrt(past)
-
-    def _calibrate(self, examples: list[tuple[int, list[str]]]) -> None:
-        labels = np.array([k for k, _ in examples])
-        logits = self._logits(*self._rows([ws for _, ws in examples]))
-        loss = lambda t: -np.log(self._softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean()
-        self.temperature = min((0.25, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0), key=loss)
-        true = self._softmax(logits / self.temperature)[np.arange(len(labels)), labels][labels > 0]
-        self.least = min(float(np.quantile(true, MISSED)), 0.9) if len(true) else 0.5
+            weights[used] -= np.float32(RATE * 0.1) * gradient / np.sqrt(past)
+        return weights
+
+    def _calibrate(self, examples: list[tuple[int, list[str]]], held: list[tuple[int, list[str]]]) -> None:
+        """The temperature, and the least probability of a known family. Families are left out in PARTS: what a model makes of
+        families that it has never seen is what the unknown class is for, and what it makes of held-out examples of the others
+        is what it is not for."""
+        true, lost, losses = [], [], np.zeros(len(TEMPERATURES))
+        for part in range(PARTS):
+            out = lambda k: k > 0 and k % PARTS == part  # noqa: E731,B023
+            weights = self._fit([e for e in examples if not out(e[0])], ROUNDS // 2)
+            logits, labels = self._logits(weights, *self._rows([ws for _, ws in held])), np.array([k for k, _ in held])
+            seen = np.array([not out(k) for k in labels])
+            losses += [-np.log(self._softmax(logits[seen] / t)[np.arange(seen.sum()), labels[seen]] + 1e-12).sum() for t in TEMPERATURES]
+            true.append((logits[seen & (labels > 0)], labels[seen & (labels > 0)]))
+            lost.append(logits[~seen])
+        self.temperature = TEMPERATURES[int(np.argmin(losses))]
+        p = np.concatenate([self._softmax(x / self.temperature)[np.arange(len(k)), k] for x, k in true])
+        strange = np.concatenate([self._softmax(x / self.temperature)[:, 1:].max(axis=1) for x in lost])
+        # Of the cutoffs that miss MISSED of the true examples at most, the one that parts them best from the strange ones.
+        cuts = np.unique(np.quantile(p, np.linspace(0, MISSED, 21), method="lower")) if len(p) else np.array([0.5])
+        kept, let = ((x[:, None] >= cuts).mean(axis=0) if len(x) else np.zeros(len(cuts)) for x in (p, strange))
+        best = int(np.argmax(kept - let))
+        self.least, self.missed, self.strange = float(cuts[best]), 1 - float(kept[best]), float(let[best])
 
     def probabilities(self, paragraphs: list[list[str]]) -> np.ndarray:
-        return self._softmax(self._logits(*self._rows(paragraphs)) / self.temperature)
-
-    def cover(self, family: str, words: list[str]) -> float:
-        """How much of a template, or of an excerpt of one, is there in order."""
-        best = 0.0
+        return self._softmax(self._logits(self.weights, *self._rows(paragraphs)) / self.temperature)
+
+    def _common(self, template: list[str], words: list[str], weights: dict[str, float] | None) -> float:
+        """The weight, or the number, of the words that both have in order."""
+        row = [0.0] * (len(template) + 1)
+        for w in words:
+            if w in self.rare:
+                before, weight = 0.0, weights[w] if weights else 1.0
+                for i, x in enumerate(template, 1):
+                    before, row[i] = row[i], before + weight if w == x else max(row[i], row[i - 1])
+        return row[-1]
+
+    def cover(self, family: str, words: list[str]) -> tuple[float, float]:
+        """How much of a template is there in order, and the weight of that. Words that few families use weigh most: without
+        its own name a licence isn't covered, nor by its name alone. Eight words and more may be an excerpt: then the share of
+        these words counts, those of no template weighing as much as a name."""
+        best, strange = (0.0, 0.0), math.log(len(TEMPLATES) + 1)
+        whole = sum(self.rare.get(w, strange) for w in words)
         for t in self.templates[family]:
-            row = [0] * (len(t) + 1)
-            for w in words:
-                before = 0
-                for i, x in enumerate(t, 1):
-                    before, row[i] = row[i], before + 1 if w == x else max(row[i], row[i - 1])
-            best = max(best, row[-1] / len(t), row[-1] / len(words) if len(words) >= 8 else 0.0)
+            weight, number = self._common(t, words, self.rare), self._common(t, words, None)
+            share = min(weight / sum(self.rare[w] for w in t), number / len(t) / ALONE)
+            if len(words) >= 8:
+                share = max(share, min(weight / whole, number / len(words) / ALONE))
+            best = max(best, (share, weight))
         return best
 
+    def confirmed(self, family: str, words: list[str]) -> float:
+        """The cover of the family, 0 if another one is covered too and more of its words are there, as with look-alikes."""
+        cover, matched = self.cover(family, words)
+        if cover >= COVER:
+            for other in {f for f, _ in self.near(words)} - {family}:
+                theirs, more = self.cover(other, words)
+                if theirs >= COVER and more > matched:
+                    return 0.0
+        return cover
+
+    def near(self, words: list[str]) -> list[tuple[str, list[str]]]:
+        """The templates that have one of the words that hint at a licence."""
+        found = {k for w in {*words} for k in self.by_word.get(w, ())}
+        return [self.all[k] for k in sorted(found)]
+
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph, start, end (code points), family, probability, cover: paragraphs that are licence notices."""
@@ -305,10 +413,10 @@ def _notices(model: Classifier, text: str, hint: re.Pattern) -> list[tuple]:
         """Probability, family and cover of each."""
         for words, p in zip(stretches, model.probabilities(stretches), strict=True):
             k = int(p.argmax())
-            yield float(p[k]), model.families[k], model.cover(model.families[k], words) if k else 0.0
+            yield float(p[k]), model.families[k], model.confirmed(model.families[k], words) if k and p[k] >= model.least else 0.0
 
     def aligned(words: list[str], places: list[int]) -> list[tuple[int, int]]:
-        return sorted({(a + c, a + d) for a, b in _near(places, len(words)) for ts in model.templates.values() for t in ts for c, d in _aligned(t, words[a:b])})
+        return sorted({(a + c, a + d) for a, b in _near(places, len(words)) for _, t in model.near(words[a:b]) for c, d in _aligned(t, words[a:b])})
 
     for stretches in (wholes, [(number, words[c:d]) for number, words, places in parts for c, d in aligned(words, places)]):
         for (number, words), (p, family, cover) in zip(stretches, judged([w for _, w in stretches]) if stretches else (), strict=True):

@@ -404,3 +404,52 @@ def test_spread_and_separated_edits_are_found(spark, docs, kind):
     near = [i for i, (_, t) in enumerate(items) if decontaminate.closest(decontaminate.normal(t), decontaminate.normal(texts[i]))[0] <= decontaminate.LIMIT * len(decontaminate.normal(t))]
     found = {(t, index.texts[i]) for t, i, *_ in index.matches([texts])}
     assert len(near) == len(items) and sum((i, decontaminate.normal(items[i][1])) in found for i in near) >= 0.9 * len(near)
+
+
+PROBES = {
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3": "AGPL",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "ISC",
+    "It comes under the terms of the Apache 2.0 license": "Apache-2.0",
+    "GNU GPL version 2 or, at your option, any later version": "GPL",
+    "SPDX-License-Identifier: BSD-3-Clause": "BSD",
+    "available under CC BY-SA 3.0": "CC-BY-SA",
+    "available under CC BY 3.0": "CC-BY",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "BSD",
+    "MIT licensed": "MIT",
+    "Licensed under the GNU Lesser General Public License, version 3.": "LGPL",
+    "Licensed under the Foobar Public License, version 2.0.": None,
+    "This work is licensed under the Open Data Commons Attribution License.": None,
+}
+
+
+def test_licence_look_alikes(licences):
+    hint = license_scan.hints()
+    assert {p: {f[3] for f in license_scan._notices(licences, p, hint)} for p in PROBES} == {p: {f} for p, f in PROBES.items()}
+    assert not license_scan._notices(licences, "The license of the car is public", hint)
+
+
+def test_families_left_out_are_unknown(monkeypatch, docs):
+    """Notices of a family that neither the model nor the templates know aren't taken for one that they know."""
+    negatives, whole, wrong, total = license_scan.negatives(docs, 800), license_scan.TEMPLATES, 0, 0
+    assert len(whole) >= 25
+    for part in range(3):
+        monkeypatch.setattr(license_scan, "TEMPLATES", {f: ts for k, (f, ts) in enumerate(whole.items()) if k % 3 != part})
+        model, hint = license_scan.Classifier(negatives), license_scan.hints()
+        for f, ts in whole.items():
+            for t in ts if f not in license_scan.TEMPLATES else ():
+                total += 1
+                wrong += any(n[3] for n in license_scan._notices(model, t, hint))
+    assert total > 100 and wrong <= 0.1 * total
+
+
+def test_template_candidates_lose_nothing(licences, docs):
+    """Looking up templates by their words gives what every template at every place gives."""
+    rng = random.Random(12)
+    plain = [w for r in docs.limit(50).collect() for w in license_scan.words_in(r["text"])]
+    for f, ts in license_scan.TEMPLATES.items():
+        for t in ts:
+            words = [*rng.choices(plain, k=15), *license_scan.words_in(t), *rng.choices(plain, k=15)]
+            every = {(g, s) for g, u in licences.all for s in license_scan._aligned(u, words)}
+            near = {(g, s) for g, u in licences.near(words) for s in license_scan._aligned(u, words)}
+            confirmed = lambda found: {(g, s) for g, s in found if licences.cover(g, words[s[0] : s[1]])[0] >= license_scan.COVER}  # noqa: E731,B023
+            assert confirmed(near) == confirmed(every) and f in {g for g, _ in near}
