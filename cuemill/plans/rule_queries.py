@@ -239,6 +239,19 @@ def i9_batch_by_stem(spark, d):
     return made.select(F.col("job_id").alias("stem"), "text", "fault")
 
 
+@query("""SELECT 's' || s_suppkey AS path, 'b' || s_nationkey AS backend, 'asr' || CASE WHEN s_nationkey % 2 = 0 THEN '|diar' ELSE '' END AS features, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'runtime:' || s_name || '|' END || 'asr:' || s_nationkey AS artifacts
+FROM supplier WHERE s_suppkey % 5 > 1""")
+def i14_install_states(spark, d):
+    """Of every five documents one has another version, and one no version at all."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    runtime = F.when(k % 3 != 0, F.struct(F.col("s_name").alias("id"), F.lit("runtime").alias("kind")))
+    features = F.when(n % 2 == 0, F.array(F.lit("asr"), F.lit("diar"))).otherwise(F.array(F.lit("asr")))
+    body = F.to_json(F.struct(F.when(k % 5 == 0, 2).when(k % 5 != 1, 1).alias("schema_version"), F.concat(F.lit("b"), n).alias("backend"), features.alias("features"), *[F.lit("x").alias(c) for c in ingest.STATE[1:]], runtime.alias("runtime"), F.array(F.struct(n.cast("string").alias("id"), F.lit("asr").alias("kind"))).alias("models")))
+    states = ingest.install_states(table(spark, d, "supplier").select(F.concat(F.lit("s"), k).alias("path"), F.try_parse_json(body).alias("doc")))
+    told = F.array_join(F.transform("artifacts", lambda a: F.concat_ws(":", a["kind"], a["id"])), "|")
+    return states.select("path", "backend", F.array_join("features", "|").alias("features"), told.alias("artifacts"))
+
+
 @query("""SELECT 'm' || p_partkey || '.json' AS path, CASE p_partkey % 4 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'version' ELSE 'incomplete' END AS fault FROM part WHERE p_partkey % 4 <> 3""")
 def i13_unread_registries(spark, d):
     k = F.col("p_partkey")

@@ -245,3 +245,27 @@ def batch_results(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     found = docs.where(name.endswith(".json")).select(F.regexp_replace(name, r"\.json\z", "").alias("stem"), F.col("value").alias("payload"))
     return jobs.join(found, "stem", "left").select("job_id", "payload", "duration")
+
+
+STATE = ("backend", "config_path", "created_at", "updated_at", "installer_version")
+INSTALLED = ("id", "kind", "path", "revision", "sha256", "source", "license")
+
+
+def install_states(docs: DataFrame) -> DataFrame:
+    """path, STATE, features, completed_stages, retained_cache, and artifacts: the runtime, then the models. docs: path, doc of
+    install states of version 1; what refused_install_states() names isn't read."""
+    v = F.col("doc")
+    listed = lambda n: F.coalesce(F.try_variant_get(v, f"$.{n}", "array<string>"), F.array().cast("array<string>"))
+    runtime = F.filter(F.array(at(v, "runtime")), is_object)
+    models = F.coalesce(F.try_variant_get(v, "$.models", "array<variant>"), F.array().cast("array<variant>"))
+    made = F.transform(F.concat(runtime, models), lambda a: F.struct(*_fields(a, INSTALLED), at(a, "size", "bigint").alias("size")))
+    good = docs.join(refused_install_states(docs).select("path"), "path", "left_anti")
+    return good.select("path", *_fields(v, STATE), *[listed(n).alias(n) for n in ("features", "completed_stages", "retained_cache")], made.alias("artifacts"))
+
+
+def refused_install_states(docs: DataFrame) -> DataFrame:
+    """path, fault of install states that can't be used: unreadable, of another version, incomplete."""
+    v = F.col("doc")
+    complete = reduce(lambda a, n: a & at(v, n, "string").isNotNull(), STATE, F.lit(True))
+    fault = F.when(v.isNull() | ~is_object(v), "unreadable").when(~F.try_variant_get(v, "$.schema_version", "int").eqNullSafe(F.lit(1)), "version").when(~complete, "incomplete")
+    return docs.select("path", fault.alias("fault")).where("fault IS NOT NULL")

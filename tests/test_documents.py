@@ -145,3 +145,12 @@ def test_empty_files_are_discovered(spark, tmp_path):
     (tmp_path / "d.wav").write_bytes(b"x")
     names = lambda recursive: [r["path"].rsplit("/", 1)[1] for r in ingest.discovered(spark, [], [str(tmp_path)], recursive).collect()]
     assert names(False) == ["a.wav", "d.wav"] and names(True) == ["a.wav", "d.wav", "b.MP3"]
+
+
+def test_install_states(spark):
+    whole = {"schema_version": 1, "backend": "cpu", "features": ["asr"], "config_path": "/c", "runtime": {"id": "r", "kind": "runtime", "path": "/r", "size": 3}, "models": [{"id": "m", "kind": "asr", "path": "/m"}], "created_at": "a", "updated_at": "b", "installer_version": "1"}
+    texts = {"whole": whole, "bare": {k: v for k, v in whole.items() if k not in ("runtime", "models", "features")}, "v2": whole | {"schema_version": 2}, "part": {"schema_version": 1, "backend": "cpu"}, "list": []}
+    docs = spark.createDataFrame([(k, json.dumps(v)) for k, v in texts.items()] + [("bad", "{")], "path string, s string").select("path", F.try_parse_json("s").alias("doc"))
+    assert sorted(map(tuple, ingest.refused_install_states(docs).collect())) == [("bad", "unreadable"), ("list", "unreadable"), ("part", "incomplete"), ("v2", "version")]
+    got = {r["path"]: r for r in ingest.install_states(docs).collect()}
+    assert set(got) == {"whole", "bare"} and [(a["kind"], a["id"], a["size"]) for a in got["whole"]["artifacts"]] == [("runtime", "r", 3), ("asr", "m", None)] and got["bare"]["artifacts"] == got["bare"]["features"] == []
