@@ -87,13 +87,11 @@ def st2_replay(spark, d):
     return jobs.replayed(table(spark, d, "events").select("event_id", "event_type"), 900)
 
 
-@query(f"""WITH {views.RESULTS}, staged AS (SELECT id, printf('%06d-%d', id % 1000, id) AS stem FROM (SELECT o_orderkey AS id FROM orders)), found AS (SELECT printf('%06d-%d', job_id % 1000, job_id) AS stem, state, error FROM results WHERE pos = 1 AND job_id % 3 <> 0)
-SELECT s.stem, s.id AS job_id, coalesce(f.state, 'failed') AS state, CASE WHEN f.state IS NULL THEN 'no result' ELSE f.error END AS error FROM staged s LEFT JOIN found f USING (stem)""")
+@query(f"WITH {views.RESULTS} SELECT printf('%06d-%d', pos, job_id) AS stem, job_id, CASE WHEN state = 'cancelled' THEN 'failed' ELSE state END AS state, CASE WHEN state = 'cancelled' THEN 'no result' ELSE error END AS error FROM results")
 def j1_batch_results(spark, d):
-    stem = lambda c: F.format_string("%06d-%d", F.col(c) % 1000, F.col(c))
-    staged = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id")).withColumn("stem", stem("job_id"))
-    found = views.results(spark, d).where("pos = 1 AND job_id % 3 <> 0").select(stem("job_id").alias("stem"), "state", "error")
-    return jobs.batch_results(staged, found)
+    """A batch of all results, of which nothing is found of the cancelled ones."""
+    r = views.results(spark, d).withColumn("stem", F.format_string("%06d-%d", "pos", "job_id"))
+    return jobs.batch_results(r.select("stem", "job_id"), r.where("state <> 'cancelled'").select("stem", "state", "error"))
 
 
 @query("SELECT printf('%06d-%d', o_orderkey, o_custkey) AS stem, o_custkey AS job_id FROM orders")
@@ -101,10 +99,10 @@ def w8_batch_stems(spark, d):
     return jobs.batch_stems(table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("job_id")))
 
 
-@query(f"WITH {views.RESULTS} SELECT r.job_id AS source, o.o_custkey AS pos, r.state FROM orders o JOIN results r ON r.job_id = o.o_orderkey WHERE r.pos = 1")
+@query(f"WITH {views.RESULTS} SELECT job_id || '-' || pos AS source, l_partkey AS pos, state FROM results")
 def j3_ordered_results(spark, d):
-    sources = table(spark, d, "orders").select(F.col("o_custkey").alias("pos"), F.col("o_orderkey").alias("source"))
-    return jobs.ordered_results(sources, views.results(spark, d).where("pos = 1").select(F.col("job_id").alias("source"), "state"))
+    r = views.results(spark, d).withColumn("source", F.concat_ws("-", "job_id", "pos"))
+    return jobs.ordered_results(r.select(F.col("l_partkey").alias("pos"), "source"), r.select("source", "state"))
 
 
 @query(f"WITH {views.RESULTS} SELECT job_id, pos, error FROM results r WHERE NOT EXISTS (SELECT 1 FROM results x WHERE x.job_id = r.job_id AND x.pos < r.pos AND x.error IS NOT NULL)")
