@@ -6,8 +6,9 @@ token that matches (all matches come from one pass of an Aho-Corasick automaton
 token that doesn't go with the one before it, or that leads nowhere, gives way to its next shorter prefix. Places that lead
 nowhere are marked, so each is left at most once. Compatibility is memoised, as are the ids of what recurs between spaces.
 
-Null texts count as empty and give no ids. Repeated rows and null ids stay as they are. Memos are bounded and emptied when
-full, which only costs time.
+Null texts count as empty and give no ids. Repeated rows and null ids stay as they are; an empty table gives no rows. Very
+long texts are encoded whole, with arrays that grow with the text. Memos are bounded and emptied when full, which only costs
+time. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

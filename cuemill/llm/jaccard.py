@@ -12,7 +12,8 @@ group; a group gives each member's number of links and a spanning forest of its
 documents with a similarity of at least THRESHOLD, its exact copies included. Classes are the connected components of links.
 
 Texts without words (null, empty, white space) link to nothing and are classes by themselves. Null and repeated ids are
-kept; a class is named after its least doc_id. An empty table gives no rows.
+kept; a class is named after its least doc_id. An empty table gives no rows. Very long texts are read whole, as sets of
+hashes. joined() reads doc_id and text only; one_of_each() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

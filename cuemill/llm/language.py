@@ -9,7 +9,8 @@ Inference reads whole texts, many stretches at a time, so its memory doesn't dep
 
 Documents whose crc32 of the id, modulo FOLDS, is HELD_OUT are never learned from; nor are those without id or language.
 Texts that are null or have no letter get UNKNOWN with score 0, as all texts do if there is nothing to learn from.
-Repeated rows are each predicted. Ties go to the language that sorts first.
+Repeated rows are each predicted. Ties go to the language that sorts first. An empty table gives no rows. Only doc_id, text and
+lang are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ unless one of those lines holds that family by itself.
 
 Null texts and texts without words have no paragraphs. Only paragraphs that are not "none" are returned: family is null for
 the unknown class, which holds at least two cue words but no confirmed family. Repeated rows are each scanned. Trained on
-an empty table it still knows the templates.
+an empty table it still knows the templates. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ a weak secret that is itself linked to an endpoint or an AKIA key), and an endpo
 rows, cut into scope bins and joined by bin and distance with semi joins: no pairs are made, however many parts meet.
 
 Null texts count as empty. Repeated rows and null ids are kept: the key of a text is its id and hash. Weak parts that
-overlap a base finding are dropped. Matching is linear in the text: no pattern rescans a run that it has already refused.
+overlap a base finding are dropped. Matching is linear in the text: no pattern rescans a run that it has already refused, so
+very long texts are read whole, in their row. An empty table gives no rows. scanned() reads doc_id and text only; redacted()
+keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,3 +18,15 @@ def test_query(spark, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted(str([r[names.index(c)] for c in sorted(names)]) for r in cursor.fetchall())
     assert sorted(str([r[c] for c in sorted(names)]) for r in df.collect()) == want
+
+
+def test_quality_rules_with_cutoffs_on(spark):
+    """With enough labels cutoffs are safe, and reject documents that the base rule keeps."""
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = queries.queries()["op10_quality_rules"](spark, folder)
+    want = con.execute(f"SELECT doc_id, n_words, n_repeat_words, base_failed, kept FROM ({queries.oracle_sql()['op10_quality_rules']})").fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_repeat_words", "base_failed", "kept").collect())
+    assert sum(not failed and not kept for *_, failed, kept in want) > 100
