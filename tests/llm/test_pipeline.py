@@ -64,7 +64,7 @@ def test_stages_take_odd_rows(spark, odd, empty):
 def test_stages_are_the_dealt_ones():
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_copies", "decontamination", "secret_masks", "token_ids"]
     names = [int(re.match(r"op(\d+)_", k)[1]) for k in queries.queries()]
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
 
 
 def test_helper_columns_clash_with_nothing(spark, docs):
