@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame
 from cuemill.llm.common import small_batches
 
 LIMIT, TARGET, UNSEEN = 0.2, 0.96, 0.04
-SAMPLED, STRETCH, KEYS, MOST_WALKS, CALIBRATED = 12, 40, 32, 400, 400
+SAMPLED, STRETCH, KEYS, MOST_WALKS = 12, 40, 32, 400
+#: Edited items that a class is fitted to, at least: all of its items, again and again while they are fewer.
+CALIBRATED = 400
 #: Of the steps of a walk, texts that have nothing in common share about a tenth.
 ALIKE = 0.25
 #: Lengths of seeds that are tried, in bytes.
@@ -128,8 +130,7 @@ class Family:
         #: How far apart seeds may see the start of an item: three deviations of what letters joined and cut move.
         self.slack = 6 + round(3 * (LIMIT * 2 / 3 * self.size) ** 0.5)
         each = CALIBRATED // len(PLACEMENTS)
-        chosen = texts if len(texts) <= each else rng.sample(texts, each)
-        own = [t for t in chosen * -(-each // len(chosen)) for _ in PLACEMENTS]
+        own = [t for t in texts * -(-each // len(texts)) for _ in PLACEMENTS]
         other = [PLACEMENTS[i % len(PLACEMENTS)](t, rng) for i, t in enumerate(own)]
         self._sow(texts, other)
         self._draw(texts, own, other)

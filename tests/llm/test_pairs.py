@@ -453,3 +453,11 @@ def test_template_candidates_lose_nothing(licences, docs):
             near = {(g, s) for g, u in licences.near(words) for s in license_scan._aligned(u, words)}
             confirmed = lambda found: {(g, s) for g, s in found if licences.cover(g, words[s[0] : s[1]])[0] >= license_scan.COVER}  # noqa: E731,B023
             assert confirmed(near) == confirmed(every) and f in {g for g, _ in near}
+
+
+def test_windows_and_keys_are_fitted_to_all_items(monkeypatch):
+    rng, seen = random.Random(3), set()
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)).encode() for _ in range(450)]
+    monkeypatch.setattr(decontaminate, "PLACEMENTS", tuple(lambda text, rng, f=f: (seen.add(text), f(text, rng))[1] for f in decontaminate.PLACEMENTS))
+    decontaminate.Family(list(range(len(texts))), texts)
+    assert seen == set(texts)
