@@ -204,7 +204,7 @@ def i3_transcript_documents(spark, d):
     w = views.words(spark, d)
     body = F.struct(F.lit(1).alias("schema_version"), F.max("end").cast("string").alias("duration"), F.array_sort(F.collect_list(F.struct("idx", "text", "start", "end", "speaker"))).alias("words"))
     docs = w.groupBy("job_id").agg(body.alias("b")).select(F.col("job_id").cast("string").alias("path"), F.try_parse_json(F.to_json("b")).alias("doc"))
-    t = ingest.transcript_documents(docs).select(F.col("path").cast("bigint").alias("job_id"), "duration", F.explode("words").alias("w"))
+    t = ingest.transcript_documents(docs).select(F.col("path").cast("bigint").alias("job_id"), "duration", F.explode(ingest.rows_of("words")).alias("w"))
     return t.groupBy("job_id").agg(F.count("*").alias("words"), F.max("duration").alias("duration"), F.min("w.text").alias("first"), (F.max("w.end") - F.min("w.start")).alias("span"))
 
 

@@ -281,9 +281,9 @@ def p6_recogniser_json(spark, d):
     """Words written as recogniser output under other names, and read again."""
     w = views.words(spark, d)
     item = F.struct(F.col("text").alias("token"), F.col("start").cast("string").alias("begin"), F.col("end").alias("finish"), F.col("speaker").alias("speaker_id"))
-    whole = w.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", item.alias("w")))), lambda x: x["w"]).alias("tokens"))
+    whole = w.groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", item.alias("w")))), lambda x: x["w"]).alias("tokens"))
     raw = whole.select("job_id", F.to_json(F.struct(F.array(F.struct(F.struct("tokens").alias("result"))).alias("results"))).alias("payload"), F.lit(None).cast("double").alias("duration"))
-    return ingest.transcripts(raw).select("job_id", F.inline("words")).select("job_id", F.col("idx").cast("bigint").alias("idx"), "text", "start", "end", "speaker")
+    return ingest.transcripts(raw).select("job_id", F.inline(ingest.rows_of("words"))).select("job_id", F.col("idx").cast("bigint").alias("idx"), "text", "start", "end", "speaker")
 
 
 @query(_SHOWN + f""", {_SPOKEN}, doc AS (SELECT job_id, to_json(struct_pack(job_id := job_id, "text" := '', words := list(struct_pack(idx := CAST(idx AS INT), "text" := text, "start" := "start", "end" := "end", speaker := speaker) ORDER BY idx))) AS content FROM words GROUP BY job_id)

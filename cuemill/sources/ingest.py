@@ -85,7 +85,8 @@ def refused_manifests(docs: DataFrame) -> DataFrame:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    """Only an object can be read as a struct; the names of its own fields are looked at, not what they hold."""
+    return F.try_variant_get(v, "$", "struct<`_`:boolean>").isNotNull()
 
 
 def at(v: Column, name: str, kind: str = "variant") -> Column:
@@ -99,14 +100,15 @@ def first_of(v: Column, names: tuple[str, ...], kind: str = "string") -> Column:
 
 def _deeper(v: Column) -> Column:
     """Where the search for the result goes on: inside "result", else in the last of "results"; null where it ends."""
+    object_or_null = lambda x: bind(x, lambda y: F.when(is_object(y), y))
     last = F.try_element_at(at(v, "results", "array<variant>"), F.lit(-1))
-    return F.when(is_object(at(v, "result")), at(v, "result")).when(is_object(last), last)
+    return F.coalesce(object_or_null(at(v, "result")), object_or_null(last))
 
 
 def container(v: Column, steps: Column) -> Column:
     """Where the result is: inside "result", else the last of "results", again and again, then the first of "alternatives".
     steps: how often the search can go on, at most."""
-    found = F.aggregate(F.sequence(F.lit(0), steps), v, lambda x, _: F.coalesce(_deeper(x), x))
+    found = bind(steps, lambda n: F.when(n == 0, v).otherwise(F.aggregate(F.sequence(F.lit(1), n), v, lambda x, _: F.coalesce(_deeper(x), x))))
     first = F.get(at(found, "alternatives", "array<variant>"), F.lit(0))
     return bind(F.struct(found.alias("v"), first.alias("first")), lambda x: F.when(is_object(x["first"]), x["first"]).otherwise(x["v"]))
 
@@ -116,15 +118,29 @@ def _steps(payload: Column) -> Column:
     return F.regexp_count(payload, F.lit(r'"result|\\u'))
 
 
+def items_of(v: Column, path: str, **kinds: str) -> Column:
+    """The list at a path, its objects as structs of the fields that are named: all are read in one pass over the list, and not
+    one by one for each. What isn't an object is null."""
+    return F.try_variant_get(v, f"$.{path}", f"array<struct<{','.join(f'`{n}`:{kind}' for n, kind in kinds.items())}>>")
+
+
+def rows_of(name: str) -> Column:
+    """A column's list, to be exploded. Of a bare column Spark would first ask whether the list is empty, with all of the reading
+    that made it put into that question again, at every place where it is used."""
+    return F.filter(name, lambda _: F.lit(True))
+
+
 def word_list(v: Column) -> Column:
-    """The first list of objects under a known name. An empty list counts, and hides those after it."""
-    lists = [at(v, n, "array<variant>") for n in WORDS] + [F.try_variant_get(v, "$.words_info.words", "array<variant>")]
-    return F.coalesce(*[F.when(F.forall(x, is_object), x) for x in lists])
+    """The first list of objects under a known name, with their fields as text. An empty list counts, and hides those after it."""
+    fields = {n: "string" for names in (TEXT, START, END, CONFIDENCE, SPEAKER, LANGUAGE) for n in names}
+    objects = lambda x: F.when(F.forall(x, lambda w: w.isNotNull()), x)
+    return F.coalesce(*[bind(items_of(v, path, **fields), objects) for path in (*WORDS, "words_info.words")])
 
 
 def _words(items: Column) -> Column:
-    number = lambda w, names: first_of(w, names).cast("double")
-    return F.transform(items, lambda w, i: F.struct(i.alias("idx"), F.trim(first_of(w, TEXT)).alias("text"), number(w, START).alias("start"), number(w, END).alias("end"), number(w, CONFIDENCE).alias("confidence"), first_of(w, SPEAKER).alias("speaker"), blank_to_null(first_of(w, LANGUAGE)).alias("language")))
+    first = lambda w, names: F.coalesce(*[w[n] for n in names])
+    number = lambda w, names: first(w, names).cast("double")
+    return F.transform(items, lambda w, i: F.struct(i.alias("idx"), F.trim(first(w, TEXT)).alias("text"), number(w, START).alias("start"), number(w, END).alias("end"), number(w, CONFIDENCE).alias("confidence"), first(w, SPEAKER).alias("speaker"), blank_to_null(first(w, LANGUAGE)).alias("language")))
 
 
 def transcripts(raw: DataFrame) -> DataFrame:
@@ -133,13 +149,17 @@ def transcripts(raw: DataFrame) -> DataFrame:
     fault is null, or says what is missing: an object, words, or a word's text or times. Values of the wrong kind fail the
     query, as they do where they come from.
     """
-    whole = raw.select("job_id", "duration", "payload", F.try_parse_json("payload").alias("p")).withColumn("c", F.when(is_object(F.col("p")), container(F.col("p"), _steps(F.col("payload")))))
-    found = whole.withColumn("items", F.coalesce(word_list(F.col("c")), word_list(F.col("p"))))
+    # What is said of the whole document, read in one pass; null where it isn't an object.
+    said = lambda v: F.try_variant_get(v, "$", f"struct<{','.join(f'{n}:string' for n in dict.fromkeys(DOCUMENT_TEXT + DOCUMENT_LANGUAGE))}>")
+    first = lambda names: F.coalesce(*[F.col(v)[n] for v in ("c_said", "p_said") for n in names])
+    filled = lambda v, names: bind(F.coalesce(*[F.col(v)[n] for n in names]), blank_to_null)
+    parsed = raw.select("job_id", "duration", "payload", F.try_parse_json("payload").alias("p")).withColumn("p_said", said(F.col("p")))
+    whole = parsed.withColumn("c", F.when(F.col("p_said").isNotNull(), container(F.col("p"), _steps(F.col("payload")))))
+    found = whole.withColumns({"c_said": said(F.col("c")), "items": F.coalesce(word_list(F.col("c")), word_list(F.col("p")))})
     words = found.withColumn("words", _words(F.col("items")))
-    fault = F.when(~is_object(F.col("p")) | F.col("p").isNull(), "object").when(F.coalesce(F.size("items"), F.lit(0)) < 1, "words").when(F.exists("words", lambda w: w["text"].isNull() | w["start"].isNull() | w["end"].isNull()), "word")
-    text = F.coalesce(blank_to_null(first_of(F.col("c"), DOCUMENT_TEXT)), blank_to_null(first_of(F.col("p"), DOCUMENT_TEXT)), join_tokens(F.transform("words", lambda w: w["text"])))
-    language = F.coalesce(first_of(F.col("c"), DOCUMENT_LANGUAGE), first_of(F.col("p"), DOCUMENT_LANGUAGE))
-    return words.select("job_id", F.trim(text).alias("text"), blank_to_null(language).alias("language"), "duration", "words", fault.alias("fault"))
+    fault = F.when(F.col("p_said").isNull(), "object").when(F.coalesce(F.size("items"), F.lit(0)) < 1, "words").when(F.exists("words", lambda w: w["text"].isNull() | w["start"].isNull() | w["end"].isNull()), "word")
+    text = F.coalesce(filled("c_said", DOCUMENT_TEXT), filled("p_said", DOCUMENT_TEXT), join_tokens(F.transform("words", lambda w: w["text"])))
+    return words.select("job_id", F.trim(text).alias("text"), blank_to_null(first(DOCUMENT_LANGUAGE)).alias("language"), "duration", "words", fault.alias("fault"))
 
 
 def printed_json(stdout: Column) -> Column:

@@ -154,3 +154,17 @@ def test_install_states(spark):
     assert sorted(map(tuple, ingest.refused_install_states(docs).collect())) == [("bad", "unreadable"), ("list", "unreadable"), ("part", "incomplete"), ("v2", "version")]
     got = {r["path"]: r for r in ingest.install_states(docs).collect()}
     assert set(got) == {"whole", "bare"} and [(a["kind"], a["id"], a["size"]) for a in got["whole"]["artifacts"]] == [("runtime", "r", 3), ("asr", "m", None)] and got["bare"]["artifacts"] == got["bare"]["features"] == []
+
+
+def test_recogniser_output_is_read_once(spark):
+    """Exploding words doesn't read the payload again for a filter, and a word's names aren't looked up one by one."""
+    raw = spark.createDataFrame([(1, '{"results": [{"result": {"tokens": [{"token": "a", "begin": "0.5", "finish": 1}, {"text": " b ", "start_sec": 1, "end_sec": 2.50}]}}]}')], "job_id bigint, payload string").withColumn("duration", F.lit(None).cast("double"))
+    rows = ingest.transcripts(raw).select("job_id", F.inline(ingest.rows_of("words")))
+    assert [(r["idx"], r["text"], r["start"], r["end"]) for r in rows.collect()] == [(0, "a", 0.5, 1.0), (1, "b", 1.0, 2.5)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("words_info.words") == 2
+
+
+def test_objects_are_told_by_their_kind(spark):
+    docs = spark.createDataFrame([(x,) for x in ('{"a": 1}', "{}", '{"_": "x"}', "[{}]", "null", '"{}"', "1", "x", None)], "t string")
+    assert [r[0] for r in docs.select(ingest.is_object(F.try_parse_json("t"))).collect()] == [True] * 3 + [False] * 6
