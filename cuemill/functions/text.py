@@ -73,7 +73,11 @@ def wrap_lines(text: Column, width: int = LINE) -> Column:
         nearest = F.when(left.isNull() | (right - middle < middle - left), right).otherwise(left)
         return bind(nearest, lambda at: F.when(at.isNull(), t).otherwise(F.concat(strip(F.substring(t, F.lit(1), at)), F.lit("\n"), strip(F.substring(t, at + 1, F.length(t))))))
 
-    return F.when(F.length(text) <= width, text).otherwise(bind(lines, lambda ls: F.when(F.size(ls) <= 2, F.array_join(ls, "\n")).otherwise(halved(text))))
+    filled = bind(lines, lambda ls: F.when(F.size(ls) <= 2, F.array_join(ls, "\n")).otherwise(halved(text)))
+    # Words that all fit, with single spaces: the first line is the longest one that leaves a second, if any does.
+    plain = flat.rlike(rf"^[^ ]{{1,{width}}}( [^ ]{{1,{width}}})*+$")
+    two = rf"(?s)^(.{{1,{width}}}) (.{{1,{width}}})$"
+    return F.when(F.length(text) <= width, text).when(plain, F.when(flat.rlike(two), F.regexp_replace(flat, two, "$1\n$2")).otherwise(halved(text))).otherwise(filled)
 
 
 def strip(text: Column) -> Column:
