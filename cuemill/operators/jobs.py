@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions.rules import ENDED, setup_end
+from cuemill.operators.ordinals import medians
 
 NEWEST, HISTORY = 5, 1000
 #: Fixed value: what is said of a job that only its manifest tells of.
@@ -177,8 +178,8 @@ def released(active: DataFrame, finished: DataFrame) -> DataFrame:
 
 
 def benchmark_summary(runs: DataFrame, audio_seconds: float) -> DataFrame:
-    """Medians of runs (total, inference), and media seconds a second."""
-    return runs.agg(F.median("total").alias("total"), F.median("inference").alias("inference")).withColumn("speed", F.try_divide(F.lit(audio_seconds), F.col("total")))
+    """Exact medians of runs (total, inference), a row of both, and media seconds a second."""
+    return medians(runs, "total", "inference").withColumn("speed", F.try_divide(F.lit(audio_seconds), F.col("total")))
 
 
 def speed_text(x: Column) -> Column:

@@ -338,3 +338,13 @@ def test_stages(spark):
     assert ends["same source"] == ("failed", "inference failed", False, False) and ends["direct"] == ("failed", stages.NO_TRANSCRIPT, False, False) and ends["no hash"] == ("failed", stages.NO_TRANSLATION, False, False)
     assert ends["in the way"] == ("failed", "conflict", False, False) and ends["translate later"][0] == "completed" and len(ends) == len(cases)
     assert stages.completed(plan, produced, keep_audio=True).where("drop_audio").count() == 0
+
+
+def test_medians_are_exact_and_not_of_one_task(spark):
+    rng = random.Random(5)
+    for values in ([], [2.0], [1.0, 2.0], [3.0, None, 1.0, 1.0], [float("nan")] * 50 + [1.0] * 40, [rng.choice([1.5, rng.random()]) for _ in range(3001)]):
+        rows = spark.createDataFrame([(v, 1.0) for v in values], "total double, inference double")
+        made = jobs.benchmark_summary(rows, 600.0)
+        want = rows.agg(F.median("total"), F.median("inference")).first()
+        assert [str(x) for x in made.select("total", "inference").first()] == [str(x) for x in want]
+        assert "median" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
