@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +54,18 @@ def staged(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind: they go when the write ends, not when the driver next cleans up."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def small_batches(df: DataFrame, size: int = 16 << 20) -> DataFrame:
     """df; from now on its session sends rows to Python in batches of about size bytes, however long they are."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -11,6 +11,9 @@ of the next lower order, and joins them to the n-grams, which were moved once. S
 rare go on to the next lower order. Where the scored documents are the corpus and LEAST is 1, every n-gram is counted, so
 c(first words) / N is what remains of a document's first words, and no lower order is needed but for texts of one word.
 
+An order's n-grams are moved in PASSES, one after another, each for its share of the histories by their hash. What a pass moved
+is summed up and dropped before the next one starts, so the disk holds about that share of the n-grams at a time.
+
 Histories and n-grams that are more than 1 / (HOT * partitions) of all n-grams are hot; there are at most HOT * partitions of
 either. They consist of hot words, so few n-grams have to be counted to find them. Their counts are broadcast: n-grams of a
 hot history are dealt by their word too, and hot n-grams by their document. So no partition gets much more than its share.
@@ -24,25 +27,33 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from cuemill.llm.common import small_batches, staged
+from cuemill.llm.common import shuffles_dropped, small_batches, staged
 
 ORDER, LEAST, BACKOFF, UNIT = 3, 1, 0.4, 1e6
 #: Hot n-grams a partition, and n-grams that a partition has on average.
 HOT, SHARE = 4, 2_000_000
+#: Passes over the texts, each of which moves the n-grams of its share of the histories.
+PASSES = 3
 #: Bytes of texts whose words are hashed at once.
 GROUP = 2 << 20
+#: Rows that are held in a task to be put together.
+HELD = 1 << 18
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _LETTERS = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
 _KEY = ["doc_id", "mark"]
 ONE_WORD = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"
-_ROWS = "doc_id bigint, mark int, history bigint, word bigint, lower bigint, counted int, asked int, tokens bigint"
+#: value is a word, or the number of words of a text; kind is a sum of these.
+_ROWS = "doc_id bigint, mark int, history bigint, value bigint, kind int"
+COUNTED, ASKED, WORD, TEXT = 1, 2, 4, 8
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,8 +86,28 @@ def _grams(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _hashed(docs: DataFrame, rows, schema: str) -> DataFrame:
-    """What rows(words, sizes, doc_ids, marks) makes of some documents at a time, a record batch each."""
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """history, word, times: the times of an n-gram that stands in many batches are summed before they leave the task."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= HELD:
+            held = _added(held)
+            size = sum(b.num_rows for b in held)
+            if size >= HELD // 2:
+                yield from held
+                held, size = [], 0
+    yield from _added(held) if held else ()
+
+
+def _added(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    sums = pa.Table.from_batches(batches).group_by(["history", "word"], use_threads=False).aggregate([("times", "sum")])
+    return sums.select(["history", "word", "times_sum"]).rename_columns(["history", "word", "times"]).to_batches()
+
+
+def _hashed(docs: DataFrame, rows, schema: str, after=iter) -> DataFrame:
+    """What rows(words, sizes, doc_ids, marks) makes of some documents at a time, a record batch each, and after() of those."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,14 +119,16 @@ def _hashed(docs: DataFrame, rows, schema: str) -> DataFrame:
                     yield rows(*word_hashes(texts[start:k]), batch.column(0).slice(start, k - start), batch.column(1).slice(start, k - start))
                     start, size = k, 0
 
-    return small_batches(docs).select("doc_id", F.hash("text").alias("mark"), "text").mapInArrow(explode, schema)
+    return small_batches(docs).select("doc_id", F.hash("text").alias("mark"), "text").mapInArrow(lambda batches: after(explode(batches)), schema)
 
 
-def n_grams(docs: DataFrame, order: int, counted: bool = True, asked: str = "all", lower: bool = False) -> DataFrame:
-    """_ROWS: the n-grams of an order (history and word), which count, or are asked for ("all", the "first" one of each text,
+def n_grams(docs: DataFrame, order: int, counted: bool = True, asked: str = "all", lower: bool = False, part: int = 0, parts: int = 1) -> DataFrame:
+    """_ROWS (kinds in brackets): the n-grams of an order (history and word), which count, or are asked for ("all", the "first" one of each text,
     none: ""), or both. Counted ones have a row without word for the history at the end of a text, so that a history counts
     as often as it occurs; "sums" asks for all and for the count of the first history. A row for each text has its number of
-    words, where all are asked for. lower: with the hash of the history without its first word."""
+    words, where all are asked for. lower: with the hash of the history without its first word. part: of this many parts of the
+    histories only one; rows of whole texts are in the first."""
+    schema = _ROWS + ", lower bigint" * lower
 
     def rows(words: np.ndarray, sizes: np.ndarray, doc_ids: pa.Array, marks: pa.Array) -> pa.RecordBatch:
         ends = np.cumsum(sizes)
@@ -112,19 +145,25 @@ def n_grams(docs: DataFrame, order: int, counted: bool = True, asked: str = "all
         word_there, history_there = none.copy(), none.copy()
         word_there[len(at) :], history_there[len(spots) :] = False, False
         pad = lambda x: np.concatenate([x.view(np.int64), np.zeros(len(owners) - len(x), np.int64)])
-        short = pad(_grams(words, at, order - 2)) if lower and order > 2 else np.zeros(len(owners), np.int64)
-        flags = np.zeros((2, len(owners)), np.int32)
-        flags[0, : len(at) + len(last)] = counted
-        flags[1, : len(at)] = wants
-        flags[1, len(at) + len(last) : len(spots)] = 1
-        tokens = np.concatenate([np.zeros(len(spots), np.int64), sizes[texts]])
+        kind = np.zeros(len(owners), np.int32)
+        kind[: len(at) + len(last)] = COUNTED * counted
+        kind[: len(at)] += WORD + ASKED * wants
+        kind[len(at) + len(last) : len(spots)] = ASKED
+        kind[len(spots) :] = TEXT
+        value = pad(words[at])
+        value[len(spots) :] = sizes[texts]
         who = pa.array(owners)
-        return pa.RecordBatch.from_arrays(
-            [doc_ids.take(who), marks.take(who), pa.array(pad(history), mask=~history_there), pa.array(pad(words[at]), mask=~word_there), pa.array(short, mask=~word_there | (not lower) | (order < 3)), pa.array(flags[0]), pa.array(flags[1]), pa.array(tokens, mask=history_there)],
-            names=[c.split()[0] for c in _ROWS.split(", ")],
-        )
+        columns = [doc_ids.take(who), marks.take(who), pa.array(pad(history), mask=~history_there), pa.array(value, mask=history_there & ~word_there), pa.array(kind)]
+        if lower:
+            columns.append(pa.array(pad(_grams(words, at, order - 2)) if order > 2 else value, mask=~word_there | (order < 3)))
+        batch = pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+        if parts == 1:
+            return batch
+        mine = np.full(len(owners), part == 0)
+        mine[: len(history)] = (history >> np.uint64(33)) % np.uint64(parts) == part
+        return batch.filter(pa.array(mine))
 
-    return _hashed(docs, rows, _ROWS)
+    return _hashed(docs, rows, schema)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -134,7 +173,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         words, n = np.unique(words, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return staged(_hashed(docs, rows, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words", gather=True)
+    with shuffles_dropped(docs.sparkSession):
+        return staged(_hashed(docs, rows, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words", gather=True)
 
 
 def hot_counts(corpus: DataFrame, docs: DataFrame | None, order: int, words: DataFrame, least: float) -> DataFrame:
@@ -160,33 +200,80 @@ def hot_counts(corpus: DataFrame, docs: DataFrame | None, order: int, words: Dat
         short, long = ends(order - 1), ends(order)
         history = np.concatenate([_grams(words, short + 1, order - 1), _grams(words, long, order - 1)])
         word = np.concatenate([words[short], words[long]])
-        return pa.RecordBatch.from_arrays([pa.array(history.view(np.int64)), pa.array(word.view(np.int64), mask=np.arange(len(word)) < len(short))], names=["history", "word"])
+        return pa.RecordBatch.from_arrays([pa.array(history.view(np.int64)), pa.array(word.view(np.int64), mask=np.arange(len(word)) < len(short)), pa.array(np.ones(len(word), np.int64))], names=["history", "word", "times"])
 
-    found = _hashed(corpus, rows, "history bigint, word bigint").withColumn("n", F.lit(1))
+    schema = "history bigint, word bigint, times bigint"
+    found = _hashed(corpus, rows, schema, _together).withColumn("n", F.col("times"))
     if docs is not None:
-        found = found.unionByName(_hashed(docs, rows, "history bigint, word bigint").withColumn("n", F.lit(0)))
-    counts = found.groupBy("history", "word").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-    return staged(counts.where(F.col("rows") > least).drop("rows"), "hot", gather=True)
+        found = found.unionByName(_hashed(docs, rows, schema, _together).withColumn("n", F.lit(0).cast("bigint")))
+    counts = found.groupBy("history", "word").agg(F.sum("n").alias("n"), F.sum("times").alias("rows"))
+    with shuffles_dropped(corpus.sparkSession):
+        return staged(counts.where(F.col("rows") > least).drop("rows"), "hot", gather=True)
 
 
 def log_of(count: Column) -> Column:
     return F.round(UNIT * F.log(count)).cast("bigint")
 
 
-def resolved(rows: DataFrame, hot: DataFrame, partitions: int) -> DataFrame:
-    """rows of n_grams() with n, how often the n-gram occurs among the counted rows, and total, how often its history does."""
+def resolved(rows: DataFrame, hot: DataFrame, partitions: int, after=None, schema: str | None = None) -> DataFrame:
+    """rows of n_grams() with n, how often the n-gram occurs among the counted rows, and total, how often its history does; or what
+    after() makes of them (an Arrow table a partition), by its schema."""
     totals = F.broadcast(hot.where("word is null").select("history", F.col("n").alias("hot_total")))
-    times = F.broadcast(hot.where("word is not null").select("history", "word", F.col("n").alias("hot_n")))
-    known = rows.join(totals, "history", "left").join(times, ["history", "word"], "left")
-    counted = F.col("hot_n").isNotNull() | F.col("history").isNull() | (F.col("hot_total").isNotNull() & F.col("word").isNull())
-    slot = F.when(counted, F.xxhash64(*_KEY)).when(F.col("hot_total").isNotNull(), F.col("word")).otherwise(0)
-    dealt = known.withColumn("slot", slot).repartition(partitions, "history", "slot")
-    here = Window.partitionBy("history", "slot")
-    n, total = F.sum("counted").over(Window.partitionBy("history", "slot", "word")), F.sum("counted").over(here)
-    return dealt.select(*rows.columns, F.coalesce("hot_n", n).alias("n"), F.coalesce("hot_total", total).alias("total"))
-
-
-def scored(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, least: int = LEAST, share: int = SHARE) -> DataFrame:
+    times = F.broadcast(hot.where("word is not null").select("history", F.col("word").alias("value"), F.col("n").alias("hot_n")))
+    known = rows.join(totals, "history", "left").join(times, ["history", "value"], "left")
+    counted = F.col("hot_n").isNotNull() | F.col("history").isNull() | (F.col("hot_total").isNotNull() & F.col("value").isNull())
+    slot = F.when(counted, F.xxhash64(*_KEY)).when(F.col("hot_total").isNotNull(), F.col("value")).otherwise(0)
+    dealt = known.repartition(partitions, "history", slot).select(*rows.columns)
+    # Tasks look the counts of what is hot up themselves, so they needn't be moved with each row.
+    found = hot.collect()  # HOT * partitions of either at most
+    hashes = lambda name: np.array([r[name] or 0 for r in found], np.int64).view(np.uint64)
+    whole = np.array([r["word"] is None for r in found], bool)
+    keys, often = np.where(whole, hashes("history"), mixed(hashes("history"), hashes("word"))), np.array([r["n"] for r in found], np.int64)
+    by_key = np.argsort(keys)
+    tables = [(keys[order], often[order]) for order in (by_key[~whole[by_key]], by_key[whole[by_key]])]
+    shipped = rows.sparkSession.sparkContext.broadcast(tables)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (parts := list(batches)):
+            return
+        table = pa.Table.from_batches(parts)
+        history, value = (table[name].fill_null(0).to_numpy().view(np.uint64) for name in ("history", "value"))
+        kind = table["kind"].to_numpy()
+
+        def times(keys: np.ndarray, counts: np.ndarray, known: np.ndarray, often: np.ndarray) -> pa.Array:
+            each, which = np.unique(keys, return_inverse=True)
+            n = np.bincount(which, counts).astype(np.int64)
+            at = np.searchsorted(each, known)
+            there = at < len(each)
+            there[there] = each[at[there]] == known[there]
+            n[at[there]] = often[there]
+            return pa.array(n[which])
+
+        counted = (kind & COUNTED) > 0
+        n = times(mixed(history, value), counted & ((kind & WORD) > 0), *shipped.value[0])
+        table = table.append_column("n", n).append_column("total", times(history, counted, *shipped.value[1]))
+        yield from (after(table) if after else table).to_batches()
+
+    return dealt.mapInArrow(count, schema or StructType([*rows.schema, StructField("n", LongType()), StructField("total", LongType())]))
+
+
+_SUMS = "doc_id bigint, mark int, term bigint, tokens bigint, copies bigint"
+
+
+def _sums(table: pa.Table, alone: int) -> pa.Table:
+    """_SUMS: for each document what the rows of resolved() add to its score. The first words, as many as a history has, score
+    their count / N (whose logarithm is alone) in all: each one's count is the next one's history."""
+    kind = table["kind"].to_numpy()
+    table, kind = table.filter(pa.array((kind & (ASKED | TEXT)) > 0)), kind[(kind & (ASKED | TEXT)) > 0]
+    logs = lambda name: np.floor(UNIT * np.log(np.maximum(table[name].to_numpy(), 1)) + 0.5).astype(np.int64)
+    term, text = np.where(kind & WORD, logs("n") - logs("total"), logs("total") - alone), (kind & TEXT) > 0
+    tokens = pa.array(table["value"].fill_null(0).to_numpy(), mask=~text)
+    terms = table.select(_KEY).append_column("tokens", tokens).append_column("term", pa.array(term, mask=text))
+    sums = terms.group_by(_KEY, use_threads=False).aggregate([("term", "sum"), ("tokens", "max"), ("tokens", "count")])
+    return sums.select([*_KEY, "term_sum", "tokens_max", "tokens_count"]).rename_columns([c.split()[0] for c in _SUMS.split(", ")])
+
+
+def scored(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, least: int = LEAST, share: int = SHARE, passes: int = PASSES) -> DataFrame:
     """doc_id, n_tokens, log_score (natural, rounded to millionths), mean_log_score: a row for each row of docs (doc_id, text),
     under the counts of corpus (text), which is docs itself if none is given."""
     if order not in (2, 3):
@@ -196,37 +283,46 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER,
     words = word_counts(source)
     every = words if corpus is None else words.unionByName(word_counts(docs)).groupBy("word").agg(F.sum("n").alias("n"))
     total, size = (table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] for table in (words, every))
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / share))
-    hot = lambda k: hot_counts(source, None if corpus is None else docs, k, every, size / (HOT * partitions))
-    alone = F.lit(round(UNIT * math.log(max(total, 1))))
+    least_partitions, places = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / share)
+    partitions = max(least_partitions, math.ceil(places / passes))
+    hot = lambda k: hot_counts(source, None if corpus is None else docs, k, every, size / (HOT * max(least_partitions, places)))
     sums = []
+    has = lambda kinds: F.col("kind").bitwiseAND(kinds) > 0
 
     def add(rows: DataFrame, term: Column) -> None:
-        sums.append(rows.select(*_KEY, term.alias("term"), "tokens"))
+        # Rows of one id and text are one document that stands there as often as it has a number of words.
+        found = rows.select(*_KEY, term.alias("term"), F.when(has(TEXT), F.col("value")).alias("tokens")).groupBy(*_KEY)
+        sums.append(found.agg(F.sum("term").alias("term"), F.max("tokens").alias("tokens"), F.count("tokens").alias("copies")))
 
+    alone = round(UNIT * math.log(max(total, 1)))
     if certain:
-        rows = resolved(n_grams(docs, order, asked="sums"), hot(order), partitions)
-        # The first words, as many as a history has, score their count / N in all: each one's count is the next one's history.
-        term = F.when(F.col("word").isNotNull(), log_of(F.col("n")) - log_of(F.col("total"))).when(F.col("asked") == 1, log_of(F.col("total")) - alone)
-        add(rows.where((F.col("asked") == 1) | F.col("tokens").isNotNull()), term)
+        often = hot(order)
+        for part in range(passes):
+            rows = n_grams(docs, order, asked="sums", part=part, parts=passes)
+            found = resolved(rows, often, partitions, lambda table: _sums(table, alone), _SUMS).groupBy(*_KEY)
+            found = found.agg(F.sum("term").alias("term"), F.max("tokens").alias("tokens"), F.sum("copies").alias("copies"))
+            with shuffles_dropped(docs.sparkSession):
+                sums.append(staged(found, "sums", gather=True))
         left = n_grams(docs.where(F.col("text").rlike(ONE_WORD)), 1, counted=False, asked="first") if order > 2 else None
     else:
         left = None
         for k in range(order, 1, -1):
-            asked = n_grams(docs, k, counted=False, asked="all" if k == order else "first", lower=True)
-            rows = n_grams(source, k, asked="").unionByName(asked if left is None else asked.unionByName(left))
-            rows = staged(resolved(rows, hot(k), partitions).where((F.col("asked") == 1) | F.col("tokens").isNotNull()), "scored")
+            often, whole = hot(k), []
+            for part in range(passes):
+                asked = n_grams(docs, k, counted=False, asked="all" if k == order else "first", lower=True, part=part, parts=passes)
+                rows = n_grams(source, k, asked="", lower=True, part=part, parts=passes).unionByName(asked)
+                if left is not None:
+                    rows = rows.unionByName(left.where(F.shiftrightunsigned("history", 33) % passes == part))
+                with shuffles_dropped(docs.sparkSession):
+                    whole.append(staged(resolved(rows, often, partitions).where(has(ASKED | TEXT)), "scored"))
+            rows = reduce(DataFrame.unionByName, whole)
             seen = F.col("n") >= least
-            add(rows, F.when(F.col("word").isNotNull(), F.when(seen, log_of(F.col("n")) - log_of(F.col("total"))).otherwise(round(UNIT * math.log(BACKOFF)))))
-            null = F.lit(None).cast("bigint")
-            left = rows.where(F.col("word").isNotNull() & ~seen).select(*_KEY, F.col("lower").alias("history"), "word", null.alias("lower"), F.lit(0).alias("counted"), F.lit(1).alias("asked"), null.alias("tokens"))
-        left = left.unionByName(n_grams(docs, 1, counted=False, asked="first"))
+            add(rows, F.when(has(WORD), F.when(seen, log_of(F.col("n")) - log_of(F.col("total"))).otherwise(round(UNIT * math.log(BACKOFF)))))
+            rare = rows.where(has(WORD) & ~seen)
+            left = rare.select(*_KEY, F.col("lower").alias("history"), "value", F.lit(ASKED | WORD).alias("kind"), F.lit(None).cast("bigint").alias("lower"))
+        left = left.unionByName(n_grams(docs, 1, counted=False, asked="first", lower=True))
     if left is not None:
-        add(left.join(words, "word", "left"), log_of(F.coalesce("n", F.lit(1))) - alone)
-    rows = sums[0]
-    for more in sums[1:]:
-        rows = rows.unionByName(more)
-    # Rows of one id and text are one document that stands there as often as it has a number of words.
-    found = rows.groupBy(*_KEY).agg(F.sum("term").alias("score"), F.max("tokens").alias("n_tokens"), F.count("tokens").alias("copies"))
+        add(left.join(words.withColumnRenamed("word", "value"), "value", "left"), log_of(F.coalesce("n", F.lit(1))) - F.lit(alone))
+    found = reduce(DataFrame.unionByName, sums).groupBy(*_KEY).agg(F.sum("term").alias("score"), F.max("tokens").alias("n_tokens"), F.sum("copies").alias("copies"))
     value = F.when(F.col("n_tokens") > 0, F.col("score") / F.col("copies") / UNIT)
     return found.select("doc_id", F.col("n_tokens"), value.alias("log_score"), (value / F.col("n_tokens")).alias("mean_log_score"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")

@@ -4,9 +4,12 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,6 +389,34 @@ def test_hot_n_grams_are_spread(spark):
     assert max(sizes) < 5 * sum(sizes) / 45
 
 
+def test_n_grams_are_moved_in_parts(spark, docs, none):
+    """Each pass moves its part of the histories and leaves no shuffle files, so the disk never holds all n-grams."""
+    whole = language_model.n_grams(docs, 3, asked="sums")
+    parts = [language_model.n_grams(docs, 3, asked="sums", part=i, parts=4) for i in range(4)]
+    rows = lambda *tables: collections.Counter(tuple(r) for t in tables for r in t.collect())
+    assert rows(*parts) == rows(whole) and max(p.count() for p in parts) < 0.4 * whole.count()
+    assert not set.intersection(*({r["history"] for r in p.where("history is not null").select("history").distinct().collect()} for p in parts[:2]))
+    folders = [f.getPath() for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for folder in folders for f in Path(folder).rglob("shuffle_*")}
+    before = files()
+    table = language_model.scored(docs)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and scores(docs) == sorted(map(tuple, table.select("doc_id", "n_tokens", "log_score").collect()), key=str)
+    assert scores(docs, passes=1) == scores(docs, passes=5) == plain_scores(docs.collect())
+
+
+def test_hot_candidates_are_summed_in_their_task(spark):
+    """A pair that stands everywhere leaves a task once, not once for each time."""
+    one = lambda history, word: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (history, word, [1] * len(word))], names=["history", "word", "times"])
+    many = [one([1, 1, 2], [None, 5, 5]) for _ in range(100_000)]
+    made = pa.Table.from_batches(language_model._together(iter(many)))
+    assert sorted(map(str, made.to_pylist())) == sorted(str({"history": h, "word": w, "times": 100_000}) for h, w in ((1, None), (1, 5), (2, 5)))
+    assert not list(language_model._together(iter([])))
+
+
 SEPARATED = {
     "a comma after every word": lambda t, rng: t.replace(" ", ", "),
     "underscores": lambda t, rng: t.replace(" ", "_"),
