@@ -118,6 +118,11 @@ def _steps(payload: Column) -> Column:
     return F.regexp_count(payload, F.lit(r'"result|\\u'))
 
 
+def _nested(payload: Column) -> Column:
+    """Whether the result may be inside the document: else it is the document itself, which needn't be read a second time."""
+    return payload.rlike(r'"result|"alternatives|\\u')
+
+
 def items_of(v: Column, path: str, **kinds: str) -> Column:
     """The list at a path, its objects as structs of the fields that are named: all are read in one pass over the list, and not
     one by one for each. What isn't an object is null."""
@@ -154,7 +159,7 @@ def transcripts(raw: DataFrame) -> DataFrame:
     first = lambda names: F.coalesce(*[F.col(v)[n] for v in ("c_said", "p_said") for n in names])
     filled = lambda v, names: bind(F.coalesce(*[F.col(v)[n] for n in names]), blank_to_null)
     parsed = raw.select("job_id", "duration", "payload", F.try_parse_json("payload").alias("p")).withColumn("p_said", said(F.col("p")))
-    whole = parsed.withColumn("c", F.when(F.col("p_said").isNotNull(), container(F.col("p"), _steps(F.col("payload")))))
+    whole = parsed.withColumn("c", F.when(F.col("p_said").isNotNull() & _nested(F.col("payload")), container(F.col("p"), _steps(F.col("payload")))))
     found = whole.withColumns({"c_said": said(F.col("c")), "items": F.coalesce(word_list(F.col("c")), word_list(F.col("p")))})
     words = found.withColumn("words", _words(F.col("items")))
     fault = F.when(F.col("p_said").isNull(), "object").when(F.coalesce(F.size("items"), F.lit(0)) < 1, "words").when(F.exists("words", lambda w: w["text"].isNull() | w["start"].isNull() | w["end"].isNull()), "word")
@@ -262,8 +267,8 @@ def uneven_batches(asked: DataFrame, answered: DataFrame) -> DataFrame:
 def batch_results(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     """job_id, payload, duration: what transcripts() takes, of a batch that wrote <stem>.json for each input. A job without a
     file has a null payload. docs: path, value (text); jobs: stem, job_id, duration."""
-    name = F.element_at(F.split("path", "/"), -1)
-    found = docs.where(name.endswith(".json")).select(F.regexp_replace(name, r"\.json\z", "").alias("stem"), F.col("value").alias("payload"))
+    name = F.substring_index("path", "/", -1)
+    found = docs.where(name.endswith(".json")).select(F.left(name, F.length(name) - 5).alias("stem"), F.col("value").alias("payload"))
     return jobs.join(found, "stem", "left").select("job_id", "payload", "duration")
 
 

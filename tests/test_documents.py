@@ -168,3 +168,19 @@ def test_recogniser_output_is_read_once(spark):
 def test_objects_are_told_by_their_kind(spark):
     docs = spark.createDataFrame([(x,) for x in ('{"a": 1}', "{}", '{"_": "x"}', "[{}]", "null", '"{}"', "1", "x", None)], "t string")
     assert [r[0] for r in docs.select(ingest.is_object(F.try_parse_json("t"))).collect()] == [True] * 3 + [False] * 6
+
+
+def test_results_that_are_the_document_are_read_once(spark):
+    """Only what may hold the result inside is searched; what isn't gives the same."""
+    flat, inside = '{"text": "x", "words": [{"word": "x", "start": 0, "end": 1}]}', '{"language": "de", "alternatives": [{"transcript": "y", "words": [{"word": "y", "start": 0, "end": 1}]}]}'
+    payloads = {"flat": flat, "none": '{"text": "x"}', "inside": inside, "escaped": inside.replace("alter", "\\u0061lter"), "deeper": f'{{"result": {flat}}}', "list": "[1]", "broken": "{", "null": None}
+    raw = spark.createDataFrame(list(payloads.items()), "job_id string, payload string").withColumn("duration", F.lit(None).cast("double"))
+    assert {r["job_id"] for r in raw.where(ingest._nested(F.col("payload"))).collect()} == {"inside", "escaped", "deeper"}
+    got = {r["job_id"]: (r["text"], r["language"], r["fault"]) for r in ingest.transcripts(raw).collect()}
+    assert got == {"flat": ("x", None, None), "none": ("x", None, "words"), "inside": ("y", "de", None), "escaped": ("y", "de", None), "deeper": ("x", None, None), "list": (None, None, "object"), "broken": (None, None, "object"), "null": (None, None, "object")}
+
+
+def test_batch_files_are_matched_by_whole_stems(spark):
+    docs = spark.createDataFrame([("/out/a.json.json", "1"), ("b.json", "2"), ("/out/c.txt", "3"), ("/out/.json", "4")], "path string, value string")
+    jobs = spark.createDataFrame([(x, x, None) for x in ("a.json", "a", "b", "c", "")], "stem string, job_id string, duration double")
+    assert {r["job_id"]: r["payload"] for r in ingest.batch_results(docs, jobs).collect()} == {"a.json": "1", "a": None, "b": "2", "c": None, "": "4"}
