@@ -44,8 +44,8 @@ HOT, SHARE = 4, 2_000_000
 PASSES = 3
 #: Bytes of texts whose words are hashed at once.
 GROUP = 2 << 20
-#: Rows that are held in a task to be put together.
-HELD = 1 << 18
+#: Rows that are held in a task to be put together, and rows that a task hands on at once.
+HELD, BATCH = 1 << 18, 1 << 16
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _LETTERS = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -252,25 +252,30 @@ def resolved(rows: DataFrame, hot: DataFrame, partitions: int, after=None, schem
         counted = (kind & COUNTED) > 0
         n = times(mixed(history, value), counted & ((kind & WORD) > 0), *shipped.value[0])
         table = table.append_column("n", n).append_column("total", times(history, counted, *shipped.value[1]))
-        yield from (after(table) if after else table).to_batches()
+        yield from (after(table) if after else table).to_batches(BATCH)
 
     return dealt.mapInArrow(count, schema or StructType([*rows.schema, StructField("n", LongType()), StructField("total", LongType())]))
 
 
-_SUMS = "doc_id bigint, mark int, term bigint, tokens bigint, copies bigint"
+_TERMS = "doc_id bigint, mark int, term bigint, tokens bigint"
 
 
-def _sums(table: pa.Table, alone: int) -> pa.Table:
-    """_SUMS: for each document what the rows of resolved() add to its score. The first words, as many as a history has, score
-    their count / N (whose logarithm is alone) in all: each one's count is the next one's history."""
-    kind = table["kind"].to_numpy()
-    table, kind = table.filter(pa.array((kind & (ASKED | TEXT)) > 0)), kind[(kind & (ASKED | TEXT)) > 0]
-    logs = lambda name: np.floor(UNIT * np.log(np.maximum(table[name].to_numpy(), 1)) + 0.5).astype(np.int64)
-    term, text = np.where(kind & WORD, logs("n") - logs("total"), logs("total") - alone), (kind & TEXT) > 0
-    tokens = pa.array(table["value"].fill_null(0).to_numpy(), mask=~text)
-    terms = table.select(_KEY).append_column("tokens", tokens).append_column("term", pa.array(term, mask=text))
-    sums = terms.group_by(_KEY, use_threads=False).aggregate([("term", "sum"), ("tokens", "max"), ("tokens", "count")])
-    return sums.select([*_KEY, "term_sum", "tokens_max", "tokens_count"]).rename_columns([c.split()[0] for c in _SUMS.split(", ")])
+def _terms(table: pa.Table, alone: int) -> pa.Table:
+    """_TERMS: what the rows of resolved() add to their documents' scores, and a row of 0 with its number of words for each text.
+    The first words, as many as a history has, score their count / N (whose logarithm is alone) in all: each one's count is the
+    next one's history. A word that always follows its history adds nothing and needs no row.
+
+    The rows are a share of the n-grams. Sums of a task's n-grams would be about as many where tasks are many, as each then has
+    few n-grams of a document, but where they are few they would be a row for each document and task."""
+    kind, n, total = (table[name].to_numpy() for name in ("kind", "n", "total"))
+    text, word = (kind & TEXT) > 0, (kind & WORD) > 0
+    there = text | (((kind & ASKED) > 0) & ~(word & (n == total)))
+    text, word, kept = text[there], word[there], table.select([*_KEY, "value"]).filter(pa.array(there))
+    logs = lambda counts: np.floor(UNIT * np.log(np.maximum(counts[there], 1)) + 0.5).astype(np.int64)
+    term = np.where(text, 0, logs(total) - alone)
+    term[word] = (logs(n) - logs(total))[word]
+    tokens = pa.array(kept["value"].fill_null(0).to_numpy(), mask=~text)
+    return kept.select(_KEY).append_column("term", pa.array(term)).append_column("tokens", tokens).combine_chunks()
 
 
 def scored(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, least: int = LEAST, share: int = SHARE, passes: int = PASSES) -> DataFrame:
@@ -282,25 +287,27 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER,
     source = docs if corpus is None else corpus.select(F.lit(None).cast("bigint").alias("doc_id"), "text")
     words = word_counts(source)
     every = words if corpus is None else words.unionByName(word_counts(docs)).groupBy("word").agg(F.sum("n").alias("n"))
-    total, size = (table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] for table in (words, every))
+    with shuffles_dropped(docs.sparkSession):
+        total, size = (table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] for table in (words, every))
     least_partitions, places = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / share)
     partitions = max(least_partitions, math.ceil(places / passes))
     hot = lambda k: hot_counts(source, None if corpus is None else docs, k, every, size / (HOT * max(least_partitions, places)))
     sums = []
     has = lambda kinds: F.col("kind").bitwiseAND(kinds) > 0
 
-    def add(rows: DataFrame, term: Column) -> None:
+    def summed(terms: DataFrame) -> DataFrame:
         # Rows of one id and text are one document that stands there as often as it has a number of words.
-        found = rows.select(*_KEY, term.alias("term"), F.when(has(TEXT), F.col("value")).alias("tokens")).groupBy(*_KEY)
-        sums.append(found.agg(F.sum("term").alias("term"), F.max("tokens").alias("tokens"), F.count("tokens").alias("copies")))
+        return terms.groupBy(*_KEY).agg(F.sum("term").alias("term"), F.max("tokens").alias("tokens"), F.count("tokens").alias("copies"))
+
+    def add(rows: DataFrame, term: Column) -> None:
+        sums.append(summed(rows.select(*_KEY, term.alias("term"), F.when(has(TEXT), F.col("value")).alias("tokens"))))
 
     alone = round(UNIT * math.log(max(total, 1)))
     if certain:
         often = hot(order)
         for part in range(passes):
             rows = n_grams(docs, order, asked="sums", part=part, parts=passes)
-            found = resolved(rows, often, partitions, lambda table: _sums(table, alone), _SUMS).groupBy(*_KEY)
-            found = found.agg(F.sum("term").alias("term"), F.max("tokens").alias("tokens"), F.sum("copies").alias("copies"))
+            found = summed(resolved(rows, often, partitions, lambda table: _terms(table, alone), _TERMS))
             with shuffles_dropped(docs.sparkSession):
                 sums.append(staged(found, "sums", gather=True))
         left = n_grams(docs.where(F.col("text").rlike(ONE_WORD)), 1, counted=False, asked="first") if order > 2 else None

@@ -408,6 +408,19 @@ def test_n_grams_are_moved_in_parts(spark, docs, none):
     assert scores(docs, passes=1) == scores(docs, passes=5) == plain_scores(docs.collect())
 
 
+def test_terms_do_not_grow_with_partitions(spark, docs, odd):
+    """More tasks don't make more rows of the same n-grams, and words that always follow their history make none."""
+    for table in (docs, odd):
+        hot = language_model.hot_counts(table, None, 3, language_model.word_counts(table), 500)
+        made = lambda n: language_model.resolved(language_model.n_grams(table, 3, asked="sums"), hot, n, lambda t: language_model._terms(t, 1), language_model._TERMS)  # noqa: B023, E731
+        few, many = (collections.Counter(map(tuple, made(n).collect())) for n in (2, 60))
+        assert few == many
+        words = [re.findall(WORD, r["text"] or "") for r in table.collect()]
+        grams = [tuple(x[i : i + 3]) for x in words for i in range(len(x) - 2)]
+        counts, before = collections.Counter(grams), collections.Counter(tuple(x[i : i + 2]) for x in words for i in range(len(x) - 1))
+        assert few.total() == len(words) + sum(len(x) > 1 for x in words) + sum(counts[g] < before[g[:2]] for g in grams)
+
+
 def test_hot_candidates_are_summed_in_their_task(spark):
     """A pair that stands everywhere leaves a task once, not once for each time."""
     one = lambda history, word: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (history, word, [1] * len(word))], names=["history", "word", "times"])
