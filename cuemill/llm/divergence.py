@@ -6,8 +6,8 @@ LEAST of its documents have. A group is a language and a source; its shares are
 in billionths, whole numbers throughout: p = 1 + floor(SCALE * (count + 1) / (N + V)). What a term adds to the distance from
 q to p is floor((p - q)^2 / q).
 
-How it is spread. A task counts the terms of its documents in a table that it hands on when it has FLUSH entries, so a word
-that every document has leaves a task as one row a group. Kept counts are dealt out by (language, block of terms, block of
+How it is spread. A task counts the terms of FLUSH bytes of documents at a time, by one sort of numbers that stand for group,
+term and document, so a word that every document has leaves a task as one row a group and FLUSH bytes. Kept counts are dealt out by (language, block of terms, block of
 sources, block of sources): such a tile is a dense int64 matrix of groups by terms, in which all pairs of its groups are
 compared by broadcasting, SLICE numbers at a time. Tiles have bounded size, whatever the numbers of documents, terms, sources
 and languages: TERMS terms (by hash, so some more or fewer) and twice SOURCES sources. They return partial sums of pairs and
@@ -16,7 +16,7 @@ has isn't in it: those are counted, and their part, the same for each, is added
 
 A row of documents is a document, also a repeated one. Null text, lang and source are ''. A group without terms has N = 0; a
 language without kept terms has pairs of value 0 and no terms. An empty table gives no rows; of one source there are no
-pairs. Very long texts are counted in pieces of PIECE bytes that end between terms; a term is whole, however long. Only lang,
+pairs. Texts of over FLUSH bytes are counted in pieces of PIECE bytes that end between terms; a term is whole, however long. Only lang,
 source and text are read, so other columns may have any name.
 """
 
@@ -37,20 +37,25 @@ from cuemill.llm.common import small_batches, staged
 
 LEAST, TOP, SCALE = 3, 200, 1_000_000_000
 TERMS, SOURCES, SLICE = 4096, 128, 1 << 20
-FLUSH, PIECE = 200_000, 1 << 20
+#: Bytes of texts whose terms are counted at once, and what a row takes besides; bytes of a longer text that are.
+FLUSH, ROW, PIECE = 16 << 20, 64, 1 << 20
+#: Rows that a task hands on at once.
+BATCH = 1 << 16
 #: Blocks whose heaps are merged in the first round.
 ROUND = 64
 
 #: In UTF-8, code points beyond ASCII are bytes beyond ASCII, and bytes.lower() touches A to Z only.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _GAP = re.compile(rb"[^a-z\x80-\xff]")
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_IN_TERM = np.array([bool(_TERM.match(bytes([c]))) for c in _LOWER])
 _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 _TILE = "lang string, source string, part string, item string, block int, value bigint, seen bigint, lone bigint"
 
 
-def term_counts(text: str | None) -> Counter:
+def term_counts(text: str | bytes | None) -> Counter:
     """Terms, in UTF-8, and how often the text has them."""
-    data, counts, at = (text or "").encode().lower(), Counter(), 0
+    data, counts, at = (text if isinstance(text, bytes) else (text or "").encode()).lower(), Counter(), 0
     while at < len(data):
         gap = _GAP.search(data, at + PIECE)
         end = gap.start() if gap else len(data)
@@ -59,29 +64,57 @@ def term_counts(text: str | None) -> Counter:
     return counts
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    size = 0
+def _rows(groups: list[tuple[str, str]], group: np.ndarray, terms: pa.Array, n: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """_COUNTS: a row for each count of a group's term, and one without a term for each group, which tells that it occurs."""
+    which = pa.array(np.concatenate([np.arange(len(groups)), group]))
+    names = [pa.array(x, pa.string()).take(which) for x in zip(*groups, strict=True)]
+    numbers = [pa.array(np.concatenate([np.zeros(len(groups), np.int64), x])) for x in (n, docs)]
+    made = pa.RecordBatch.from_arrays([*names, pa.concat_arrays([pa.nulls(len(groups), pa.string()), terms.cast(pa.string())]), *numbers], names=["lang", "source", "term", "n", "docs"])
+    for i in range(0, made.num_rows, BATCH):
+        yield made.slice(i, BATCH)
+
+
+def _counted_texts(rows: list[tuple[str, str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """_COUNTS of some rows (lang, source, text) by one sort of their terms' numbers."""
+    places: dict[tuple[str, str], int] = {}
+    group = np.array([places.setdefault(row[:2], len(places)) for row in rows], np.int64)
+    # The last byte of each text is a gap.
+    letters = np.frombuffer(b"\n".join([*(row[2] for row in rows), b""]), np.uint8)
+    inside = _IN_TERM[letters]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[letters[inside]])]).dictionary_encode()
+    held = np.diff(np.searchsorted(starts, np.cumsum([len(row[2]) + 1 for row in rows])), prepend=0)
+    doc, kinds = np.repeat(np.arange(len(rows)), held), max(1, len(found.dictionary))
+    # The rows of a chunk are too few for these numbers to pass 64 bits.
+    keys = (group[doc] * kinds + found.indices.to_numpy()) * len(rows) + doc
+    keys.sort()
+    pairs = keys // len(rows)
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    docs = np.add.reduceat(np.diff(keys, prepend=-1) != 0, first, dtype=np.int64) if len(first) else first
+    at = pairs[first]
+    yield from _rows(list(places), at // kinds, found.dictionary.take(pa.array(at % kinds)), np.diff(np.append(first, len(keys))), docs)
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (counts, docs) in held.items():
-            # A row without a term tells that the group occurs.
-            terms = [None, *(t.decode() for t in counts)]
-            made = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array([0, *counts.values()], pa.int64()), pa.array([0, *(docs[t] for t in counts)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(made, names=["lang", "source", "term", "n", "docs"])
-        held.clear()
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for batch in batches:
-        for lang, source, text in zip(*batch.columns, strict=True):
-            counts, docs = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-            found, before = term_counts(text.as_py()), len(counts)
-            counts.update(found)
-            docs.update(found.keys())
-            size += len(counts) - before
-            if size >= FLUSH or len(held) >= FLUSH // 100:
-                yield from rows()
-                size = 0
-    yield from rows()
+        for lang, source, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            text = (text or "").encode()
+            if len(text) > FLUSH:
+                counts = term_counts(text)
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                yield from _rows([(lang, source)], np.zeros(len(n), np.int64), pa.array(list(counts), pa.binary()), n, np.ones(len(n), np.int64))
+                continue
+            # A row takes some room, however short its text.
+            if held and size + len(text) + ROW > FLUSH:
+                yield from _counted_texts(held)
+                held, size = [], 0
+            held.append((lang, source, text))
+            size += len(text) + ROW
+    if held:
+        yield from _counted_texts(held)
 
 
 def counts_of(docs: DataFrame) -> DataFrame:

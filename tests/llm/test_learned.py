@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,15 @@ def test_tables_are_flushed(spark, monkeypatch):
             total[r["lang"], r["source"], r["term"] or "~"][0] += r["n"]
             total[r["lang"], r["source"], r["term"] or "~"][1] += r["docs"]
     assert len(batches) > 10 and sorted((*k, *v) for k, v in total.items()) == want
+
+
+def test_terms_leave_a_task_once_a_chunk():
+    """Many different terms don't make a table be handed on early: each is one row of its group, with and without other terms."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(250_000)]
+    texts = [" ".join(words[i : i + 10_000]) + " Every, EVERY" for i in range(0, len(words), 10_000)] * 2
+    table = pa.table({"lang": ["en", *["en"] * 50, "de"], "source": ["void", *["a"] * 50, ""], "text": [None, *texts, "--"]})
+    rows = [r for b in divergence._counted(iter(table.to_batches(7))) for r in b.to_pylist()]
+    assert len(rows) == len(words) + 4 and {r["term"] for r in rows if r["source"] == "a"} == {None, "every", *words}
+    assert {(r["n"], r["docs"]) for r in rows if r["term"] not in (None, "every")} == {(2, 2)}
+    assert [(r["n"], r["docs"]) for r in rows if r["term"] == "every"] == [(100, 50)]
+    assert sorted((r["lang"], r["source"], r["n"]) for r in rows if r["term"] is None) == [("de", "", 0), ("en", "a", 0), ("en", "void", 0)]
